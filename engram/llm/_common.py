@@ -75,16 +75,18 @@ LANES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 
-_powers = np.ones(1, dtype=np.uint64)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_powers = np.ones((2, 1), dtype=np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """BASE**0 .. BASE**n modulo 2**64."""
+    """BASE**0 .. BASE**n modulo 2**64, and in the second row their inverses."""
     global _powers
-    if len(_powers) <= n:
-        steps = np.full(max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 1)), _BASE, dtype=np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
+    if _powers.shape[1] <= n:
+        size = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 1))
+        steps = np.ones((2, size), dtype=np.uint64)
+        steps[0, 1:], steps[1, 1:] = _BASE, _INVERSE
+        _powers = np.multiply.accumulate(steps, axis=1)
     return _powers
 
 
@@ -143,10 +145,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of data[start:end]; fold: letters A-Z count as a-z."""
     n = len(data)
-    p = powers(n + 1)
+    p, inverse = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_FOLDED if fold else _BYTE)[data] * p[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * p[n - starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate, quality
 from ._common import read_table
 
 
@@ -28,8 +28,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_docs(spark, sf_dir), codec())
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def queries() -> dict:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {f.__name__: f for f in (op5_decontaminate, op6_quality, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
