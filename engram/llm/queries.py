@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality
+from . import bpe, decontaminate, lm, quality
 from ._common import read_table
 
 
@@ -37,8 +37,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op6_quality, op8_byte_bpe)}
+    return {f.__name__: f for f in (op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
