@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lm, quality
+from . import bpe, decontaminate, lm, quality, toxicity
 from ._common import read_table
 
 
@@ -41,8 +41,12 @@ def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(_docs(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe)}
+    return {f.__name__: f for f in (op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
