@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lm, quality, toxicity
+from . import bpe, chat, decontaminate, lm, quality, secrets, toxicity
 from ._common import read_table
 
 
@@ -45,8 +45,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_docs(spark, sf_dir))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity)}
+    return {f.__name__: f for f in (op4_chat, op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
