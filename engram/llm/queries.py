@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, linededup, lm, quality, secrets, toxicity
+from . import bpe, chat, decontaminate, jaccard, linededup, lm, quality, secrets, toxicity
 from ._common import read_table
 
 
@@ -57,8 +57,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_docs(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op4_chat, op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op4_chat, op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
