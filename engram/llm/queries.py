@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, linededup, lm, quality, secrets, toxicity
+from . import bpe, chat, decontaminate, jaccard, linededup, lm, quality, secrets, suffixdedup, toxicity
 from ._common import read_table
 
 
@@ -61,8 +61,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(_docs(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.report(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op4_chat, op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity, op10_secrets)}
+    own = (op1_line_dedup, op2_jaccard_join, op3_suffix_dedup, op4_chat, op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity, op10_secrets)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
