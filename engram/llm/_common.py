@@ -44,6 +44,7 @@ def release(spark: SparkSession) -> None:
 def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, so a lost
     executor costs a re-read and not a recomputation."""
+    release(spark)  # of what the caller has let go since the last table
     path = f"{shared_dir(spark)}/engram/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE, LANES, U64, chunks, materialize, mix, partitions_for, powers, text_buffer
+from ._common import _BYTE, LANES, U64, chunks, materialize, mix, partitions_for, powers, release, text_buffer
 from .jaccard import _input_bytes
 
 LENGTH, GRAM = 50, 20
@@ -282,9 +282,11 @@ def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 )
 
     contexts = rows.join(opened.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "open")
-    contexts = contexts.mapInArrow(fetch, "bucket int, doc long, th int, start long, context binary").distinct()
+    contexts = contexts.mapInArrow(fetch, "bucket int, doc long, th int, start long, context binary")
     compared = contexts.groupBy("bucket").applyInArrow(compare, "doc long, th int, covered binary")
     compared = materialize(spark, compared, "suffix-compared")
+    del contexts, opened
+    release(spark)
     return met.where("covered is not null").select("doc", "th", "covered").union(compared)
 
 
