@@ -15,9 +15,11 @@ large band, or it cannot be similar; this drops chance candidates before verific
 Documents whose units do not suffice also emit signatures of their empty segments, with which
 all segments are covered.
 
-Candidates are verified exactly on their shingle sets. Runs of needy documents are verified
-against one member each; members that still lie in different components are then compared
-with each other if the triangle inequality of the Jaccard distance leaves a chance. Documents
+Candidates are verified exactly on their shingle sets. Needy documents are first verified
+against one central member of a part of their frequent runs, which joins most families. All
+needy documents in different components are then joined by prefix filter: with shingles in
+one order, the rare first, a pair with enough in common shares one among the first few of
+both. So nothing depends on the runs chosen, and no group is compared in all pairs. Documents
 with equal sets collapse to one before all this, in each task and by fingerprint.
 
 Signatures travel as arrays by bucket, a row for each batch and bucket; the number of buckets
@@ -41,9 +43,10 @@ SHINGLE = 5
 #: A pair links when NUM * union <= DEN * intersection.
 NUM, DEN = 75, 100
 RATIO, SMALL, SPARE, HOT = 1.75, 48, 1.35, 16
+#: One frequent run in so many gives candidates with its central member.
+STAR_RUNS = 4
 #: Signatures held before they are sent, and bytes of input for one bucket.
 FLUSH, BUCKET_BYTES = 4_000_000, 6 << 20
-STAR_ROUNDS = 3
 
 
 def _bands() -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +221,8 @@ def _emit(kind: int, n: int, **columns) -> pa.Table:
 def meet(table: pa.Table) -> pa.Table:
     """What one bucket shows. Kind 0: a document (a id, b fingerprint, x set size). Kind 1: a
     pair of sets (a, b) with x shared signatures of a band, their slack in y as two halves and
-    their sizes. Kind 2: a set (a) in a frequent run (b) with its slack x and size na."""
+    their sizes. Kind 2: a set (a) with the number y of its frequent signatures of a band, its slack
+    x and size na. Kind 3: a set (a) in a chosen frequent run (b), with its size na."""
     docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), _DOC)
     out = [_emit(0, len(docs), a=pa.array(docs["id"].copy(), mask=docs["null"].astype(bool)), b=docs["fp"].copy(), x=docs["n"].copy())]
     entries, sigs = [], []
@@ -264,8 +268,16 @@ def meet(table: pa.Table) -> pa.Table:
         out.append(_emit(1, len(at), a=fp[left[at]], b=fp[right[at]], band=band[at], x=times, y=(slack[left[at]] << 32) | (slack[right[at]] & 0xFFFFFFFF), na=n[left[at]], nb=n[right[at]]))
         hot = np.repeat(size > HOT, size)
         if hot.any():
-            run = mix(sig[hot] ^ mix(U64(table.column("bucket")[0].as_py()) * np.ones(1, np.uint64) + U64(1))[0])
-            out.append(_emit(2, int(hot.sum()), a=fp[hot], b=run, band=entry["band"][who[hot]], x=slack[hot], na=n[hot]))
+            node, times = np.unique(who[hot], return_counts=True)
+            # entries of one set and band from several tasks
+            order = np.lexsort((entry["band"][node], entry["fp"][node]))
+            node, times = node[order], times[order]
+            first = np.flatnonzero(np.append(True, (entry["fp"][node][1:] != entry["fp"][node][:-1]) | (entry["band"][node][1:] != entry["band"][node][:-1])))
+            one = entry[node[first]]
+            out.append(_emit(2, len(one), a=one["fp"].copy(), band=one["band"].copy(), x=one["slack"].astype(np.int64), y=np.add.reduceat(times, first), na=one["n"].copy()))
+            run = mix(sig ^ mix(np.full(1, table.column("bucket")[0].as_py(), np.uint64) + U64(1))[0])
+            some = hot & (run % U64(STAR_RUNS) == 0)
+            out.append(_emit(3, int(some.sum()), a=fp[some], b=run[some], na=n[some]))
     return pa.concat_tables(out)
 
 
@@ -305,11 +317,11 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def verify(df: DataFrame, pairs: DataFrame, owners: DataFrame, key: str, text: str) -> DataFrame:
-    """a, b, inter, na, nb of the pairs; owners: fp, id (the document whose set it is)."""
+def shingles_of(df: DataFrame, fps: DataFrame, owners: DataFrame, key: str, text: str) -> DataFrame:
+    """id, fp and set (uint64 hashes) of the wanted sets, from their owners' texts: texts are not
+    moved, a bitmap of the owners' ids tells each task which of its rows to read."""
     spark = df.sparkSession
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = materialize(spark, owners.join(wanted, "fp", "left_semi"), "jaccard-wanted")
+    wanted = materialize(spark, owners.join(fps.select("fp").distinct(), "fp", "left_semi"), "jaccard-wanted")
     shared = spark.sparkContext.broadcast(_bitmap(wanted))
 
     def emit(batches):
@@ -328,7 +340,12 @@ def verify(df: DataFrame, pairs: DataFrame, owners: DataFrame, key: str, text: s
 
     named = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     sets = named.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(emit, "id long, fp long, set binary")
-    sets = materialize(spark, sets.join(wanted, ["id", "fp"], "left_semi"), "jaccard-sets")
+    return materialize(spark, sets.join(wanted, ["id", "fp"], "left_semi"), "jaccard-sets")
+
+
+def verify(df: DataFrame, pairs: DataFrame, owners: DataFrame, key: str, text: str) -> DataFrame:
+    """a, b, inter, na, nb of the pairs; owners: fp, id (the document whose set it is)."""
+    sets = shingles_of(df, pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))), owners, key, text)
 
     def intersect(batches):
         for b in batches:
@@ -355,8 +372,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     found = materialize(spark, find(df, key, text), "jaccard-found")
     docs = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("fp"), F.col("x").alias("n"))
     owners = materialize(spark, docs.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id")), "jaccard-owners")
-    hot = found.where("kind = 2").select("a", "b", "band", F.col("x").alias("slack"), F.col("na").alias("n"))
-    hot_count = materialize(spark, hot.groupBy("a", "band").agg(F.count("*").alias("hot"), F.first("slack").alias("slack")), "jaccard-hot")
+    hot_count = found.where("kind = 2").groupBy("a", "band").agg(F.sum("y").alias("hot"), F.first("x").alias("slack"), F.first("na").alias("n"))
+    hot_count = materialize(spark, hot_count, "jaccard-hot")
     pairs = found.where("kind = 1").groupBy("a", "b", "band").agg(F.sum("x").alias("shared"), F.max("y").alias("slacks"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     for side, shift in (("a", 32), ("b", 0)):
         counted = hot_count.select(F.col("a").alias(side), "band", F.col("hot").alias(f"hot_{side}"))
@@ -367,31 +384,64 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     kept = materialize(spark, kept, "jaccard-pairs")
     edges = linked(verify(df, kept, owners, key, text)).select("a", "b")
     edges = materialize(spark, edges, "jaccard-edges")
-    needy = hot_count.where("hot > slack").select("a", "band")
-    runs = materialize(spark, hot.join(needy, ["a", "band"], "left_semi").select("a", "b", "n"), "jaccard-runs")
+    needy = hot_count.where("hot > slack").groupBy("a").agg(F.max("hot").alias("hot"), F.first("n").alias("n"))
+    needy = materialize(spark, needy, "jaccard-needy")
+    member = materialize(spark, found.where("kind = 3").select("a", "b").join(needy, "a"), "jaccard-runs")
+    # the member with most frequent signatures has lost least of what its run shares
+    center = member.groupBy("b").agg(F.max_by(F.struct(F.col("a").alias("center"), F.col("n").alias("center_n")), F.struct("hot", "a")).alias("c")).select("b", "c.*")
+    near = member.join(materialize(spark, center, "jaccard-centers"), "b").where((F.col("a") != F.col("center")) & _apart("n", "center_n"))
+    edges = edges.union(_verified(df, near.select("a", F.col("center").alias("b")), owners, key, text))
+    edges = edges.union(_verified(df, _prefix_pairs(df, needy, owners, _labels(edges, owners), key, text), owners, key, text))
     labels = _labels(edges, owners)
-    for turn in range(STAR_ROUNDS + 1):
-        comp = F.coalesce("label", "id")
-        placed = runs.join(owners.withColumnRenamed("fp", "a"), "a").join(labels.withColumnRenamed("node", "id"), "id", "left").select("a", "b", "n", comp.alias("comp"))
-        split = placed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct(F.col("a").alias("center"), F.col("comp").alias("center_comp"), F.col("n").alias("center_n")), F.xxhash64("a", F.lit(turn))).alias("c")).where("lo < hi")
-        open_runs = materialize(spark, placed.join(split.select("b", "c.*"), "b"), "jaccard-open")
-        if open_runs.isEmpty():
-            break
-        apart = (F.col("n1") * 3 <= F.col("n2") * 4) & (F.col("n2") * 3 <= F.col("n1") * 4)
-        if turn < STAR_ROUNDS:
-            more = open_runs.where("comp != center_comp").select("a", F.col("center").alias("b"), F.col("n").alias("n1"), F.col("center_n").alias("n2"))
-        else:
-            x, y = (open_runs.select("b", F.col("a").alias(f"a{k}"), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"comp{k}")) for k in (1, 2))
-            more = x.join(y, "b").where("comp1 < comp2").select(F.col("a1").alias("a"), F.col("a2").alias("b"), "n1", "n2")
-        more = more.where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(spark, more, "jaccard-pairs")
-        fresh = materialize(spark, linked(verify(df, more, owners, key, text)).select("a", "b"), "jaccard-edges")
-        edges = edges.union(fresh)
-        labels = _labels(edges, owners)
     rep = docs.join(owners.withColumnRenamed("id", "rep"), "fp", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     return rep, labels
 
 
+def _apart(n: str, m: str):
+    """Sizes that allow similarity."""
+    return (3 * F.col(n) <= 4 * F.col(m)) & (3 * F.col(m) <= 4 * F.col(n))
+
+
+def _verified(df: DataFrame, pairs: DataFrame, owners: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b in either order) that link."""
+    spark = df.sparkSession
+    pairs = materialize(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    return materialize(spark, linked(verify(df, pairs, owners, key, text)).select("a", "b"), "jaccard-edges")
+
+
+def _prefix_pairs(df: DataFrame, members: DataFrame, owners: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """a, b: all pairs of members (a, n) in different components that can link. A pair that
+    links has 3/7 of both sizes in common. In one order of all shingles, rare before frequent,
+    their first common one is followed by all the others: so many must be left in both."""
+    spark = df.sparkSession
+    comp = members.join(owners.withColumnRenamed("fp", "a"), "a").join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.col("a").alias("fp"), "n", F.coalesce("label", "id").alias("comp"))
+    comp = materialize(spark, comp, "jaccard-members")
+    sets = shingles_of(df, comp, owners, key, text)
+
+    def explode(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                found = [np.frombuffer(x, "<i8") for x in part.column(3).to_pylist()]
+                m = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(m) for k in range(3)], pa.array(np.concatenate(found))], names=["fp", "n", "comp", "token"])
+
+    tokens = sets.join(comp, "fp").select("fp", "n", "comp", "set").mapInArrow(explode, "fp long, n long, comp long, token long")
+    tokens = materialize(spark, tokens, "jaccard-tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("comp") < F.max("comp")).alias("across"))
+    counts = materialize(spark, counts, "jaccard-counts")
+    # each set's shingles as one array, rare first; only those that other components have matter
+    least = F.ceil(F.col("n") * 3 / 4)
+    ordered = tokens.join(counts, "token").groupBy("fp", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token", "across"))).alias("t"))
+    ordered = ordered.where(F.size(F.filter("t", lambda x: x["across"])) >= least)
+    prefix = ordered.select("fp", "n", "comp", F.posexplode(F.slice("t", 1, (F.col("n") - least + 1).cast("int"))).alias("i", "x")).where("x.across")
+    prefix = materialize(spark, prefix.select("fp", "n", "comp", "i", "x.token"), "jaccard-prefix")
+    x, y = (prefix.select(*[F.col(c).alias(f"{c}{k}") for c in ("fp", "n", "comp", "i")], "token") for k in (1, 2))
+    common = F.ceil((F.col("n1") + F.col("n2")) * 3 / 7)
+    enough = (F.col("n1") - F.col("i1") >= common) & (F.col("n2") - F.col("i2") >= common)
+    return x.join(y, "token").where((F.col("comp1") < F.col("comp2")) & _apart("n1", "n2") & enough).select(F.col("fp1").alias("a"), F.col("fp2").alias("b"))
+
+
 def _labels(edges: DataFrame, owners: DataFrame) -> DataFrame:
     a, b = (owners.select(F.col("fp").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
     named = edges.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
