@@ -48,7 +48,7 @@ def parsed_lines(text: Column) -> Column:
 def own_text(lines: Column) -> Column:
     """The text without quoted lines."""
     kept = F.array_join(F.transform(F.filter(lines, lambda x: x["d"] == 0), lambda x: x["t"]), "\n")
-    return F.trim(F.regexp_replace(kept, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def passages(messages: DataFrame) -> DataFrame:

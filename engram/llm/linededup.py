@@ -132,6 +132,8 @@ def removals(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars:
     # the earliest document that holds a line, if a later one does too
     held = lines.groupBy("h").agg(F.min(F.struct("doc", "th")).alias("first"), F.max(F.struct("doc", "th")).alias("last"))
     shared = held.where("first < last").select("h", F.col("first.doc").alias("first_doc"), F.col("first.th").alias("first_th"))
+    # written first: a join of two fresh exchanges can be split where one line is very common
+    shared = materialize(spark, shared, "lines-first")
     linked = materialize(spark, lines.join(shared, "h"), "lines-shared")
     arrays = linked.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("n", "h", "c"))).alias("lines"))
     arrays = materialize(spark, arrays, "lines-by-document")

@@ -1,8 +1,10 @@
 """Quality rules: statistics of simple rules, and an isolation forest over them.
 
-Each text gets rule statistics (counts that word, line, symbol and repetition rules use).
-Random trees split random statistics at random values; a text that few splits isolate is
-anomalous. The threshold on the path-length score is calibrated from labelled rows.
+Each text gets rule statistics (counts that word, line, symbol and repetition rules use) and
+from them by how much it breaks each rule. Where a rule begins to count is calibrated from
+labelled rows: all but GOOD of the good ones keep it. Random trees split random statistics at
+random values; a text that few splits isolate is anomalous. The threshold on the path-length
+score is calibrated from labelled rows as well.
 
 The forest is fit on at most SAMPLE rows, those with the smallest hash of their key: an
 isolation forest needs no more than trees x 256 rows. Statistics, scores and the calibration
@@ -18,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,20 +116,44 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 MEAN_WORD, SYMBOLS, DUP_LINES, REPEATS, UPPER, PUNCT, LETTERS = (3, 10), 0.1, 0.3, 0.2, 0.3, 0.5, 0.7
 
 
-def features(c: dict[str, np.ndarray]) -> np.ndarray:
+RULES = [f"rule_{k}" for k in range(7)]
+#: Share of good labelled rows that a rule must leave alone.
+GOOD = 0.999
+
+
+def broken() -> list[Column]:
     """By how much each rule is broken. Shares and means only: a long text is no anomaly by its length."""
-    words, chars, lines, letters = (np.maximum(c[k], 1).astype(float) for k in ("n_words", "word_chars", "n_lines", "n_letters"))
-    mean = np.minimum(c["word_chars"] / words, 20)
-    broken = [
-        np.maximum(MEAN_WORD[0] - mean, 0) + np.maximum(mean - MEAN_WORD[1], 0),
-        np.minimum(c["n_symbols"] / words, 3) - SYMBOLS,
-        c["n_dup_lines"] / lines - DUP_LINES,
-        c["n_repeat_words"] / words - REPEATS,
-        c["n_upper"] / letters - UPPER,
-        np.minimum(c["n_punct"] / words, 3) - PUNCT,
-        LETTERS - c["n_letters"] / chars,
+
+    def share(part: Column | str, of: str, most: float | None = None) -> Column:
+        x = (F.col(part) if isinstance(part, str) else part) / F.greatest(F.col(of), F.lit(1))
+        return x if most is None else F.least(x, F.lit(most))
+
+    mean = share("word_chars", "n_words", 20.0)
+    over = [
+        F.greatest(MEAN_WORD[0] - mean, mean - MEAN_WORD[1]),
+        share("n_symbols", "n_words", 3.0) - SYMBOLS,
+        share("n_dup_lines", "n_lines") - DUP_LINES,
+        share("n_repeat_words", "n_words") - REPEATS,
+        share("n_upper", "n_letters") - UPPER,
+        share("n_punct", "n_words", 3.0) - PUNCT,
+        LETTERS - share("n_letters", "word_chars"),
     ]
-    return np.maximum(np.stack(broken, axis=1), 0)
+    return [F.greatest(x, F.lit(0.0)).alias(r) for x, r in zip(over, RULES)]
+
+
+def _good(labels: DataFrame) -> DataFrame:
+    return labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+
+
+def limits(stats: DataFrame, labels: DataFrame) -> list[float]:
+    """What good labelled rows may break of each rule."""
+    own = stats.where(~base_failed()).join(_good(labels).where("quality > 0").select("doc_id"), "doc_id")
+    r = own.agg(*[F.percentile_approx(c, F.lit(GOOD), F.lit(10_000)).alias(c) for c in RULES]).first()
+    return [float(r[c] or 0.0) for c in RULES]
+
+
+def excess(c: dict[str, np.ndarray], limit: list[float]) -> np.ndarray:
+    return np.maximum(np.stack([c[k] for k in RULES], axis=1) - np.array(limit), 0)
 
 
 def path_norm(n: float) -> float:
@@ -186,21 +212,20 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_forest(stats: DataFrame, sample: int = SAMPLE) -> IsolationForest:
-    rows = stats.where(~base_failed()).orderBy(F.xxhash64("doc_id"), *COUNTS).limit(sample).collect()
-    c = {k: np.array([r[k] for r in rows], dtype=float) for k in COUNTS}
-    return IsolationForest(features(c))
+def fit_forest(stats: DataFrame, limit: list[float], sample: int = SAMPLE) -> IsolationForest:
+    rows = stats.where(~base_failed()).orderBy(F.xxhash64("doc_id"), *RULES).limit(sample).select(*RULES).collect()
+    return IsolationForest(excess({k: np.array([r[k] for r in rows], dtype=float) for k in RULES}, limit))
 
 
-def score(stats: DataFrame, forest: IsolationForest) -> DataFrame:
+def score(stats: DataFrame, forest: IsolationForest, limit: list[float]) -> DataFrame:
     """stats with the anomaly score; rows that fail the base rules get 1."""
     shared = stats.sparkSession.sparkContext.broadcast(forest)
     schema = T.StructType([*stats.schema.fields, T.StructField("anomaly", T.DoubleType())])
 
     def apply(batches):
         for b in batches:
-            c = {k: b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in COUNTS}
-            s = shared.value.score(features(c))
+            c = {k: b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ["n_words", "n_repeat_words", *RULES]}
+            s = shared.value.score(excess(c, limit))
             s[(c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])] = 1.0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "anomaly"])
 
@@ -212,7 +237,7 @@ def calibrate(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
     those that separate: where the gain over the next higher step is all in bad rows."""
     steps = (
         scored.where(~base_failed())
-        .join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
+        .join(_good(labels), "doc_id")
         .groupBy(F.floor(F.col("anomaly") * STEPS).cast("int").alias("step"), "quality")
         .count()
         .collect()
@@ -231,7 +256,8 @@ def calibrate(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
 
 def assess(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document: COUNTS, anomaly, base_failed and kept."""
-    stats = materialize(df.sparkSession, statistics(df, key, text), "quality-stats")
-    scored = score(stats, fit_forest(stats))
+    stats = materialize(df.sparkSession, statistics(df, key, text).select("*", *broken()), "quality-stats")
+    limit = limits(stats, labels)
+    scored = score(stats, fit_forest(stats, limit), limit)
     threshold = calibrate(scored, labels, **options)
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(threshold)))

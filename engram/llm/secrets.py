@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-SAMPLE, MIN_RUN, THRESHOLD, MEAN = 500, 16, 8.0, 0.35
+SAMPLE, MIN_RUN, THRESHOLD, MEAN, BACKOFF = 500, 16, 8.0, 0.35, 20
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A first look that costs little: assignments name one of these.
 NAMED = r"(?i)(?:passw|secret|token|api_?key)"
@@ -74,12 +74,15 @@ def _pairs(df: DataFrame, word: str) -> DataFrame:
 
 
 def _table(rows: list) -> dict[tuple[int, int], float]:
-    """Smoothed log-probabilities of the second character after the first."""
+    """Log-probabilities of the second character after the first, smoothed by its own frequency."""
     counts = {(ord(r["p"][0]), ord(r["p"][1])): r["count"] for r in rows if len(r["p"]) == 2 and max(map(ord, r["p"])) < 128}
-    after: dict[int, int] = {}
-    for (a, _), c in counts.items():
-        after[a] = after.get(a, 0) + c
-    return {(a, b): math.log((counts.get((a, b), 0) + 0.5) / (after.get(a, 0) + 0.5 * 128)) for a in range(128) for b in range(128)}
+    after, single = [0] * 128, [0] * 128
+    for (a, b), c in counts.items():
+        after[a] += c
+        single[b] += c
+    total = sum(single)
+    base = [(c + 0.5) / (total + 64) for c in single]
+    return {(a, b): math.log((counts.get((a, b), 0) + BACKOFF * base[b]) / (after[a] + BACKOFF)) for a in range(128) for b in range(128)}
 
 
 def train(scanned: DataFrame, docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> list[float] | None:
@@ -87,7 +90,9 @@ def train(scanned: DataFrame, docs: DataFrame, key: str, text: str, sample: int
     random = _pairs(scanned.select(F.explode("base").alias("b")).select("b.v"), "v").collect()
     ids = docs.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
     own = docs.join(F.broadcast(ids), key, "left_semi")
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ASSIGN, " "), ACCESS, " "), HEX, " ")
+    clean = F.coalesce(F.col(text), F.lit(""))
+    for labelled in (ASSIGN, ACCESS, HEX, RUN):  # secrets, and what is to be judged
+        clean = F.regexp_replace(clean, labelled, " ")
     words = own.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("w"))
     ordinary = _pairs(words, "w").collect()
     if not random or not ordinary:

@@ -10,6 +10,7 @@ sentences is a negative; both count as often as distinct sentences hold them. A
 margin is that of its strongest word. A text's two strongest words make its score, mapped to
 0..1 by a logistic function fit on the labelled rows.
 
+So that the margin reaches them, witnesses also count with one character put in between.
 Marks inside a word are dropped ("i.d.i.o.t"), runs of single characters are also read as one
 word ("i d i o t"). At most TOXIC + CLEAN labelled rows and WITNESSES + NEGATIVES of their
 words are used for fitting, chosen by the hash of their key or by their counts; every text is
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from ._common import ALNUM, SPACED, chunks, materialize, span_hashes, text_buffer, word_spans
 
-DECAY, SHARPEN, LANDMARKS = 0.7, 4, 256
+DECAY, SHARPEN, LANDMARKS = 0.7, 2, 192
 TOXIC, CLEAN, WITNESSES, NEGATIVES = 2000, 4000, 600, 40_000
 #: Share of a word's squared weight below which it is taken to be unlike every landmark.
 FLOOR = 0.25
@@ -325,13 +326,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
+def disguised(word: bytes) -> list[bytes]:
+    """A word with one character put in between, for words long enough to be known by the rest."""
+    if len(word) < 5 or max(word) > 127:
+        return []
+    return [word[:i] + b"xqzj"[i % 4 : i % 4 + 1] + word[i:] for i in range(1, len(word))]
+
+
 def learn(telling: list[tuple[bytes, int, int]], other: list[tuple[bytes, int]], landmarks: int = LANDMARKS, hardest: int = 6000) -> Model:
     """The machine from witnesses (word, toxic and other sentences) and other words (word, sentences).
     Of the other words those nearest to the witnesses are kept: far ones have no part in the margin."""
     witnesses = [w for w, _, _ in telling]
-    some, k = Kernel(witnesses).rows(*pack([w for w, _ in other]))
-    near = np.zeros(len(other))
-    near[some] = k.max(1)
+    kernel, near = Kernel(witnesses), np.zeros(len(other))
+    for i in range(0, len(other), 2000):
+        some, k = kernel.rows(*pack([w for w, _ in other[i : i + 2000]]))
+        if len(some):
+            near[i + some] = k.max(1)
     order = np.argsort(-near, kind="stable")
     hard = [other[i] for i in order[:hardest]]
     # two thirds of the landmarks from witnesses, the others from the words most like them
@@ -344,7 +354,7 @@ def learn(telling: list[tuple[bytes, int, int]], other: list[tuple[bytes, int]],
     gram[some] = k
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     half = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    both = [(w, 1.0, a) for w, a, _ in telling] + [(w, -1.0, b) for w, b in hard] + [(w, -1.0, b) for w, _, b in telling if b]
+    both = [(w, 1.0, a) for w, a, _ in telling] + [(v, 1.0, a / 20) for w, a, b in telling if 10 * b < a for v in disguised(w)] + [(w, -1.0, b) for w, b in hard] + [(w, -1.0, b) for w, _, b in telling if b]
     x = np.zeros((len(both), len(marks)))
     some, k = kernel.rows(*pack([w for w, _, _ in both]))
     x[some] = k
