@@ -101,7 +101,7 @@ def spreading_activation(edges: DataFrame, seeds: DataFrame, hops: int = 2, deca
 def corroborate(facts: DataFrame) -> DataFrame:
     """One fact for each (subject, predicate, object): earliest start, number of provenances n and
     the confidence that n - 1 corroborations raise: 0.03 * (1 + 2 + ... + (n - 1)), 0.99 at most."""
-    first = F.struct("recorded_at", "provenance", "line_no")
+    first = F.struct("recorded_at", "provenance", "line_no", "confidence")
     per = facts.groupBy("subject", "predicate", "object").agg(F.min("valid_from").alias("valid_from"), F.count_distinct("provenance").alias("n"), F.min_by("confidence", first).alias("c"))
     return per.withColumn("confidence", F.greatest(F.col("c"), F.least(F.lit(0.99), F.col("c") + 0.03 * F.col("n") * (F.col("n") - 1) / 2))).drop("c")
 

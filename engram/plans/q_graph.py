@@ -73,7 +73,7 @@ def spreading_activation(spark, sf):
 
 
 @query(
-    """, f AS (SELECT subject, object, min(valid_from) AS valid_from, count(DISTINCT provenance) AS n, arg_min(confidence, {'a': recorded_at, 'b': provenance, 'c': line_no}) AS c FROM facts GROUP BY subject, predicate, object)
+    """, f AS (SELECT subject, object, min(valid_from) AS valid_from, count(DISTINCT provenance) AS n, arg_min(confidence, {'a': recorded_at, 'b': provenance, 'c': line_no, 'd': confidence}) AS c FROM facts GROUP BY subject, predicate, object)
 SELECT subject, object, CAST(valid_from AS VARCHAR) AS valid_from, n, round(greatest(c, least(0.99, c + 0.03 * n * (n - 1) / 2)), 6) AS confidence FROM f"""
 )
 def corroborate_facts(spark, sf):
@@ -88,10 +88,10 @@ def graph_snapshot(spark, sf):
 
 @query(f"SELECT count(*) FILTER (WHERE retracted_at IS NOT NULL OR object = 'supplier:3') AS retracted, count(*) FILTER (WHERE retracted_at IS NULL AND object = 'supplier:3') AS now FROM facts")
 def facts_retract(spark, sf):
-    f = facts(spark, sf)
+    f = facts(spark, sf).withColumn("open", F.col("retracted_at").isNull())
     key = ["subject", "object", "provenance", "line_no"]
-    done = G.retract(f, f.where("object = 'supplier:3'").select(*key), key, _at(T2)).withColumn("was", F.col("retracted_at") == _at(T2))
-    return done.agg(F.count_if(F.col("retracted_at").isNotNull()).alias("retracted"), F.count_if(F.col("was") & (F.col("object") == "supplier:3")).alias("now"))
+    done = G.retract(f, f.where("object = 'supplier:3'").select(*key), key, _at(T2))
+    return done.agg(F.count_if(F.col("retracted_at").isNotNull()).alias("retracted"), F.count_if(F.col("open") & F.col("retracted_at").isNotNull()).alias("now"))
 
 
 @query(
