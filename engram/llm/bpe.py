@@ -21,8 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import trim
+
 #: Distinct pre-tokens a worker remembers before it forgets all.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -183,6 +185,7 @@ def decode_ids(df: DataFrame, codec: Codec, ids: str = "token_ids", out: str = "
 def _slices(batch: pa.RecordBatch, text: str, rows: int = 256):
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+    trim()
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LANES, SPACED, U64, chunks, gram_hashes, materialize, mix, partitions_for, span_hashes, text_buffer, whole_hash, word_spans
+from ._common import LANES, SPACED, U64, chunks, gram_hashes, materialize, mix, partitions_for, span_hashes, text_buffer, trim, whole_hash, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -278,6 +278,7 @@ def meet(table: pa.Table) -> pa.Table:
             run = mix(sig ^ mix(np.full(1, table.column("bucket")[0].as_py(), np.uint64) + U64(1))[0])
             some = hot & (run % U64(STAR_RUNS) == 0)
             out.append(_emit(3, int(some.sum()), a=fp[some], b=run[some], na=n[some]))
+    trim()
     return pa.concat_tables(out)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, linededup, lm, quality, secrets, suffixdedup, toxicity
+from . import bpe, chat, decontaminate, jaccard, linededup, lm, quality, secrets, sql, suffixdedup, toxicity
 from ._common import read_table
 
 
@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)

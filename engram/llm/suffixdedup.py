@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE, LANES, U64, chunks, materialize, mix, partitions_for, powers, release, text_buffer
+from ._common import _BYTE, LANES, U64, chunks, materialize, mix, partitions_for, powers, release, text_buffer, trim
 from .jaccard import _input_bytes
 
 LENGTH, GRAM = 50, 20
-FLUSH, BUCKET_BYTES, BATCH = 2_000_000, 12 << 20, 4096
+FLUSH, BUCKET_BYTES, BATCH = 2_000_000, 8 << 20, 4096
 _LAST = (1 << 63) - 1
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -136,6 +136,7 @@ def meet(table: pa.Table) -> pa.Table:
     heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
     contexts = np.add.reduceat(fresh.astype(np.int64), heads) if len(heads) else heads
     open_ = ~covered & np.repeat(contexts > 1, np.diff(np.append(heads, len(part)))) if len(heads) else covered
+    trim()
     ids, ths, ranges, opens = [], [], [], []
     for kind, own in ((0, covered), (1, open_)):
         own = np.flatnonzero(own)

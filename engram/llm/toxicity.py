@@ -36,7 +36,7 @@ TOXIC, CLEAN, WITNESSES, NEGATIVES = 2000, 4000, 600, 40_000
 #: Share of a word's squared weight below which it is taken to be unlike every landmark.
 FLOOR = 0.25
 #: Distinct words whose margins a worker remembers.
-MEMO = 1_000_000
+MEMO = 500_000
 #: Words of a training sentence; longer ones are cut into several.
 LONG = 64
 _SPANS = [(a, b) for b in range(2, 5) for a in range(1, b)]
@@ -237,7 +237,7 @@ class Model:
         """The two highest word margins of each text; -2 stands for no word."""
         data, offsets = text_buffer(column)
         out = np.full((len(offsets) - 1, 2), -2.0)
-        for i, j in chunks(offsets, 4 << 20):
+        for i, j in chunks(offsets, 2 << 20):
             low = int(offsets[i])
             units = Units(data[low : int(offsets[j])], offsets[i : j + 1] - low)
             if not len(units.starts):
