@@ -35,3 +35,26 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
 
 ORACLE = {"op2_jaccard_join": OP2, "op3_suffix_dedup": OP3, "op5_decontaminate": OP5}
+
+_SPLIT = "string_split(coalesce({0}, ''), chr(10))"
+_MARKS = "'^(?:[ \\t]*>)+'"
+_NORMAL = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+_STRIP = "regexp_replace(regexp_replace({0}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+OP4 = f"""WITH RECURSIVE m AS (SELECT conv_id, turn, min({{'r': role, 't': text}}) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+l AS (SELECT conv_id, turn, unnest({_SPLIT.format('x.t')}) AS line, generate_subscripts({_SPLIT.format('x.t')}, 1) AS n, len({_SPLIT.format('x.t')}) AS size FROM m),
+p AS (SELECT conv_id, turn, n, size, length(regexp_replace(regexp_extract(line, {_MARKS}, 0), '[^>]', '', 'g')) AS d, regexp_replace(line, {_MARKS}, '') AS t FROM l),
+own AS (SELECT conv_id, turn, {_STRIP.format("coalesce(string_agg(t, chr(10) ORDER BY n) FILTER (WHERE d = 0), '')")} AS content, count(*) FILTER (WHERE d > 0) AS nq FROM p GROUP BY conv_id, turn),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY n) AS k FROM (SELECT *, CASE WHEN d = lag(d) OVER (PARTITION BY conv_id, turn ORDER BY n) THEN 0 ELSE 1 END AS fresh FROM p)),
+pas AS (SELECT conv_id, turn, d, 'passage' AS kind, string_agg(t, chr(10) ORDER BY n) AS t FROM run WHERE size > 1 GROUP BY conv_id, turn, d, k),
+nb AS (SELECT conv_id, turn, d, kind, {_NORMAL.format('t')} AS t FROM (SELECT conv_id, turn, d, 'line' AS kind, t FROM p UNION ALL SELECT * FROM pas)),
+wanted AS (SELECT DISTINCT conv_id, turn, d, t FROM nb WHERE d > 0 AND t <> '' AND (kind = 'passage' OR length(t) >= 12)),
+origin AS (SELECT conv_id, t, min(turn) AS o FROM (SELECT conv_id, turn, t FROM nb WHERE d = 0 UNION ALL SELECT conv_id, turn, {_NORMAL.format('content')} FROM own) WHERE t <> '' GROUP BY conv_id, t),
+v AS (SELECT w.conv_id, w.turn, o, min(d) AS d, sum(length(w.t)) AS c FROM wanted w JOIN origin g ON g.conv_id = w.conv_id AND g.t = w.t WHERE o < w.turn GROUP BY w.conv_id, w.turn, o),
+best AS (SELECT conv_id, turn, arg_min(o, {{'a': d, 'b': -c, 'c': o}}) AS parent FROM v GROUP BY conv_id, turn),
+r AS (SELECT conv_id, turn, parent AS root FROM best UNION ALL SELECT r.conv_id, r.turn, b.parent FROM r JOIN best b ON b.conv_id = r.conv_id AND b.turn = r.root),
+roots AS (SELECT conv_id, turn, min(root) AS root FROM r GROUP BY conv_id, turn),
+out AS (SELECT m.conv_id, m.turn, m.x.r AS role, own.content, own.nq AS n_quotes, best.parent AS parent_turn, coalesce(roots.root, m.turn) AS thread_turn FROM m JOIN own ON own.conv_id = m.conv_id AND own.turn = m.turn
+ LEFT JOIN best ON best.conv_id = m.conv_id AND best.turn = m.turn LEFT JOIN roots ON roots.conv_id = m.conv_id AND roots.turn = m.turn)
+SELECT *, concat('<|', coalesce(role, 'unknown'), '|>', chr(10), content, chr(10), '<|end|>') AS chat FROM out"""
+
+ORACLE["op4_chat"] = OP4

@@ -230,3 +230,32 @@ def test_empty_tables(spark, empty):
     assert bpe.digests(empty, queries.codec()).count() == 0
     assert toxicity.report(empty, labels).count() == 0
     assert secrets.report(empty).count() == 0
+
+
+def test_chat_like_sql(spark):
+    """The SQL of the query, on conversations that do quote."""
+    import random
+
+    import duckdb
+
+    from engram.llm import sql
+
+    rng = random.Random(4)
+    rows = []
+    for c in range(12):
+        said: list[str] = []
+        for t in range(9):
+            lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "Epsilon"]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3))]
+            if said and rng.random() < 0.7:
+                old = rng.choice(said).split("\n")
+                lines = [f"{rng.choice(['>', '> ', ' >> '])}{x}" for x in old[: rng.randint(1, len(old))]] + lines
+            said.append("\n".join(lines))
+            rows.append((c, t, "user", said[-1]))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations = df.toPandas()  # noqa: F841  read by the SQL
+    want = duckdb.sql(sql.OP4).df()
+    got = chat.format_chat(df).toPandas()[list(want.columns)]
+    key = ["conv_id", "turn"]
+    a, b = (x.sort_values(key).reset_index(drop=True).astype(object).where(lambda d: d.notna(), None) for x in (got, want))
+    assert a.map(lambda v: v if v is None or isinstance(v, str) else int(v)).equals(b.map(lambda v: v if v is None or isinstance(v, str) else int(v)))
+    assert (want.parent_turn.notna()).sum() > 10
