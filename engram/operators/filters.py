@@ -183,3 +183,10 @@ def live(df: DataFrame) -> DataFrame:
 
 def namespace(tenant: Column, collection: Column) -> Column:
     return F.concat_ws("::", tenant, collection)
+
+
+def pushable(spec: Filter) -> bool:
+    """Whether a tree means the same as predicates of a Parquet scan: conditions that are false on
+    missing fields by themselves. What is not is applied after the scan, with the same result."""
+    exact = {"eq", "in", "lt", "lte", "gt", "gte", "range", "exists"}
+    return not spec.must_not and not spec.should and all(c.op in exact for c in spec.must)
