@@ -30,6 +30,12 @@ INTENT_WORDS = {
     "episodic": ("happened", "yesterday", "shift", "event", "when", "log"),
     "semantic": ("rule", "policy", "threshold", "limit", "definition", "means"),
 }
+#: Where an answer looks, by the words of its question: pattern and number of hits; else everywhere, 5.
+ANSWER_PLANS = {
+    "procedural": (r"(?i)\b(how do i|how to|steps|procedure|recovery|fix|repair|restore)\b", 4),
+    "sensor": (r"(?i)\b(how many|count|average|total|rate|trend)\b", 8),
+    "episodic": (r"(?i)\b(when|last|latest|recent|yesterday|today|history|since)\b", 6),
+}
 NEGATIONS = r"(?i)\b(not|no longer|never|without|lifted|revoked|cancelled|canceled|reversed|disabled|removed|superseded|obsolete|deprecated|rescinded)\b"
 ANTONYMS = [("above", "below"), ("increase", "decrease"), ("open", "closed"), ("enable", "disable"), ("start", "stop"), ("raise", "lower"), ("allow", "deny"), ("on", "off"), ("up", "down")]
 
@@ -95,6 +101,14 @@ def intent(tokens: Column) -> Column:
     return F.when(top > 0, out)
 
 
+def answer_plan(question: Column) -> Column:
+    """struct(collection, k) of the first plan whose words the question has."""
+    out = F.struct(F.lit("*").alias("collection"), F.lit(5).alias("k"))
+    for name, (pattern, k) in reversed(ANSWER_PLANS.items()):
+        out = F.when(question.rlike(pattern), F.struct(F.lit(name).alias("collection"), F.lit(k).alias("k"))).otherwise(out)
+    return out
+
+
 def normalise_units(text: Column) -> Column:
     return F.regexp_replace(text, UNIT, "$1 $2")
 

@@ -50,11 +50,18 @@ def arbitrate(spark, sf):
     return L.conflict_ladder(pairs).select("op_id", "rung")
 
 
-@query("SELECT q, CASE WHEN regexp_matches(lower(q), 'procedure|steps|how do|how to') THEN 'procedural' WHEN regexp_matches(lower(q), 'reading|sensor|telemetry') THEN 'sensor' WHEN regexp_matches(lower(q), 'when|yesterday|happened') THEN 'episodic' ELSE '*' END AS collection FROM (VALUES ('How do I reset it'), ('sensor reading now'), ('what happened'), ('limits')) t(q)")
+_B, _E = "(^|[^a-z0-9_])(", ")([^a-z0-9_]|$)"
+_PLANS = {k: v[7:-3] for k, (v, _) in T.ANSWER_PLANS.items()}  # without the flags and word bounds
+
+
+@query(
+    "SELECT q, CASE "
+    + " ".join(f"WHEN regexp_matches(lower(q), '{_B}{p}{_E}') THEN '{k}'" for k, p in _PLANS.items())
+    + " ELSE '*' END AS collection FROM (VALUES ('How do I reset it'), ('average count of trips'), ('what was the latest'), ('limits')) t(q)"
+)
 def answer_plan(spark, sf):
-    q = spark.createDataFrame([("How do I reset it",), ("sensor reading now",), ("what happened",), ("limits",)], "q string")
-    low = F.lower("q")
-    return q.select("q", F.when(low.rlike("procedure|steps|how do|how to"), "procedural").when(low.rlike("reading|sensor|telemetry"), "sensor").when(low.rlike("when|yesterday|happened"), "episodic").otherwise("*").alias("collection"))
+    q = spark.createDataFrame([("How do I reset it",), ("average count of trips",), ("what was the latest",), ("limits",)], "q string")
+    return q.select("q", T.answer_plan(F.col("q"))["collection"].alias("collection"))
 
 
 @query("SELECT provenance, line_no, valid_from <= TIMESTAMP '1996-06-01' AND TIMESTAMP '1996-06-01' < valid_to AS valid, recorded_at <= TIMESTAMP '1997-06-01' AND (retracted_at IS NULL OR TIMESTAMP '1997-06-01' < retracted_at) AS believed FROM facts")
