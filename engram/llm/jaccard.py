@@ -410,6 +410,18 @@ def _verified(df: DataFrame, pairs: DataFrame, owners: DataFrame, key: str, text
     return materialize(spark, linked(verify(df, pairs, owners, key, text)).select("a", "b"), "jaccard-edges")
 
 
+def _across(table: pa.Table) -> pa.Table:
+    """Of some shingles' occurrences those whose shingle several components have, with how many
+    sets have it."""
+    token, comp = table.column("token").to_numpy(), table.column("comp").to_numpy()
+    order = np.argsort(token, kind="stable")
+    first = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1])[: len(order)])
+    size = np.diff(np.append(first, len(order)))
+    several = np.minimum.reduceat(comp[order], first) < np.maximum.reduceat(comp[order], first) if len(first) else np.zeros(0, bool)
+    kept = np.repeat(several, size)
+    return table.take(pa.array(order[kept])).append_column("df", pa.array(np.repeat(size, size)[kept].astype(np.int64)))
+
+
 def _prefix_pairs(df: DataFrame, members: DataFrame, owners: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
     """a, b: all pairs of members (a, n) in different components that can link. A pair that
     links has 3/7 of both sizes in common. In one order of all shingles, rare before frequent,
@@ -428,18 +440,16 @@ def _prefix_pairs(df: DataFrame, members: DataFrame, owners: DataFrame, labels:
                 yield pa.RecordBatch.from_arrays([*[part.column(k).take(m) for k in range(3)], pa.array(np.concatenate(found))], names=["fp", "n", "comp", "token"])
 
     tokens = sets.join(comp, "fp").select("fp", "n", "comp", "set").mapInArrow(explode, "fp long, n long, comp long, token long")
-    tokens = materialize(spark, tokens, "jaccard-tokens")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("comp") < F.max("comp")).alias("across"))
-    counts = materialize(spark, counts, "jaccard-counts")
-    # each set's shingles as one array, rare first; only those that other components have matter
+    # only shingles that several components have can be in common; each set's as one array, rare first
     least = F.ceil(F.col("n") * 3 / 4)
-    ordered = tokens.join(counts, "token").groupBy("fp", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token", "across"))).alias("t"))
-    ordered = ordered.where(F.size(F.filter("t", lambda x: x["across"])) >= least)
-    prefix = ordered.select("fp", "n", "comp", F.posexplode(F.slice("t", 1, (F.col("n") - least + 1).cast("int"))).alias("i", "x")).where("x.across")
-    prefix = materialize(spark, prefix.select("fp", "n", "comp", "i", "x.token"), "jaccard-prefix")
-    x, y = (prefix.select(*[F.col(c).alias(f"{c}{k}") for c in ("fp", "n", "comp", "i")], "token") for k in (1, 2))
+    across = tokens.groupBy(F.pmod("token", F.lit(partitions_for(spark)))).applyInArrow(_across, "fp long, n long, comp long, token long, df long")
+    ordered = across.groupBy("fp", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ordered = ordered.withColumn("left", F.size("t")).where(F.col("left") >= least)
+    prefix = ordered.select("fp", "comp", "n", "left", F.posexplode(F.slice("t", 1, (F.col("left") - least + 1).cast("int"))).alias("i", "x"))
+    prefix = materialize(spark, prefix.select("fp", "comp", "n", (F.col("left") - F.col("i")).alias("rest"), "x.token"), "jaccard-prefix")
+    x, y = (prefix.select(*[F.col(c).alias(f"{c}{k}") for c in ("fp", "comp", "n", "rest")], "token") for k in (1, 2))
     common = F.ceil((F.col("n1") + F.col("n2")) * 3 / 7)
-    enough = (F.col("n1") - F.col("i1") >= common) & (F.col("n2") - F.col("i2") >= common)
+    enough = F.least("rest1", "rest2") >= common
     return x.join(y, "token").where((F.col("comp1") < F.col("comp2")) & _apart("n1", "n2") & enough).select(F.col("fp1").alias("a"), F.col("fp2").alias("b"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPACED, U64, chunks, gram_hashes, materialize, mix, span_hashes, text_buffer, word_spans
+from ._common import SPACED, U64, chunks, gram_hashes, materialize, mix, smallest, span_hashes, text_buffer, word_spans
 
 SAMPLE, TREES, PSI, DEPTH, SEED = 16_384, 128, 256, 12, 7
 DEFAULT_THRESHOLD = 0.72
@@ -147,7 +147,7 @@ def _good(labels: DataFrame) -> DataFrame:
 
 def limits(stats: DataFrame, labels: DataFrame) -> list[float]:
     """What good labelled rows may break of each rule."""
-    own = stats.where(~base_failed()).join(_good(labels).where("quality > 0").select("doc_id"), "doc_id")
+    own = stats.where(~base_failed()).join(_good(labels).where("quality > 0").select("doc_id").hint("merge"), "doc_id")
     r = own.agg(*[F.percentile_approx(c, F.lit(GOOD), F.lit(10_000)).alias(c) for c in RULES]).first()
     return [float(r[c] or 0.0) for c in RULES]
 
@@ -213,7 +213,7 @@ def base_failed():
 
 
 def fit_forest(stats: DataFrame, limit: list[float], sample: int = SAMPLE) -> IsolationForest:
-    rows = stats.where(~base_failed()).orderBy(F.xxhash64("doc_id"), *RULES).limit(sample).select(*RULES).collect()
+    rows = smallest(stats.where(~base_failed()), F.xxhash64("doc_id"), sample, *RULES).select(*RULES).collect()
     return IsolationForest(excess({k: np.array([r[k] for r in rows], dtype=float) for k in RULES}, limit))
 
 
@@ -237,7 +237,7 @@ def calibrate(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
     those that separate: where the gain over the next higher step is all in bad rows."""
     steps = (
         scored.where(~base_failed())
-        .join(_good(labels), "doc_id")
+        .join(_good(labels).hint("merge"), "doc_id")
         .groupBy(F.floor(F.col("anomaly") * STEPS).cast("int").alias("step"), "quality")
         .count()
         .collect()

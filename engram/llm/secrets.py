@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, smallest
 
 SAMPLE, MIN_RUN, THRESHOLD, MEAN, BACKOFF = 500, 16, 8.0, 0.35, 20
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -88,7 +88,7 @@ def _table(rows: list) -> dict[tuple[int, int], float]:
 def train(scanned: DataFrame, docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> list[float] | None:
     """Log-likelihood ratio of each pair of characters, at 128 * first + second."""
     random = _pairs(scanned.select(F.explode("base").alias("b")).select("b.v"), "v").collect()
-    ids = docs.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
+    ids = smallest(docs.where(F.col(key).isNotNull()).select(key), F.xxhash64(key), sample, key).distinct()
     own = docs.join(F.broadcast(ids), key, "left_semi")
     clean = F.coalesce(F.col(text), F.lit(""))
     for labelled in (ASSIGN, ACCESS, HEX, RUN):  # secrets, and what is to be judged

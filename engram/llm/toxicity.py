@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ALNUM, SPACED, chunks, materialize, span_hashes, text_buffer, word_spans
+from ._common import ALNUM, SPACED, chunks, materialize, smallest, span_hashes, text_buffer, word_spans
 
 DECAY, SHARPEN, LANDMARKS = 0.7, 2, 192
 TOXIC, CLEAN, WITNESSES, NEGATIVES = 2000, 4000, 600, 40_000
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learns("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = None
     for wanted, most in ((1, TOXIC), (0, CLEAN)):
-        part = own.where((F.col("toxic") > 0) == F.lit(bool(wanted))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = smallest(own.where((F.col("toxic") > 0) == F.lit(bool(wanted))), F.xxhash64("doc_id"), most, "doc_id")
         chosen = part if chosen is None else chosen.union(part)
     # at most TOXIC + CLEAN ids
     picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
