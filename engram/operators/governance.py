@@ -127,6 +127,7 @@ class Rule:
     then: dict = field(default_factory=dict)
 
 
+# The rules in force where none are given, first match first.
 DEFAULT = {"sync_class": "sync_full", "ttl_days": 90, "redact": False, "pin": False}
 RULES = [
     Rule("restricted-stays-home", {"sensitivity": "restricted"}, {"sync_class": "local_only", "ttl_days": 30}),

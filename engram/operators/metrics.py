@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The level from which each optional stage is off.
+#: The level from which each optional stage is off.
 FEATURES = {
     "triton_escalation": 1,
     "wide_fetch": 1,
