@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text hashed at a time; bounds the size of temporary arrays.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 # --------------------------------------------------------------------- tables

@@ -221,8 +221,8 @@ class Model:
         margin = np.full(len(one), self.bias)
         margin[known] = values[at[known]]
         rest = np.flatnonzero(~known)
-        for k in range(0, len(rest), 20_000):
-            part = rest[k : k + 20_000]
+        for k in range(0, len(rest), 4_000):
+            part = rest[k : k + 4_000]
             some, x = self.kernel.rows(units.data, units.starts[one[part]], units.ends[one[part]])
             margin[part[some]] += x @ self.weights
         if len(keys) + len(rest) > MEMO:
@@ -237,7 +237,7 @@ class Model:
         """The two highest word margins of each text; -2 stands for no word."""
         data, offsets = text_buffer(column)
         out = np.full((len(offsets) - 1, 2), -2.0)
-        for i, j in chunks(offsets, 2 << 20):
+        for i, j in chunks(offsets):
             low = int(offsets[i])
             units = Units(data[low : int(offsets[j])], offsets[i : j + 1] - low)
             if not len(units.starts):
