@@ -4,7 +4,8 @@ Lines are hashed without their outer blanks. A line that several documents hold
 later one to the earliest that holds it, so a line shared by n documents makes n - 1 pairs and
 not n * n; no line is left out for being frequent. Each pair's shared lines are aligned with
 patience diff: lines found once in both, the rarest first evidence there is, are anchors if
-they keep their order, and the gaps between anchors are aligned in the same way. Runs of
+they keep their order, and the gaps between anchors are aligned in the same way, a gap
+without such lines by a longest common subsequence of what both have in it. Runs of
 aligned lines, adjacent in both documents but for blank lines, are common blocks. A block of
 at least MIN_CHARS characters is deleted from the later document.
 
@@ -26,19 +27,15 @@ MIN_CHARS = 40
 _LAST = (1 << 63) - 1
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places of two sequences, in order."""
+def patience(a: list[int], b: list[int], na: list[int] | None = None, nb: list[int] | None = None) -> list[tuple[int, int]]:
+    """Aligned places of two sequences, in order. na, nb: line numbers; of alignments that are
+    equally long in a gap without anchors, the one with most adjacent lines is taken."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
         i, j, k, m = todo.pop()
-        while i < j and k < m and a[i] == b[k]:
-            out.append((i, k))
-            i, k = i + 1, k + 1
-        while i < j and k < m and a[j - 1] == b[m - 1]:
-            j, m = j - 1, m - 1
-            out.append((j, m))
-        if i >= j or k >= m:
+        if a[i:j] == b[k:m]:
+            out += zip(range(i, j), range(k, m))
             continue
         once_a: dict[int, int] = {}
         for x in range(i, j):
@@ -49,6 +46,13 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         both = [(once_a[b[y]], y) for y in range(k, m) if once_b[b[y]] == y and once_a.get(b[y], -1) >= 0]
         kept = increasing(both)
         if not kept:
+            # the lines on both sides of the gap are aligned; they tell what is adjacent to them
+            low, high = int(i > 0 and k > 0), int(j < len(a) and m < len(b))
+            xs = [x for x in range(i - low, j + high) if x < i or x >= j or a[x] in once_b]
+            ys = [y for y in range(k - low, m + high) if y < k or y >= m or b[y] in once_a]
+            if len(xs) > low + high and len(ys) > low + high:
+                found = longest([a[x] for x in xs], [b[y] for y in ys], na and [na[x] for x in xs], nb and [nb[y] for y in ys])
+                out += [(xs[x], ys[y]) for x, y in found if i <= xs[x] < j and k <= ys[y] < m]
             continue
         edges = [(i - 1, k - 1), *kept, (j, m)]
         out += kept
@@ -56,6 +60,50 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest(a: list[int], b: list[int], na: list[int] | None = None, nb: list[int] | None = None) -> list[tuple[int, int]]:
+    """A longest common subsequence, and of these one with most steps that are adjacent by na
+    and nb. Rows of the table are kept at every sqrt(len(a)) and made again on the way back."""
+    n, m = len(a), len(b)
+    values = {v: z for z, v in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([values[v] for v in a], np.int64), np.array([values[v] for v in b], np.int64)
+    weight, none = min(n, m) + 1, -(1 << 60)
+    near_a = np.append(False, np.diff(na) == 1) if na else np.zeros(n, bool)
+    near_b = np.append(False, np.diff(nb) == 1) if nb else np.zeros(m, bool)
+
+    def row(i, best, last):
+        """best: of any alignment of a[:i + 1] and b[:k]; last: of those that end in their pair."""
+        before = best[:-1]
+        if near_a[i]:
+            before = np.maximum(before, np.where(near_b, last[:-1] + 1, none))
+        ends = np.full(m + 1, none)
+        ends[1:] = np.where(y == x[i], before + weight, none)
+        return np.maximum.accumulate(np.maximum(best, ends)), ends
+
+    step = max(1, int(n**0.5))
+    best, last = np.zeros(m + 1, np.int64), np.full(m + 1, none)
+    saved = []
+    for i in range(n):
+        if i % step == 0:
+            saved.append((best, last))
+        best, last = row(i, best, last)
+    out: list[tuple[int, int]] = []
+    k, ending = m, False
+    for s in range(len(saved) - 1, -1, -1):
+        rows = [saved[s]]
+        for i in range(s * step, min(n, s * step + step)):
+            rows.append(row(i, *rows[-1]))
+        for i in range(min(n, s * step + step) - 1, s * step - 1, -1):
+            (best0, last0), (best1, last1) = rows[i - s * step], rows[i - s * step + 1]
+            if not ending:
+                if best0[k] == best1[k]:
+                    continue
+                k = int(np.searchsorted(best1, best1[k]))
+            out.append((i, k - 1))
+            ending = bool(near_a[i] and near_b[k - 1] and last0[k - 1] + 1 + weight == last1[k])
+            k -= 1
+    return out[::-1]
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence that increases in the first value (the second does already)."""
     from bisect import bisect_left
@@ -80,7 +128,7 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def removed_lines(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]], min_chars: int = MIN_CHARS) -> list[int]:
     """Line numbers of b in common blocks; a line is (number among lines that are not blank,
     hash, characters)."""
-    pairs = patience([x[1] for x in a], [x[1] for x in b])
+    pairs = patience([x[1] for x in a], [x[1] for x in b], [x[0] for x in a], [x[0] for x in b])
     out: list[int] = []
     block: list[int] = []
     chars = 0

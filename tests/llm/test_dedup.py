@@ -1,6 +1,7 @@
 """Line dedup, Jaccard join and suffix dedup against plain versions."""
 
 import hashlib
+import random
 import re
 
 from engram.llm import jaccard, linededup, suffixdedup
@@ -21,6 +22,33 @@ def test_patience():
     assert linededup.removed_lines([(0, 1, 5)], [(3, 1, 5)]) == []
 
 
+def plain_lcs(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for k, y in enumerate(b):
+            t[i + 1][k + 1] = t[i][k] + 1 if x == y else max(t[i][k + 1], t[i + 1][k])
+    return t[-1][-1]
+
+
+def test_gap_without_unique_lines():
+    a, b = [1, 2, 1, 2], [8, 1, 2, 9]
+    lines = lambda v, c=25: [(n, h, c) for n, h in enumerate(v)]
+    assert linededup.removed_lines(lines(a), lines(b)) == [1, 2]
+    # the copy whose lines are adjacent, at the edge of the gap and beside an anchor
+    assert linededup.removed_lines(lines([1, 7, 1, 2, 1, 2, 5]), lines([1, 2, 5])) == [0, 1, 2]
+    assert linededup.removed_lines(lines([1, 2, 7, 2]), lines([8, 1, 2])) == [1, 2]
+    rng = random.Random(3)
+    for _ in range(400):
+        # every line at least twice in a: no anchors
+        a = [rng.randrange(4) for _ in range(rng.randint(1, 9))]
+        a = rng.sample(a + a, 2 * len(a))
+        b = [rng.randrange(6) for _ in range(rng.randint(1, 12))]
+        got = linededup.patience(a, b, list(range(len(a))), list(range(len(b))))
+        assert all(a[i] == b[k] for i, k in got)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:]))
+        assert len(got) == plain_lcs(a, b)
+
+
 def test_line_dedup(docs, rows):
     keyed = {}
     for i, t, *_ in rows:
