@@ -2,7 +2,11 @@
 
 Lines are hashed without their outer blanks. A line that several documents hold leads each
 later one to the earliest that holds it, so a line shared by n documents makes n - 1 pairs and
-not n * n; no line is left out for being frequent. Each pair's shared lines are aligned with
+not n * n; no line is left out for being frequent. So does each shortest run of adjacent shared
+lines with MIN_CHARS characters, from each line on and back from each line, so that each line of
+a common block meets a document that has such a block with it. Where a document has lines of one
+holder in another order than the holder, two following lines lead to the earliest document with
+that order. These are at most four pairs a line. Each pair's shared lines are aligned with
 patience diff: lines found once in both, the rarest first evidence there is, are anchors if
 they keep their order, and the gaps between anchors are aligned in the same way, a gap
 without such lines by a longest common subsequence of what both have in it. Runs of
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, chunks, materialize, span_hashes, text_buffer
+from ._common import LANES, SPACED, chunks, gram_hashes, materialize, mix, span_hashes, text_buffer, whole_hash
 
 MIN_CHARS = 40
 _LAST = (1 << 63) - 1
@@ -173,19 +177,65 @@ def _identity(key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("th")]
 
 
+def block_keys(lines: list[tuple[int, int, int, int, int]], min_chars: int = MIN_CHARS) -> list[int]:
+    """Hashes of what leads a document to others besides single lines: its shortest runs of
+    adjacent lines with min_chars characters, and following lines of one holder whose order
+    is not the holder's. A line is (number, hash, characters, holder, number in the holder)."""
+    if len(lines) < 2:
+        return []
+    n, h, c, o, p = (np.array(x, np.int64) for x in zip(*lines))
+    h, size = h.view(np.uint64), len(lines)
+    chars = np.append(0, np.cumsum(c))
+    group = np.append(0, np.cumsum(np.diff(n) != 1))
+    # runs from each line on, and back from each line
+    ends = np.searchsorted(chars, chars[:-1] + min_chars)
+    ok = (ends <= size) & (group[np.minimum(ends, size) - 1] == group)
+    starts = np.searchsorted(chars, chars[1:] - min_chars, "right") - 1
+    back = (starts >= 0) & (group[np.maximum(starts, 0)] == group)
+    at = np.arange(size)
+    first, last = np.append(at[ok], starts[back]), np.append(ends[ok], at[back] + 1)
+    first, last = first[last > first + 1], last[last > first + 1]
+    keys = [gram_hashes(h[i:j], j - i)[0] if j - i <= len(LANES) else whole_hash(h[i:j]) for i, j in sorted(set(zip(first.tolist(), last.tolist())))]
+    # the sort is stable: lines of one holder stay in the document's order
+    by = np.argsort(o, kind="stable")
+    x, y = by[:-1], by[1:]
+    turn = (o[x] == o[y]) & (p[x] > p[y])
+    moved = mix(h[x[turn]] * LANES[0] + h[y[turn]] * LANES[1])
+    return np.unique(np.append(np.array(keys, np.uint64), moved)).view(np.int64).tolist()
+
+
+def _block_pairs(arrays: DataFrame, min_chars: int) -> DataFrame:
+    """doc, th, first_doc, first_th: documents and the earliest ones that have a block key of theirs."""
+    spark = arrays.sparkSession
+
+    def apply(batches):
+        for b in batches:
+            found = [block_keys([(r["n"], r["h"], r["c"], r["o"], r["p"]) for r in x], min_chars) for x in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([k for x in found for k in x], pa.int64())], names=["doc", "th", "k"])
+
+    keys = materialize(spark, arrays.mapInArrow(apply, "doc long, th long, k long"), "line-blocks")
+    held = keys.groupBy("k").agg(F.min(F.struct("doc", "th")).alias("first"), F.max(F.struct("doc", "th")).alias("last"))
+    held = held.where("first < last").select("k", F.col("first.doc").alias("first_doc"), F.col("first.th").alias("first_th"))
+    held = materialize(spark, held, "line-blocks-first")
+    return keys.join(held, "k").where("doc != first_doc or th != first_th").select("doc", "th", "first_doc", "first_th")
+
+
 def removals(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """doc, th and cut: numbers of the lines to delete, for documents that lose any."""
     spark = df.sparkSession
     lines = materialize(spark, lines_of(df, key, text), "lines")
-    # the earliest document that holds a line, if a later one does too
-    held = lines.groupBy("h").agg(F.min(F.struct("doc", "th")).alias("first"), F.max(F.struct("doc", "th")).alias("last"))
-    shared = held.where("first < last").select("h", F.col("first.doc").alias("first_doc"), F.col("first.th").alias("first_th"))
+    # the earliest document that holds a line, if a later one does too, and the line's place there
+    held = lines.groupBy("h").agg(F.min(F.struct("doc", "th", "n")).alias("first"), F.max(F.struct("doc", "th")).alias("last"))
+    shared = held.where("struct(first.doc, first.th) < last").select("h", F.col("first.doc").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.n").alias("first_n"))
     # written first: a join of two fresh exchanges can be split where one line is very common
     shared = materialize(spark, shared, "lines-first")
     linked = materialize(spark, lines.join(shared, "h"), "lines-shared")
-    arrays = linked.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("n", "h", "c"))).alias("lines"))
+    holder = F.xxhash64("first_doc", "first_th").alias("o")
+    arrays = linked.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("n", "h", "c", holder, F.col("first_n").alias("p")))).alias("lines"))
     arrays = materialize(spark, arrays, "lines-by-document")
-    pairs = linked.where("doc != first_doc or th != first_th").select("doc", "th", "first_doc", "first_th").distinct()
+    pairs = linked.where("doc != first_doc or th != first_th").select("doc", "th", "first_doc", "first_th")
+    pairs = pairs.union(_block_pairs(arrays, min_chars)).distinct()
     with_later = pairs.join(arrays.withColumnRenamed("lines", "later"), ["doc", "th"])
     earlier = arrays.select(F.col("doc").alias("first_doc"), F.col("th").alias("first_th"), F.col("lines").alias("earlier"))
     both = with_later.join(earlier, ["first_doc", "first_th"]).select("doc", "th", "earlier", "later")

@@ -88,6 +88,25 @@ def test_line_dedup(docs, rows):
     assert kept.where("text is null").count() == 2
 
 
+def test_line_dedup_meets_every_block(spark):
+    x, y, z = "first short line of thirty chars", "second short one of thirty chars", "a third short one of thirty char"
+    long, other = "a long line of more than forty characters, shared", "another line of more than forty characters, shared"
+    texts = [
+        # lines whose first holders differ, in one block of two later documents
+        x, y, f"q1\n{x}\n{y}\nq2", f"q3\n{x}\n{y}\nq4",
+        # moved blocks: the third document has the order of the second
+        f"{long}\nq5\n{other}", f"{other}\nq6\n{long}", f"{other}\nq7\n{long}",
+        # a short line behind a long one that a document before has alone
+        f"q8\n{z}{z}\nq9", f"{z}{z}\nend\nq10", f"q11\n{z}{z}\nend", "end",
+    ]
+    got = {r.doc_id: r.n_removed for r in linededup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # all pairs, each aligned
+    lines = [[(n, hash(v), len(v)) for n, v in enumerate(t.split("\n"))] for t in texts]
+    want = {k: len({n for e in range(k) for n in linededup.removed_lines(lines[e], lines[k])}) for k in range(len(texts))}
+    assert want == {0: 0, 1: 0, 2: 0, 3: 2, 4: 0, 5: 1, 6: 2, 7: 0, 8: 1, 9: 2, 10: 0}
+    assert got == want
+
+
 def jaccard_components(rows):
     sets, parent = {}, {}
     for i, t, *_ in rows:
