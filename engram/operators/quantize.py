@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -141,6 +141,10 @@ class ProductQuantizer:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return self.decode_rotated(codes) @ self.rotation.T
 
+    def approximate(self, rows: np.ndarray) -> np.ndarray:
+        """What the codes of rows tell of them."""
+        return self.decode(self.encode(rows))
+
     def table(self, query: np.ndarray) -> np.ndarray:
         """Inner products of the query's parts with all code words."""
         return np.stack([np.pad(b @ q, (0, 256 - len(b))) for b, q in zip(self.books, np.split(query @ self.rotation, self.parts))])
@@ -163,6 +167,60 @@ def pq_scores(codes: DataFrame, pq: ProductQuantizer, query: np.ndarray) -> Data
     return codes.withColumn("approx", total)
 
 
+def coded_topk(df: DataFrame, model: ProductQuantizer | IvfPq, queries: DataFrame, k: int, block: int = 4096, key: str = "id", vec: str = "dense") -> DataFrame:
+    """query_id, id, score, rank: for each query the k best vectors by inner product. Codes and
+    the length of what they leave out bound each score; vectors whose upper bound reaches the
+    k-th best lower bound are scored exactly, so none of the k is lost. queries: query_id, q."""
+    spark = df.sparkSession
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(key).alias("id"), F.col(vec).alias("v"))
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for n in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select(F.col("query_id").cast("long"), "q").collect()
+        if not part and blocks > 1:
+            continue
+        ids = np.array([r.query_id for r in part], np.int64)
+        q = np.array([r.q for r in part], float) if part else np.zeros((0, 1))
+        shared = spark.sparkContext.broadcast((model, ids, q, np.sqrt((q**2).sum(1))))
+
+        def bounds(pdf, shared=shared):
+            m, _, q, size = shared.value
+            step = max(1, (1 << 21) // max(1, len(q)))
+            for i in range(0, len(pdf) if len(q) else 0, step):
+                x = np.stack(pdf["v"].to_numpy()[i : i + step]).astype(float)
+                near = m.approximate(x)
+                yield i, x, near @ q.T, np.sqrt(((x - near) ** 2).sum(1))[:, None] * size
+
+        def lower(batches, shared=shared, bounds=bounds):
+            best = np.full((0, len(shared.value[1])), -np.inf)
+            for pdf in batches:
+                for _, _, score, slack in bounds(pdf):
+                    best = np.sort(np.concatenate([best, score - slack]), axis=0)[-k:]
+            yield pd.DataFrame({"n": np.tile(np.arange(best.shape[1]), len(best)), "low": best.ravel()})
+
+        w = Window.partitionBy("n").orderBy(F.desc("low"))
+        kth = rows.select("v").mapInPandas(lower, "n long, low double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+        least = np.full(len(ids), -np.inf)
+        for r in kth.where(F.col("r") == k).collect():
+            least[r.n] = r.low - 1e-9
+        limit = spark.sparkContext.broadcast(least)
+
+        def exact(batches, shared=shared, limit=limit, bounds=bounds):
+            _, ids, q, _ = shared.value
+            for pdf in batches:
+                own = pdf["id"].to_numpy()
+                for i, x, score, slack in bounds(pdf):
+                    a, b = np.nonzero(score + slack >= limit.value)
+                    for j in range(0, len(a), 1 << 16):
+                        s, t = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+                        yield pd.DataFrame({"query_id": ids[t], "id": own[i + s], "score": np.einsum("ij,ij->i", x[s], q[t])})
+
+        hits = rows.select(F.col("id").cast("long").alias("id"), "v").mapInPandas(exact, "query_id long, id long, score double")
+        out = hits if out is None else out.union(hits)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 class IvfPq:
     """Coarse cells and product codes of the residuals."""
 
@@ -174,6 +232,10 @@ class IvfPq:
     def assign(self, rows: np.ndarray) -> np.ndarray:
         return ((rows**2).sum(1)[:, None] - 2 * rows @ self.cells.T + (self.cells**2).sum(1)).argmin(1)
 
+    def approximate(self, rows: np.ndarray) -> np.ndarray:
+        near = self.cells[self.assign(rows)]
+        return near + self.pq.approximate(rows - near)
+
 
 def ivf_index(df: DataFrame, model: IvfPq, vec: str = "dense") -> DataFrame:
     """df with cell and codes; write it partitioned by cell so that probes prune files."""

@@ -16,6 +16,10 @@ def _v(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"), "label")
 
 
+def _stated(v):
+    return v.where("id % 50 = 0 and dense is not null").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+
+
 @query(
     """WITH s AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS s FROM embeddings), c AS (SELECT id, v, s, list_transform(v, lambda x: round_even(x / s * 127, 0)) AS c FROM s)
 SELECT id, round(s, 6) AS scale, CAST(list_sum(c) AS BIGINT) AS code_sum, CAST(list_sum(list_transform(c, lambda x: abs(x))) AS BIGINT) AS code_abs, round(list_max(list_transform(list_zip(v, c), lambda z: abs(z[1] - z[2] / 127.0 * s))), 6) AS worst FROM c"""
@@ -64,8 +68,7 @@ def pq_topk(spark, sf):
     v = _v(spark, sf)
     sample = np.array([r.dense for r in v.orderBy(F.xxhash64("id")).limit(2000).collect()], float)
     pq = Q.ProductQuantizer(sample, parts=8, words=64)
-    q = np.array(v.where("id = 7").first().dense, float)
-    return Q.pq_scores(Q.pq_codes(v, pq), pq, q).orderBy(F.desc("approx"), "id").limit(10).select("id", F.round("approx", 4).alias("approx"))
+    return Q.coded_topk(v, pq, _stated(v), 10).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -73,8 +76,7 @@ def ivfpq_topk(spark, sf):
     v = _v(spark, sf)
     sample = np.array([r.dense for r in v.orderBy(F.xxhash64("id")).limit(2000).collect()], float)
     m = Q.IvfPq(sample, cells=10)
-    q = np.array(v.where("id = 7").first().dense, float)
-    return Q.ivf_search(Q.ivf_index(v, m), m, q, 10).withColumn("score", F.round("score", 6))
+    return Q.coded_topk(v, m, _stated(v), 10).withColumn("score", F.round("score", 6))
 
 
 @query()

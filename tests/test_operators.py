@@ -219,3 +219,15 @@ def test_streaming_causal(spark, tmp_path):
     q = logs.causal_delivery(s).writeStream.format("memory").queryName("causal").outputMode("append").trigger(once=True).start()
     q.awaitTermination(120)
     assert sorted((r.op_id, r.delivered) for r in spark.table("causal").collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_coded_topk_loses_no_neighbour(spark):
+    from engram.plans import q_vectors
+
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    want = {(int(i), int(j)) for i, q in zip(ids, x) if i % 50 == 0 for j in ids[np.argsort(-(x @ q), kind="stable")[:10]]}
+    for f in (q_vectors.pq_topk, q_vectors.ivfpq_topk):
+        got = {(r.query_id, r.id) for r in f(spark, sf).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
