@@ -207,13 +207,17 @@ def coded_topk(df: DataFrame, model: ProductQuantizer | IvfPq, queries: DataFram
 
         def exact(batches, shared=shared, limit=limit, bounds=bounds):
             _, ids, q, _ = shared.value
+            best, names = np.full((0, len(ids)), -np.inf), np.zeros((0, len(ids)), np.int64)
             for pdf in batches:
                 own = pdf["id"].to_numpy()
                 for i, x, score, slack in bounds(pdf):
-                    a, b = np.nonzero(score + slack >= limit.value)
-                    for j in range(0, len(a), 1 << 16):
-                        s, t = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
-                        yield pd.DataFrame({"query_id": ids[t], "id": own[i + s], "score": np.einsum("ij,ij->i", x[s], q[t])})
+                    near = np.where(score + slack >= limit.value, x @ q.T, -np.inf)
+                    best = np.concatenate([best, near])
+                    names = np.concatenate([names, np.broadcast_to(own[i : i + len(x), None], near.shape)])
+                    first = np.lexsort((names, -best), axis=0)[:k]
+                    best, names = np.take_along_axis(best, first, 0), np.take_along_axis(names, first, 0)
+            a, b = np.nonzero(best > -np.inf)
+            yield pd.DataFrame({"query_id": ids[b], "id": names[a, b], "score": best[a, b]})
 
         hits = rows.select(F.col("id").cast("long").alias("id"), "v").mapInPandas(exact, "query_id long, id long, score double")
         out = hits if out is None else out.union(hits)
