@@ -1,20 +1,33 @@
-"""LM scoring with a probabilistic suffix tree (PST).
-
-The tree predicts the bytes of a word, then its end, from a variable number of preceding
-bytes (the word's beginning counts as one). A context is a candidate when it makes up at least
-P_MIN of all predictions, which bounds the tree whatever the corpus; it is retained when its
-next-symbol distribution differs from that of its suffix by a G-test, together with all its
-suffixes. Distributions are smoothed by Witten-Bell interpolation with the suffix's, down to
-the uniform one. A word is scored from the longest retained suffix at each place. Words are symbols too: a word's own count, absolutely
-discounted, is interpolated with its spelling's probability, which takes the discounted mass.
-Since spellings then stand for words yet unseen, the tree learns each distinct word once.
-
-Word counts come from all training rows and are aggregated before the shuffle. The HEAD most
-frequent words are broadcast with their scores; all other words meet their counts in a join.
+"""LM scoring with a probabilistic suffix tree (PST) over the running tokens of the texts.
+
+A state of the tree is a context of up to DEPTH preceding tokens, the text's beginning among
+them. A context is a candidate from MIN_COUNT occurrences in the training texts on, a fixed
+number, so the tree grows with the corpus. It is retained by a divergence test: over all its
+occurrences, its next-token distribution must predict the tokens that follow 10 ** GAIN times
+better than that of its suffix does, each token being predicted from all the other occurrences. A
+distribution is smoothed with the next shorter retained suffix's, which counts as WEIGHTS
+occurrences, down to the one without a context. There a word has its absolutely discounted
+share, interpolated with the probability of its spelling. Every token of every text is scored
+from its longest retained suffix. The probabilities of what can follow a context sum to 1.
+
+Spellings come from a second, small suffix tree over the bytes of words, which learns each
+distinct word once. Its contexts make up at least P_MIN of all its predictions, which bounds
+it whatever the corpus: it only tells words that never or seldom occur.
+
+The texts are cut into chunks of about PLACES tokens, long texts into several pieces, and
+each chunk numbers its distinct sequences. Their hashes go to buckets with the chunk's counts
+and come back with those of the corpus, one length after the other; only sequences that extend
+a candidate are asked for. A sequence goes once for each chunk that has it, however frequent it
+is. Gains take the same way. No table of sequences is collected or broadcast. Sequences are
+told apart by 64-bit hashes.
+
+Word counts come from all training rows and are aggregated before the shuffle. The spellings
+of the HEAD most frequent words are broadcast; those of all others are found where they occur.
 
 Defined results: null and empty texts have the end token alone; a null key counts as the
 empty string, so such rows are held out; repeated rows are each counted and reported; without
-training rows every distribution is uniform.
+training rows every distribution is uniform; other columns are not looked at. A text of any
+length is scored whole; ties among frequent words do not change a result.
 """
 
 from __future__ import annotations
@@ -23,13 +36,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import _BYTE, LANES, SPACED, U64, chunks, materialize, mix, powers, span_hashes, text_buffer, word_spans
+from ._common import _BYTE, LANES, SPACED, U64, chunks, materialize, mix, powers, span_hashes, text_buffer, trim, word_spans
 
-DEPTH, P_MIN, G_TEST, HEAD = 9, 1e-5, 6.0, 1 << 19
+#: Tokens of a context at most, its least occurrences, what it must gain (in log10), and by depth the weight of its suffix's distribution.
+DEPTH, MIN_COUNT, GAIN, WEIGHTS = 3, 2, 1.0, (400.0, 20.0, 4.0)
+#: Tokens of a chunk; a gain's unit is 1 / UNIT of log10.
+PLACES, UNIT = 1_000_000, 4096
+#: Sequences of a bucket, about.
+BUCKET = 1_500_000
+#: The spelling tree: bytes of a context, least share of all predictions, test; words that are broadcast.
+SPELL_DEPTH, P_MIN, G_TEST, HEAD = 6, 5e-5, 6.0, 1 << 19
 #: Symbols that can follow: 256 bytes (the space ends a word) and the end of the text.
 END, SYMBOLS = 256, 257
 FLUSH = 300_000
@@ -73,7 +93,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return partial.groupBy("word", "h").agg(F.sum("c").alias("c"))
 
 
-# ------------------------------------------------------------------------ tree
+# ------------------------------------------------------------------- spellings
 
 
 def layout(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -160,7 +180,7 @@ class SuffixTree:
         return state.astype(np.uint64) * U64(512) + sym.astype(np.uint64)
 
     @classmethod
-    def build(cls, levels: list[dict[int, tuple[int, dict[int, int]]]], ends: int, depth: int = DEPTH, g_test: float = G_TEST) -> SuffixTree:
+    def build(cls, levels: list[dict[int, tuple[int, dict[int, int]]]], ends: int, depth: int = SPELL_DEPTH, g_test: float = G_TEST) -> SuffixTree:
         """levels[d]: context hash -> (hash of its suffix, counts of next symbols)."""
         tree = cls()
         begin = int(mix(_BYTE[32:33] + LANES[1])[0])
@@ -253,7 +273,7 @@ class SuffixTree:
         return np.bincount(word[places], weights=self._predict(state, symbols[places].astype(np.int64)), minlength=len(starts))
 
 
-def fit(counts: DataFrame, ends: int, depth: int = DEPTH, p_min: float = P_MIN, g_test: float = G_TEST) -> SuffixTree:
+def fit(counts: DataFrame, ends: int, depth: int = SPELL_DEPTH, p_min: float = P_MIN, g_test: float = G_TEST) -> SuffixTree:
     """Grows the candidates one symbol at a time; each level holds at most 1/p_min contexts."""
     levels: list[dict[int, tuple[int, dict[int, int]]]] = []
     known, least = None, 0.0
@@ -270,13 +290,13 @@ def fit(counts: DataFrame, ends: int, depth: int = DEPTH, p_min: float = P_MIN,
     return SuffixTree.build(levels, ends, depth, g_test)
 
 
-# --------------------------------------------------------------------- scoring
+# ------------------------------------------------------------------------ words
 
 
 class Lookup:
-    """The most frequent words: counts and scores by hash."""
+    """Spellings of words, kept for the most frequent ones, and probabilities without a context."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, tree: SuffixTree, total: float, discount: float, distinct: float):
+    def __init__(self, words: list[bytes], tree: SuffixTree, total: float, discount: float, distinct: float):
         self.tree, self.total, self.discount, self.distinct = tree, total, discount, distinct
         edges = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         joined = np.frombuffer(b"".join(words), np.uint8)
@@ -285,8 +305,17 @@ class Lookup:
             part, a, b = joined[edges[i] : edges[j]], edges[i:j] - edges[i], edges[i + 1 : j + 1] - edges[i]
             hashes[i:j], score[i:j] = span_hashes(part, a, b), tree.score(part, a, b)
         order = np.argsort(hashes)
-        c = np.asarray(counts, float)[order]
-        self.keys, self.score, self.base = hashes[order], self.word(c, score[order]), np.log10(c + 0.1)
+        self.keys, self.score = hashes[order], score[order]
+
+    def spell(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log10 probabilities of words' spellings."""
+        at = _find(self.keys, hashes)
+        out = np.zeros(len(at))
+        out[at >= 0] = self.score[at[at >= 0]]
+        rest = np.flatnonzero(at < 0)
+        if len(rest):
+            out[rest] = self.tree.score(data, starts[rest], ends[rest])
+        return out
 
     def word(self, c, spelled: np.ndarray) -> np.ndarray:
         """log10 probability of words with counts c and spellings' log10 probabilities."""
@@ -315,86 +344,340 @@ def frequent(counts: DataFrame, head: int) -> DataFrame:
     return counts.where(F.lit(False)) if least is None else counts.where(step >= least)
 
 
-def score_documents(df: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, p_min: float = P_MIN, head: int = HEAD) -> DataFrame:
+# ------------------------------------------------------------------ sequences
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers as byte planes, compressed: small values and steps take few bytes."""
+    x = np.ascontiguousarray(x, np.int64)
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.int64)
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).reshape(-1)
+
+
+#: Numbers of the text's beginning and end among a chunk's words.
+BEGIN, STOP = 0, 1
+_MARKS = mix(np.array([3, 5], np.uint64))
+
+
+class Chunk:
+    """Tokens of some texts or pieces of texts. A piece has lead tokens, which are contexts only
+    (the text's beginning, or the last tokens of the piece before), and then its own."""
+
+    def __init__(self, fields: dict[str, np.ndarray]):
+        self.__dict__.update(fields)
+        n = len(self.token)
+        self.piece = np.repeat(np.arange(len(self.size)), self.size)
+        starts = np.cumsum(self.size) - self.size
+        self.first = np.zeros(n, bool)
+        self.first[starts] = True
+        self.own = np.arange(n) - starts[self.piece] >= self.lead[self.piece]
+        learnt = (self.train[self.piece] & 1).astype(bool)
+        self.counted = learnt & (self.own | (self.token == BEGIN))
+        self.learnt = learnt & self.own
+        self.ids: list[np.ndarray] = []  # by length: number of the sequence that ends at each place, -1 for none
+        self.keys: list[np.ndarray] = []  # its hash
+        self.counts: list[np.ndarray] = []  # how often the training texts have it
+
+    def grow(self) -> None:
+        """Sequences one token longer, of those whose beginning has MIN_COUNT occurrences."""
+        if not self.ids:
+            self.ids.append(self.token)
+            self.keys.append(self.word.view(np.uint64))
+            return
+        before = np.append(-1, self.ids[-1][:-1])
+        before[self.first] = -1
+        if len(self.counts) == len(self.ids):
+            before[(before >= 0) & (self.counts[-1][before] < MIN_COUNT)] = -1
+        at = np.flatnonzero(before >= 0)
+        code, ids = np.unique(before[at] * len(self.word) + self.token[at], return_inverse=True)
+        out = np.full(len(before), -1)
+        out[at] = ids
+        up, last = np.divmod(code, max(1, len(self.word)))
+        self.ids.append(out)
+        self.keys.append(mix(self.keys[-1][up] * LANES[20] + self.keys[0][last] * LANES[21] + U64(len(self.keys))))
+
+    def occurrences(self, k: int) -> np.ndarray:
+        own = self.counted & (self.ids[k] >= 0)
+        return np.bincount(self.ids[k][own], minlength=len(self.keys[k]))
+
+    def contexts(self, d: int, kept: np.ndarray | None = None):
+        """Own places with a context of d tokens that counts: place, context, sequence with the next token."""
+        before = np.append(-1, self.ids[d - 1][:-1])
+        before[self.first] = -1
+        good = self.counts[d - 1] >= MIN_COUNT if kept is None else kept
+        at = np.flatnonzero(self.own & (before >= 0) & (self.ids[d] >= 0))
+        at = at[good[before[at]]]
+        return at, before[at], self.ids[d][at]
+
+    def unigrams(self, model: Lookup, less: int = 0) -> np.ndarray:
+        return model.word(self.counts[0][self.token] - less * self.learnt, self.spelled[self.token])
+
+    def step(self, score: np.ndarray, d: int, at, up, seq, less: int = 0) -> np.ndarray:
+        """log10 probabilities with the contexts of d tokens taken into account."""
+        mass = WEIGHTS[min(d, len(WEIGHTS)) - 1]
+        c = self.counts[d][seq] - less * self.learnt[at]
+        n = self.counts[d - 1][up] - less * self.learnt[at]
+        out = score.copy()
+        p = score[at]
+        out[at] = np.where(c > 0, np.log10(np.maximum(c, 0) + mass * 10.0 ** np.maximum(p, -300)), np.log10(mass) + p) - np.log10(n + mass)
+        return out
+
+    def gains(self, model: Lookup) -> list[np.ndarray]:
+        """By depth, for each context: what it adds to the log probability of the tokens that
+        follow it in the training texts, each predicted from all other occurrences."""
+        score, out = self.unigrams(model, 1), []
+        for d in range(1, len(self.keys)):
+            at, up, seq = self.contexts(d)
+            better = self.step(score, d, at, up, seq, 1)
+            own = self.learnt[at]
+            gain = np.rint((better[at] - score[at]) * UNIT).astype(np.int64)
+            total = np.bincount(up[own], weights=gain[own], minlength=len(self.keys[d - 1]))
+            out.append(total.astype(np.int64))
+            score = better
+        return out
+
+    def scores(self, model: Lookup, gain: list[np.ndarray]) -> np.ndarray:
+        score = self.unigrams(model)
+        for d, g in enumerate(gain, 1):
+            score = self.step(score, d, *self.contexts(d, (self.counts[d - 1] >= MIN_COUNT) & (g >= GAIN * UNIT)))
+        return score
+
+
+_FIELDS = ["token", "word", "spelled", "row", "doc", "size", "lead", "train"]
+_CHUNK = "chunk long, " + ", ".join(f"{f} binary" for f in _FIELDS)
+
+
+def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit: int = PLACES) -> DataFrame:
+    """Chunks of about limit tokens; longer texts are in several pieces."""
+
+    def flush(number: int, parts: list) -> pa.RecordBatch:
+        hashes = np.concatenate([_MARKS, *[h for h, *_ in parts]])
+        spelled = np.concatenate([np.zeros(2), *[s for _, s, *_ in parts]])
+        word, at, back = np.unique(hashes[2:], return_index=True, return_inverse=True)
+        low, tokens = 2, []
+        for h, _, t, *_ in parts:
+            # words are numbered in the part, the marks are not
+            own = np.concatenate([[BEGIN, STOP], back[low - 2 : low - 2 + len(h)] + 2])
+            tokens.append(own[t])
+            low += len(h)
+        fields = {
+            "token": np.concatenate(tokens),
+            "word": np.concatenate([_MARKS, word]).view(np.int64),
+            "spelled": np.concatenate([[0.0, shared.value.tree.end_logp], spelled[2:][at]]).view(np.int64),
+            **{f: np.concatenate([p[3 + k] for p in parts]) for k, f in enumerate(_FIELDS[3:])},
+        }
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([packed(fields[f])], pa.binary()) for f in _FIELDS]], names=["chunk", *_FIELDS])
+
+    def apply(batches):
+        tool, number, row = shared.value, TaskContext.get().partitionId() << 33, TaskContext.get().partitionId() << 33
+        parts, held = [], 0
+        for b in batches:
+            data, offsets = text_buffer(b.column(2))
+            ids, learnt = b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False) + 2 * b.column(0).is_null().to_numpy(zero_copy_only=False)
+            for i, j in chunks(offsets):
+                low = int(offsets[i])
+                part = _fold(data[low : int(offsets[j])])
+                starts, ends, first = word_spans(part, offsets[i : j + 1] - low, SPACED)
+                hashes, one, back = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
+                spelled = tool.spell(hashes, part, starts[one], ends[one])
+                for r in range(i, j):
+                    own = np.concatenate([[BEGIN], back[first[r - i] : first[r - i + 1]] + 2, [STOP]])
+                    # pieces share depth tokens with the one before
+                    for a in range(1, len(own), limit):
+                        lead = min(a, depth)
+                        parts.append((own[a - lead : a + limit], lead, row, ids[r], learnt[r], (hashes, spelled)))
+                        held += min(limit, len(own) - a)
+                        if held >= limit:
+                            yield flush(number, grouped(parts))
+                            number, parts, held = number + 1, [], 0
+                    row += 1
+        if parts:
+            yield flush(number, grouped(parts))
+
+    def grouped(parts: list) -> list:
+        """Pieces that share word numbers, together."""
+        out, n = [], 0
+        while n < len(parts):
+            m = n
+            while m < len(parts) and parts[m][5] is parts[n][5]:
+                m += 1
+            some = parts[n:m]
+            hashes, spelled = some[0][5]
+            tokens = np.concatenate([p[0] for p in some])
+            used = np.zeros(len(hashes) + 2, bool)
+            used[tokens] = used[:2] = True
+            number = np.cumsum(used) - 1
+            sizes = np.array([len(p[0]) for p in some])
+            out.append((hashes[used[2:]], spelled[used[2:]], number[tokens], *[np.array([p[k] for p in some], np.int64) for k in (2, 3)], sizes, *[np.array([p[k] for p in some], np.int64) for k in (1, 4)]))
+            n = m
+        return out
+
+    return df.select(F.col(key).cast("long").alias("doc"), train.alias("train"), F.col(text).alias("text")).mapInArrow(apply, _CHUNK)
+
+
+def exchange(found: DataFrame, tag: str) -> DataFrame:
+    """chunk, bucket, back: for each hash that a chunk has sent to a bucket, in the order sent, the
+    sum of all chunks' values. found: bucket, chunk, keys (sorted) and vals."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(k).view(np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        vals = [unpacked(v) for v in table.column("vals").to_pylist()]
+        order = np.argsort(every := np.concatenate(keys), kind="stable")
+        every = every[order]
+        fresh = np.append(True, every[1:] != every[:-1])
+        total = np.add.reduceat(np.concatenate(vals)[order], np.flatnonzero(fresh))
+        out = np.empty(len(order), np.int64)
+        out[order] = total[np.cumsum(fresh) - 1]
+        edges = np.cumsum([0, *map(len, keys)])
+        back = [packed(out[a:b]) for a, b in zip(edges, edges[1:])]
+        trim()
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "tag": pa.array([tag] * len(back)), "back": pa.array(back, pa.binary())})
+
+    met = found.groupBy("bucket").applyInArrow(meet, _BACK)
+    return materialize(found.sparkSession, met, f"lm-{tag}")
+
+
+_SENT, _BACK = "bucket long, chunk long, keys binary, vals binary", "chunk long, bucket long, tag string, back binary"
+
+
+def sent(number: int, keys: np.ndarray, values: np.ndarray, bits: int) -> pa.Table:
+    """One row for each bucket with a key of the chunk."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    bucket = keys >> U64(64 - bits)
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
+    some = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    steps = [np.append(keys[a : a + 1], np.diff(keys[a:b])).view(np.int64) for a, b in some]
+    return pa.table(
+        {"bucket": pa.array(bucket[edges[:-1]].astype(np.int64)), "chunk": pa.array([number] * len(some), pa.int64()), "keys": pa.array(map(packed, steps), pa.binary()), "vals": pa.array([packed(values[a:b]) for a, b in some], pa.binary())}
+    )
+
+
+def received(keys: np.ndarray, backs: list[tuple[int, bytes]]) -> np.ndarray:
+    """What came back, in the order of the chunk's keys."""
+    out = np.empty(len(keys), np.int64)
+    if len(keys):
+        out[np.argsort(keys)] = np.concatenate([unpacked(b) for _, b in sorted(backs)])
+    return out
+
+
+def restored(left: pa.Table, right: pa.Table | None, depth: int) -> tuple[int, Chunk, list[np.ndarray] | None]:
+    """A chunk with the sequences, counts and gains that are known so far."""
+    row = left.slice(0, 1).to_pylist()[0]
+    fields = {f: unpacked(row[f]) for f in _FIELDS}
+    fields["spelled"] = fields["spelled"].view(np.float64)
+    chunk = Chunk(fields)
+    backs: dict[str, list] = {}
+    for r in right.to_pylist() if right is not None else []:
+        backs.setdefault(r["tag"], []).append((r["bucket"], r["back"]))
+    chunk.grow()
+    chunk.grow()
+    if "words" in backs:
+        both = received(np.concatenate(chunk.keys), backs["words"])
+        chunk.counts = [both[: len(chunk.keys[0])], both[len(chunk.keys[0]) :]]
+    for k in range(2, depth + 1):
+        if len(chunk.counts) == k:
+            chunk.grow()
+            if f"length{k}" in backs:
+                chunk.counts.append(received(chunk.keys[k], backs[f"length{k}"]))
+            elif not len(chunk.keys[k]):
+                chunk.counts.append(np.zeros(0, np.int64))
+    if "gains" not in backs:
+        return row["chunk"], chunk, None
+    every = received(candidates(chunk)[0], backs["gains"])
+    gain, low = [], 0
+    for d in range(1, len(chunk.keys)):
+        own = chunk.counts[d - 1] >= MIN_COUNT
+        full = np.zeros(len(own), np.int64)
+        full[own] = every[low : low + own.sum()]
+        low += int(own.sum())
+        gain.append(full)
+    return row["chunk"], chunk, gain
+
+
+def candidates(chunk: Chunk) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the chunk's contexts that can be retained, and by depth which they are."""
+    own = [chunk.counts[d] >= MIN_COUNT for d in range(len(chunk.keys) - 1)]
+    return np.concatenate([k[o] for k, o in zip(chunk.keys, own)]), own
+
+
+def score_documents(
+    df: DataFrame, learn, key: str = "doc_id", text: str = "text", depth: int = DEPTH, p_min: float = P_MIN, head: int = HEAD, places: int = PLACES
+) -> DataFrame:
     """Per row of df: key as doc_id, n_tokens, n_known, train_tokens, base_score (unigram) and
-    score (tree), learnt from the rows of train."""
+    score (tree), learnt from the rows where learn holds."""
     spark = df.sparkSession
+    train = df.where(learn)
     counts = materialize(spark, word_counts(train, text), "lm-counts")
     texts = train.count()
     n, v, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount, distinct = min(0.9, max(0.1, (once + 1) / (once + 2 * twice + 2))), max(1, int(v))
     n, v = int(n) + texts, int(v) + (texts > 0)
-    tree = fit(counts, min(texts, 1), depth, p_min)
-    top = frequent(counts, head).select("word", "c").toArrow()
-    lookup = Lookup(top.column("word").to_pylist(), top.column("c").to_numpy(), tree, n, discount, distinct)
-    whole = v - (texts > 0) <= head  # every word is in the lookup
-    del top
+    tree = fit(counts, min(texts, 1), p_min=p_min)
+    top = frequent(counts, head).select("word").toArrow()
+    lookup = Lookup(top.column("word").to_pylist(), tree, n, discount, distinct)
+    del top, counts
     shared = spark.sparkContext.broadcast(lookup)
+    found = materialize(spark, chunked(df, key, text, learn, shared, depth, places), "lm-chunks")
+    bits = max(1, int(np.ceil(np.log2(max(2, 2 * n / BUCKET)))))
 
-    def apply(batches):
-        tool = shared.value
+    def first(batches):
         for b in batches:
-            data, offsets = text_buffer(b.column(2))
-            ids, keys = b.column(0).to_numpy(), b.column(1).cast(pa.int64())
-            for i, j in chunks(offsets):
-                low = int(offsets[i])
-                part = _fold(data[low : int(offsets[j])])
-                starts, ends, first = word_spans(part, offsets[i : j + 1] - low, SPACED)
-                row = np.repeat(np.arange(j - i), np.diff(first))
-                hashes = span_hashes(part, starts, ends)
-                at = _find(tool.keys, hashes)
-                known = at >= 0
-                base, score = np.full(len(at), -1.0 if whole else 0.0), np.zeros(len(at))
-                base[known], score[known] = tool.base[at[known]], tool.score[at[known]]
-                rest = np.flatnonzero(~known)
-                if len(rest):
-                    _, one, back = np.unique(hashes[rest], return_index=True, return_inverse=True)
-                    spelled = tool.tree.score(part, starts[rest[one]], ends[rest[one]])[back]
-                    if whole:
-                        score[rest] = tool.word(0.0, spelled)
-                sums = [np.bincount(row, weights=x, minlength=j - i) for x in (base, score, known.astype(float))]
-                m = j - i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j]), keys.slice(i, m), pa.array(np.diff(first).astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.nulls(m, pa.int64())], names=names
-                )
-                if len(rest) and not whole:
-                    k = len(rest)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[i:j][row[rest]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(spelled), pa.array(hashes[rest].view(np.int64))], names=names
-                    )
-
-    names = ["row", "doc_id", "n_words", "n_known", "base", "score", "h"]
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text))
-    parts = materialize(spark, numbered.mapInArrow(apply, "row long, doc_id long, n_words long, n_known long, base double, score double, h long"), "lm-parts")
-    rows = parts.where("n_words is not null").drop("h")
-    if not whole:
-        c, rest = F.coalesce("c", F.lit(0)), F.col("score") + F.lit(float(np.log10(discount * distinct / n)) if n else 0.0)
-        seen = (c - F.lit(float(discount))) / F.lit(float(max(n, 1)))
-        word = F.when(c > 0, F.log10(seen + F.pow(F.lit(10.0), F.greatest(rest, F.lit(-300.0))))).otherwise(rest)
-        rare = (
-            parts.where("h is not null")
-            .select("row", "h", "score")
-            .join(counts.select("h", "c"), "h", "left")
-            .groupBy("row")
-            .agg(F.sum(F.log10(c + F.lit(0.1))).alias("rare_base"), F.count("c").alias("rare_known"), F.sum(word).alias("rare_score"))
-        )
-        zero = F.lit(0.0)
-        rows = rows.join(rare, "row", "left").withColumns(
-            {"base": F.col("base") + F.coalesce("rare_base", zero), "score": F.col("score") + F.coalesce("rare_score", zero), "n_known": F.col("n_known") + F.coalesce("rare_known", F.lit(0))}
+            for r in range(b.num_rows):
+                number, chunk, _ = restored(pa.table(b.slice(r, 1)), None, depth)
+                yield from sent(number, np.concatenate(chunk.keys[:2]), np.concatenate([chunk.occurrences(0), chunk.occurrences(1)]), bits).to_batches()
+                trim()
+
+    def longer(k: int):
+        def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+            number, chunk, _ = restored(left, right, depth)
+            trim()
+            return sent(number, chunk.keys[k], chunk.occurrences(k), bits)
+
+        return apply
+
+    def gains(left: pa.Table, right: pa.Table) -> pa.Table:
+        number, chunk, _ = restored(left, right, depth)
+        keys, own = candidates(chunk)
+        out = sent(number, keys, np.concatenate([g[o] for g, o in zip(chunk.gains(shared.value), own)]), bits)
+        trim()
+        return out
+
+    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, chunk, gain = restored(left, right, depth)
+        own, m = chunk.own, len(chunk.size)
+        counted = chunk.counts[0][chunk.token]
+        score = chunk.scores(shared.value, gain or [])
+        sums = [np.bincount(chunk.piece[own], weights=x[own], minlength=m) for x in (np.ones(len(own)), counted > 0, np.log10(counted + 0.1), score)]
+        trim()
+        return pa.table(
+            {"row": chunk.row, "doc_id": pa.array(chunk.doc, mask=(chunk.train & 2) > 0), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base": sums[2], "score": sums[3]}
         )
+
+    def together(back: DataFrame, f, schema: str) -> DataFrame:
+        return found.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(f, schema)
+
+    back = exchange(found.mapInArrow(first, _SENT), "words")
+    for k in range(2, depth + 1):
+        back = back.union(exchange(together(back, longer(k), _SENT), f"length{k}"))
+    back = back.union(exchange(together(back, gains, _SENT), "gains"))
+    pieces = together(back, scores, "row long, doc_id long, n_tokens long, n_known long, base double, score double")
     norm = float(np.log10(n + 0.1 * (v + 1)))
-    end_base = float(np.log10(texts + 0.1))
-    return rows.select(
-        "doc_id",
-        (F.col("n_words") + 1).alias("n_tokens"),
-        (F.col("n_known") + (1 if texts else 0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.lit(end_base) - (F.col("n_words") + 1) * F.lit(norm)).alias("base_score"),
-        (F.col("score") + F.lit(float(lookup.word(texts, np.array(tree.end_logp))))).alias("score"),
+    return (
+        pieces.groupBy("row", "doc_id")
+        .agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+        .select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
     )
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Learns from the rows that are not held out, scores all."""
-    scored = score_documents(df, df.where(~held_out(key)), key, text, **options)
+    scored = score_documents(df, ~held_out(key), key, text, **options)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -83,8 +83,41 @@ def test_quality_separates(spark):
     assert r.good > 0.98 and (r.bad is None or r.bad < 0.2)
 
 
-def test_lm(docs, rows):
-    got = lm.report(docs, p_min=1e-3, head=50).collect()  # a small head, so that rare words are joined
+def plain_tree(tokens, n, unigram):
+    """Scores of token sequences by a suffix tree over dicts. tokens: (key, held out, words)."""
+    texts = [(held, ["<", *w, ">"]) for _, held, w in tokens]
+    seen = collections.Counter(tuple(t[a : a + k]) for held, t in texts if not held for k in range(1, lm.DEPTH + 2) for a in range(len(t) - k + 1))
+    weight = lambda d: lm.WEIGHTS[d - 1]
+
+    def steps(t, i, less, allowed):
+        """log10 probability of t[i] with contexts of 0, 1, ... tokens; None where there is no such context."""
+        p = unigram(t[i], seen[(t[i],)] - less)
+        yield p, None
+        for d in range(1, min(lm.DEPTH, i) + 1):
+            ctx = tuple(t[i - d : i])
+            if seen[ctx] < lm.MIN_COUNT or allowed is not None and ctx not in allowed:
+                yield p, None
+                continue
+            c, m = seen[(*ctx, t[i])] - less, seen[ctx] - less
+            p = (math.log10(c + weight(d) * 10 ** p) if c else math.log10(weight(d)) + p) - math.log10(m + weight(d))
+            yield p, ctx
+
+    gain = collections.Counter()
+    for held, t in texts:
+        for i in range(1, len(t) if not held else 0):
+            found = list(steps(t, i, 1, None))
+            for (before, _), (after, ctx) in zip(found, found[1:]):
+                if ctx:
+                    gain[ctx] += round((after - before) * lm.UNIT)
+    allowed = {c for c, g in gain.items() if g >= lm.GAIN * lm.UNIT}
+    return [sum(list(steps(t, i, 0, allowed))[-1][0] for i in range(1, len(t))) for _, t in texts], allowed
+
+
+def test_lm(spark, docs, rows):
+    import numpy as np
+
+    # a small head, so that rare words are spelled where they occur, and chunks that cut texts
+    got = lm.report(docs, p_min=1e-3, head=50, places=300).collect()
     assert len(got) == len(rows)
     counts, ends, tokens = collections.Counter(), 0, []
     for i, t, *_ in rows:
@@ -95,12 +128,66 @@ def test_lm(docs, rows):
             counts.update(w)
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    tree = lm.fit(spark.createDataFrame([(bytearray(w), 0, c) for w, c in counts.items()], "word binary, h long, c long"), 1, p_min=1e-3)
+    lookup = lm.Lookup([], tree, n, min(0.9, max(0.1, (once + 1) / (once + 2 * twice + 2))), len(counts))
+    spelled = {w: tree.score(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for _, _, ws in tokens for w in ws}
+    score, allowed = plain_tree(tokens, n, lambda w, c: float(lookup.word(c, np.array(tree.end_logp if w == ">" else spelled[w]))))
+    assert {len(c) for c in allowed} == {1, 2, 3}
     want = []
-    for i, held, w in tokens:
+    for (i, held, w), s in zip(tokens, score):
         c = [counts[x] for x in w] + [ends]
-        want.append((i, held, len(c), sum(x > 0 for x in c), n, round(sum(math.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in c), 4)))
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=str) == sorted(want, key=str)
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+        want.append((i, held, len(c), sum(x > 0 for x in c), n, round(sum(math.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in c), 4), round(s, 3)))
+    key = lambda r: (str(r[0]), r[2:])
+    mine = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 3)) for r in got), key=key)
+    for a, b in zip(mine, sorted(want, key=key)):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=2e-4) and a[6] == pytest.approx(b[6], abs=2e-3)
+
+
+def test_lm_learns_order(spark):
+    """Held-out texts are likelier in their own order, and on average likelier than by single words."""
+    d = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("doc_id", "text")
+    back = d.where(lm.held_out("doc_id")).select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.array_join(F.reverse(F.split("text", " ")), " ").alias("text"))
+    both = d.union(back)
+    learn = ~lm.held_out("doc_id") & (F.col("doc_id") < 10_000_000)
+    r = lm.score_documents(both, learn).where(lm.held_out(F.col("doc_id") % 10_000_000)).groupBy((F.col("doc_id") >= 10_000_000).alias("turned")).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
+    by = {x.turned: x for x in r}
+    assert by[False].s > by[True].s and by[False].s > by[False].b
+
+
+def test_lm_sums_to_one(spark):
+    """After any context, the probabilities of all known words, the end and all spellings sum to 1."""
+    import numpy as np
+
+    texts = ["a b a b c", "a b c", "b a b a b", "c c a b"]
+    words, n = sorted({w for t in texts for w in t.split()}), sum(len(t.split()) + 1 for t in texts)
+    counts = collections.Counter(w for t in texts for w in t.split())
+    token = np.concatenate([[lm.BEGIN, *[2 + words.index(w) for w in t.split()], lm.STOP] for t in texts])
+    size = np.array([len(t.split()) + 2 for t in texts])
+    c = lm.Chunk({"token": token, "word": np.arange(10, 15)[: len(words) + 2], "spelled": np.full(len(words) + 2, -300.0), "row": np.arange(4), "doc": np.arange(4), "size": size, "lead": np.ones(4, np.int64), "train": np.ones(4, np.int64)})
+    for k in range(3):
+        c.grow()
+        c.counts.append(c.occurrences(k))
+    ctx = [2 + words.index("a"), 2 + words.index("b")]
+    model = lm.Lookup.__new__(lm.Lookup)
+    model.total, model.discount, model.distinct = n, 0.5, len(counts)
+    total = 0.5 * len(counts) / n  # what single words leave to spellings; the end is counted whole
+    p0 = {w: (counts.get(w, 0) - 0.5) / n for w in words} | {"": (4 - 0.5) / n}
+    total += 0.5 / n
+    assert sum(p0.values()) + total == pytest.approx(1)
+    following = collections.Counter(tuple(t.split() + [""])[i + 2] for t in texts for i in range(len(t.split()) - 1) if t.split()[i : i + 2] == ["a", "b"])
+    assert following and len(ctx) == 2
+    m1, m2 = lm.WEIGHTS[:2]
+    after_b = collections.Counter(tuple(t.split() + [""])[i + 1] for t in texts for i in range(len(t.split())) if t.split()[i] == "b")
+    p = lambda w: (following[w] + m2 * (after_b[w] + m1 * p0[w]) / (sum(after_b.values()) + m1)) / (sum(following.values()) + m2)
+    left = m2 / (sum(following.values()) + m2) * m1 / (sum(after_b.values()) + m1) * total
+    assert sum(map(p, p0)) + left == pytest.approx(1)
+    scored = c.scores(model, [np.full(len(k), 10**9) for k in c.keys[:2]])
+    ids = {w: 2 + i for i, w in enumerate(words)} | {"": lm.STOP}
+    for i in range(2, len(token)):
+        if token[i - 2 : i].tolist() == ctx and not c.first[i] and not c.first[i - 1]:
+            w = next(k for k, x in ids.items() if x == token[i])
+            assert scored[i] == pytest.approx(math.log10(p(w)))
 
 
 def test_tree_is_a_distribution(spark):
