@@ -1,13 +1,14 @@
 """What the training-data operators share: shared-folder tables, text hashing, Arrow batches.
 
-Intermediate tables go to the folder the session names in ``spark.checkpoint.dir``;
-a local folder is used only where that setting is absent (tests).
+Intermediate tables go to the folder the session names in ``spark.checkpoint.dir``; a local
+folder takes its place only where that setting is absent and the master is local (tests).
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only where the session has none."""
+    """The folder all executors share; set to a local one only where the session has none and
+    all runs in one JVM."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes share (master is {master})")
         found = tempfile.mkdtemp(prefix="engram-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,7 +57,17 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more, also not a result yet to be computed."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def smallest(df: DataFrame, by, k: int, *ties) -> DataFrame:

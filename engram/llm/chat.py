@@ -14,7 +14,9 @@ that a third of all messages share joins as one row.
 Defined results: messages are identified by conv_id and turn; of repeated rows with one
 identity the first by role and text stays; rows with a null conv_id or turn are returned
 without links; null and empty texts have empty content; a quote that no earlier message of
-the conversation says is dropped from the content like any other, and counted.
+the conversation says is dropped from the content like any other, and counted; of originals
+that as many quoted characters lead to, the earliest is the parent; an empty table gives an
+empty one; other columns are not looked at. A message may have any number of marks and lines.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-#: Marks of a quoted line, with the blanks around them.
-MARKS = r"^(?:[ \t]*>)+"
+#: Marks of a quoted line, with the blanks before them. No repeated group, which Java would match by recursion.
+MARKS = r"^[ \t>]*>"
+#: White space of the class \s.
+_BLANK = " \t\n\x0b\f\r"
 #: Quoted lines of fewer characters do not count as evidence by themselves.
 MIN_LINE = 12
 
@@ -48,26 +52,22 @@ def parsed_lines(text: Column) -> Column:
 def own_text(lines: Column) -> Column:
     """The text without quoted lines."""
     kept = F.array_join(F.transform(F.filter(lines, lambda x: x["d"] == 0), lambda x: x["t"]), "\n")
-    return F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.btrim(F.regexp_replace(kept, r"\n{3,}", "\n\n"), F.lit(_BLANK))
 
 
 def passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, d, kind and text of each line ("line") and of each run of adjacent lines
     of one depth ("passage")."""
     lines = messages.select("conv_id", "turn", F.posexplode("lines").alias("n", "line")).select("conv_id", "turn", "n", F.col("line.d").alias("d"), F.col("line.t").alias("t"))
-    # a run is named by the line number less the number of lines of its depth before it;
-    # counted inside the message's array, no window over rows is needed
-    run = F.transform(
-        "lines",
-        lambda x, i: F.struct(i.alias("n"), x["d"].alias("d"), x["t"].alias("t"), ((i > 0) & (F.get("lines", i - 1)["d"] == x["d"])).alias("same")),
-    )
-    folded = F.aggregate(
-        run,
-        F.array().cast("array<struct<d:int,t:string>>"),
-        lambda acc, x: F.when(
-            x["same"],
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["d"].alias("d"), F.concat_ws("\n", F.element_at(acc, -1)["t"], x["t"]).alias("t")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["d"].alias("d"), x["t"].alias("t"))))),
+    # first and last line of each run, found inside the message's array: no window over rows is
+    # needed, and each line is looked at a fixed number of times
+    number = F.sequence(F.lit(0), F.size("lines") - 1)
+    depth = lambda i: F.get("lines", i)["d"]
+    firsts = F.filter(number, lambda i: (i == 0) | (depth(i) != depth(i - 1)))
+    lasts = F.filter(number, lambda i: (i == F.size("lines") - 1) | (depth(i) != depth(i + 1)))
+    folded = F.transform(
+        F.arrays_zip(firsts.alias("a"), lasts.alias("z")),
+        lambda r: F.struct(depth(r["a"]).alias("d"), F.array_join(F.transform(F.slice("lines", r["a"] + 1, r["z"] - r["a"] + 1), lambda x: x["t"]), "\n").alias("t")),
     )
     runs = messages.where(F.size("lines") > 1).select("conv_id", "turn", F.explode(folded).alias("p")).select("conv_id", "turn", F.col("p.d").alias("d"), F.lit("passage").alias("kind"), F.col("p.t").alias("t"))
     return lines.select("conv_id", "turn", "d", F.lit("line").alias("kind"), "t").unionByName(runs)

@@ -35,15 +35,16 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE, LANES, SPACED, U64, chunks, materialize, mix, powers, span_hashes, text_buffer, trim, word_spans
+from ._common import _BYTE, LANES, SPACED, U64, chunks, discard, materialize, mix, powers, span_hashes, text_buffer, trim, word_spans
 
 #: Tokens of a context at most, its least occurrences, what it must gain (in log10), and by depth the weight of its suffix's distribution.
-DEPTH, MIN_COUNT, GAIN, WEIGHTS = 3, 2, 1.0, (400.0, 20.0, 4.0)
+DEPTH, MIN_COUNT, GAIN, WEIGHTS = 2, 2, 1.0, (400.0, 20.0)
 #: Tokens of a chunk; a gain's unit is 1 / UNIT of log10.
 PLACES, UNIT = 1_000_000, 4096
 #: Sequences of a bucket, about.
@@ -361,6 +362,14 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).reshape(-1)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values as they first come, a place of each, and for every value its number."""
+    number, values = pd.factorize(x)
+    at = np.empty(len(values), np.int64)
+    at[number[::-1]] = np.arange(len(x) - 1, -1, -1)
+    return values, at, number
+
+
 #: Numbers of the text's beginning and end among a chunk's words.
 BEGIN, STOP = 0, 1
 _MARKS = mix(np.array([3, 5], np.uint64))
@@ -396,7 +405,7 @@ class Chunk:
         if len(self.counts) == len(self.ids):
             before[(before >= 0) & (self.counts[-1][before] < MIN_COUNT)] = -1
         at = np.flatnonzero(before >= 0)
-        code, ids = np.unique(before[at] * len(self.word) + self.token[at], return_inverse=True)
+        ids, code = pd.factorize(before[at] * len(self.word) + self.token[at])
         out = np.full(len(before), -1)
         out[at] = ids
         up, last = np.divmod(code, max(1, len(self.word)))
@@ -458,19 +467,22 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
     """Chunks of about limit tokens; longer texts are in several pieces."""
 
     def flush(number: int, parts: list) -> pa.RecordBatch:
-        hashes = np.concatenate([_MARKS, *[h for h, *_ in parts]])
-        spelled = np.concatenate([np.zeros(2), *[s for _, s, *_ in parts]])
-        word, at, back = np.unique(hashes[2:], return_index=True, return_inverse=True)
-        low, tokens = 2, []
+        hashes, spelled = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        word, at, back = distinct(hashes)
+        low, tokens = 0, []
         for h, _, t, *_ in parts:
             # words are numbered in the part, the marks are not
-            own = np.concatenate([[BEGIN, STOP], back[low - 2 : low - 2 + len(h)] + 2])
-            tokens.append(own[t])
+            tokens.append(np.concatenate([[BEGIN, STOP], back[low : low + len(h)] + 2])[t])
             low += len(h)
+        tokens = np.concatenate(tokens)
+        # the most frequent words get the smallest numbers, which take the fewest bytes
+        order = np.argsort(-np.bincount(tokens, minlength=len(word) + 2)[2:], kind="stable")
+        rank = np.empty(len(order) + 2, np.int64)
+        rank[:2], rank[order + 2] = [BEGIN, STOP], np.arange(len(order)) + 2
         fields = {
-            "token": np.concatenate(tokens),
-            "word": np.concatenate([_MARKS, word]).view(np.int64),
-            "spelled": np.concatenate([[0.0, shared.value.tree.end_logp], spelled[2:][at]]).view(np.int64),
+            "token": rank[tokens],
+            "word": np.concatenate([_MARKS, word[order]]).view(np.int64),
+            "spelled": np.concatenate([[0.0, shared.value.tree.end_logp], spelled[at[order]]]).astype(np.float32).view(np.int32),
             **{f: np.concatenate([p[3 + k] for p in parts]) for k, f in enumerate(_FIELDS[3:])},
         }
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([packed(fields[f])], pa.binary()) for f in _FIELDS]], names=["chunk", *_FIELDS])
@@ -485,7 +497,7 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
                 low = int(offsets[i])
                 part = _fold(data[low : int(offsets[j])])
                 starts, ends, first = word_spans(part, offsets[i : j + 1] - low, SPACED)
-                hashes, one, back = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
+                hashes, one, back = distinct(span_hashes(part, starts, ends))
                 spelled = tool.spell(hashes, part, starts[one], ends[one])
                 for r in range(i, j):
                     own = np.concatenate([[BEGIN], back[first[r - i] : first[r - i + 1]] + 2, [STOP]])
@@ -529,7 +541,7 @@ def exchange(found: DataFrame, tag: str) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpacked(k).view(np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
         vals = [unpacked(v) for v in table.column("vals").to_pylist()]
-        order = np.argsort(every := np.concatenate(keys), kind="stable")
+        order = np.argsort(every := np.concatenate(keys))
         every = every[order]
         fresh = np.append(True, every[1:] != every[:-1])
         total = np.add.reduceat(np.concatenate(vals)[order], np.flatnonzero(fresh))
@@ -572,7 +584,7 @@ def restored(left: pa.Table, right: pa.Table | None, depth: int) -> tuple[int, C
     """A chunk with the sequences, counts and gains that are known so far."""
     row = left.slice(0, 1).to_pylist()[0]
     fields = {f: unpacked(row[f]) for f in _FIELDS}
-    fields["spelled"] = fields["spelled"].view(np.float64)
+    fields["spelled"] = fields["spelled"].astype(np.int32).view(np.float32).astype(float)
     chunk = Chunk(fields)
     backs: dict[str, list] = {}
     for r in right.to_pylist() if right is not None else []:
@@ -623,7 +635,8 @@ def score_documents(
     tree = fit(counts, min(texts, 1), p_min=p_min)
     top = frequent(counts, head).select("word").toArrow()
     lookup = Lookup(top.column("word").to_pylist(), tree, n, discount, distinct)
-    del top, counts
+    del top
+    discard(counts)
     shared = spark.sparkContext.broadcast(lookup)
     found = materialize(spark, chunked(df, key, text, learn, shared, depth, places), "lm-chunks")
     bits = max(1, int(np.ceil(np.log2(max(2, 2 * n / BUCKET)))))

@@ -133,7 +133,7 @@ def test_lm(spark, docs, rows):
     lookup = lm.Lookup([], tree, n, min(0.9, max(0.1, (once + 1) / (once + 2 * twice + 2))), len(counts))
     spelled = {w: tree.score(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for _, _, ws in tokens for w in ws}
     score, allowed = plain_tree(tokens, n, lambda w, c: float(lookup.word(c, np.array(tree.end_logp if w == ">" else spelled[w]))))
-    assert {len(c) for c in allowed} == {1, 2, 3}
+    assert {len(c) for c in allowed} == set(range(1, lm.DEPTH + 1))
     want = []
     for (i, held, w), s in zip(tokens, score):
         c = [counts[x] for x in w] + [ends]
@@ -150,7 +150,7 @@ def test_lm_learns_order(spark):
     back = d.where(lm.held_out("doc_id")).select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.array_join(F.reverse(F.split("text", " ")), " ").alias("text"))
     both = d.union(back)
     learn = ~lm.held_out("doc_id") & (F.col("doc_id") < 10_000_000)
-    r = lm.score_documents(both, learn).where(lm.held_out(F.col("doc_id") % 10_000_000)).groupBy((F.col("doc_id") >= 10_000_000).alias("turned")).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
+    r = lm.score_documents(both, learn).where((F.col("doc_id") >= 10_000_000) | lm.held_out("doc_id")).groupBy((F.col("doc_id") >= 10_000_000).alias("turned")).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
     by = {x.turned: x for x in r}
     assert by[False].s > by[True].s and by[False].s > by[False].b
 
@@ -346,3 +346,13 @@ def test_chat_like_sql(spark):
     a, b = (x.sort_values(key).reset_index(drop=True).astype(object).where(lambda d: d.notna(), None) for x in (got, want))
     assert a.map(lambda v: v if v is None or isinstance(v, str) else int(v)).equals(b.map(lambda v: v if v is None or isinstance(v, str) else int(v)))
     assert (want.parent_turn.notna()).sum() > 10
+
+
+def test_chat_takes_very_long_messages(spark):
+    deep = ">" * 1_000_000
+    said = [f"line number {i} of the message" for i in range(100_000)]
+    rows = [(1, 0, "user", "\n".join(said)), (1, 1, "user", "\n".join("> " + x for x in said) + "\nmine"), (1, 2, "user", f"{deep}\n{deep} line number 7 of the message\nend"), (1, 3, "user", "a" + " " * 1_000_000 + "b\n" + "\n" * 100_000)]
+    got = {r.turn: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].parent_turn == 0 and got[1].n_quotes == 100_000 and got[1].content == "mine"
+    assert got[2].parent_turn == 0 and got[2].n_quotes == 2 and got[2].content == "end"
+    assert got[3].content == "a" + " " * 1_000_000 + "b"
