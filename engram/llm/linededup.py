@@ -15,7 +15,9 @@ at least MIN_CHARS characters is deleted from the later document.
 
 Documents are ordered by doc_id, then by a hash of their text; a null doc_id comes last. Rows
 that are equal in both are one document and get one result. Null texts stay null; empty texts
-and blank lines share nothing. Other columns pass unchanged, whatever their names.
+and blank lines share nothing; an empty table gives an empty one. Other columns pass unchanged,
+whatever their names. Time is linear in a text's lines but for gaps that have no line unique in
+both documents, where it is the product of the gap's lines.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LANES, SPACED, chunks, gram_hashes, materialize, mix, span_hashes, text_buffer, whole_hash
+from ._common import LANES, SPACED, chunks, discard, gram_hashes, materialize, mix, span_hashes, text_buffer, whole_hash
 
 MIN_CHARS = 40
+#: Pairs that get a copy of the earlier document's lines.
+SHARE = 500
 _LAST = (1 << 63) - 1
 
 
@@ -146,7 +150,8 @@ def removed_lines(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]],
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, th and for each line that is not blank its number n, hash h and characters c."""
+    """doc, th and for each line that is not blank its number n among those, its number r among all
+    lines, hash h and characters c."""
 
     def apply(batches):
         for b in batches:
@@ -161,16 +166,18 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
                 last = np.append(first[1:] - 1, len(full) - 1) if len(full) else full
                 starts, ends, row = full[first], full[last] + 1, row_of[first]
                 n = np.arange(len(row)) - np.searchsorted(row, row)
+                newlines = np.flatnonzero(part == 10)
+                raw = np.searchsorted(newlines, starts) - np.searchsorted(newlines, own[row])
                 chars = np.zeros(len(part) + 1, np.int64)
                 np.cumsum((part & 0xC0) != 0x80, out=chars[1:])
                 at = pa.array(i + row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(n.astype(np.int32)), pa.array(span_hashes(part, starts, ends, fold=False).view(np.int64)), pa.array((chars[ends] - chars[starts]).astype(np.int32))],
-                    names=["doc", "th", "n", "h", "c"],
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(n.astype(np.int32)), pa.array(raw.astype(np.int32)), pa.array(span_hashes(part, starts, ends, fold=False).view(np.int64)), pa.array((chars[ends] - chars[starts]).astype(np.int32))],
+                    names=["doc", "th", "n", "r", "h", "c"],
                 )
 
     own = df.where(F.col(text).isNotNull()).select(*_identity(key, text), F.col(text).alias("text"))
-    return own.mapInArrow(apply, "doc long, th long, n int, h long, c int")
+    return own.mapInArrow(apply, "doc long, th long, n int, r int, h long, c int")
 
 
 def _identity(key: str, text: str) -> list[Column]:
@@ -214,7 +221,7 @@ def _block_pairs(arrays: DataFrame, min_chars: int) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([k for x in found for k in x], pa.int64())], names=["doc", "th", "k"])
 
-    keys = materialize(spark, arrays.mapInArrow(apply, "doc long, th long, k long"), "line-blocks")
+    keys = materialize(spark, arrays.select("doc", "th", "lines").mapInArrow(apply, "doc long, th long, k long"), "line-blocks")
     held = keys.groupBy("k").agg(F.min(F.struct("doc", "th")).alias("first"), F.max(F.struct("doc", "th")).alias("last"))
     held = held.where("first < last").select("k", F.col("first.doc").alias("first_doc"), F.col("first.th").alias("first_th"))
     held = materialize(spark, held, "line-blocks-first")
@@ -222,7 +229,8 @@ def _block_pairs(arrays: DataFrame, min_chars: int) -> DataFrame:
 
 
 def removals(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc, th and cut: numbers of the lines to delete, for documents that lose any."""
+    """doc, th and cut: numbers of the lines to delete (blank lines count, from 0), for documents
+    that lose any."""
     spark = df.sparkSession
     lines = materialize(spark, lines_of(df, key, text), "lines")
     # the earliest document that holds a line, if a later one does too, and the line's place there
@@ -231,44 +239,64 @@ def removals(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars:
     # written first: a join of two fresh exchanges can be split where one line is very common
     shared = materialize(spark, shared, "lines-first")
     linked = materialize(spark, lines.join(shared, "h"), "lines-shared")
+    discard(lines, shared)
     holder = F.xxhash64("first_doc", "first_th").alias("o")
-    arrays = linked.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("n", "h", "c", holder, F.col("first_n").alias("p")))).alias("lines"))
+    arrays = linked.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("n", "h", "c", "r", holder, F.col("first_n").alias("p")))).alias("lines"))
     arrays = materialize(spark, arrays, "lines-by-document")
     pairs = linked.where("doc != first_doc or th != first_th").select("doc", "th", "first_doc", "first_th")
-    pairs = pairs.union(_block_pairs(arrays, min_chars)).distinct()
-    with_later = pairs.join(arrays.withColumnRenamed("lines", "later"), ["doc", "th"])
-    earlier = arrays.select(F.col("doc").alias("first_doc"), F.col("th").alias("first_th"), F.col("lines").alias("earlier"))
-    both = with_later.join(earlier, ["first_doc", "first_th"]).select("doc", "th", "earlier", "later")
+    pairs = materialize(spark, pairs.union(_block_pairs(arrays, min_chars)).distinct(), "line-pairs")
+    discard(linked)
+    return aligned(arrays, pairs, min_chars)
+
+
+def aligned(arrays: DataFrame, pairs: DataFrame, min_chars: int, share: int | None = None) -> DataFrame:
+    """doc, th and cut from the lines of documents and the pairs to align. The lines of an
+    earlier document travel once for each share of its pairs and not with each pair; its shares
+    go to different tasks, and a task holds one earlier document at a time."""
+    first = ["first_doc", "first_th"]
+    per = pairs.groupBy(*first).agg(F.ceil(F.count("*") / (share or SHARE)).cast("int").alias("shares"))
+    earlier = arrays.select(F.col("doc").alias("first_doc"), F.col("th").alias("first_th"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("th"), "lines").join(per, first)
+    earlier = earlier.select(*first, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "doc", "th", "lines")
+    later = pairs.join(per, first).join(arrays, ["doc", "th"]).select(*first, F.pmod(F.xxhash64("doc", "th"), "shares").cast("int").alias("share"), "doc", "th", "lines")
+    groups = [*first, "share"]
+    both = earlier.union(later).repartition(*groups).sortWithinPartitions(*groups, F.col("doc").asc_nulls_first(), "th")
 
     def align(batches):
+        lines: list[tuple[int, int, int]] = []
+        places: dict[int, list[int]] = {}
         for b in batches:
-            cuts = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                cuts.append(removed_lines([(r["n"], r["h"], r["c"]) for r in x], [(r["n"], r["h"], r["c"]) for r in y], min_chars))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.int32()))], names=["doc", "th", "cut"])
+            docs, ths, cuts = [], [], []
+            for doc, th, found in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("lines")):
+                found = found.as_py()
+                own = [(x["n"], x["h"], x["c"]) for x in found]
+                if doc is None:
+                    lines, places = own, {}
+                    for i, x in enumerate(own):
+                        places.setdefault(x[1], []).append(i)
+                    continue
+                # lines that only one of the two has are in no gap's alignment
+                common = sorted(i for h in {x[1] for x in own} for i in places.get(h, ()))
+                raw = {x["n"]: x["r"] for x in found}
+                cut = removed_lines([lines[i] for i in common], [x for x in own if x[1] in places], min_chars)
+                if cut:
+                    docs.append(doc), ths.append(th), cuts.append([raw[n] for n in cut])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ths, pa.int64()), pa.array(cuts, pa.list_(pa.int32()))], names=["doc", "th", "cut"])
 
-    aligned = both.mapInArrow(align, "doc long, th long, cut array<int>").where(F.size("cut") > 0)
-    return aligned.groupBy("doc", "th").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    found = both.mapInArrow(align, "doc long, th long, cut array<int>")
+    return found.groupBy("doc", "th").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 
 def apply_removals(df: DataFrame, cuts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df as a struct column "row", with "lines" (lines that are not blank), "cut" and "kept"."""
+    """df as a struct column "row", with "n_cut" and "kept", the text without the lines cut."""
     doc, th = _identity(key, text)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), doc, th)
     # the small side is hashed: the texts are moved once and not sorted
     joined = rows.join(cuts.hint("shuffle_hash"), ["doc", "th"], "left")
-    parts = F.split(F.col(f"row.`{text}`"), "\n", -1)
-    blank = r"^[\x20\x09-\x0D]*$"
-    # the number of each line among those that are not blank, -1 for the blank
-    numbers = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("all")),
-        lambda acc, x: F.struct((acc["n"] + F.when(x.rlike(blank), 0).otherwise(1)).alias("n"), F.concat(acc["all"], F.array(F.when(x.rlike(blank), -1).otherwise(acc["n"]))).alias("all")),
-        lambda acc: acc["all"],
-    )
-    pairs = F.filter(F.arrays_zip(parts.alias("t"), numbers.alias("n")), lambda x: ~F.array_contains("cut", x["n"]))
-    kept = F.when(F.col("cut").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(F.transform(pairs, lambda x: x["t"]), "\n"))
-    return joined.select("row", F.coalesce(F.size("cut"), F.lit(0)).alias("n_cut"), kept.alias("kept"))
+    # a column of its own, which the lookups below read and do not split again
+    parted = joined.select("row", "cut", F.when(F.col("cut").isNotNull(), F.split(F.col(f"row.`{text}`"), "\n", -1)).alias("parts"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("cut"))
+    kept = F.when(F.col("cut").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))
+    return parted.select("row", F.coalesce(F.size("cut"), F.lit(0)).alias("n_cut"), kept.alias("kept"))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", drop_empty: bool = True, min_chars: int = MIN_CHARS) -> DataFrame:

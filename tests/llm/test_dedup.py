@@ -107,6 +107,91 @@ def test_line_dedup_meets_every_block(spark):
     assert got == want
 
 
+def plain_blocks(a, b, least):
+    """Numbers of b's lines in common blocks with a: patience diff by recursion, gaps without
+    unique lines by the longest common subsequence. Lines are strings, none blank."""
+
+    def rising(pairs):
+        best = []
+        for n, (x, y) in enumerate(pairs):
+            best.append(max((best[k] for k in range(n) if pairs[k][0] < x), key=len, default=[]) + [(x, y)])
+        return max(best, key=len, default=[])
+
+    def lcs(i, j, k, m):
+        t = {(x, y): [] for x in range(i, j + 1) for y in range(k, m + 1)}
+        for x in range(i, j):
+            for y in range(k, m):
+                t[x + 1, y + 1] = t[x, y] + [(x, y)] if a[x] == b[y] else max(t[x, y + 1], t[x + 1, y], key=len)
+        return t[j, m]
+
+    def go(i, j, k, m):
+        if i >= j or k >= m:
+            return []
+        if a[i:j] == b[k:m]:
+            return list(zip(range(i, j), range(k, m)))
+        own = [(a[i:j].index(v) + i, y) for y, v in enumerate(b[k:m], k) if a[i:j].count(v) == 1 and b[k:m].count(v) == 1]
+        anchors = rising(own)
+        if not anchors:
+            return lcs(i, j, k, m)
+        out, x, y = [], i, k
+        for u, v in [*anchors, (j, m)]:
+            out += go(x, u, y, v)
+            if u < j:
+                out.append((u, v))
+            x, y = u + 1, v + 1
+        return out
+
+    cut, block = set(), []
+    for pair in [*go(0, len(a), 0, len(b)), None]:
+        if pair and block and pair == (block[-1][0] + 1, block[-1][1] + 1):
+            block.append(pair)
+            continue
+        if sum(len(b[y]) for _, y in block) >= least:
+            cut |= {y for _, y in block}
+        block = [pair] if pair else []
+    return cut
+
+
+def test_line_dedup_like_all_pairs(spark):
+    """Many short shared lines: every document against every earlier one."""
+    rng = random.Random(11)
+    name = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip() + "."
+    for shape in range(3):
+        blocks = [[name(rng.randint(6, 30)) for _ in range(rng.randint(1, 5))] for _ in range(14)]
+        texts = []
+        for _ in range(50):
+            lines = []
+            # blocks keep their order, so that no two alignments are equally good
+            for n in sorted(rng.sample(range(len(blocks)), rng.randint(1, 5))):
+                lines += [name(20) for _ in range(rng.randint(0, 2) * min(shape, 1))] + blocks[n] + [name(20)] * (shape == 2)
+            texts.append(lines)
+        texts += [list(rng.choice(texts)) for _ in range(6)]
+        got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in linededup.report(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+        total = 0
+        for i, t in enumerate(texts):
+            cut = set().union(*[plain_blocks(texts[e], t, linededup.MIN_CHARS) for e in range(i)])
+            total += len(cut)
+            assert got[i] == (len(cut), hashlib.sha256("\n".join(v for y, v in enumerate(t) if y not in cut).encode()).hexdigest()), (shape, i)
+        assert total > 100
+
+
+def test_line_dedup_shares(spark, monkeypatch):
+    """Pairs of one earlier document in several shares, and long documents."""
+    head = [f"line {i} of a long licence text" for i in range(30_000)]
+    rows = [(0, "\n".join(head))] + [(i, f"own {i}\n\n" + "\n".join(head[i * 3 : i * 3 + 3]) + "\nend") for i in range(1, 41)] + [(99, "\n".join(["x", *head]))]
+    monkeypatch.setattr(linededup, "SHARE", 7)
+    got = {r.doc_id: r.n_removed for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 99: 30_000} | {i: 3 + (i > 1) for i in range(1, 41)} or got == {0: 0, 99: 30_000} | dict.fromkeys(range(1, 41), 3)
+
+
+def test_line_dedup_clashing_names(spark):
+    names = ["doc", "th", "cut", "parts", "row", "lines", "kept", "n_cut", "share", "first_doc", "h"]
+    df = spark.createDataFrame([(1, "a line of more than forty characters is here", *names), (2, "a line of more than forty characters is here\nand", *names)], ["doc_id", "text", *names])
+    got = linededup.dedup(df)
+    assert got.columns == df.columns and [r.text for r in got.orderBy("doc_id").collect()][1] == "and"
+    assert got.where(" and ".join(f"`{n}` = '{n}'" for n in names)).count() == 2
+
+
 def jaccard_components(rows):
     sets, parent = {}, {}
     for i, t, *_ in rows:
