@@ -6,29 +6,30 @@ place of the shared span: every such span is found, and a found pair of places i
 word by word to the maximal common run. Benchmark items shorter than a window are looked up
 whole, by one hash for each length that occurs.
 
-The benchmark is taken in blocks of at most BLOCK_BYTES of text, each broadcast in its own
-pass over the documents, so that what is broadcast is bounded whatever the benchmark's size.
+A benchmark of at most BLOCK_BYTES of text is broadcast, and the documents pass Python once. A
+larger one is not: fingerprints of both sides are joined (see joined()).
 
 Defined results: null and empty texts have no words and are never hit; items without words
 match nothing; a null item id is listed as "null"; repeated items with one id count once;
-repeated documents are each reported. Columns of the input named like an output column
-(leak_*) are replaced, all others pass unchanged.
+repeated documents are each reported; texts of any length are looked at whole; an empty
+benchmark hits nothing. annotate() replaces columns of the input named like its own (leak_*),
+remove() keeps them; all others pass unchanged.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ALNUM, U64, chunks, gram_hashes, span_hashes, text_buffer, word_spans
+from ._common import ALNUM, U64, chunks, gram_hashes, materialize, span_hashes, text_buffer, word_spans
 
 WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 16 << 20
+#: log2 of the bits of the bitmap that drops fingerprints without a match: 16 MB.
+BITMAP = 27
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
 COLUMNS = T.StructType(
     [
@@ -145,55 +146,116 @@ class Block:
         return found
 
 
-def blocks(bench: DataFrame, key: str, text: str, limit: int):
-    """The items in blocks of about limit bytes of text, each fit to be broadcast."""
-    size = bench.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + F.lit(64))).first()[0] or 0
-    n = -(-int(size) // limit) if size > limit else 1
-    for i in range(n):
-        own = bench if n == 1 else bench.where(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n)) == i)
-        rows = own.select(F.col(key).alias("k"), F.col(text).alias("t")).collect()
-        yield [r.k for r in rows], [r.t for r in rows]
-
-
 def annotate(df: DataFrame, bench: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df with leak_words (words of the text), leak_hits (words inside an occurring window),
     leak_starts/leak_ends (hit word ranges, sorted and disjoint) and leak_items (sorted)."""
-    names = set(COLUMNS.names)
-    base = [f for f in df.schema.fields if f.name not in names]
-    out = T.StructType([*base, *COLUMNS.fields])
+    base = [f for f in df.schema.fields if f.name not in COLUMNS.names]
     df = df.select(*[F.col(f"`{f.name}`") for f in base])
-    for ids, texts in blocks(bench, item_key, item_text, block_bytes):
-        shared = df.sparkSession.sparkContext.broadcast(Block(ids, texts, window, gram))
-        df = df.mapInArrow(_pass(shared, text, [f.name for f in base]), out)
-    return df
+    items = bench.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t"))
+    size = items.agg(F.sum(F.octet_length(F.coalesce("t", F.lit(""))) + F.lit(64))).first()[0] or 0
+    if size > block_bytes:
+        return joined(df, items, text, window, gram)
+    rows = items.collect()
+    shared = df.sparkSession.sparkContext.broadcast(Block([r.k for r in rows], [r.t for r in rows], window, gram))
+
+    def apply(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *found_in(shared.value, b.column(text))], names=[*b.schema.names, *COLUMNS.names])
+
+    return df.mapInArrow(apply, T.StructType([*base, *COLUMNS.fields]))
+
+
+def found_in(block: Block, column: pa.Array) -> list[pa.Array]:
+    """COLUMNS of texts."""
+    n = len(column)
+    count, spans, items = [0] * n, [()] * n, [()] * n
+    for i, j, words, first in words_of(column):
+        count[i:j] = np.diff(first).tolist()
+        for row, (found, ids) in block.hits(words, first).items():
+            spans[i + row], items[i + row] = found, ids
+    merged = [_disjoint(x) for x in spans]
+    return [
+        pa.array(count, pa.int64()),
+        pa.array([sum(e - s for s, e in x) for x in merged], pa.int64()),
+        pa.array([[s for s, _ in x] for x in merged], pa.list_(pa.int64())),
+        pa.array([[e for _, e in x] for x in merged], pa.list_(pa.int64())),
+        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+    ]
+
 
+def fingerprints(df: DataFrame, text: str, window: int, gram: int, short: list[int], near=None) -> DataFrame:
+    """th (SHA-256 of the text), words (their number) and prints: the distinct kept hashes of grams,
+    and of all grams of each size in short. near: a broadcast bitmap of hashes that matter."""
 
-def _pass(shared, text: str, keep: list[str]):
     def apply(batches):
-        block = shared.value
+        bitmap = near.value if near is not None else None
+        for b in batches:
+            counts, prints = [], []
+            for _, _, words, first in words_of(b.column(1)):
+                for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+                    own = gram_hashes(words[a:z], gram)
+                    every = [own[kept(own, window - gram + 1)], *[gram_hashes(words[a:z], k) for k in short if k <= z - a]]
+                    found = np.unique(np.concatenate(every))
+                    if bitmap is not None:
+                        at = found & U64(8 * len(bitmap) - 1)
+                        found = found[(bitmap[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0]
+                    counts.append(z - a), prints.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["th", "words", "prints"])
+
+    texts = df.select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("th"), F.col(text).alias("t"))
+    return texts.mapInArrow(apply, "th string, words long, prints array<long>")
+
+
+def bitmap_of(hashes: DataFrame, bits: int = BITMAP) -> np.ndarray:
+    """A bitmap of 2 ** bits bits in which the hashes (column h) are set; its size does not follow theirs."""
+    at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return out.view(np.uint8)
+
+
+def joined(df: DataFrame, items: DataFrame, text: str, window: int, gram: int) -> DataFrame:
+    """annotate() for a benchmark of any size. Fingerprints of both sides are joined, those of the
+    documents after a bitmap of fixed size has dropped most that no item has; each text with a
+    common fingerprint meets the items it shares one with, and hits are extended there. Equal
+    texts are looked at once. Texts with a hit go through Python a second time, all others once."""
+    spark = df.sparkSession
+    items = materialize(spark, items, "leak-items")
+    lengths = T.StructType([T.StructField("n", T.LongType())])
+
+    def counted(batches):
         for b in batches:
-            n = b.num_rows
-            count, spans, items = [0] * n, [()] * n, [()] * n
-            for i, j, words, first in words_of(b.column(text)):
-                count[i:j] = np.diff(first).tolist()
-                for row, (found, ids) in block.hits(words, first).items():
-                    spans[i + row], items[i + row] = found, ids
-            if "leak_items" in b.schema.names:  # what earlier blocks have found
-                for row in range(n):
-                    if old := b.column("leak_items")[row].as_py():
-                        spans[row] = [*spans[row], *zip(b.column("leak_starts")[row].as_py(), b.column("leak_ends")[row].as_py())]
-                        items[row] = {*items[row], *old}
-            merged = [_disjoint(x) for x in spans]
-            arrays = [
-                pa.array(count, pa.int64()),
-                pa.array([sum(e - s for s, e in x) for x in merged], pa.int64()),
-                pa.array([[s for s, _ in x] for x in merged], pa.list_(pa.int64())),
-                pa.array([[e for _, e in x] for x in merged], pa.list_(pa.int64())),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], *arrays], names=[*keep, *COLUMNS.names])
-
-    return apply
+            for _, _, _, first in words_of(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(first))], names=["n"])
+
+    short = [int(r.n) for r in items.select("t").mapInArrow(counted, lengths).where(F.col("n").between(1, window - 1)).distinct().collect()]
+    held = fingerprints(items, "t", window, gram, short)
+    held = held.where("words > 0").join(items.withColumn("th", F.sha2(F.coalesce("t", F.lit("")), 256)), "th").select(F.explode("prints").alias("h"), F.coalesce("k", F.lit("null")).alias("k"), "th").distinct()
+    held = materialize(spark, held, "leak-items-prints")
+    near = spark.sparkContext.broadcast(bitmap_of(held.select("h").distinct()))
+    prints = materialize(spark, fingerprints(df, text, window, gram, short, near).groupBy("th").agg(F.first("words").alias("words"), F.first("prints").alias("prints")), "leak-prints")
+    pairs = prints.select("th", F.explode("prints").alias("h")).join(held.select("h", F.col("th").alias("item")), "h").select("th", "item").distinct()
+    bodies = items.select(F.sha2(F.coalesce("t", F.lit("")), 256).alias("item"), F.coalesce("k", F.lit("null")).alias("k"), "t").distinct()
+    wanted = pairs.join(bodies, "item").groupBy("th").agg(F.collect_list(F.struct("k", "t")).alias("items"))
+    texts = df.select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("th"), F.col(text).alias("t")).join(prints.where(F.size("prints") > 0).select("th"), "th", "left_semi").dropDuplicates(["th"])
+
+    def extend(batches):
+        for b in batches:
+            for th, t, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                own = own.as_py()
+                found = found_in(Block([x["k"] for x in own], [x["t"] for x in own], window, gram), pa.array([t], pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([th], pa.string()), *found[1:]], names=["leak_th", *COLUMNS.names[1:]])
+
+    hits = texts.join(wanted, "th").select("th", "t", "items").mapInArrow(extend, T.StructType([T.StructField("leak_th", T.StringType()), *COLUMNS.fields[1:]]))
+    hits = materialize(spark, hits.where("leak_hits > 0"), "leak-hits")
+    known = prints.select(F.col("th").alias("leak_th"), F.col("words").alias("leak_words")).join(hits, "leak_th", "left")
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("leak_row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("leak_th"))
+    out = own.join(known, "leak_th")
+    return out.select(
+        *[F.col(f"leak_row.`{c}`") for c in df.columns], "leak_words", F.coalesce("leak_hits", F.lit(0).cast("long")).alias("leak_hits"),
+        *[F.coalesce(c, F.array().cast(COLUMNS[c].dataType)).alias(c) for c in COLUMNS.names[2:]],
+    )
 
 
 def _disjoint(spans) -> list[tuple[int, int]]:
@@ -219,10 +281,7 @@ def report(df: DataFrame, bench: DataFrame, key: str = "doc_id", **options) -> D
     )
 
 
-def remove(df: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """The documents without a hit, with their own columns."""
-    return annotate(df, bench, **options).where(F.col("leak_hits") == 0).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+def remove(df: DataFrame, bench: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without a hit, with their own columns, also those named like COLUMNS."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
+    return annotate(packed, bench, **options).where("leak_hits = 0").select(*[F.col(f"row.`{c}`") for c in df.columns])

@@ -40,10 +40,17 @@ def test_decontaminate(spark, docs, rows):
                     hit |= set(range(a, a + n))
                     ids |= found
         want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
-    for block in (1 << 24, 200):  # one block, and several
+    for block in (1 << 24, 200):  # broadcast, and joined
         assert sorted(map(tuple, decontaminate.report(docs, bench, block_bytes=block).collect()), key=str) == sorted(want, key=str)
     assert decontaminate.remove(docs, bench).count() == sum(not x[-1] for x in want)
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").isEmpty()
+    clash = docs.withColumns({"leak_hits": F.lit(3), "row": F.lit("r"), "th": F.lit("t"), "k": F.lit(1), "leak_th": F.lit(2)})
+    for block in (1 << 24, 200):
+        left = decontaminate.remove(clash, bench, block_bytes=block)
+        assert left.columns == clash.columns and left.where("leak_hits = 3 and row = 'r' and th = 't' and k = 1 and leak_th = 2").count() == sum(not x[-1] for x in want)
+    # one pass through Python for the texts, whatever the benchmark's size, and no broadcast of it
+    plan = decontaminate.report(docs, bench, block_bytes=200)._jdf.queryExecution().executedPlan().toString()
+    assert "PythonMapInArrow" not in plan and "MapInArrow" not in plan
 
 
 def test_winnowing_guarantee():
