@@ -46,11 +46,11 @@ from ._common import _BYTE, LANES, SPACED, U64, chunks, discard, materialize, mi
 #: Tokens of a context at most, its least occurrences, what it must gain (in log10), and by depth the weight of its suffix's distribution.
 DEPTH, MIN_COUNT, GAIN, WEIGHTS = 2, 2, 1.0, (400.0, 20.0)
 #: Tokens of a chunk; a gain's unit is 1 / UNIT of log10.
-PLACES, UNIT = 1_000_000, 4096
+PLACES, UNIT = 1_000_000, 64
 #: Sequences of a bucket, about.
 BUCKET = 1_500_000
 #: The spelling tree: bytes of a context, least share of all predictions, test; words that are broadcast.
-SPELL_DEPTH, P_MIN, G_TEST, HEAD = 6, 5e-5, 6.0, 1 << 19
+SPELL_DEPTH, P_MIN, G_TEST, HEAD = 4, 5e-5, 6.0, 1 << 19
 #: Symbols that can follow: 256 bytes (the space ends a word) and the end of the text.
 END, SYMBOLS = 256, 257
 FLUSH = 300_000
@@ -309,15 +309,17 @@ class Lookup:
         self.keys, self.score = hashes[order], score[order]
 
     def spell(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words' spellings."""
-        at = _find(self.keys, hashes)
-        out = np.zeros(len(at))
-        out[at >= 0] = self.score[at[at >= 0]]
-        rest = np.flatnonzero(at < 0)
+        """log10 probabilities of the spellings of words that are not kept, 0 for those kept."""
+        out = np.zeros(len(hashes))
+        rest = np.flatnonzero(_find(self.keys, hashes) < 0)
         if len(rest):
             out[rest] = self.tree.score(data, starts[rest], ends[rest])
         return out
 
+    def complete(self, hashes: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        at = _find(self.keys, hashes)
+        return np.where(at >= 0, self.score[at] if len(self.score) else 0.0, spelled)
+
     def word(self, c, spelled: np.ndarray) -> np.ndarray:
         """log10 probability of words with counts c and spellings' log10 probabilities."""
         if not self.total:
@@ -426,7 +428,9 @@ class Chunk:
         return at, before[at], self.ids[d][at]
 
     def unigrams(self, model: Lookup, less: int = 0) -> np.ndarray:
-        return model.word(self.counts[0][self.token] - less * self.learnt, self.spelled[self.token])
+        spelled = model.complete(self.word.view(np.uint64), self.spelled)
+        spelled[STOP] = model.tree.end_logp
+        return model.word(self.counts[0][self.token] - less * self.learnt, spelled[self.token])
 
     def step(self, score: np.ndarray, d: int, at, up, seq, less: int = 0) -> np.ndarray:
         """log10 probabilities with the contexts of d tokens taken into account."""
@@ -452,10 +456,11 @@ class Chunk:
             score = better
         return out
 
-    def scores(self, model: Lookup, gain: list[np.ndarray]) -> np.ndarray:
+    def scores(self, model: Lookup, retained: list[np.ndarray]) -> np.ndarray:
+        """log10 probabilities of the tokens; retained: by depth, which contexts are states."""
         score = self.unigrams(model)
-        for d, g in enumerate(gain, 1):
-            score = self.step(score, d, *self.contexts(d, (self.counts[d - 1] >= MIN_COUNT) & (g >= GAIN * UNIT)))
+        for d, kept in enumerate(retained, 1):
+            score = self.step(score, d, *self.contexts(d, kept))
         return score
 
 
@@ -482,7 +487,7 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
         fields = {
             "token": rank[tokens],
             "word": np.concatenate([_MARKS, word[order]]).view(np.int64),
-            "spelled": np.concatenate([[0.0, shared.value.tree.end_logp], spelled[at[order]]]).astype(np.float32).view(np.int32),
+            "spelled": np.concatenate([[0.0, 0.0], spelled[at[order]]]).astype(np.float32).view(np.int32),
             **{f: np.concatenate([p[3 + k] for p in parts]) for k, f in enumerate(_FIELDS[3:])},
         }
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([packed(fields[f])], pa.binary()) for f in _FIELDS]], names=["chunk", *_FIELDS])
@@ -534,9 +539,9 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
     return df.select(F.col(key).cast("long").alias("doc"), train.alias("train"), F.col(text).alias("text")).mapInArrow(apply, _CHUNK)
 
 
-def exchange(found: DataFrame, tag: str) -> DataFrame:
+def exchange(found: DataFrame, tag: str, least: float | None = None) -> DataFrame:
     """chunk, bucket, back: for each hash that a chunk has sent to a bucket, in the order sent, the
-    sum of all chunks' values. found: bucket, chunk, keys (sorted) and vals."""
+    sum of all chunks' values, or if it is least at least. found: bucket, chunk, keys (sorted) and vals."""
 
     def meet(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpacked(k).view(np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
@@ -545,6 +550,8 @@ def exchange(found: DataFrame, tag: str) -> DataFrame:
         every = every[order]
         fresh = np.append(True, every[1:] != every[:-1])
         total = np.add.reduceat(np.concatenate(vals)[order], np.flatnonzero(fresh))
+        if least is not None:
+            total = (total >= least).astype(np.int64)
         out = np.empty(len(order), np.int64)
         out[order] = total[np.cumsum(fresh) - 1]
         edges = np.cumsum([0, *map(len, keys)])
@@ -581,7 +588,7 @@ def received(keys: np.ndarray, backs: list[tuple[int, bytes]]) -> np.ndarray:
 
 
 def restored(left: pa.Table, right: pa.Table | None, depth: int) -> tuple[int, Chunk, list[np.ndarray] | None]:
-    """A chunk with the sequences, counts and gains that are known so far."""
+    """A chunk with the sequences and counts that are known so far, and which contexts are retained."""
     row = left.slice(0, 1).to_pylist()[0]
     fields = {f: unpacked(row[f]) for f in _FIELDS}
     fields["spelled"] = fields["spelled"].astype(np.int32).view(np.float32).astype(float)
@@ -601,17 +608,16 @@ def restored(left: pa.Table, right: pa.Table | None, depth: int) -> tuple[int, C
                 chunk.counts.append(received(chunk.keys[k], backs[f"length{k}"]))
             elif not len(chunk.keys[k]):
                 chunk.counts.append(np.zeros(0, np.int64))
-    if "gains" not in backs:
+    if "retained" not in backs:
         return row["chunk"], chunk, None
-    every = received(candidates(chunk)[0], backs["gains"])
-    gain, low = [], 0
-    for d in range(1, len(chunk.keys)):
-        own = chunk.counts[d - 1] >= MIN_COUNT
-        full = np.zeros(len(own), np.int64)
-        full[own] = every[low : low + own.sum()]
-        low += int(own.sum())
-        gain.append(full)
-    return row["chunk"], chunk, gain
+    keys, own = candidates(chunk)
+    every, kept, low = received(keys, backs["retained"]), [], 0
+    for o in own:
+        full = np.zeros(len(o), bool)
+        full[o] = every[low : low + o.sum()] > 0
+        low += int(o.sum())
+        kept.append(full)
+    return row["chunk"], chunk, kept
 
 
 def candidates(chunk: Chunk) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -664,10 +670,10 @@ def score_documents(
         return out
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, chunk, gain = restored(left, right, depth)
+        _, chunk, kept = restored(left, right, depth)
         own, m = chunk.own, len(chunk.size)
         counted = chunk.counts[0][chunk.token]
-        score = chunk.scores(shared.value, gain or [])
+        score = chunk.scores(shared.value, kept or [])
         sums = [np.bincount(chunk.piece[own], weights=x[own], minlength=m) for x in (np.ones(len(own)), counted > 0, np.log10(counted + 0.1), score)]
         trim()
         return pa.table(
@@ -680,7 +686,7 @@ def score_documents(
     back = exchange(found.mapInArrow(first, _SENT), "words")
     for k in range(2, depth + 1):
         back = back.union(exchange(together(back, longer(k), _SENT), f"length{k}"))
-    back = back.union(exchange(together(back, gains, _SENT), "gains"))
+    back = back.union(exchange(together(back, gains, _SENT), "retained", GAIN * UNIT))
     pieces = together(back, scores, "row long, doc_id long, n_tokens long, n_known long, base double, score double")
     norm = float(np.log10(n + 0.1 * (v + 1)))
     return (

@@ -189,7 +189,9 @@ def test_lm_sums_to_one(spark):
     p = lambda w: (following[w] + m2 * (after_b[w] + m1 * p0[w]) / (sum(after_b.values()) + m1)) / (sum(following.values()) + m2)
     left = m2 / (sum(following.values()) + m2) * m1 / (sum(after_b.values()) + m1) * total
     assert sum(map(p, p0)) + left == pytest.approx(1)
-    scored = c.scores(model, [np.full(len(k), 10**9) for k in c.keys[:2]])
+    model.keys, model.score, model.tree = np.zeros(0, np.uint64), np.zeros(0), lm.SuffixTree()
+    model.tree.end_logp = -300.0
+    scored = c.scores(model, [np.full(len(k), True) for k in c.keys[:2]])
     ids = {w: 2 + i for i, w in enumerate(words)} | {"": lm.STOP}
     for i in range(2, len(token)):
         if token[i - 2 : i].tolist() == ctx and not c.first[i] and not c.first[i - 1]:
