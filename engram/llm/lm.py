@@ -11,7 +11,7 @@ share, interpolated with the probability of its spelling. Every token of every t
 from its longest retained suffix. The probabilities of what can follow a context sum to 1.
 
 Spellings come from a second, small suffix tree over the bytes of words, which learns each
-distinct word once. Its contexts make up at least P_MIN of all its predictions, which bounds
+distinct word once, rounded to 1 / SPELL_UNIT. Its contexts make up at least P_MIN of all its predictions, which bounds
 it whatever the corpus: it only tells words that never or seldom occur.
 
 The texts are cut into chunks of about PLACES tokens, long texts into several pieces, and
@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE, LANES, SPACED, U64, chunks, discard, materialize, mix, powers, span_hashes, text_buffer, trim, word_spans
+from ._common import _BYTE, LANES, SPACED, U64, chunks, discard, materialize, mix, powers, release, span_hashes, text_buffer, trim, word_spans
 
 #: Tokens of a context at most, its least occurrences, what it must gain (in log10), and by depth the weight of its suffix's distribution.
 DEPTH, MIN_COUNT, GAIN, WEIGHTS = 2, 2, 1.0, (400.0, 20.0)
@@ -50,7 +50,7 @@ PLACES, UNIT = 1_000_000, 64
 #: Sequences of a bucket, about.
 BUCKET = 1_500_000
 #: The spelling tree: bytes of a context, least share of all predictions, test; words that are broadcast.
-SPELL_DEPTH, P_MIN, G_TEST, HEAD = 4, 5e-5, 6.0, 1 << 19
+SPELL_DEPTH, P_MIN, G_TEST, HEAD, SPELL_UNIT = 4, 5e-5, 6.0, 1 << 19, 64
 #: Symbols that can follow: 256 bytes (the space ends a word) and the end of the text.
 END, SYMBOLS = 256, 257
 FLUSH = 300_000
@@ -295,30 +295,24 @@ def fit(counts: DataFrame, ends: int, depth: int = SPELL_DEPTH, p_min: float = P
 
 
 class Lookup:
-    """Spellings of words, kept for the most frequent ones, and probabilities without a context."""
+    """Spellings of words, kept for the most frequent ones, and probabilities without a context.
+    words: in the order of their numbers, the most frequent first."""
 
     def __init__(self, words: list[bytes], tree: SuffixTree, total: float, discount: float, distinct: float):
         self.tree, self.total, self.discount, self.distinct = tree, total, discount, distinct
         edges = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         joined = np.frombuffer(b"".join(words), np.uint8)
-        hashes, score = np.empty(len(words), np.uint64), np.empty(len(words))
+        self.hashes, self.score = np.empty(len(words), np.uint64), np.empty(len(words))
         for i, j in chunks(edges, 1 << 18):
             part, a, b = joined[edges[i] : edges[j]], edges[i:j] - edges[i], edges[i + 1 : j + 1] - edges[i]
-            hashes[i:j], score[i:j] = span_hashes(part, a, b), tree.score(part, a, b)
-        order = np.argsort(hashes)
-        self.keys, self.score = hashes[order], score[order]
-
-    def spell(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the spellings of words that are not kept, 0 for those kept."""
-        out = np.zeros(len(hashes))
-        rest = np.flatnonzero(_find(self.keys, hashes) < 0)
-        if len(rest):
-            out[rest] = self.tree.score(data, starts[rest], ends[rest])
-        return out
+            self.hashes[i:j], self.score[i:j] = span_hashes(part, a, b), rounded(tree.score(part, a, b)) / SPELL_UNIT
+        self.number = np.argsort(self.hashes)
+        self.keys = self.hashes[self.number]
 
-    def complete(self, hashes: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words that are kept, -1 for others."""
         at = _find(self.keys, hashes)
-        return np.where(at >= 0, self.score[at] if len(self.score) else 0.0, spelled)
+        return np.where(at >= 0, self.number[at] if len(self.number) else -1, -1)
 
     def word(self, c, spelled: np.ndarray) -> np.ndarray:
         """log10 probability of words with counts c and spellings' log10 probabilities."""
@@ -330,6 +324,11 @@ class Lookup:
         return np.where(seen > 0, np.log10(seen + 10.0 ** np.maximum(rest, -300)), rest)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Spellings' log10 probabilities in units of 1 / SPELL_UNIT."""
+    return np.rint(x * SPELL_UNIT).astype(np.int64)
+
+
 def _fold(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
 
@@ -400,7 +399,7 @@ class Chunk:
         """Sequences one token longer, of those whose beginning has MIN_COUNT occurrences."""
         if not self.ids:
             self.ids.append(self.token)
-            self.keys.append(self.word.view(np.uint64))
+            self.keys.append(self.word)
             return
         before = np.append(-1, self.ids[-1][:-1])
         before[self.first] = -1
@@ -428,9 +427,7 @@ class Chunk:
         return at, before[at], self.ids[d][at]
 
     def unigrams(self, model: Lookup, less: int = 0) -> np.ndarray:
-        spelled = model.complete(self.word.view(np.uint64), self.spelled)
-        spelled[STOP] = model.tree.end_logp
-        return model.word(self.counts[0][self.token] - less * self.learnt, spelled[self.token])
+        return model.word(self.counts[0][self.token] - less * self.learnt, self.spelled[self.token])
 
     def step(self, score: np.ndarray, d: int, at, up, seq, less: int = 0) -> np.ndarray:
         """log10 probabilities with the contexts of d tokens taken into account."""
@@ -464,7 +461,7 @@ class Chunk:
         return score
 
 
-_FIELDS = ["token", "word", "spelled", "row", "doc", "size", "lead", "train"]
+_FIELDS = ["token", "known", "others", "spelled", "row", "doc", "size", "lead", "train"]
 _CHUNK = "chunk long, " + ", ".join(f"{f} binary" for f in _FIELDS)
 
 
@@ -479,16 +476,18 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
             # words are numbered in the part, the marks are not
             tokens.append(np.concatenate([[BEGIN, STOP], back[low : low + len(h)] + 2])[t])
             low += len(h)
-        tokens = np.concatenate(tokens)
-        # the most frequent words get the smallest numbers, which take the fewest bytes
-        order = np.argsort(-np.bincount(tokens, minlength=len(word) + 2)[2:], kind="stable")
+        # words that are kept come first, by number, which says all of them; then the others by hash
+        kept = shared.value.find(word)
+        order = np.lexsort((word, kept, kept < 0))
+        known = int((kept >= 0).sum())
         rank = np.empty(len(order) + 2, np.int64)
         rank[:2], rank[order + 2] = [BEGIN, STOP], np.arange(len(order)) + 2
         fields = {
-            "token": rank[tokens],
-            "word": np.concatenate([_MARKS, word[order]]).view(np.int64),
-            "spelled": np.concatenate([[0.0, 0.0], spelled[at[order]]]).astype(np.float32).view(np.int32),
-            **{f: np.concatenate([p[3 + k] for p in parts]) for k, f in enumerate(_FIELDS[3:])},
+            "token": rank[np.concatenate(tokens)],
+            "known": np.diff(kept[order[:known]], prepend=0),
+            "others": np.diff(word[order[known:]], prepend=U64(0)).view(np.int64),
+            "spelled": spelled[at[order[known:]]],
+            **{f: np.concatenate([p[3 + k] for p in parts]) for k, f in enumerate(_FIELDS[4:])},
         }
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([packed(fields[f])], pa.binary()) for f in _FIELDS]], names=["chunk", *_FIELDS])
 
@@ -503,7 +502,8 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
                 part = _fold(data[low : int(offsets[j])])
                 starts, ends, first = word_spans(part, offsets[i : j + 1] - low, SPACED)
                 hashes, one, back = distinct(span_hashes(part, starts, ends))
-                spelled = tool.spell(hashes, part, starts[one], ends[one])
+                spelled, rest = np.zeros(len(hashes), np.int64), np.flatnonzero(_find(tool.keys, hashes) < 0)
+                spelled[rest] = rounded(tool.tree.score(part, starts[one[rest]], ends[one[rest]]))
                 for r in range(i, j):
                     own = np.concatenate([[BEGIN], back[first[r - i] : first[r - i + 1]] + 2, [STOP]])
                     # pieces share depth tokens with the one before
@@ -559,8 +559,7 @@ def exchange(found: DataFrame, tag: str, least: float | None = None) -> DataFram
         trim()
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "tag": pa.array([tag] * len(back)), "back": pa.array(back, pa.binary())})
 
-    met = found.groupBy("bucket").applyInArrow(meet, _BACK)
-    return materialize(found.sparkSession, met, f"lm-{tag}")
+    return materialize(found.sparkSession, found.groupBy("bucket").applyInArrow(meet, _BACK), f"lm-{tag}")
 
 
 _SENT, _BACK = "bucket long, chunk long, keys binary, vals binary", "chunk long, bucket long, tag string, back binary"
@@ -587,11 +586,13 @@ def received(keys: np.ndarray, backs: list[tuple[int, bytes]]) -> np.ndarray:
     return out
 
 
-def restored(left: pa.Table, right: pa.Table | None, depth: int) -> tuple[int, Chunk, list[np.ndarray] | None]:
+def restored(left: pa.Table, right: pa.Table | None, depth: int, model: Lookup) -> tuple[int, Chunk, list[np.ndarray] | None]:
     """A chunk with the sequences and counts that are known so far, and which contexts are retained."""
     row = left.slice(0, 1).to_pylist()[0]
     fields = {f: unpacked(row[f]) for f in _FIELDS}
-    fields["spelled"] = fields["spelled"].astype(np.int32).view(np.float32).astype(float)
+    known, others = np.cumsum(fields.pop("known")), np.cumsum(fields.pop("others").view(np.uint64), dtype=np.uint64)
+    fields["word"] = np.concatenate([_MARKS, model.hashes[known], others])
+    fields["spelled"] = np.concatenate([[0.0, model.tree.end_logp], model.score[known], fields["spelled"] / SPELL_UNIT])
     chunk = Chunk(fields)
     backs: dict[str, list] = {}
     for r in right.to_pylist() if right is not None else []:
@@ -639,7 +640,7 @@ def score_documents(
     discount, distinct = min(0.9, max(0.1, (once + 1) / (once + 2 * twice + 2))), max(1, int(v))
     n, v = int(n) + texts, int(v) + (texts > 0)
     tree = fit(counts, min(texts, 1), p_min=p_min)
-    top = frequent(counts, head).select("word").toArrow()
+    top = frequent(counts, head).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     lookup = Lookup(top.column("word").to_pylist(), tree, n, discount, distinct)
     del top
     discard(counts)
@@ -650,27 +651,27 @@ def score_documents(
     def first(batches):
         for b in batches:
             for r in range(b.num_rows):
-                number, chunk, _ = restored(pa.table(b.slice(r, 1)), None, depth)
+                number, chunk, _ = restored(pa.table(b.slice(r, 1)), None, depth, shared.value)
                 yield from sent(number, np.concatenate(chunk.keys[:2]), np.concatenate([chunk.occurrences(0), chunk.occurrences(1)]), bits).to_batches()
                 trim()
 
     def longer(k: int):
         def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-            number, chunk, _ = restored(left, right, depth)
+            number, chunk, _ = restored(left, right, depth, shared.value)
             trim()
             return sent(number, chunk.keys[k], chunk.occurrences(k), bits)
 
         return apply
 
     def gains(left: pa.Table, right: pa.Table) -> pa.Table:
-        number, chunk, _ = restored(left, right, depth)
+        number, chunk, _ = restored(left, right, depth, shared.value)
         keys, own = candidates(chunk)
         out = sent(number, keys, np.concatenate([g[o] for g, o in zip(chunk.gains(shared.value), own)]), bits)
         trim()
         return out
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, chunk, kept = restored(left, right, depth)
+        _, chunk, kept = restored(left, right, depth, shared.value)
         own, m = chunk.own, len(chunk.size)
         counted = chunk.counts[0][chunk.token]
         score = chunk.scores(shared.value, kept or [])
@@ -687,6 +688,7 @@ def score_documents(
     for k in range(2, depth + 1):
         back = back.union(exchange(together(back, longer(k), _SENT), f"length{k}"))
     back = back.union(exchange(together(back, gains, _SENT), "retained", GAIN * UNIT))
+    release(spark)
     pieces = together(back, scores, "row long, doc_id long, n_tokens long, n_known long, base double, score double")
     norm = float(np.log10(n + 0.1 * (v + 1)))
     return (

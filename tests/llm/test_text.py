@@ -138,7 +138,7 @@ def test_lm(spark, docs, rows):
     once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
     tree = lm.fit(spark.createDataFrame([(bytearray(w), 0, c) for w, c in counts.items()], "word binary, h long, c long"), 1, p_min=1e-3)
     lookup = lm.Lookup([], tree, n, min(0.9, max(0.1, (once + 1) / (once + 2 * twice + 2))), len(counts))
-    spelled = {w: tree.score(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for _, _, ws in tokens for w in ws}
+    spelled = {w: round(tree.score(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] * lm.SPELL_UNIT) / lm.SPELL_UNIT for _, _, ws in tokens for w in ws}
     score, allowed = plain_tree(tokens, n, lambda w, c: float(lookup.word(c, np.array(tree.end_logp if w == ">" else spelled[w]))))
     assert {len(c) for c in allowed} == set(range(1, lm.DEPTH + 1))
     want = []
@@ -171,7 +171,7 @@ def test_lm_sums_to_one(spark):
     counts = collections.Counter(w for t in texts for w in t.split())
     token = np.concatenate([[lm.BEGIN, *[2 + words.index(w) for w in t.split()], lm.STOP] for t in texts])
     size = np.array([len(t.split()) + 2 for t in texts])
-    c = lm.Chunk({"token": token, "word": np.arange(10, 15)[: len(words) + 2], "spelled": np.full(len(words) + 2, -300.0), "row": np.arange(4), "doc": np.arange(4), "size": size, "lead": np.ones(4, np.int64), "train": np.ones(4, np.int64)})
+    c = lm.Chunk({"token": token, "word": np.arange(10, 15, dtype=np.uint64)[: len(words) + 2], "spelled": np.full(len(words) + 2, -300.0), "row": np.arange(4), "doc": np.arange(4), "size": size, "lead": np.ones(4, np.int64), "train": np.ones(4, np.int64)})
     for k in range(3):
         c.grow()
         c.counts.append(c.occurrences(k))
@@ -189,8 +189,6 @@ def test_lm_sums_to_one(spark):
     p = lambda w: (following[w] + m2 * (after_b[w] + m1 * p0[w]) / (sum(after_b.values()) + m1)) / (sum(following.values()) + m2)
     left = m2 / (sum(following.values()) + m2) * m1 / (sum(after_b.values()) + m1) * total
     assert sum(map(p, p0)) + left == pytest.approx(1)
-    model.keys, model.score, model.tree = np.zeros(0, np.uint64), np.zeros(0), lm.SuffixTree()
-    model.tree.end_logp = -300.0
     scored = c.scores(model, [np.full(len(k), True) for k in c.keys[:2]])
     ids = {w: 2 + i for i, w in enumerate(words)} | {"": lm.STOP}
     for i in range(2, len(token)):
@@ -282,12 +280,45 @@ def test_secret_models_add_spans(spark):
     import random
 
     rng = random.Random(3)
-    rand = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-    rows = [(i, f"some ordinary words here token={rand(24)} and more words follow the_long_identifier_name2") for i in range(60)]
-    rows.append((999, f"plain text then {rand(40)} end"))
+    rand = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(chars) for _ in range(n))
+    names = ["the_long_identifier_name2", "another/path/of/ordinary/words", "internationalisation", "compute_ordinary_total", "words-and-more-words"]
+    plain = "some ordinary words here and more words follow in other places of the corpus which learns identifiers like these".split()
+    rows = [(i, " ".join(rng.sample(plain, 8)) + f" token={rand(24)} {names[i % 5]} {rng.choice(plain)}") for i in range(200)]
+    rows += [(900, f"plain text then {rand(40)} end"), (901, f"é {rand(40, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')} letters only"), (902, f"short {rand(15)}"), (903, None), (904, "")]
     got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert "markov:16:56" in got[999]
-    assert all("markov" not in got[i] for i in range(60))
+    assert "markov:16:56" in got[900] and "markov:2:42" in got[901] and "markov:6:21" in got[902]
+    assert all("markov" not in got[i] for i in range(200)) and got[903] == got[904] == ""
+
+    # the same by plain loops
+    base = [re.compile(p) for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX)]
+    random_words, ordinary, judged = set(), set(), {}
+    for i, t in rows:
+        spans = [(m.start(), m.end(), m[m.lastindex or 0]) for p in base for m in p.finditer(t or "") if p.groups == 0 or len(m[2]) >= 12]
+        random_words |= {v for *_, v in spans}
+        clean = t or ""
+        for p in base:
+            clean = p.sub(" ", clean)
+        ordinary |= set(re.findall(r"[A-Za-z0-9+/_=-]{4,}", clean))
+        runs = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.RUN, t or "")]
+        judged[i] = [v for *_, v in spans], [r for r in runs if not any(a < r[1] and r[0] < b for a, b, _ in spans)]
+
+    def model(words):
+        pair = collections.Counter(w[k : k + 2] for w in words for k in range(len(w) - 1))
+        after, single = collections.Counter(), collections.Counter()
+        for x, c in pair.items():
+            after[x[0]] += c
+            single[x[1]] += c
+        n = sum(single.values())
+        return lambda x: math.log((pair[x] + secrets.BACKOFF * (single[x[1]] + 0.5) / (n + 64)) / (after[x[0]] + secrets.BACKOFF))
+
+    r, o = model(random_words), model(ordinary)
+    ratio = lambda w: sum(r(w[k : k + 2]) - o(w[k : k + 2]) for k in range(len(w) - 1))
+    yes = [math.floor(ratio(v) * secrets.FINE) for a, _ in judged.values() for v in a]
+    no = [math.floor(ratio(v) * secrets.FINE) for _, b in judged.values() for *_, v in b]
+    worth = lambda s: sum(y < s for y in yes) / len(yes) + secrets.COST * sum(x >= s for x in no) / len(no)
+    threshold = max(range(-secrets.RANGE * secrets.FINE, secrets.RANGE * secrets.FINE + 1), key=lambda s: (-worth(s), s)) / secrets.FINE
+    for i, (_, free) in judged.items():
+        assert {f"markov:{a}:{b}" for a, b, v in free if ratio(v) >= threshold} == {x for x in got[i].split(",") if x.startswith("markov")}
 
 
 def test_chat(spark):
