@@ -6,12 +6,15 @@ labelled rows: all but GOOD of the good ones keep it. Random trees split random
 random values; a text that few splits isolate is anomalous. The threshold on the path-length
 score is calibrated from labelled rows as well.
 
-The forest is fit on at most SAMPLE rows, those with the smallest hash of their key: an
-isolation forest needs no more than trees x 256 rows. Statistics, scores and the calibration
-cover every row.
-
-Defined results: null and empty texts have only zeros and fail the base rules; without
-labelled rows the threshold is DEFAULT_THRESHOLD; repeated rows are each reported.
+The forest is fit on at most SAMPLE labelled rows, those with the smallest hash of their key: an
+isolation forest needs no more than trees x 256 rows. Statistics and scores cover every row, the
+calibration every labelled one. Only labelled rows are scored for it.
+
+Defined results: null and empty texts have only zeros and fail the base rules; without labelled
+rows there is no forest, every anomaly is 0.5 and the threshold DEFAULT_THRESHOLD; of a key with
+several labels each counts, and only such a key's rows count as often; repeated rows are each
+reported; texts of any length are read whole; an empty table gives an empty one; of thresholds
+that are equally good the highest is taken; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPACED, U64, chunks, gram_hashes, materialize, mix, smallest, span_hashes, text_buffer, word_spans
+from ._common import SPACED, U64, chunks, discard, gram_hashes, materialize, mix, smallest, span_hashes, text_buffer, word_spans
 
 SAMPLE, TREES, PSI, DEPTH, SEED = 16_384, 128, 256, 12, 7
 DEFAULT_THRESHOLD = 0.72
@@ -145,10 +148,9 @@ def _good(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
 
 
-def limits(stats: DataFrame, labels: DataFrame) -> list[float]:
+def limits(labelled: DataFrame) -> list[float]:
     """What good labelled rows may break of each rule."""
-    own = stats.where(~base_failed()).join(_good(labels).where("quality > 0").select("doc_id").hint("merge"), "doc_id")
-    r = own.agg(*[F.percentile_approx(c, F.lit(GOOD), F.lit(10_000)).alias(c) for c in RULES]).first()
+    r = labelled.where(~base_failed() & (F.col("quality") > 0)).agg(*[F.percentile_approx(c, F.lit(GOOD), F.lit(10_000)).alias(c) for c in RULES]).first()
     return [float(r[c] or 0.0) for c in RULES]
 
 
@@ -212,8 +214,9 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_forest(stats: DataFrame, limit: list[float], sample: int = SAMPLE) -> IsolationForest:
-    rows = smallest(stats.where(~base_failed()), F.xxhash64("doc_id"), sample, *RULES).select(*RULES).collect()
+def fit_forest(labelled: DataFrame, limit: list[float], sample: int = SAMPLE) -> IsolationForest:
+    """From statistics of labelled rows."""
+    rows = smallest(labelled.where(~base_failed()), F.xxhash64("doc_id"), sample, *RULES).select(*RULES).collect()
     return IsolationForest(excess({k: np.array([r[k] for r in rows], dtype=float) for k in RULES}, limit))
 
 
@@ -232,19 +235,13 @@ def score(stats: DataFrame, forest: IsolationForest, limit: list[float]) -> Data
     return stats.mapInArrow(apply, schema)
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS) -> float:
+def calibrate(scored: DataFrame, max_loss: float = MAX_LOSS) -> float:
     """The lowest threshold that rejects at most max_loss of the rows labelled good, among
     those that separate: where the gain over the next higher step is all in bad rows."""
-    steps = (
-        scored.where(~base_failed())
-        .join(_good(labels).hint("merge"), "doc_id")
-        .groupBy(F.floor(F.col("anomaly") * STEPS).cast("int").alias("step"), "quality")
-        .count()
-        .collect()
-    )
+    steps = scored.where(~base_failed()).groupBy(F.floor(F.col("anomaly") * STEPS).cast("int").alias("step"), (F.col("quality") > 0).alias("good")).count().collect()
     good, bad = np.zeros(STEPS + 2), np.zeros(STEPS + 2)
     for r in steps:
-        (good if r["quality"] else bad)[r["step"]] += r["count"]
+        (good if r["good"] else bad)[r["step"]] += r["count"]
     if not good.sum() or not bad.sum():
         return DEFAULT_THRESHOLD
     loss = np.cumsum(good[::-1])[::-1] / good.sum()
@@ -257,7 +254,9 @@ def calibrate(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
 def assess(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document: COUNTS, anomaly, base_failed and kept."""
     stats = materialize(df.sparkSession, statistics(df, key, text).select("*", *broken()), "quality-stats")
-    limit = limits(stats, labels)
-    scored = score(stats, fit_forest(stats, limit), limit)
-    threshold = calibrate(scored, labels, **options)
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(threshold)))
+    labelled = materialize(df.sparkSession, stats.join(_good(labels).hint("merge"), "doc_id"), "quality-labelled")
+    limit = limits(labelled)
+    forest = fit_forest(labelled, limit)
+    threshold = calibrate(score(labelled, forest, limit), **options)
+    discard(labelled)
+    return score(stats, forest, limit).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(threshold)))

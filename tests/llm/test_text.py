@@ -282,7 +282,7 @@ def test_secret_models_add_spans(spark):
     rng = random.Random(3)
     rand = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(chars) for _ in range(n))
     names = ["the_long_identifier_name2", "another/path/of/ordinary/words", "internationalisation", "compute_ordinary_total", "words-and-more-words"]
-    plain = "some ordinary words here and more words follow in other places of the corpus which learns identifiers like these".split()
+    plain = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 6))) for _ in range(1500)]
     rows = [(i, " ".join(rng.sample(plain, 8)) + f" token={rand(24)} {names[i % 5]} {rng.choice(plain)}") for i in range(200)]
     rows += [(900, f"plain text then {rand(40)} end"), (901, f"é {rand(40, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')} letters only"), (902, f"short {rand(15)}"), (903, None), (904, "")]
     got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -302,8 +302,9 @@ def test_secret_models_add_spans(spark):
         runs = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.RUN, t or "")]
         judged[i] = [v for *_, v in spans], [r for r in runs if not any(a < r[1] and r[0] < b for a, b, _ in spans)]
 
-    def model(words):
+    def model(words, less):
         pair = collections.Counter(w[k : k + 2] for w in words for k in range(len(w) - 1))
+        pair = collections.Counter({x: c - less for x, c in pair.items()})
         after, single = collections.Counter(), collections.Counter()
         for x, c in pair.items():
             after[x[0]] += c
@@ -311,12 +312,10 @@ def test_secret_models_add_spans(spark):
         n = sum(single.values())
         return lambda x: math.log((pair[x] + secrets.BACKOFF * (single[x[1]] + 0.5) / (n + 64)) / (after[x[0]] + secrets.BACKOFF))
 
-    r, o = model(random_words), model(ordinary)
-    ratio = lambda w: sum(r(w[k : k + 2]) - o(w[k : k + 2]) for k in range(len(w) - 1))
-    yes = [math.floor(ratio(v) * secrets.FINE) for a, _ in judged.values() for v in a]
-    no = [math.floor(ratio(v) * secrets.FINE) for _, b in judged.values() for *_, v in b]
-    worth = lambda s: sum(y < s for y in yes) / len(yes) + secrets.COST * sum(x >= s for x in no) / len(no)
-    threshold = max(range(-secrets.RANGE * secrets.FINE, secrets.RANGE * secrets.FINE + 1), key=lambda s: (-worth(s), s)) / secrets.FINE
+    r, o = model(random_words, 0), model(ordinary, 1)
+    mixed = lambda x: math.log((1 - secrets.UNIFORM) * math.exp(r(x)) + secrets.UNIFORM / secrets.TOKEN_CHARACTERS)
+    ratio = lambda w: sum(mixed(w[k : k + 2]) - o(w[k : k + 2]) for k in range(len(w) - 1))
+    threshold = math.log(secrets.COST * sum(len(b) for _, b in judged.values()) / sum(len(a) for a, _ in judged.values()))
     for i, (_, free) in judged.items():
         assert {f"markov:{a}:{b}" for a, b, v in free if ratio(v) >= threshold} == {x for x in got[i].split(",") if x.startswith("markov")}
 
