@@ -2,12 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clocks import hlc
 
 
+# -------------------------------------------------------------- stored tables
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it. Only where it names none and all
+    runs in one JVM a local one takes its place."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        found = tempfile.mkdtemp(prefix="engram-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """Tells whether what lies at a path has changed: its files' number, bytes and time."""
+    fs, p = _path(spark, path)
+    size, times = fs.getContentSummary(p), sorted(f.getModificationTime() for f in fs.listStatus(p))
+    return f"{path} {size.getFileCount()} {size.getLength()} {times[-1:]}"
+
+
+def stored(spark: SparkSession, name: str, sources: list[str], build) -> DataFrame:
+    """What build() returns, written to the shared folder by its first use in an application and
+    read again by later ones, as long as the source paths have not changed."""
+    key = hashlib.sha256("\n".join([spark.sparkContext.applicationId, *(state_of(spark, s) for s in sources)]).encode()).hexdigest()[:24]
+    path = f"{shared_folder(spark)}/engram/{name}-{key}"
+    fs, done = _path(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt to all cores; a larger one is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The last row of each key. Partial maxima are combined before the shuffle."""
     cols = [F.col(f"`{c}`") for c in df.columns]

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 from ..operators import folds
 from ..operators import retrieval as R
 from . import search as S
+from .q_retrieval import index_table
 from .registry import query
 from .views import NOW, ops, points, table
 
 
 def _asked(spark, sf):
     p = points(spark, sf)
-    index = R.bm25(p.select("id", "text"))
-    q = p.where("dense is not null and id % 100 = 0").select(F.col("id").alias("query_id"), "text", F.col("dense").alias("q"))
+    index = index_table(spark, sf)
+    q = p.where("dense is not null and id % 50 = 0").select(F.col("id").alias("query_id"), "text", F.col("dense").alias("q"))
     return p, index, q
 
 
 @query()
 def search_pipeline(spark, sf):
     p, index, q = _asked(spark, sf)
-    m = p.where("id % 3 = 0").select((F.col("id") - F.col("id") % 100).alias("query_id"), "id", (F.col("id") % 7).alias("mentions"))
+    m = p.where("id % 3 = 0").select((F.col("id") - F.col("id") % 50).alias("query_id"), "id", (F.col("id") % 7).alias("mentions"))
     return S.search(p, index, q, NOW, k=5, spec={"sensitivity": ["public", "internal", "sensitive"]}, mentions=m).select("query_id", "id", F.round("score", 4).alias("score"), "rank", "contributors", "in_set")
 
 
@@ -90,10 +91,10 @@ def named_vectors(spark, sf):
     return s.select("id", F.col("v.dense").isNotNull().alias("has_dense"), F.size("v.dense").cast("long").alias("dims"))
 
 
-@query("SELECT doc_id AS id, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE n_chars < 300) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) <= 5")
+@query("SELECT doc_id AS id, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) <= 5")
 def sparse_vectors(spark, sf):
     from ..functions.text import tokenize
 
-    d = table(spark, sf, "documents").where("n_chars < 300").select(F.col("doc_id").alias("id"), F.explode(tokenize(F.col("text"))).alias("term"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(tokenize(F.col("text"))).alias("term"))
     c = d.groupBy("id", "term").agg(F.count("*").alias("tf"))
     return R.top_k(c.withColumn("score", F.col("tf")), 5, ["id"], tie="term").select("id", "term", "tf")

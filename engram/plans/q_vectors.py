@@ -36,16 +36,16 @@ def int8_roundtrip(spark, sf):
 
 
 @query(
-    """WITH b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x > 0 AS INT)) AS b FROM embeddings), s AS (SELECT q.id AS query_id, e.id, round(1 - 2.0 * list_sum(list_transform(list_zip(q.b, e.b), lambda z: CAST(z[1] <> z[2] AS INT))) / 64, 6) AS score FROM b q, b e WHERE q.id % 100 = 0)
+    """WITH b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x > 0 AS INT)) AS b FROM embeddings), s AS (SELECT q.id AS query_id, e.id, round(1 - 2.0 * list_sum(list_transform(list_zip(q.b, e.b), lambda z: CAST(z[1] <> z[2] AS INT))) / 64, 6) AS score FROM b q, b e WHERE q.id % 50 = 0)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10"""
 )
 def sign_hamming_topk(spark, sf):
-    from ..operators.retrieval import top_k
+    from ..operators.retrieval import nearest, top_k
 
-    b = _v(spark, sf).select("id", V.sign_bits(F.col("dense")).alias("b"))
-    packed = b.where("id % 100 = 0").agg(F.collect_list(F.struct(F.col("id").alias("query_id"), F.col("b").alias("q"))).alias("qs"))
-    s = b.join(F.broadcast(packed)).select("id", "b", F.explode("qs").alias("q")).select("q.query_id", "id", F.round(V.sign_similarity(F.col("q.q"), F.col("b")), 6).alias("score"))
-    return top_k(s, 10, ["query_id"])
+    # as +1 and -1, the product of n signs is n - 2 * hamming
+    b = _v(spark, sf).select("id", F.transform(V.sign_bits(F.col("dense")), lambda x: 2.0 * x - 1).alias("dense"), F.size("dense").alias("n"))
+    s = nearest(b, b.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("q")), 10)
+    return top_k(s.select("query_id", "id", F.round(F.col("score") / F.lit(float(b.first().n)), 6).alias("score")), 10, ["query_id"])
 
 
 @query("SELECT tier, round(ratio, 4) AS ratio FROM (VALUES ('hot', CAST(1.0 AS DOUBLE)), ('warm', 256.0 / 68.0), ('cold', 256.0 / 8.0)) t(tier, ratio)")

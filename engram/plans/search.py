@@ -36,7 +36,7 @@ def search(
     fetch = max(6 * k, 24) if metrics.allows("wide_fetch", level) else max(2 * k, 10)
     allowed = filters.visible(filters.Filter.parse(spec).apply(points), tenant)
     ids = allowed.select("id")
-    dense = R.top_k(R.dense_scores(allowed, queries.select("query_id", "q")), fetch, ["query_id"])
+    dense = R.top_k(R.nearest(allowed, queries.select("query_id", "q"), fetch), fetch, ["query_id"])
     if metrics.allows("sparse", level):
         sparse = R.top_k(R.sparse_scores(index.join(ids, "id", "left_semi"), query_terms(queries, index)), fetch, ["query_id"])
     else:
