@@ -47,6 +47,8 @@ RATIO, SMALL, SPARE, HOT = 1.75, 48, 1.35, 16
 STAR_RUNS = 4
 #: Signatures held before they are sent, and bytes of input for one bucket.
 FLUSH, BUCKET_BYTES = 4_000_000, 6 << 20
+#: Shingles of a group in the join of needy documents, about.
+TOKENS = 1_000_000
 
 
 def _bands() -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +136,12 @@ _ENTRY = np.dtype([("fp", "<u8"), ("n", "<u4"), ("slack", "<i4"), ("band", "u1")
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("fp", "<u8"), ("n", "<u4")])
 
 
+def runs(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first, last + 1) of each run of equal values."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return list(zip(x[first].tolist(), first.tolist(), [*first[1:].tolist(), len(x)]))
+
+
 class Sender:
     """Gathers signatures of a task and lays them out by bucket."""
 
@@ -179,9 +187,8 @@ class Sender:
         where = (docs["fp"] % U64(self.buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         rows = [[], [], [], []]
-        edges = np.searchsorted(where[order], np.arange(self.buckets + 1))
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            for r, x in zip(rows, (k, docs[order[edges[k] : edges[k + 1]]].tobytes(), b"", b"")):
+        for k, a, b in runs(where[order]):
+            for r, x in zip(rows, (k, docs[order[a:b]].tobytes(), b"", b"")):
                 r.append(x)
         if self.sigs:
             entries, sig, who = np.concatenate(self.entries), np.concatenate(self.sigs), np.concatenate(self.who)
@@ -189,11 +196,7 @@ class Sender:
             bucket = bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket.astype(np.int64)
             order = np.lexsort((who, bucket)) if self.buckets >= 1 << 16 else np.argsort(who, kind="stable")[np.argsort(bucket[np.argsort(who, kind="stable")], kind="stable")]
             bucket, sig, who = bucket[order], sig[order], who[order]
-            edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-            for k in range(self.buckets):
-                a, b = edges[k], edges[k + 1]
-                if a == b:
-                    continue
+            for k, a, b in runs(bucket):
                 heads = np.flatnonzero(np.append(True, who[a + 1 : b] != who[a : b - 1]))
                 part = entries[who[a:b][heads]]
                 part["count"] = np.diff(np.append(heads, b - a))
@@ -288,7 +291,7 @@ def _input_bytes(df: DataFrame) -> int:
 
 def find(df: DataFrame, key: str, text: str) -> DataFrame:
     """What all buckets show, see meet()."""
-    buckets = max(partitions_for(df.sparkSession), min(200_000, _input_bytes(df) // BUCKET_BYTES))
+    buckets = max(partitions_for(df.sparkSession), _input_bytes(df) // BUCKET_BYTES)
 
     def send(batches):
         sender = Sender(buckets)
@@ -442,7 +445,8 @@ def _prefix_pairs(df: DataFrame, members: DataFrame, owners: DataFrame, labels:
     tokens = sets.join(comp, "fp").select("fp", "n", "comp", "set").mapInArrow(explode, "fp long, n long, comp long, token long")
     # only shingles that several components have can be in common; each set's as one array, rare first
     least = F.ceil(F.col("n") * 3 / 4)
-    across = tokens.groupBy(F.pmod("token", F.lit(partitions_for(spark)))).applyInArrow(_across, "fp long, n long, comp long, token long, df long")
+    groups = max(partitions_for(spark), (comp.agg(F.sum("n")).first()[0] or 0) // TOKENS)
+    across = tokens.groupBy(F.pmod("token", F.lit(groups))).applyInArrow(_across, "fp long, n long, comp long, token long, df long")
     ordered = across.groupBy("fp", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     ordered = ordered.withColumn("left", F.size("t")).where(F.col("left") >= least)
     prefix = ordered.select("fp", "comp", "n", "left", F.posexplode(F.slice("t", 1, (F.col("left") - least + 1).cast("int"))).alias("i", "x"))

@@ -435,8 +435,10 @@ class Chunk:
         c = self.counts[d][seq] - less * self.learnt[at]
         n = self.counts[d - 1][up] - less * self.learnt[at]
         out = score.copy()
-        p = score[at]
-        out[at] = np.where(c > 0, np.log10(np.maximum(c, 0) + mass * 10.0 ** np.maximum(p, -300)), np.log10(mass) + p) - np.log10(n + mass)
+        p = score[at] + np.log10(mass)
+        seen = np.flatnonzero(c > 0)
+        p[seen] = np.log10(c[seen] + 10.0 ** np.maximum(p[seen], -300))
+        out[at] = p - np.log10(n + mass)
         return out
 
     def gains(self, model: Lookup) -> list[np.ndarray]:
@@ -504,12 +506,13 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
                 hashes, one, back = distinct(span_hashes(part, starts, ends))
                 spelled, rest = np.zeros(len(hashes), np.int64), np.flatnonzero(_find(tool.keys, hashes) < 0)
                 spelled[rest] = rounded(tool.tree.score(part, starts[one[rest]], ends[one[rest]]))
+                words = hashes, spelled
                 for r in range(i, j):
                     own = np.concatenate([[BEGIN], back[first[r - i] : first[r - i + 1]] + 2, [STOP]])
                     # pieces share depth tokens with the one before
                     for a in range(1, len(own), limit):
                         lead = min(a, depth)
-                        parts.append((own[a - lead : a + limit], lead, row, ids[r], learnt[r], (hashes, spelled)))
+                        parts.append((own[a - lead : a + limit], lead, row, ids[r], learnt[r], words))
                         held += min(limit, len(own) - a)
                         if held >= limit:
                             yield flush(number, grouped(parts))

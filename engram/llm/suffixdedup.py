@@ -15,8 +15,11 @@ exist, and becomes a level; levels of like size merge, so n batches leave log2(n
 each suffix is merged as often.
 
 A string counts as earlier if it starts in a document with a smaller doc_id; strings are
-judged on the input. Defined results: null texts are empty; texts below LENGTH bytes keep all;
-documents with one doc_id are not earlier than each other; a null doc_id comes last.
+judged on the input. Parts and contexts are told apart by 64-bit hashes each, and a string is
+covered on their word only if both agree. Defined results: null texts are empty; texts below
+LENGTH bytes keep all; texts of any length are read whole; documents with one doc_id are not
+earlier than each other, a repeated row gets its result again; a null doc_id comes last; an
+empty table gives an empty one; other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import _BYTE, LANES, U64, chunks, materialize, mix, partitions_for, powers, release, text_buffer, trim
-from .jaccard import _input_bytes
+from .jaccard import _input_bytes, runs
 
 LENGTH, GRAM = 50, 20
 FLUSH, BUCKET_BYTES, BATCH = 2_000_000, 8 << 20, 4096
@@ -75,7 +78,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 _ENTRY = np.dtype([("doc", "<i8"), ("th", "<u2"), ("count", "<u4")])
-_ANCHOR = np.dtype([("part", "<u4"), ("part2", "<u2"), ("ctx", "<u4"), ("ctx2", "<u2"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
+_ANCHOR = np.dtype([("part", "<u8"), ("ctx", "<u8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
 
 
 def _sent(held: list, buckets: int):
@@ -84,15 +87,11 @@ def _sent(held: list, buckets: int):
     bucket = bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     out = np.zeros(len(order), _ANCHOR)
-    key, ctx = part[order] >> U64(16), ctx[order] >> U64(16)
-    out["part"], out["part2"] = key >> U64(16), key & U64(0xFFFF)
-    out["ctx"], out["ctx2"] = ctx >> U64(16), ctx & U64(0xFFFF)
+    out["part"], out["ctx"] = part[order], ctx[order]
     out["at"], out["left"], out["right"] = at[order], left[order], right[order]
     doc, th = doc[order], th[order]
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows: list[list] = [[], [], []]
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        a, b = edges[k], edges[k + 1]
+    for k, a, b in runs(bucket[order]):
         heads = np.flatnonzero(np.append(True, (doc[a + 1 : b] != doc[a : b - 1]) | (th[a + 1 : b] != th[a : b - 1])))
         entry = np.zeros(len(heads), _ENTRY)
         entry["doc"], entry["th"], entry["count"] = doc[a:b][heads], th[a:b][heads], np.diff(np.append(heads, b - a))
@@ -111,7 +110,7 @@ def meet(table: pa.Table) -> pa.Table:
     docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), _ENTRY)
     found = np.frombuffer(b"".join(table.column("anchors").to_pylist()), _ANCHOR)
     who = np.repeat(np.arange(len(docs), dtype=np.int64), docs["count"])
-    part = (found["part"].astype(np.uint64) << U64(16)) | found["part2"].astype(np.uint64)
+    part = found["part"].astype(np.uint64)
     # parts of one document only are done with
     order = np.argsort(part, kind="stable")
     part = part[order]
@@ -126,7 +125,7 @@ def meet(table: pa.Table) -> pa.Table:
         several = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
         keep = np.repeat(several, np.diff(np.append(heads, len(part))))
         found, who, doc, part = found[keep], who[keep], doc[keep], part[keep]
-    ctx = (found["ctx"].astype(np.uint64) << U64(16)) | found["ctx2"].astype(np.uint64)
+    ctx = found["ctx"].astype(np.uint64)
     order = np.lexsort((doc, ctx, part))
     found, who, doc, part, ctx = found[order], who[order], doc[order], part[order], ctx[order]
     fresh = np.append(True, (part[1:] != part[:-1]) | (ctx[1:] != ctx[:-1]))[: len(part)]
@@ -243,7 +242,7 @@ def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
 def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, th, covered: byte ranges to remove as pairs of uint32, in no order, overlapping."""
     spark = df.sparkSession
-    buckets = max(partitions_for(spark), min(200_000, _input_bytes(df) // BUCKET_BYTES))
+    buckets = max(partitions_for(spark), _input_bytes(df) // BUCKET_BYTES)
     rows = _identified(df, key, text).select("doc", "th", "text")
 
     def send(batches):
