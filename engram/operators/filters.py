@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -190,3 +192,20 @@ def pushable(spec: Filter) -> bool:
     missing fields by themselves. What is not is applied after the scan, with the same result."""
     exact = {"eq", "in", "lt", "lte", "gt", "gte", "range", "exists"}
     return not spec.must_not and not spec.should and all(c.op in exact for c in spec.must)
+
+
+def spec_key(*fields: str) -> Column:
+    """A digest of the equality filter on a row's own values of some fields, the same in whatever
+    order they are named."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)])), 256)
+
+
+def filter_key(spec: dict | None) -> str:
+    """A digest of a filter in any notation: equal for specs that differ in order only."""
+
+    def plain(x: Any) -> Any:
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, (list, tuple, set, frozenset)) else x
+
+    return hashlib.sha256(json.dumps(plain(spec or {}), sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()

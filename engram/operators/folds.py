@@ -1,51 +1,89 @@
-"""Folds over ordered observations: what each step gives depends on the one before. One key's
-series is one link's or device's log; keys run in parallel."""
+"""Folds over ordered observations: what each step gives depends on the one before. Rows are dealt
+by key and sorted there, and a task reads them as a stream with one key's state in hand: memory
+does not follow the length of a series, keys run in parallel, and a series takes time in
+proportion to its length, in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, schema, finish: Callable | None = None) -> DataFrame:
+    """step(state, row) for each row of a key in order, its result (a tuple or None) put out;
+    finish(state, key) once after a key's last row, likewise. start() makes a key's state."""
+    names = [f.name for f in schema.fields] if isinstance(schema, T.StructType) else [x.split()[0] for x in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, now, any_yet = None, None, False
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                k = getattr(row, key)
+                if not any_yet or k != now:
+                    if any_yet and finish is not None:
+                        out.append(finish(state, now))
+                    state, now, any_yet = start(), k, True
+                done = step(state, row)
+                if done is not None:
+                    out.append(done)
+            yield pd.DataFrame(out, columns=names)
+        if any_yet and finish is not None:
+            yield pd.DataFrame([finish(state, now)], columns=names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+class _Link:
+    rtt = jitter = loss = 0.0
+    good = 0
+
+
 def link_health(df: DataFrame, key: str, order: str, rtt_weight: float = 0.3, decay: float = 0.25, recover: float = 0.5) -> DataFrame:
     """key, rtt, jitter, loss after all probes (rtt, ok): recovery is fast, a timeout weighs little."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rtt = jitter = loss = 0.0
-        good = 0
-        for r in pdf.sort_values(order, kind="stable").itertuples():
-            if r.ok:
-                before = rtt
-                rtt = rtt_weight * r.rtt + (1 - rtt_weight) * (rtt or r.rtt)
-                jitter = rtt_weight * abs(r.rtt - before) + (1 - rtt_weight) * jitter
-                loss *= 1 - recover
-                good += 1
-                loss = min(loss, 0.05) if good >= 2 else loss
-            else:
-                good, loss = 0, decay + (1 - decay) * loss
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "rtt": [round(rtt, 4)], "jitter": [round(jitter, 4)], "loss": [round(loss, 6)]})
+    def step(s: _Link, r) -> None:
+        if r.ok:
+            before = s.rtt
+            s.rtt = rtt_weight * r.rtt + (1 - rtt_weight) * (s.rtt or r.rtt)
+            s.jitter = rtt_weight * abs(r.rtt - before) + (1 - rtt_weight) * s.jitter
+            s.loss *= 1 - recover
+            s.good += 1
+            s.loss = min(s.loss, 0.05) if s.good >= 2 else s.loss
+        else:
+            s.good, s.loss = 0, decay + (1 - decay) * s.loss
+
+    kind = dict(df.dtypes)[key]
+    return fold(df, key, [order], _Link, step, f"{key} {kind}, rtt double, jitter double, loss double", lambda s, k: (k, round(s.rtt, 4), round(s.jitter, 4), round(s.loss, 6)))
 
-    return df.groupBy(key).applyInPandas(fold, f"{key} {dict(df.dtypes)[key]}, rtt double, jitter double, loss double")
+
+class _Level:
+    level, since = 0, None
 
 
 def degradation(df: DataFrame, key: str, order: str, burn: str, up: float = 2.0, down: float = 0.5, dwell: float = 8.0, top: int = 4) -> DataFrame:
     """key, t, level at each change: a level up while the budget burns too fast, one down when it
     does not, never before a level has lasted its dwell."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, since, out = 0, None, []
-        for t, b in zip(*(pdf.sort_values(order, kind="stable")[c] for c in (order, burn))):
-            since = t if since is None else since
-            if t - since < dwell:
-                continue
-            to = min(top, level + 1) if b >= up else max(0, level - 1) if b <= down else level
-            if to != level:
-                level, since = to, t
-                out.append((pdf[key].iloc[0], t, level))
-        return pd.DataFrame(out, columns=[key, order, "level"])
+    def step(s: _Level, r):
+        t, b = getattr(r, order), getattr(r, burn)
+        s.since = t if s.since is None else s.since
+        if t - s.since < dwell:
+            return None
+        to = min(top, s.level + 1) if b >= up else max(0, s.level - 1) if b <= down else s.level
+        if to == s.level:
+            return None
+        s.level, s.since = to, t
+        return getattr(r, key), t, to
+
+    return fold(df, key, [order, burn], _Level, step, f"{key} {dict(df.dtypes)[key]}, {order} double, level int")
 
-    return df.groupBy(key).applyInPandas(fold, f"{key} {dict(df.dtypes)[key]}, {order} double, level int")
+
+class _Clock:
+    wall = count = 0
 
 
 def hybrid_clock(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -53,14 +91,66 @@ def hybrid_clock(df: DataFrame, key: str, order: str) -> DataFrame:
     all before."""
     schema = T.StructType([*df.schema.fields, T.StructField("stamp", T.StringType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        wall = count = 0
-        out = []
-        for w, c in zip(pdf["wall_ms"], pdf["counter"]):
-            count = max(count, c) + 1 if w == wall else c + 1 if w > wall else count + 1
-            wall = max(wall, w)
-            out.append(f"{wall:013d}.{count:05d}")
-        return pdf.assign(stamp=out)
-
-    return df.groupBy(key).applyInPandas(fold, schema)
+    def step(s: _Clock, r):
+        w, c = r.wall_ms, r.counter
+        s.count = max(s.count, c) + 1 if w == s.wall else c + 1 if w > s.wall else s.count + 1
+        s.wall = max(s.wall, w)
+        return (*r, f"{s.wall:013d}.{s.count:05d}")
+
+    return fold(df, key, [order], _Clock, step, schema)
+
+
+class _Bucket:
+    tokens, last = None, None
+
+
+def adaptive_token_bucket(df: DataFrame, key: str, ts: str, amount: str, rate: float, burst: float, least: float = 0.0, tie: str | None = None) -> DataFrame:
+    """df with admitted: ordered requests (by ts, then tie) by a token bucket, one state a key."""
+    schema = T.StructType([*df.schema.fields, T.StructField("admitted", T.BooleanType())])
+
+    def step(s: _Bucket, r):
+        t, a = getattr(r, ts), getattr(r, amount)
+        s.tokens = burst if s.tokens is None else s.tokens
+        if s.last is not None:
+            s.tokens = min(burst, s.tokens + max(0.0, t - s.last) * rate)
+        s.last = t if s.last is None else max(s.last, t)
+        ok = s.tokens - a >= least
+        s.tokens -= a if ok else 0
+        return (*r, ok)
+
+    return fold(df, key, [ts, tie or amount], _Bucket, step, schema)
+
+
+class _Spent:
+    spent, any_sent = 0, False
+
+
+def budget_fill(ordered: DataFrame, key: str, budget: int, tie: str = "op_id") -> DataFrame:
+    """df with sent: greedy fill of a byte budget by priority (0 first) within each key; what does
+    not fit is skipped, the first always goes."""
+    schema = T.StructType([*ordered.schema.fields, T.StructField("sent", T.BooleanType())])
+
+    def step(s: _Spent, r):
+        go = not s.any_sent or s.spent + r.bytes <= budget
+        s.spent, s.any_sent = s.spent + (r.bytes if go else 0), s.any_sent or go
+        return (*r, go)
+
+    return fold(ordered, key, ["priority", tie], _Spent, step, schema)
+
+
+class _Trust:
+    value = 0.0
+
+
+def trust(df: DataFrame, device: str, order: str, delta: str, start: float = 0.75) -> DataFrame:
+    """device, trust: a start value moved by ordered deltas, kept within 0..1 at every step."""
+
+    def fresh() -> _Trust:
+        s = _Trust()
+        s.value = start
+        return s
+
+    def step(s: _Trust, r) -> None:
+        s.value = max(0.0, min(1.0, s.value + getattr(r, delta)))
+
+    return fold(df, device, [order], fresh, step, f"{device} {dict(df.dtypes)[device]}, trust double", lambda s, k: (k, s.value))

@@ -242,23 +242,6 @@ def suppress(ops: DataFrame) -> DataFrame:
     return ops.join(newest, "point_id", "left").withColumn("keeper", F.when((F.col("kind") != "delete") & (F.col("_newest") != F.col("op_id")), F.col("_newest"))).drop("_newest")
 
 
-def budget_fill(ordered: DataFrame, key: str, budget: int):
-    """Greedy fill of a byte budget by priority (0 first) within each key: what does not fit is
-    skipped, the first always goes. Sequential by nature; a key's queue is one link's."""
-    import pandas as pd
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("priority", kind="stable")
-        spent, sent = 0, []
-        for b in pdf["bytes"]:
-            go = not sent or not any(sent) or spent + b <= budget
-            sent.append(go)
-            spent += b if go else 0
-        return pdf.assign(sent=sent)
-
-    return ordered.groupBy(key).applyInPandas(fill, T.StructType([*ordered.schema.fields, T.StructField("sent", T.BooleanType())]))
-
-
 def running_budget(df: DataFrame, by: list[str], order: list[Column], amount: str, total: float) -> DataFrame:
     """Privacy budget: an expense is granted while the sum so far stays within the total."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -58,6 +58,34 @@ def required_cohort(noise: Column, parameters: Column, clip: float = 1.0, snr: f
     return F.ceil(F.pow(F.lit(snr) * noise * F.sqrt(parameters) / clip, F.lit(2.0)))
 
 
+def reservoir(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """A uniform sample of n rows (key as id, and h): those with the smallest hash of seed and key.
+    The same rows whatever the partitions and their order, and each task keeps n at most."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.select(F.col(key).alias("id"), h.alias("h")).orderBy("h", "id").limit(n)
+
+
+def probes(df: DataFrame, key: str, keep: float, seed: int, text: str = "text", least: int = 4) -> DataFrame:
+    """key, probe: texts of at least some tokens with each token kept by chance, as the hash of
+    seed, key and place decides."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    t = df.select(key, tokens.alias("_k")).where(F.size("_k") >= least)
+    chance = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
+    return t.select(key, F.array_join(F.filter("_k", lambda x, i: chance(i) < int(keep * 4294967296)), " ").alias("probe"))
+
+
+def masked_sum(contributions: DataFrame, cohort: list[str], round_id: int, node: str = "node", vec: str = "vec") -> DataFrame:
+    """pos, value: the sum of vectors each of which its node masks before it leaves the task; the
+    masks of all nodes of the cohort, which is bounded, cancel."""
+
+    def mask(batches):
+        for pdf in batches:
+            yield pdf.assign(**{vec: [list(masked(np.asarray(v, float), n, cohort, round_id)) for v, n in zip(pdf[vec], pdf[node])]})
+
+    sent = contributions.select(node, V.doubles(F.col(vec)).alias(vec)).mapInPandas(mask, f"{node} string, {vec} array<double>")
+    return sent.select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("value"))
+
+
 class Adapter:
     """A low-rank bilinear correction alpha * (U q) . (V d), learnt from chosen and rejected pairs."""
 

@@ -109,22 +109,3 @@ def should_escalate(score: Column, link: Column, rtt: Column, may_egress: Column
 def battery_answers(joules_per_answer: Column, watt_hours: float = 50.0) -> Column:
     """Answers per one percent of a battery."""
     return F.when(joules_per_answer > 0, F.floor(F.lit(watt_hours * 3600 * 0.01) / joules_per_answer))
-
-
-def adaptive_token_bucket(df: DataFrame, key: str, ts: str, amount: str, rate: float, burst: float, least: float = 0.0):
-    """Admission of ordered requests by a token bucket, one state per key. Sequential by nature."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        tokens, last, out = burst, None, []
-        for t, a in zip(pdf[ts], pdf[amount]):
-            if last is not None:
-                tokens = min(burst, tokens + max(0.0, t - last) * rate)
-            last = t if last is None else max(last, t)
-            ok = tokens - a >= least
-            tokens -= a if ok else 0
-            out.append(ok)
-        return pdf.assign(admitted=out)
-
-    return df.groupBy(key).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField("admitted", T.BooleanType())]))

@@ -100,53 +100,41 @@ def iblt_size(difference: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(32), 4 * difference).cast("double")))).cast("long")
 
 
-def iblt_cells(keys: DataFrame, cells: int, key: str = "op_id", hashes: int = 4) -> DataFrame:
-    """cell, n, key_xor, check_xor: an invertible sketch of a key set, combined before the shuffle."""
+def iblt_places(key: Column, cells: int, hashes: int) -> Column:
+    return F.array(*[(F.pmod(F.xxhash64(key.cast("string"), F.lit(i)), F.lit(cells // hashes)) + i * (cells // hashes)).cast("int") for i in range(hashes)])
+
+
+def iblt_cells(keys: DataFrame, cells: int, key: str = "op_id", hashes: int = 4, parts: int = 1) -> DataFrame:
+    """part, cell, n, key_xor, check_xor: invertible sketches of a key set, one for each part that
+    a hash deals the keys to, combined before the shuffle."""
     h = F.xxhash64(F.col(key).cast("string"))
-    place = F.explode(F.array(*[(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(i)), F.lit(cells // hashes)) + i * (cells // hashes)).cast("int") for i in range(hashes)]))
-    rows = keys.select(F.col(key).cast("long").alias("k"), h.alias("c"), place.alias("cell"))
-    return rows.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor("k").alias("key_xor"), F.bit_xor("c").alias("check_xor"))
-
-
-def iblt_decode(a: DataFrame, b: DataFrame, cells: int, hashes: int = 4) -> tuple[set[int], set[int], bool]:
-    """Keys of one side only, and whether the sketch was large enough. The cells are a fixed
-    number, whatever the sets' sizes."""
-    import numpy as np
-
-    spark = a.sparkSession
-    n, k, c = (np.zeros(cells, np.int64) for _ in range(3))
-    for df, sign in ((a, 1), (b, -1)):
-        for r in df.collect():
-            n[r["cell"]] += sign * r["n"]
-            k[r["cell"]] ^= r["key_xor"]
-            c[r["cell"]] ^= r["check_xor"]
-    only_a: set[int] = set()
-    only_b: set[int] = set()
-    while True:
-        pure = [i for i in range(cells) if abs(n[i]) == 1]
-        if not pure:
-            break
-        keys = sorted({int(k[i]) for i in pure})
-        text = spark.createDataFrame([(x,) for x in keys], "op_id long")
-        where = {r["k"]: (r["c"], r["p"]) for r in text.select(F.col("op_id").alias("k"), F.xxhash64(F.col("op_id").cast("string")).alias("c"), F.array(*[(F.pmod(F.xxhash64(F.col("op_id").cast("string"), F.lit(i)), F.lit(cells // hashes)) + i * (cells // hashes)).cast("int") for i in range(hashes)]).alias("p")).collect()}
-        moved = False
-        for i in pure:
-            x = int(k[i])
-            if abs(n[i]) != 1 or x not in where or where[x][0] != c[i]:
-                continue
-            sign = int(n[i])
-            (only_a if sign > 0 else only_b).add(x)
-            for p in where[x][1]:
-                n[p] -= sign
-                k[p] ^= x
-                c[p] ^= where[x][0]
-            moved = True
-        if not moved:
-            break
-    return only_a, only_b, not (n.any() or k.any())
+    rows = keys.select(F.pmod(F.xxhash64(h, F.lit(99)), F.lit(parts)).cast("int").alias("part"), F.col(key).cast("long").alias("k"), h.alias("c"), F.explode(iblt_places(F.col(key), cells, hashes)).alias("cell"))
+    return rows.groupBy("part", "cell").agg(F.count("*").alias("n"), F.bit_xor("k").alias("key_xor"), F.bit_xor("c").alias("check_xor"))
 
 
-# ----------------------------------------------------------------- invariants
+def iblt_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of what one side only holds: n is positive for a, negative for b."""
+    both = a.select("part", "cell", "n", "key_xor", "check_xor").union(b.select("part", "cell", -F.col("n"), "key_xor", "check_xor"))
+    return both.groupBy("part", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key_xor").alias("key_xor"), F.bit_xor("check_xor").alias("check_xor"))
+
+
+def iblt_peel(cells: DataFrame, size: int, keep, hashes: int = 4, rounds: int = 60) -> tuple[DataFrame, bool]:
+    """key, sign of the keys that the subtracted cells hold, and whether all are found. Each round
+    takes the cells with one key and takes these keys out of all their cells; keep(df) writes a
+    round's table. All is done by part in joins: nothing but a flag comes to the driver."""
+    found, left = None, keep(cells)
+    for _ in range(rounds):
+        pure = left.where((F.abs("n") == 1) & (F.xxhash64(F.col("key_xor").cast("string")) == F.col("check_xor"))).groupBy("part", "key_xor").agg(F.max("n").alias("sign"))
+        pure = keep(pure)
+        if pure.isEmpty():
+            break
+        found = pure if found is None else found.union(pure)
+        out = pure.select("part", F.explode(iblt_places(F.col("key_xor"), size, hashes)).alias("cell"), (-F.col("sign")).alias("n"), "key_xor", F.xxhash64(F.col("key_xor").cast("string")).alias("check_xor"))
+        both = left.select("part", "cell", "n", "key_xor", "check_xor").union(out)
+        left = keep(both.groupBy("part", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key_xor").alias("key_xor"), F.bit_xor("check_xor").alias("check_xor")).where("n <> 0 or key_xor <> 0 or check_xor <> 0"))
+    if found is None:
+        found = left.select("part", "key_xor", F.col("n").alias("sign")).where(F.lit(False))
+    return found.select(F.col("key_xor").alias("key"), "sign"), left.where("n <> 0 or key_xor <> 0 or check_xor <> 0").isEmpty()
 
 
 def duplicates(df: DataFrame, key: str = "op_id") -> DataFrame:
@@ -205,9 +193,3 @@ def causal_release(ops: DataFrame, stream: str, seq: str = "arrival", hold_s: fl
         return pdf.assign(delivered=pd.array([order.get(i) for i in range(len(pdf))], dtype="Int32"))
 
     return ops.groupBy(stream).applyInPandas(drain, schema)
-
-
-def trust(df: DataFrame, device: str, order: str, delta: str, start: float = 0.75) -> DataFrame:
-    """device, trust: a start value moved by ordered deltas, kept within 0..1 at every step."""
-    folded = df.groupBy(device).agg(F.array_sort(F.collect_list(F.struct(order, delta))).alias("d"))
-    return folded.select(device, F.aggregate("d", F.lit(start), lambda s, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s + x[delta]))).alias("trust"))

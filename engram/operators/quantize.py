@@ -317,6 +317,55 @@ class Whitening:
         return out / np.maximum(np.linalg.norm(out, axis=1), 1e-12)[:, None]
 
 
+class Projection:
+    """The plane of the two leading directions of a covariance."""
+
+    def __init__(self, n: int, mean: np.ndarray, cov: np.ndarray):
+        values, vectors = np.linalg.eigh(cov)
+        w = vectors[:, ::-1][:, :2]
+        # a direction's sign is free: its largest entry is positive
+        self.w = w * np.sign(w[np.abs(w).argmax(0), range(w.shape[1])])
+        self.mean, self.explained = mean, [float(x) for x in values[::-1][:2] / max(values.sum(), 1e-12)]
+
+    def project(self, vec: Column) -> list[Column]:
+        """x and y of a vector: products with two literal arrays."""
+        return [V.dot(F.array(*[F.lit(float(v)) for v in self.w[:, k]]), vec) - F.lit(float(self.mean @ self.w[:, k])) for k in (0, 1)]
+
+
+def approximated(df: DataFrame, model: ProductQuantizer | IvfPq, vec: str = "dense") -> DataFrame:
+    """df with the vectors that the codes stand for in place of vec."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @pandas_udf("array<double>")
+    def near(v: pd.Series) -> pd.Series:
+        return pd.Series(list(shared.value.approximate(np.stack(v.to_numpy()).astype(float))))
+
+    return df.where(F.col(vec).isNotNull()).withColumn(vec, near(vec))
+
+
+def calibrate(df: DataFrame, model: IvfPq, queries: DataFrame, k: int, target: float = 0.95, key: str = "id", vec: str = "dense") -> dict[str, int]:
+    """probes and rescore: how many cells to look into and how many rows to score exactly, so that
+    for a share target of the stated queries all k nearest rows are among them. Measured: the
+    rank of the neighbours' cells, and how many rows the codes place before the last neighbour."""
+    from .retrieval import beaten, nearest, top_k
+
+    best = top_k(nearest(df, queries, k, key=key, vec=vec), k, ["query_id"]).select("query_id", "id")
+    rows = best.join(df.select(F.col(key).alias("id"), F.col(vec).alias("v")), "id").join(queries, "query_id").select("query_id", "q", "v")
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @pandas_udf("struct<cell:int,approx:double>")
+    def measured(q: pd.Series, v: pd.Series) -> pd.DataFrame:
+        m = shared.value
+        a, b = np.stack(q.to_numpy()).astype(float), np.stack(v.to_numpy()).astype(float)
+        order = np.argsort(-(a @ m.cells.T), axis=1)
+        return pd.DataFrame({"cell": 1 + (order == m.assign(b)[:, None]).argmax(1).astype(np.int32), "approx": (a * m.approximate(b)).sum(1)})
+
+    per = rows.withColumn("m", measured("q", "v")).groupBy("query_id").agg(F.max("m.cell").alias("cells"), F.min("m.approx").alias("least"))
+    n = beaten(approximated(df, model, vec), queries.join(per, "query_id"), vec=vec)
+    both = per.join(n, "query_id").agg(F.percentile("cells", target).alias("c"), F.percentile("n", target).alias("n")).first()
+    return {"probes": int(np.ceil(both.c)), "rescore": int(np.ceil(both.n))}
+
+
 def whiten(df: DataFrame, model: Whitening, vec: str = "dense", out: str = "white") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 

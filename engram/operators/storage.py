@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,14 @@ def stored(spark: SparkSession, name: str, sources: list[str], build) -> DataFra
     return spark.read.parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows does not depend on how it came
+    about, so a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/engram/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores, dealt to all cores; a larger one is left as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism

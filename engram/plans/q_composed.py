@@ -60,7 +60,9 @@ def lexicon_calibrate(spark, sf):
     return u.agg(F.round(F.greatest(F.lit(1e-6), F.least(F.lit(1e-2), F.median("n") / F.sum("n"))), 10).alias("a"))
 
 
-@query()
+@query("""WITH r AS (SELECT event_type, event_id, {'rtt': CAST(value AS DOUBLE), 'jitter': CAST(0 AS DOUBLE), 'loss': CAST(0 AS DOUBLE), 'good': CASE WHEN event_id % 13 <> 0 THEN 1 ELSE 0 END} AS x FROM events), l AS (SELECT event_type, list(x ORDER BY event_id) AS xs FROM r GROUP BY event_type),
+f AS (SELECT event_type, list_reduce(list_prepend({'rtt': CAST(0 AS DOUBLE), 'jitter': CAST(0 AS DOUBLE), 'loss': CAST(0 AS DOUBLE), 'good': 0}, xs), lambda a, x: CASE WHEN x.good = 1 THEN {'rtt': CAST(0.3 AS DOUBLE) * x.rtt + CAST(0.7 AS DOUBLE) * CASE WHEN a.rtt = 0 THEN x.rtt ELSE a.rtt END, 'jitter': CAST(0.3 AS DOUBLE) * abs(x.rtt - a.rtt) + CAST(0.7 AS DOUBLE) * a.jitter, 'loss': CASE WHEN a.good + 1 >= 2 THEN least(a.loss * 0.5, CAST(0.05 AS DOUBLE)) ELSE a.loss * 0.5 END, 'good': a.good + 1} ELSE {'rtt': a.rtt, 'jitter': a.jitter, 'loss': CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * a.loss, 'good': 0} END) AS s FROM l)
+SELECT event_type, round(s.rtt, 4) AS rtt, round(s.jitter, 4) AS jitter, round(s.loss, 6) AS loss FROM f""")
 def link_ewma(spark, sf):
     e = table(spark, sf, "events").select("event_type", "event_id", F.col("value").alias("rtt"), (F.col("event_id") % 13 != 0).alias("ok"))
     return folds.link_health(e, "event_type", "event_id")
@@ -72,7 +74,9 @@ def slo_ladder(spark, sf):
     return folds.degradation(e, "device_id", "t", "burn")
 
 
-@query()
+@query(""", r AS (SELECT device_id, op_id, {'w': wall_ms, 'c': CAST(counter AS BIGINT)} AS x FROM ops), l AS (SELECT device_id, list(x ORDER BY op_id) AS xs FROM r GROUP BY device_id),
+f AS (SELECT device_id, list_reduce(list_prepend({'w': CAST(0 AS BIGINT), 'c': CAST(0 AS BIGINT)}, xs), lambda a, x: {'w': greatest(a.w, x.w), 'c': CASE WHEN x.w = a.w THEN greatest(a.c, x.c) + 1 WHEN x.w > a.w THEN x.c + 1 ELSE a.c + 1 END}) AS s FROM l)
+SELECT device_id, concat(lpad(CAST(s.w AS VARCHAR), 13, '0'), '.', lpad(CAST(s.c AS VARCHAR), 5, '0')) AS last FROM f""")
 def hlc_observe(spark, sf):
     return folds.hybrid_clock(ops(spark, sf).select("device_id", "op_id", "wall_ms", "counter"), "device_id", "op_id").groupBy("device_id").agg(F.max("stamp").alias("last"))
 

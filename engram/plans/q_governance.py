@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import folds
 from ..operators import governance as G
 from .registry import query
 from .views import ops, points, table
@@ -102,13 +103,13 @@ _STOPS = "(" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {_STOPS})) AS k FROM documents WHERE n_chars < 600)
+    f"""WITH t AS (SELECT doc_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {_STOPS})) AS k FROM documents)
 SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.k, b.k)) / least(len(a.k), len(b.k)), 6) AS overlap FROM t a JOIN t b ON a.doc_id < b.doc_id AND len(list_intersect(a.k, b.k)) >= 5 AND len(list_intersect(a.k, b.k)) >= 0.45 * least(len(a.k), len(b.k))"""
 )
 def contradiction_pairs(spark, sf):
     from ..operators.contradiction import related_pairs
 
-    d = table(spark, sf, "documents").where("n_chars < 600").select(F.col("doc_id").alias("id"), "text")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return related_pairs(d, 0.45, least=5).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
@@ -172,7 +173,7 @@ def egress_value_order(spark, sf):
 def egress_budget_fill(spark, sf):
     o = ops(spark, sf).withColumn("bytes", G.op_bytes("op_id", "point_id", "kind", "value", "body").cast("int"))
     o = o.select("device_id", "op_id", "bytes", (F.col("op_id") * 7919 % 10007).alias("priority"))
-    return G.budget_fill(o, "device_id", 32 * 1024)
+    return folds.budget_fill(o, "device_id", 32 * 1024)
 
 
 @query("SELECT CAST(sum(10 + op_id % 50) AS BIGINT) AS released FROM ops WHERE op_id % 2 = 0 AND op_id % 3 = 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..operators import maintenance as M
 from ..operators import metrics as X
 from .registry import query
@@ -73,16 +74,18 @@ def cluster_medoid(spark, sf):
     return M.medoid(v, "label")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.8")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.45")
 def similar_pairs(spark, sf):
     v = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
-    return M.similar_pairs(v, 0.8, "label").withColumn("score", F.round("score", 5))
+    return M.similar_pairs(v, 0.45, "label").withColumn("score", F.round("score", 5))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.38),
+r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach), m AS (SELECT id, min(reach) AS cluster FROM r GROUP BY id)
+SELECT id, cluster FROM m QUALIFY count(*) OVER (PARTITION BY cluster) >= 3""")
 def near_duplicate_clusters(spark, sf):
     v = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
-    return M.clusters(M.similar_pairs(v, 0.8, "label"))
+    return M.clusters(M.similar_pairs(v, 0.38, "label"))
 
 
 @query(
@@ -183,10 +186,13 @@ def tenant_quota(spark, sf):
     return w.select("tenant", "win", "writes", (F.col("writes") > 1).alias("over"), F.sum("writes").over(Window.partitionBy("tenant").orderBy("win")).alias("used"))
 
 
-@query()
+@query(""", r AS (SELECT device_id, {'tokens': CAST(NULL AS DOUBLE), 'last': CAST(wall_ms / 1000.0 AS DOUBLE), 'amount': CAST(1.0 + counter AS DOUBLE), 'ok': CAST(0 AS BIGINT)} AS x, wall_ms, op_id FROM ops),
+l AS (SELECT device_id, count(*) AS n, list(x ORDER BY wall_ms, op_id) AS xs FROM r GROUP BY device_id),
+f AS (SELECT device_id, n, list_reduce(list_prepend({'tokens': CAST(5.0 AS DOUBLE), 'last': CAST(NULL AS DOUBLE), 'amount': CAST(0 AS DOUBLE), 'ok': CAST(0 AS BIGINT)}, xs), lambda a, x: {'tokens': least(5.0, a.tokens + CASE WHEN a.last IS NULL THEN 0 ELSE greatest(0, x.last - a.last) * CAST(0.001 AS DOUBLE) END) - CASE WHEN least(5.0, a.tokens + CASE WHEN a.last IS NULL THEN 0 ELSE greatest(0, x.last - a.last) * CAST(0.001 AS DOUBLE) END) - x.amount >= 0 THEN x.amount ELSE 0 END, 'last': greatest(coalesce(a.last, x.last), x.last), 'amount': x.amount, 'ok': a.ok + CASE WHEN least(5.0, a.tokens + CASE WHEN a.last IS NULL THEN 0 ELSE greatest(0, x.last - a.last) * CAST(0.001 AS DOUBLE) END) - x.amount >= 0 THEN 1 ELSE 0 END}) AS z FROM l)
+SELECT device_id, z.ok AS admitted, n FROM f""")
 def token_bucket(spark, sf):
-    e = ops(spark, sf).select("device_id", (F.col("wall_ms") / 1000.0).alias("t"), (1.0 + F.col("counter")).cast("double").alias("amount"))
-    return X.adaptive_token_bucket(e, "device_id", "t", "amount", 0.001, 5.0).groupBy("device_id").agg(F.count_if("admitted").alias("admitted"), F.count("*").alias("n"))
+    e = ops(spark, sf).select("device_id", "op_id", (F.col("wall_ms") / 1000.0).alias("t"), (1.0 + F.col("counter")).cast("double").alias("amount"))
+    return folds.adaptive_token_bucket(e, "device_id", "t", "amount", 0.001, 5.0, tie="op_id").groupBy("device_id").agg(F.count_if("admitted").alias("admitted"), F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, (SELECT count(*) FROM events) AS total FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type")

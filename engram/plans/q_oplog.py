@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clocks as C
+from ..operators import folds
 from ..operators import oplog as L
+from ..operators.storage import written
 from .registry import query
 from .views import ops, points, table
 
@@ -78,13 +80,18 @@ def log_diff(spark, sf):
     return L.log_diff(o.where("op_id % 7 <> 0"), o.where("op_id % 11 <> 0"))
 
 
-@query("SELECT CAST(count(*) FILTER (WHERE (op_id % 7 = 0) AND op_id % 11 <> 0) AS BIGINT) AS only_b, CAST(count(*) FILTER (WHERE op_id % 7 <> 0 AND op_id % 11 = 0) AS BIGINT) AS only_a, TRUE AS complete FROM (SELECT op_id FROM ops WHERE op_id < 1500)")
+@query("SELECT CAST(count(*) FILTER (WHERE (op_id % 7 = 0) AND op_id % 11 <> 0) AS BIGINT) AS only_b, CAST(count(*) FILTER (WHERE op_id % 7 <> 0 AND op_id % 11 = 0) AS BIGINT) AS only_a, TRUE AS complete FROM ops")
 def iblt_reconcile(spark, sf):
-    o = ops(spark, sf).select("op_id").where("op_id < 1500")
-    n = 2048
-    a, b = (L.iblt_cells(o.where(f"op_id % {k} <> 0"), n) for k in (7, 11))
-    only_a, only_b, complete = L.iblt_decode(a, b, n)
-    return spark.createDataFrame([(len(only_b), len(only_a), complete)], "only_b long, only_a long, complete boolean")
+    o = ops(spark, sf).select("op_id")
+    sides = [o.where(f"op_id % {k} <> 0") for k in (7, 11)]
+    # as many parts of fixed size as the difference may need: peers tell each other their sizes
+    # and how many they have in common is bounded from below by a sample of one key in 64
+    share = [x.where(F.pmod(F.xxhash64("op_id"), F.lit(64)) == 0) for x in sides]
+    differing = L.log_diff(*share).count() * 64
+    parts = max(1, -(-differing // 256))
+    a, b = (L.iblt_cells(x, 2048, parts=parts) for x in sides)
+    found, complete = L.iblt_peel(L.iblt_subtract(a, b), 2048, lambda df: written(df, "iblt"))
+    return found.agg(F.count_if(F.col("sign") < 0).alias("only_b"), F.count_if(F.col("sign") > 0).alias("only_a")).withColumn("complete", F.lit(complete))
 
 
 @query("SELECT n, CAST(CASE WHEN n <= 8 THEN 32 WHEN n <= 16 THEN 64 WHEN n <= 32 THEN 128 ELSE 1024 END AS BIGINT) AS cells FROM (VALUES (1), (8), (9), (16), (20), (250)) t(n)")
@@ -166,9 +173,10 @@ def no_duplicates(spark, sf):
     return L.duplicates(o.union(o.where("op_id % 97 = 0"))).select("op_id", (F.col("count") == 2).alias("twice"))
 
 
-@query("SELECT op_id FROM ops QUALIFY NOT coalesce({'w': wall_ms, 'c': counter} > lag({'w': wall_ms, 'c': counter}) OVER (PARTITION BY device_id ORDER BY op_id), TRUE)")
+@query("SELECT op_id FROM ops QUALIFY NOT coalesce({'w': wall_ms, 'c': counter} > lag({'w': wall_ms, 'c': counter}) OVER (PARTITION BY device_id ORDER BY op_id * 7919 % 100003, op_id), TRUE)")
 def clock_monotonic(spark, sf):
-    return L.not_monotonic(ops(spark, sf)).select("op_id")
+    arrived = ops(spark, sf).withColumn("arrival", F.col("op_id") * 7919 % 100003 * 1_000_000 + F.col("op_id"))
+    return L.not_monotonic(arrived, order="arrival").select("op_id")
 
 
 @query("SELECT op_id FROM ops WHERE wall_ms > 1706000000000 + 86400000")
@@ -201,10 +209,12 @@ def note_local(spark, sf):
     return o.select("device_id", "op_id", F.row_number().over(Window.partitionBy("device_id").orderBy("op_id")).alias("stamp"))
 
 
-@query()
+@query(""", s AS (SELECT device_id, op_id, CASE WHEN kind = 'delete' THEN CAST(-0.05 AS DOUBLE) ELSE CAST(0.01 AS DOUBLE) END AS d FROM ops),
+l AS (SELECT device_id, list(d ORDER BY op_id) AS ds FROM s GROUP BY device_id)
+SELECT device_id, round(list_reduce(list_prepend(CAST(0.75 AS DOUBLE), ds), lambda a, d: greatest(0.0, least(1.0, a + d))), 6) AS trust FROM l""")
 def device_trust(spark, sf):
     o = ops(spark, sf).select("device_id", "op_id", (F.when(F.col("kind") == "delete", -0.05).otherwise(0.01)).alias("delta"))
-    return L.trust(o, "device_id", "op_id", "delta").withColumn("trust", F.round("trust", 6))
+    return folds.trust(o, "device_id", "op_id", "delta").withColumn("trust", F.round("trust", 6))
 
 
 @query()
@@ -212,9 +222,9 @@ def causal_delivery(spark, sf):
     # each device's n-th operation depends on its own previous ones; arrivals are shuffled
     from pyspark.sql import Window
 
-    o = ops(spark, sf).where("op_id < 600")
+    o = ops(spark, sf)
     n = F.row_number().over(Window.partitionBy("point_id", "device_id").orderBy("op_id"))
-    o = o.select("point_id", "op_id", F.col("device_id").alias("sender"), n.alias("n"), (F.col("op_id") * 37 % 601).alias("arrival"))
+    o = o.select("point_id", "op_id", F.col("device_id").alias("sender"), n.alias("n"), (F.col("op_id") * 7919 % 100003).alias("arrival"))
     o = o.withColumn("clock", F.map_from_arrays(F.array("sender"), F.array("n"))).drop("n")
     return L.causal_release(o, "point_id").select("point_id", "op_id", "delivered")
 

@@ -328,27 +328,34 @@ _SHORT = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, list_distinct({_SHORT}) AS w FROM documents WHERE lang = 'en' AND n_chars < 400), u AS (SELECT doc_id, unnest(w) AS a FROM t),
-co AS (SELECT x.a AS term, y.a AS other, count(*) AS n FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.a <> y.a GROUP BY ALL),
-tot AS (SELECT term, sum(n) AS total FROM co GROUP BY term), voc AS (SELECT a, count(*) AS c FROM (SELECT unnest({_SHORT}) AS a FROM documents WHERE lang = 'en' AND n_chars < 400) GROUP BY a),
-d AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs FROM t),
+    f"""WITH {_TERMS}, asked AS (SELECT DISTINCT term FROM (SELECT id, term FROM bm WHERE id % 50 = 0 AND NOT contains(term, '_') AND length(term) > 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= 3)),
+d AS (SELECT doc_id, {_SHORT} AS all_w, list_distinct({_SHORT}) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS a FROM d),
+co AS (SELECT x.a AS term, y.a AS other, count(*) AS n FROM u x JOIN asked ON asked.term = x.a JOIN u y ON x.doc_id = y.doc_id AND x.a <> y.a GROUP BY ALL),
+tot AS (SELECT term, sum(n) AS total FROM co GROUP BY term), voc AS (SELECT a, count(*) AS c FROM (SELECT unnest(all_w) AS a FROM d) GROUP BY a),
+dn AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs FROM d),
 r AS (SELECT term, other, n, row_number() OVER (PARTITION BY term ORDER BY n DESC, other) AS rn FROM co),
-s AS (SELECT r.term, r.other, round(r.n / tot.total * ln(1 + docs / greatest(voc.c, 1)), 8) AS score FROM r JOIN tot USING (term) JOIN voc ON voc.a = r.other, d WHERE rn <= 24)
+s AS (SELECT r.term, r.other, round(r.n / tot.total * ln(1 + docs / greatest(voc.c, 1)), 8) AS score FROM r JOIN tot USING (term) JOIN voc ON voc.a = r.other, dn WHERE rn <= 24)
 SELECT term, other, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, other) AS rank FROM s QUALIFY rank <= 3"""
 )
 def cooccurrence_expand(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en' AND n_chars < 400")
     from ..operators.vocabulary import expansions
 
-    return expansions(d.select(F.col("doc_id").alias("id"), "text"), 24, 3).withColumn("score", F.round("score", 8)).select("term", "other", "score", "rank")
+    words = index_table(spark, sf).where("id % 50 = 0 and not contains(term, '_') and length(term) > 2")
+    asked = R.top_k(words, 3, ["id"], score="weight", tie="term").select("term")
+    return expansions(_texts(spark, sf), asked, 24, 3).withColumn("score", F.round("score", 8)).select("term", "other", "score", "rank")
 
 
-@query()
+@query(
+    f"""WITH v AS (SELECT word, count(*) AS n FROM (SELECT unnest({_SHORT}) AS word FROM documents) GROUP BY word),
+t AS (SELECT DISTINCT concat(substr(word, 1, 2), 'q', substr(word, 4)) AS token FROM v WHERE length(word) >= 5 AND n >= 20),
+u AS (SELECT token, CASE WHEN length(token) <= 5 THEN 1 ELSE 2 END AS tolerance FROM t WHERE NOT regexp_full_match(token, '[0-9]+') AND token NOT IN ({", ".join(f"'{w}'" for w in [*T.PROTECTED_WORDS, *T.STOP_WORDS])}) AND token NOT IN (SELECT word FROM v))
+SELECT token, word AS best, d FROM (SELECT token, word, n, levenshtein(token, word) AS d, tolerance FROM u JOIN v ON abs(length(word) - length(token)) <= 2 AND length(word) BETWEEN 3 AND 40)
+WHERE d <= tolerance QUALIFY row_number() OVER (PARTITION BY token ORDER BY d, n DESC, word) = 1"""
+)
 def spell_correct(spark, sf):
     from ..operators.vocabulary import correct, vocabulary
 
-    d = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
-    v = vocabulary(d)
+    v = vocabulary(_texts(spark, sf))
     typos = v.where("length(word) >= 5 AND n >= 20").select(F.concat(F.substring("word", 1, 2), F.lit("q"), F.expr("substring(word, 4)")).alias("token")).distinct()
     return correct(typos, v)
 

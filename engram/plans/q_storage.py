@@ -91,10 +91,10 @@ def lost_records(spark, sf):
     return _fsck(spark, sf).where("status in ('corrupt', 'missing')").groupBy("status").agg(F.count("*").alias("files"), F.sum(F.coalesce("records", F.lit(0))).alias("records"))
 
 
-@query(f", {_FSCK}, bad AS (SELECT generation FROM st WHERE status IN ('corrupt', 'missing')) SELECT p.id, CASE WHEN p.id % 3 = 0 THEN 'resident' ELSE 'lost' END AS fate FROM points p WHERE p.id // 1000 IN (SELECT generation FROM bad) AND (SELECT count(*) FROM ops) > 0")
+@query(f", {_FSCK}, bad AS (SELECT generation FROM st WHERE status IN ('corrupt', 'missing')) SELECT p.id, CASE WHEN p.id % 3 = 0 THEN 'resident' ELSE 'lost' END AS fate FROM points p WHERE p.id // 100 IN (SELECT generation FROM bad) AND (SELECT count(*) FROM ops) > 0")
 def repair_assess(spark, sf):
     bad = _fsck(spark, sf).where("status in ('corrupt', 'missing')").select("generation")
-    hit = points(spark, sf).select("id", F.expr("id DIV 1000").alias("generation")).join(bad, "generation", "left_semi")
+    hit = points(spark, sf).select("id", F.expr("id DIV 100").alias("generation")).join(bad, "generation", "left_semi")
     resident = hit.where("id % 3 = 0").select("id")
     lost = hit.join(resident, "id", "left_anti").select("id", F.lit("lost").alias("fate"))
     return lost.union(hit.join(resident, "id", "left_semi").select("id", F.lit("resident").alias("fate")))

@@ -109,10 +109,10 @@ def clip_norm(spark, sf):
     return _v(spark, sf).select("id", F.round(V.norm(V.clip_norm(F.col("dense"), 0.5)), 6).alias("norm"))
 
 
-@query("SELECT CAST(p - 1 AS INT) AS pos, round(sum(x) / 10, 6) AS value FROM (SELECT unnest(range(1, 65)) AS p, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings WHERE vec_id < 10) GROUP BY p")
+@query("SELECT CAST(p - 1 AS INT) AS pos, round(avg(x), 6) AS value FROM (SELECT unnest(range(1, 65)) AS p, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY p")
 def federated_mean(spark, sf):
-    c = _v(spark, sf).where("id < 10").select(F.col("id").cast("string").alias("node"), F.col("dense").alias("vec"))
-    return L.federated_mean(c, 10).withColumn("value", F.round("value", 6))
+    c = _v(spark, sf).select(F.col("id").cast("string").alias("node"), F.col("dense").alias("vec"))
+    return L.federated_mean(c, 0).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT s AS sigma, p AS parameters, CAST(ceil(s * s * p) AS BIGINT) AS cohort FROM (VALUES (CAST(0.5 AS DOUBLE), 100), (1.0, 64), (2.5, 16)) t(s, p)")
@@ -141,3 +141,91 @@ def adapter_rescore(spark, sf):
     a.learn([(q, rows[0], rows[1], 1.0)])
     base = v.withColumn("score", V.dot(F.array(*[F.lit(float(x)) for x in q]), F.col("dense")))
     return a.rescore(base, q).orderBy(F.desc("adapted"), "id").limit(10).select("id", F.round("adapted", 6).alias("adapted"))
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
+def rotated_norm(spark, sf):
+    """A rotation leaves norms as they are."""
+    v = _v(spark, sf)
+    r = Q.Rotation(v.selectExpr("size(dense) AS n").first().n)
+
+    def turn(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(norm=np.linalg.norm(r.apply(np.stack(pdf["dense"].to_numpy()).astype(float)), axis=1).round(5))[["id", "norm"]]
+
+    return v.select("id", "dense").mapInPandas(turn, "id long, norm double")
+
+
+@query("SELECT CAST(p - 1 AS INT) AS pos, round(sum(x), 4) AS value FROM (SELECT unnest(range(1, 65)) AS p, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings WHERE vec_id IN (SELECT n_nationkey FROM nation)) GROUP BY p")
+def masked_sum(spark, sf):
+    """One contribution of each nation."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("node"))
+    cohort = [r.node for r in n.select("node").distinct().collect()]
+    c = _v(spark, sf).join(F.broadcast(n), "id").select("node", F.col("dense").alias("vec"))
+    return L.masked_sum(c, cohort, 4).withColumn("value", F.round("value", 4))
+
+
+@query()
+def noisy_mean(spark, sf):
+    p = L.privatize(_v(spark, sf).select("id", "dense"), "dense", 1.0, 8.0, 1e-5, 7)
+    at = p.select(F.posexplode("dense").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("value"))
+    return at.select("pos", F.round("value", 3).alias("value"))
+
+
+@query()
+def pca_projection(spark, sf):
+    v = _v(spark, sf)
+    p = Q.Projection(*Q.second_moments(v))
+    x, y = p.project(F.col("dense"))
+    return v.select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y")).withColumn("explained", F.lit(round(sum(p.explained), 4)))
+
+
+_HALF = "CAST({0}.embedding[1:32] AS DOUBLE[])"
+
+
+@query(
+    f"""WITH d AS (SELECT q.vec_id AS q, e.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS a, round(list_dot_product({_HALF.format('q')}, {_HALF.format('e')}), 6) AS b FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+x AS (SELECT q, id FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY a DESC, id) <= 5), y AS (SELECT q, id FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY b DESC, id) <= 5),
+r AS (SELECT round((SELECT count(*) FROM x JOIN y USING (q, id)) / CAST((SELECT count(*) FROM x) AS DOUBLE), 6) AS recall) SELECT recall, CASE WHEN 1.0 - recall > 0.08 THEN 'blocked' ELSE 'finished' END AS verdict FROM r"""
+)
+def migration_gate(spark, sf):
+    """A smaller space against the one in use: recall of the five nearest over the golden set."""
+    from ..operators.retrieval import nearest, top_k
+
+    v = _v(spark, sf)
+
+    def five(rows):
+        q = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+        return top_k(nearest(rows, q, 5).withColumn("score", F.round("score", 6)), 5, ["query_id"]).select("query_id", "id")
+
+    golden, found = five(v), five(v.withColumn("dense", F.slice("dense", 1, 32)))
+    n = golden.agg(F.count("*").alias("n"))
+    return golden.join(found, ["query_id", "id"]).agg(F.count("*").alias("hit")).join(n).select(F.round(F.col("hit") / F.col("n"), 6).alias("recall")).withColumn("verdict", F.when(1.0 - F.col("recall") > 0.08, "blocked").otherwise("finished"))
+
+
+@query()
+def ivfpq_calibrated(spark, sf):
+    v = _v(spark, sf)
+    sample = np.array([r.dense for r in v.orderBy(F.xxhash64("id")).limit(2000).collect()], float)
+    c = Q.calibrate(v, Q.IvfPq(sample, cells=10), _stated(v), 10)
+    return spark.createDataFrame([(c["probes"], c["rescore"])], "probes int, rescore int")
+
+
+@query()
+def self_evaluate(spark, sf):
+    """Whether whitening pays: reciprocal ranks of each stated vector's next one, both spaces."""
+    from ..operators.retrieval import nearest, reciprocal_ranks, top_k
+
+    v = _v(spark, sf).where("dense is not null")
+    w = Q.whiten(v, Q.Whitening(*Q.second_moments(v))).withColumn("dense", F.col("white"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"))
+    truth = q.join(v.select("id"), F.col("id") == F.col("query_id") + 1)
+
+    def ranks(rows):
+        asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+        return reciprocal_ranks(top_k(nearest(rows, asked, 10, others=True), 10, ["query_id"]), truth)
+
+    both = ranks(v).join(ranks(w).withColumnRenamed("rr", "white"), "query_id").orderBy("query_id").select("rr", "white").toPandas()
+    mean, low, high = L.paired_bootstrap(both["rr"].to_numpy(float), both["white"].to_numpy(float)) if len(both) else (0.0, 0.0, 0.0)
+    return spark.createDataFrame([(len(both), round(mean, 6), round(low, 6), round(high, 6), L.adopt({"white": (mean, low, high)}) or "none")], "probes int, gain double, low double, high double, adopted string")

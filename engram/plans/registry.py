@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import q_composed, q_filters, q_governance, q_graph, q_metrics, q_more, q_oplog, q_retrieval, q_storage, q_vectors  # noqa: F401
+    from . import q_composed, q_filters, q_governance, q_graph, q_metrics, q_more, q_oplog, q_retrieval, q_storage, q_sync, q_vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,7 +56,10 @@ def test_order_independence(spark):
 def test_iblt_reports_overflow(spark):
     a = spark.range(4000).toDF("op_id")
     b = spark.range(3000, 7000).toDF("op_id")
-    assert not oplog.iblt_decode(oplog.iblt_cells(a, 64), oplog.iblt_cells(b, 64), 64)[2]
+    keep = lambda df: storage.written(df, "iblt")
+    assert not oplog.iblt_peel(oplog.iblt_subtract(oplog.iblt_cells(a, 64), oplog.iblt_cells(b, 64)), 64, keep)[1]
+    found, complete = oplog.iblt_peel(oplog.iblt_subtract(oplog.iblt_cells(a, 1024, parts=30), oplog.iblt_cells(b, 1024, parts=30)), 1024, keep)
+    assert complete and {(r.key, r.sign) for r in found.collect()} == {(i, 1) for i in range(3000)} | {(i, -1) for i in range(4000, 7000)}
 
 
 def test_causal_delivery(spark):
