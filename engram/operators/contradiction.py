@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .retrieval import nearest
 
 
-def related_pairs(docs: DataFrame, threshold: float = 0.45, least: int = 1) -> DataFrame:
+def related_pairs(docs: DataFrame, threshold: float = 0.45, least: int = 1, asked: DataFrame | None = None) -> DataFrame:
     """a < b, overlap: overlap coefficient of content tokens at or above the threshold, with at
-    least some tokens in common. Texts meet on the rarest tokens of the smaller one only: to
+    least some tokens in common. asked: ids one of which has to be in the pair. Texts meet on the rarest tokens of the smaller one only: to
     have a share t of a set of n tokens in common, one of its n - ceil(t * n) + 1 rarest must be."""
     tokens = docs.select("id", F.array_distinct(F.filter(T.tokenize(F.col("text")), lambda t: ~t.isin(T.STOP_WORDS))).alias("k"))
     tokens = tokens.withColumn("n", F.size("k")).where(F.col("n") >= max(1, least))
@@ -19,7 +20,13 @@ def related_pairs(docs: DataFrame, threshold: float = 0.45, least: int = 1) -> D
     ranked = flat.join(df, "t").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("by_df"))
     need = F.greatest(F.ceil(F.lit(threshold) * F.col("n")), F.lit(least))
     prefix = ranked.select("id", "n", F.explode(F.slice("by_df", 1, (F.col("n") - need + 1).cast("int"))).alias("t"))
-    hits = prefix.join(flat.select(F.col("id").alias("other"), F.col("n").alias("m"), "t"), "t").where("id <> other and (n < m or (n = m and id < other))")
+    whole = flat.select(F.col("id").alias("other"), F.col("n").alias("m"), "t")
+    if asked is None:
+        hits = prefix.join(whole, "t")
+    else:
+        own = F.broadcast(asked.select("id").distinct())  # a stated set
+        hits = prefix.join(own, "id", "left_semi").join(whole, "t").select("id", "n", "other", "m").union(prefix.join(whole.join(own.withColumnRenamed("id", "other"), "other", "left_semi"), "t").select("id", "n", "other", "m"))
+    hits = hits.where("id <> other and (n < m or (n = m and id < other))")
     pairs = hits.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     x, y = (tokens.select(F.col("id").alias(i), F.col("k").alias(f"k{i}")) for i in "ab")
     both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ka", "kb")))
@@ -28,11 +35,27 @@ def related_pairs(docs: DataFrame, threshold: float = 0.45, least: int = 1) -> D
 
 
 def contradictions(points: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """older, newer, similarity, signals of related texts whose polarity differs; superseded
-    points do not take part. points: id, text, created_at, superseded_by."""
+    """older, newer, similarity, signals of texts related by their words whose polarity differs;
+    superseded points do not take part. points: id, text, created_at, superseded_by."""
     live = points.where("superseded_by is null")
-    pairs = related_pairs(live.select("id", "text"), threshold)
+    return _opposed(related_pairs(live.select("id", "text"), threshold).withColumnRenamed("overlap", "similarity"), live)
+
+
+def check(asked: DataFrame, points: DataFrame, threshold: float = 0.45, least: int = 1) -> DataFrame:
+    """contradictions() of a stated set of points (id, q, and in points as well) with all others,
+    related by the greater of cosine and overlap. points: id, text, dense (unit vectors),
+    created_at, superseded_by."""
+    live = points.where("superseded_by is null")
+    own = live.join(F.broadcast(asked.select("id")), "id", "left_semi").select("id")
+    words = related_pairs(live.select("id", "text"), threshold, least, asked=own)
+    near = nearest(live, asked.select(F.col("id").alias("query_id"), "q").join(own.withColumnRenamed("id", "query_id"), "query_id", "left_semi"), None, least=threshold, others=True)
+    near = near.where(F.col("score") >= threshold).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "score")
+    both = words.select("a", "b", F.col("overlap").alias("score")).union(near).groupBy("a", "b").agg(F.max("score").alias("similarity"))
+    return _opposed(both, live)
+
+
+def _opposed(pairs: DataFrame, live: DataFrame) -> DataFrame:
     x, y = (live.select(F.col("id").alias(i), F.col("text").alias(f"t{i}"), F.col("created_at").alias(f"c{i}")) for i in "ab")
     both = pairs.join(x, "a").join(y, "b").withColumn("signals", T.polarity_signals(F.col("ta"), F.col("tb"))).where(F.size("signals") > 0)
     first = F.col("ca") <= F.col("cb")
-    return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("older"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("newer"), F.col("overlap").alias("similarity"), "signals")
+    return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("older"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("newer"), "similarity", "signals")

@@ -113,6 +113,37 @@ def contradiction_pairs(spark, sf):
     return related_pairs(d, 0.45, least=5).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
+_NEG = T.NEGATIONS.replace("'", "''")
+
+
+def _side(x: str, word: str) -> str:
+    return f"regexp_matches(lower({x}), '\\b{word}\\b')"
+
+
+_SIGNALS = ", ".join(
+    [f"CASE WHEN regexp_matches(ta, '{_NEG}') <> regexp_matches(tb, '{_NEG}') THEN 'negation_flip' END"]
+    + [f"CASE WHEN ({_side('ta', x)} AND {_side('tb', y)}) OR ({_side('ta', y)} AND {_side('tb', x)}) THEN 'antonym:{x}/{y}' END" for x, y in T.ANTONYMS]
+)
+
+
+@query(
+    f""", said AS (SELECT * REPLACE (concat(text, CASE WHEN id % 2 = 0 THEN ' the valve is open' ELSE ' the valve is closed' END) AS text) FROM points),
+k AS (SELECT id, text, dense, created_at, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {_STOPS})) AS k FROM said WHERE superseded_by IS NULL),
+p AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, max(greatest(CASE WHEN a.dense IS NULL OR b.dense IS NULL THEN 0 ELSE list_dot_product(CAST(a.dense AS DOUBLE[]), CAST(b.dense AS DOUBLE[])) END, CASE WHEN len(list_intersect(a.k, b.k)) >= 5 THEN len(list_intersect(a.k, b.k)) / least(len(a.k), len(b.k)) ELSE 0 END)) AS similarity
+ FROM k a JOIN k b ON a.id % 50 = 0 AND a.id <> b.id AND a.dense IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT x.text AS ta, y.text AS tb, x.created_at AS ca, y.created_at AS cb, p.* FROM p JOIN k x ON x.id = p.a JOIN k y ON y.id = p.b WHERE similarity >= 0.3),
+z AS (SELECT CASE WHEN ca <= cb THEN a ELSE b END AS older, CASE WHEN ca <= cb THEN b ELSE a END AS newer, round(similarity, 6) AS similarity, list_filter([{_SIGNALS}], lambda x: x IS NOT NULL) AS g FROM s)
+SELECT older, newer, similarity, array_to_string(g, ',') AS signals FROM z WHERE len(g) > 0"""
+)
+def contradiction_check(spark, sf):
+    from ..operators.contradiction import check
+
+    """Every text says one of two things about a valve at its end."""
+    p = points(spark, sf).withColumn("text", F.concat("text", F.when(F.col("id") % 2 == 0, " the valve is open").otherwise(" the valve is closed")))
+    asked = p.where("id % 50 = 0 and dense is not null").select("id", F.col("dense").alias("q"))
+    return check(asked, p, 0.3, least=5).select("older", "newer", F.round("similarity", 6).alias("similarity"), F.array_join("signals", ",").alias("signals"))
+
+
 @query(
     """WITH q AS (SELECT * FROM (VALUES (1, 'the limit is above ten', 'the limit is below ten'), (2, 'the valve is open', 'the valve is closed now'), (3, 'the rule holds', 'the rule was lifted'), (4, 'same', 'same')) t(id, a, b))
 SELECT id, CASE id WHEN 1 THEN 'antonym:above/below' WHEN 2 THEN 'antonym:open/closed' WHEN 3 THEN 'negation_flip' ELSE '' END AS signals FROM q"""

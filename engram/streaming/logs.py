@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import budget_fill
 from ..operators.storage import latest
 
 
@@ -44,6 +45,44 @@ def head(spark, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch={max(generations(spark, path))}")
 
 
+def push_sink(path: str, send, budget: int, key: str = "op_id"):
+    """A foreachBatch function that pushes operations (op_id, device_id, bytes, priority) over a
+    link: what earlier batches could not send comes first by priority, the plan fills a byte
+    budget a batch and device, send(plan) returns the operations the other side has taken (its
+    op_id column), and all others wait under path/<batch>. Replaying a batch starts from the same
+    queue, so an operation may be sent twice but none is lost."""
+
+    def push(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [n for n in generations(spark, path) if n < number]
+        rows = batch.select(key, "device_id", "bytes", "priority")
+        if before:
+            last = spark.read.parquet(f"{path}/batch={max(before)}")
+            rows = rows.unionByName(last.where("not acked").select(rows.columns))
+        rows = rows.dropDuplicates([key])
+        plan = budget_fill(rows, "device_id", budget, key)
+        taken = send(plan.where("sent").drop("sent")).select(key).distinct().withColumn("acked", F.lit(True))
+        plan.join(taken, key, "left").withColumn("acked", F.coalesce("acked", F.lit(False))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return push
+
+
+def acknowledged(spark, path: str) -> DataFrame:
+    """All operations that batches of push_sink() have got acknowledged."""
+    return spark.read.parquet(path).where("acked")
+
+
+def channel_sink(path: str, channels: list[str], column: str = "channel"):
+    """A foreachBatch function that writes the events of some channels, a folder for each; a
+    replayed batch overwrites its own rows only."""
+
+    def emit(batch: DataFrame, number: int) -> None:
+        for c in channels:
+            batch.where(F.col(column) == c).write.mode("overwrite").parquet(f"{path}/{c}/batch={number}")
+
+    return emit
+
+
 def write_quota(events: DataFrame, key: str = "user_id", ts: str = "ts", window: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
     """Counts of each key in tumbling windows of event time; rows later than late are dropped."""
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

@@ -234,3 +234,86 @@ def test_coded_topk_loses_no_neighbour(spark):
     for f in (q_vectors.pq_topk, q_vectors.ivfpq_topk):
         got = {(r.query_id, r.id) for r in f(spark, sf).collect()}
         assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_push_sink_loses_nothing(spark, tmp_path):
+    rows = [(i, f"d{i % 2}", 40, i) for i in range(30)]
+    src = tmp_path / "in"
+    schema = "op_id long, device_id string, bytes int, priority long"
+    spark.createDataFrame(rows[:20], schema).coalesce(1).write.parquet(str(src / "a"))
+    spark.createDataFrame(rows[20:], schema).coalesce(1).write.parquet(str(src / "b"))
+    seen = []
+
+    def send(plan):
+        got = plan.collect()
+        seen.extend(r.op_id for r in got)
+        # the other side refuses one of them the first time
+        ok = [r.op_id for r in got if r.op_id != 0 or seen.count(0) > 1]
+        return spark.createDataFrame([(x,) for x in ok], "op_id long")
+
+    push = logs.push_sink(str(tmp_path / "out"), send, budget=200)
+    for n, part in enumerate(("a", "b")):
+        push(spark.read.parquet(str(src / part)), n)
+    empty = spark.createDataFrame([], schema)
+    for n in range(2, 8):
+        push(empty, n)
+    assert {r.op_id for r in logs.acknowledged(spark, str(tmp_path / "out")).select("op_id").distinct().collect()} == set(range(30))
+    assert seen.count(0) == 2
+
+
+def test_channel_sink(spark, tmp_path):
+    e = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, channel string")
+    emit = logs.channel_sink(str(tmp_path), ["a", "b"])
+    for _ in range(2):  # a replay
+        emit(e, 0)
+    assert [[r.id for r in spark.read.parquet(str(tmp_path / c)).collect()] for c in "ab"] == [[1], [2]]
+
+
+def test_nearest_is_exact(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(700, 8)).round(1)  # many ties
+    df = spark.createDataFrame([(i, [float(x) for x in r], f"g{i % 3}") for i, r in enumerate(v)], "id long, dense array<double>, g string").repartition(6)
+    q = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+    for by, others in ((None, False), ("g", True)):
+        got = retrieval.top_k(retrieval.nearest(df, q, 5, by=by, others=others).withColumn("score", F.round("score", 6)), 5, ["query_id", *([by] if by else [])])
+        have = {(r.query_id, r[by] if by else "", r.rank): r.id for r in got.collect()}
+        want = {}
+        for a in range(0, 700, 50):
+            for g in ("g0", "g1", "g2") if by else ("",):
+                own = [i for i in range(700) if (not by or f"g{i % 3}" == g) and not (others and i == a)]
+                for n, i in enumerate(sorted(own, key=lambda i: (-round(float(v[a] @ v[i]), 6), i))[:5], 1):
+                    want[a, g, n] = i
+        assert have == want
+
+
+def test_calibrated_search_finds_neighbours(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, dense array<double>")
+    model = quantize.IvfPq(v[:600], cells=12, parts=4)
+    q = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+    c = quantize.calibrate(df, model, q, 10, target=0.95)
+    index = quantize.ivf_index(df, model).cache()
+    hit = 0
+    for a in range(0, 1500, 150):
+        want = set(np.argsort(-(v @ v[a]), kind="stable")[:10].tolist())
+        hit += len(want & {r.id for r in quantize.ivf_search(index, model, v[a], 10, c["probes"], c["rescore"]).collect()})
+    assert hit >= 90
+
+
+def test_projection(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 5)) * [5, 3, 1, 0.5, 0.1]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, dense array<double>")
+    p = quantize.Projection(*quantize.second_moments(df))
+    x, y = p.project(F.col("dense"))
+    got = np.array([[r.x, r.y] for r in df.select("id", x.alias("x"), y.alias("y")).orderBy("id").collect()])
+    _, s, w = np.linalg.svd(v - v.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs((v - v.mean(0)) @ w[:2].T), atol=1e-6)
+    assert p.explained == pytest.approx(((s**2) / (s**2).sum())[:2].tolist())
+
+
+def test_filter_keys():
+    assert filters.filter_key({"a": 1, "b": {"gte": 2}}) == filters.filter_key({"b": {"gte": 2}, "a": 1}) != filters.filter_key({"a": 2})
+    assert filters.filter_key(None) == filters.filter_key({})
