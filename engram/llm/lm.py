@@ -427,7 +427,11 @@ class Chunk:
         return at, before[at], self.ids[d][at]
 
     def unigrams(self, model: Lookup, less: int = 0) -> np.ndarray:
-        return model.word(self.counts[0][self.token] - less * self.learnt, self.spelled[self.token])
+        c = self.counts[0]
+        out = model.word(c, self.spelled)[self.token]
+        if less:
+            out[self.learnt] = model.word(c - less, self.spelled)[self.token[self.learnt]]
+        return out
 
     def step(self, score: np.ndarray, d: int, at, up, seq, less: int = 0) -> np.ndarray:
         """log10 probabilities with the contexts of d tokens taken into account."""
