@@ -31,7 +31,7 @@ from ._common import LANES, SPACED, chunks, discard, gram_hashes, materialize, m
 
 MIN_CHARS = 40
 #: Pairs that get a copy of the earlier document's lines.
-SHARE = 500
+SHARE = 100
 _LAST = (1 << 63) - 1
 
 
