@@ -21,7 +21,9 @@ PROTECTED_WORDS = (
     "time hour day week month year today yesterday tomorrow night morning shift line "
     "show find list give tell make take come know think want need said says"
 ).split()
+# Units, phrases of time, words that tell an intent, an answer's place, a negation or an opposite.
 UNIT = r"(?i)\b(\d+(?:\.\d+)?)\s*(mm/s|mm|bar|nm|rpm|°?c|hz|kw|a|v|ms|s|min|h)\b"
+# a lead-in such as "in the" changes no match and is left out
 RELATIVE_TIME = r"(?i)\b(?:last|past|previous)\s+(\d+)?\s*(second|minute|hour|day|week|month)s?\b"
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000}
 INTENT_WORDS = {

@@ -63,6 +63,21 @@ def facts_paths_2hop(spark, sf):
     return p.select("src", "dst", "hops", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
+@query(
+    """SELECT src, dst, hops, array_to_string(path, '>') AS path, round(confidence, 6) AS confidence FROM (WITH RECURSIVE w AS (SELECT subject, object, confidence FROM facts WHERE valid_from >= TIMESTAMP '1995-03-01' AND valid_from < TIMESTAMP '1995-03-15'),
+adj AS (SELECT src, dst, max(confidence) AS c FROM (SELECT subject AS src, object AS dst, confidence FROM w UNION ALL SELECT object, subject, confidence FROM w) GROUP BY src, dst),
+r AS (SELECT src, dst, 1 AS hops, [src, dst] AS path, c AS confidence FROM adj WHERE src LIKE 'supplier:%' UNION ALL SELECT r.src, adj.dst, hops + 1, list_append(path, adj.dst), r.confidence * adj.c FROM r JOIN adj ON adj.src = r.dst WHERE hops < 4 AND NOT list_contains(path, adj.dst))
+SELECT * FROM r)"""
+)
+def facts_paths_4hop(spark, sf):
+    """All simple paths from any supplier over what was supplied in two weeks."""
+    f = facts(spark, sf).where("valid_from >= TIMESTAMP_NTZ '1995-03-01' and valid_from < TIMESTAMP_NTZ '1995-03-15'")
+    edges = G.adjacency(f)
+    seeds = edges.where("src like 'supplier:%'").select(F.col("src").alias("entity")).distinct()
+    p = G.paths(edges, seeds, 4)
+    return p.select("src", "dst", "hops", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
+
+
 @query(
     f""", {_ADJ}, s1 AS (SELECT dst AS e, max(0.55 * c) AS x FROM adj WHERE src = 'part:1' GROUP BY dst HAVING max(0.55 * c) > 0.02), s2 AS (SELECT adj.dst AS e, max(x * 0.55 * c) AS x FROM s1 JOIN adj ON adj.src = s1.e GROUP BY adj.dst HAVING max(x * 0.55 * c) > 0.02)
 SELECT e AS entity, round(max(x), 6) AS energy FROM (SELECT 'part:1' AS e, CAST(1.0 AS DOUBLE) AS x UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) WHERE (SELECT count(*) FROM facts) > 0 GROUP BY e"""
