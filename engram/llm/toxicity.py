@@ -6,20 +6,18 @@ inserted characters stay close to the plain word. Landmarks are picked by pivote
 from words of labelled sentences; the Nystroem map onto them turns the kernel machine into a
 linear one.
 
-It is trained on labelled sentences as bags of words (multi-instance learning): a label says of a
-clean document that no sentence has an insult, and of a toxic one that some sentence has. So a
-toxic document is represented by its strongest word under the machine so far, each sentence of a
-clean document by its strongest one, and the machine is trained anew, ROUNDS times. The first
-machine takes as witnesses the words found in toxic documents' sentences far more often than in
-others, and all others as negatives; only the words nearest to a witness are kept of these. A
+It is trained on labelled sentences as bags of words (multi-instance learning): a sentence's
+margin is that of its strongest word. The witnesses of toxic sentences are words found there
+far more often than elsewhere, every word of the other sentences is a negative; both count as
+often as distinct sentences hold them, and only the negatives nearest to a witness are kept. A
 text's two strongest words make its score, mapped to 0..1 by a logistic function fit on the
 labelled rows.
 
 So that the margin reaches them, witnesses also count with one character put in between, drawn
 from all characters of the training words. Marks inside a word are dropped ("i.d.i.o.t"), runs of
 single characters are also read as one word ("i d i o t"). Bounds of the fit, all parameters or
-constants below: TOXIC + CLEAN labelled rows; WITNESSES + NEGATIVES words of 3 to 64 bytes for the
-first machine, of these the HARDEST nearest; LANDMARKS, from the witnesses and NEAR words like
+constants below: TOXIC + CLEAN labelled rows; WITNESSES + NEGATIVES words of 3 to 64 bytes, of
+these the HARDEST nearest; LANDMARKS, from the witnesses and NEAR words like
 them. They are chosen by the hash of the row's key, by counts or by the kernel; every text is
 scored whole, by words of any length.
 
@@ -42,8 +40,6 @@ from ._common import ALNUM, SPACED, chunks, materialize, smallest, span_hashes,
 
 DECAY, SHARPEN, LANDMARKS = 0.7, 2, 192
 TOXIC, CLEAN, WITNESSES, NEGATIVES, HARDEST, NEAR = 2000, 4000, 600, 40_000, 6000, 400
-#: Times the machine is trained anew with the strongest words of documents and sentences.
-ROUNDS = 2
 #: Share of a word's squared weight below which it is taken to be unlike every landmark.
 FLOOR = 0.25
 #: Distinct words whose margins a worker remembers.
@@ -244,13 +240,6 @@ class Model:
             self.memo = keys[order], values[order]
         return margin
 
-    def margin_of(self, words: list[bytes]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
-        if words:
-            some, x = self.kernel.rows(*pack(words))
-            out[some] += x @ self.weights
-        return out
-
     def margins(self, column: pa.Array) -> np.ndarray:
         """The two highest word margins of each text; -2 stands for no word."""
         data, offsets = text_buffer(column)
@@ -338,32 +327,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     other = by_word.where(~tells & (F.col("b") >= 1)).orderBy(F.desc("b"), "w").limit(NEGATIVES).collect()
     if not telling or not other:
         return Never()
-    model, first = learn([(bytes(r.w), r.a, r.b) for r in telling], [(bytes(r.w), r.b) for r in other], landmarks)
-    for _ in range(ROUNDS):
-        model = again(model, first, strongest(cut, model).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).orderBy("w").collect())
+    model = learn([(bytes(r.w), r.a, r.b) for r in telling], [(bytes(r.w), r.b) for r in other], landmarks)
     found = margins(sample, model).select("first", "second", "toxic").collect()
     model.logit = logistic(np.array([[r.first, r.second] for r in found]), np.array([r.toxic for r in found], dtype=float))
     return model
 
 
-def strongest(cut: DataFrame, model: Model) -> DataFrame:
-    """toxic, w: the strongest word of each toxic document and of each sentence of a clean one."""
-    shared = cut.sparkSession.sparkContext.broadcast(model)
-
-    def apply(batches):
-        for b in batches:
-            best, value = [], []
-            for own in b.column(2).to_pylist():
-                m = shared.value.margin_of(own)
-                k = int(np.argmax(m)) if len(m) else -1
-                best.append(own[k] if k >= 0 else None), value.append(float(m[k]) if k >= 0 else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.binary()), pa.array(value, pa.float64())], names=["doc", "toxic", "w", "m"])
-
-    found = cut.mapInArrow(apply, "doc long, toxic int, w binary, m double").where("w is not null")
-    toxic = found.where("toxic = 1").groupBy("doc").agg(F.max(F.struct("m", "w")).alias("x")).select(F.lit(1).alias("toxic"), "x.w")
-    return toxic.union(found.where("toxic = 0").select("toxic", "w"))
-
-
 def disguised(word: bytes, letters: bytes) -> list[bytes]:
     """A word with one character put in between, for words long enough to be known by the rest."""
     if len(word) < 5 or max(word) > 127 or not letters:
@@ -392,9 +361,8 @@ class Space:
         return Model(self.marks, self.half @ w[:-1], float(w[-1]))
 
 
-def learn(telling: list[tuple[bytes, int, int]], other: list[tuple[bytes, int]], landmarks: int = LANDMARKS, hardest: int = HARDEST) -> tuple[Model, tuple]:
-    """The first machine from witnesses (word, toxic and other sentences) and other words (word,
-    sentences), and what the next ones need: the map, the negatives, the characters.
+def learn(telling: list[tuple[bytes, int, int]], other: list[tuple[bytes, int]], landmarks: int = LANDMARKS, hardest: int = HARDEST) -> Model:
+    """The machine from witnesses (word, toxic and other sentences) and other words (word, sentences).
     Of the other words those nearest to the witnesses are kept: far ones have no part in the margin."""
     witnesses = [w for w, _, _ in telling]
     kernel, near = Kernel(witnesses), np.zeros(len(other))
@@ -411,19 +379,6 @@ def learn(telling: list[tuple[bytes, int, int]], other: list[tuple[bytes, int]],
     marks += [rest[i] for i in pick_landmarks(rest, landmarks - len(marks))] if rest else []
     space = Space(marks)
     rows = [(w, 1.0, a) for w, a, _ in telling] + [(v, 1.0, a / 20) for w, a, b in telling if 10 * b < a for v in disguised(w, letters)] + [(w, -1.0, b) for w, b in hard] + [(w, -1.0, b) for w, _, b in telling if b]
-    return space.machine(rows), (space, hard, letters)
-
-
-def again(model: Model, first: tuple, found: list) -> Model:
-    """The machine from the strongest words: w, toxic documents a and clean sentences b. The first
-    machine's negatives stay, so that what they exclude stays excluded."""
-    space, hard, letters = first
-    if not any(r.a for r in found):
-        return model
-    rows = [(bytes(r.w), y, c) for r in found for y, c in ((1.0, r.a), (-1.0, r.b)) if c]
-    known = {bytes(r.w) for r in found if r.b}
-    rows += [(w, -1.0, b) for w, b in hard if w not in known]
-    rows += [(v, 1.0, r.a / 20) for r in found if 10 * r.b < r.a for v in disguised(bytes(r.w), letters)]
     return space.machine(rows)
 
 
