@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, linededup, lm, quality, secrets, sql, suffixdedup, toxicity
+from . import bpe, chat, codes, decontaminate, divergence, jaccard, linededup, lm, pieces, quality, secrets, sql, suffixdedup, toxicity
 from ._common import read_table
 
 
@@ -65,8 +65,20 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.report(_docs(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf_dir, "lang", "source"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_docs(spark, sf_dir), pieces.codec_from(tokenizer_path("piece_bpe_32k.model")))
+
+
 def queries() -> dict:
-    own = (op1_line_dedup, op2_jaccard_join, op3_suffix_dedup, op4_chat, op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity, op10_secrets)
+    own = (op1_line_dedup, op2_jaccard_join, op3_suffix_dedup, op4_chat, op5_decontaminate, op6_quality, op7_suffix_tree_lm, op8_byte_bpe, op9_toxicity, op10_secrets, op11_vector_codes, op12_source_divergence, op13_sentencepiece)
     return {f.__name__: f for f in own}
 
 
