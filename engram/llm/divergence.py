@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +41,14 @@ def term_counts(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
 
     def count(batches):
         for b in batches:
-            groups = pc.dictionary_encode(pa.StructArray.from_arrays([b.column(1), b.column(2)], names=["l", "s"]).field(0))
-            langs, sources = groups, pc.dictionary_encode(b.column(2))
-            group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+            lang, langs = _codes(b.column(1))
+            source, sources = _codes(b.column(2))
+            group = lang * len(sources) + source
             known, group = np.unique(group, return_inverse=True)
-            at_lang, at_source = known // max(1, len(sources.dictionary)), known % max(1, len(sources.dictionary))
+            at_lang, at_source = known // max(1, len(sources)), known % max(1, len(sources))
 
             def rows(g, terms, n, docs):
-                return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(at_lang[g])), sources.dictionary.take(pa.array(at_source[g])), terms, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+                return pa.RecordBatch.from_arrays([langs.take(pa.array(at_lang[g])), sources.take(pa.array(at_source[g])), terms, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
 
             yield rows(np.arange(len(known)), pa.nulls(len(known), pa.string()), np.zeros(len(known), np.int64), np.bincount(group, minlength=len(known)).astype(np.int64))
             data, offsets = text_buffer(b.column(0))
@@ -77,32 +76,35 @@ def term_counts(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
 
 
 def _tally(table: pa.Table) -> pa.Table:
-    """Of a bucket of terms: lang, a < b (numbers of sources), the counts of both, and how many
-    terms have them, for counts above zero."""
-    table = table.sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")])
-    term = np.asarray(pc.rank(table.column("term"), tiebreaker="dense")) if len(table) else np.zeros(0, np.int64)
-    lang, source, n = (np.asarray(table.column(c)) for c in ("lang", "source", "n"))
+    """Of a bucket of terms: lang, sources a < b, the counts of both, and how many terms have
+    them, for counts above zero."""
+    table = table.sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")]).combine_chunks()
+    coded = {c: _codes(table.column(c)) for c in ("lang", "source", "term")}
+    (lang, langs), (source, sources), (term, _) = (coded[c] for c in ("lang", "source", "term"))
+    n = table.column("n").to_numpy()
     heads = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1]))[: len(term)])
     size = np.diff(np.append(heads, len(term)))
-    out = []
-    # entries as left sides, in blocks of so many pairs
-    after = np.repeat(heads + size, size) - np.arange(len(term)) - 1
-    reach = np.cumsum(after)
-    i = 0
-    while i < len(term):
+    after = np.repeat(heads + size, size) - np.arange(len(term)) - 1  # partners that follow
+    reach, out, i = np.cumsum(after), [], 0
+    while i < len(term):  # entries as left sides, in blocks of so many pairs
         j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + PAIRS, "right")))
         left = np.repeat(np.arange(i, j), after[i:j])
-        step = np.arange(len(left)) - np.repeat(np.cumsum(after[i:j]) - after[i:j], after[i:j])
-        right = left + 1 + step
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after[i:j]) - after[i:j], after[i:j])
         cells = np.stack([lang[left], source[left], source[right], n[left], n[right]], 1)
-        order = np.lexsort(cells.T[::-1])
-        cells = cells[order]
+        cells = cells[np.lexsort(cells.T[::-1])]
         first = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(axis=1))[: len(cells)])
         out.append(np.column_stack([cells[first], np.diff(np.append(first, len(cells)))]))
         i = j
     trim()
     cells = np.concatenate(out) if out else np.zeros((0, 6), np.int64)
-    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(cells[:, k]).astype(np.int64)) for k in range(6)], names=["lang", "a", "b", "ca", "cb", "terms"])
+    names = [langs.take(pa.array(cells[:, 0])), sources.take(pa.array(cells[:, 1])), sources.take(pa.array(cells[:, 2]))]
+    return pa.Table.from_arrays([*names, *[pa.array(np.ascontiguousarray(cells[:, k])) for k in (3, 4, 5)]], names=["lang", "a", "b", "ca", "cb", "terms"])
+
+
+def _codes(column) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of a column's values, and the values."""
+    found = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
 def _share(count: str, total: str, terms: str):
@@ -128,20 +130,12 @@ def kept_terms(df: DataFrame, text: str = "text", lang: str = "lang", source: st
 
 def _pair_values(groups: DataFrame, terms: DataFrame) -> DataFrame:
     """lang, a, b (sources, a < b), value."""
-    spark = groups.sparkSession
-    # sources and languages by number: the tally sorts integers
-    number = lambda *by: F.row_number().over(Window.orderBy(*by)).cast("long")
-    ids = groups.groupBy("lang", "source").agg(F.max("total").alias("total"), F.max("v").alias("v"))
-    langs = ids.select("lang").distinct().select("lang", number("lang").alias("l"))
-    sources = ids.select("source").distinct().select("source", number("source").alias("s"))
-    ids = materialize(spark, ids.join(langs, "lang").join(sources, "source"), "divergence-ids")
-    coded = terms.join(ids.select("lang", "source", "l", "s"), ["lang", "source"]).select(F.col("l").alias("lang"), F.col("s").alias("source"), "term", "n")
-    buckets = max(partitions_for(spark), terms.count() // BUCKET_ROWS)
-    tally = coded.groupBy(F.pmod(F.xxhash64("lang", "term"), F.lit(buckets))).applyInArrow(_tally, "lang long, a long, b long, ca long, cb long, terms long")
+    buckets = max(partitions_for(groups.sparkSession), terms.count() // BUCKET_ROWS)
+    tally = terms.select("lang", "source", "term", "n").groupBy(F.pmod(F.xxhash64("lang", "term"), F.lit(buckets))).applyInArrow(_tally, "lang string, a string, b string, ca long, cb long, terms long")
     both = tally.groupBy("lang", "a", "b", "ca", "cb").agg(F.sum("terms").alias("terms"))
-    x, y = (ids.select(F.col("l").alias("lang"), F.col("s").alias(k), F.col("total").alias(f"total_{k}"), F.col("v").alias(f"v_{k}")) for k in "ab")
-    pairs = materialize(spark, x.join(y, "lang").where("a < b").select("lang", "a", "b", "total_a", "total_b", F.col("v_a").alias("v")), "divergence-pairs")
-    own = coded.groupBy("lang", "source", "n").agg(F.count("*").alias("terms"))
+    x, y = (groups.select("lang", F.col("source").alias(k), F.col("total").alias(f"total_{k}"), "v") for k in "ab")
+    pairs = materialize(groups.sparkSession, x.join(y.drop("v"), "lang").where("a < b"), "divergence-pairs")
+    own = terms.groupBy("lang", "source", "n").agg(F.count("*").alias("terms"))
     # what the tally and the sources' own histograms say about every combination, zeros by difference
     cell = lambda ca, cb, m: F.struct(ca.cast("long").alias("ca"), cb.cast("long").alias("cb"), m.cast("long").alias("m"))
     zero, ca, cb, m = F.lit(0), F.col("ca"), F.col("cb"), F.col("terms")
@@ -153,9 +147,7 @@ def _pair_values(groups: DataFrame, terms: DataFrame) -> DataFrame:
     cells = told.unionByName(left).unionByName(right).unionByName(none).groupBy("lang", "a", "b", "ca", "cb").agg(F.sum("m").alias("m")).where("m != 0")
     f = F.abs(_share("ca", "total_a", "v") - _share("cb", "total_b", "v"))
     sums = cells.join(pairs, ["lang", "a", "b"]).groupBy("lang", "a", "b").agg(F.sum(f.cast("decimal(20,0)") * F.col("m")).alias("value"))
-    sums = keys.join(sums, ["lang", "a", "b"], "left")
-    na, nb = (ids.select(F.col("l").alias("lang"), F.col("s").alias(k), F.col("lang").alias(f"lang_{k}"), F.col("source").alias(f"source_{k}")) for k in "ab")
-    return sums.join(na, ["lang", "a"]).join(nb, ["lang", "b"]).select(F.col("lang_a").alias("lang"), F.col("source_a").alias("a"), F.col("source_b").alias("b"), F.coalesce(F.col("value").cast("long"), F.lit(0)).alias("value"))
+    return keys.join(sums, ["lang", "a", "b"], "left").select("lang", "a", "b", F.coalesce(F.col("value").cast("long"), F.lit(0)).alias("value"))
 
 
 def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:

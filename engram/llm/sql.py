@@ -58,3 +58,36 @@ out AS (SELECT m.conv_id, m.turn, m.x.r AS role, own.content, own.nq AS n_quotes
 SELECT *, concat('<|', coalesce(role, 'unknown'), '|>', chr(10), content, chr(10), '<|end|>') AS chat FROM out"""
 
 ORACLE["op4_chat"] = OP4
+
+_X = ", ".join(f"v[4 * p + {k}] AS x{k}" for k in range(1, 5))
+_D = " + ".join(f"(x{k} - c{k}) * (x{k} - c{k})" for k in range(1, 5))
+_CHOSEN = "SELECT r, p, min({{'d': d, 'k': k}}) AS m FROM (SELECT r, pt.p, k, " + _D + " AS d FROM pt JOIN {0} c ON c.p = pt.p) GROUP BY r, p"
+_MEANS = ", ".join(f"CASE WHEN n IS NULL THEN c{k} ELSE (s{k} - ((s{k} % n) + n) % n) // n END AS c{k}" for k in range(1, 5))
+_SUMS = ", ".join(f"sum(x{k})::BIGINT AS s{k}" for k in range(1, 5))
+_NEXT = "SELECT c.p, c.k, " + _MEANS + " FROM {0} c LEFT JOIN (SELECT pt.p, m.k AS k, count(*) AS n, " + _SUMS + " FROM {1} a JOIN pt ON pt.r = a.r AND pt.p = a.p GROUP BY pt.p, m.k) s ON s.p = c.p AND s.k = c.k"
+OP11 = f"""WITH e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id) AS r FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+pt AS MATERIALIZED (SELECT r, p, {_X} FROM (SELECT r, v, unnest(range(16)) AS p FROM e)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS k, x1 AS c1, x2 AS c2, x3 AS c3, x4 AS c4 FROM pt WHERE r <= 64),
+a0 AS MATERIALIZED ({_CHOSEN.format('c0')}), c1 AS MATERIALIZED ({_NEXT.format('c0', 'a0')}),
+a1 AS MATERIALIZED ({_CHOSEN.format('c1')}), c2 AS MATERIALIZED ({_NEXT.format('c1', 'a1')}),
+a2 AS MATERIALIZED ({_CHOSEN.format('c2')}),
+o AS (SELECT r, string_agg(lower(printf('%02x', m.k)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY r),
+j AS (SELECT vec_id, label, code, error FROM o JOIN e ON e.r = o.r),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM j GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(concat_ws(',', c1, c2, c3, c4), ',' ORDER BY p, k)) FROM c2) AS codebooks_sha256 FROM j JOIN l ON l.label IS NOT DISTINCT FROM j.label"""
+
+_P = "1 + (1000000000::HUGEINT * ({0} + 5)) // ({1} + 5 * v)"
+OP12 = f"""WITH d AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_FOLD} AS text, row_number() OVER () AS r FROM documents),
+t AS MATERIALIZED (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS MATERIALIZED (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term),
+g AS MATERIALIZED (SELECT g.lang, g.source, coalesce(ng.n, 0) AS total, coalesce(nl.n, 0) AS lang_total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) g
+ LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) ng ON ng.lang = g.lang AND ng.source = g.source LEFT JOIN (SELECT lang, sum(n) AS n, count(*) AS v FROM k GROUP BY lang) nl ON nl.lang = g.lang),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_P.format('coalesce(c.n, 0)', 'total')} AS p, {_P.format('k.n', 'lang_total')} AS q FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+ UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM a) WHERE part = 'pair' OR rank <= 50"""
+
+ORACLE |= {"op11_vector_codes": OP11, "op12_source_divergence": OP12}
