@@ -86,6 +86,12 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of a text column, counted: an optimizer's estimate of a join or of local rows can be
+    larger by any factor."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)
+
+
 # ----------------------------------------------------------------- text arrays
 
 

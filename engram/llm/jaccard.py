@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LANES, SPACED, U64, chunks, gram_hashes, materialize, mix, partitions_for, span_hashes, text_buffer, trim, whole_hash, word_spans
+from ._common import LANES, SPACED, U64, chunks, gram_hashes, materialize, mix, partitions_for, span_hashes, text_buffer, text_bytes, trim, whole_hash, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -45,8 +45,8 @@ NUM, DEN = 75, 100
 RATIO, SMALL, SPARE, HOT = 1.75, 48, 1.35, 16
 #: One frequent run in so many gives candidates with its central member.
 STAR_RUNS = 4
-#: Signatures held before they are sent, and bytes of input for one bucket.
-FLUSH, BUCKET_BYTES = 4_000_000, 6 << 20
+#: Signatures held before they are sent, and bytes of text for one bucket.
+FLUSH, BUCKET_BYTES = 4_000_000, 10 << 20
 #: Shingles of a group in the join of needy documents, about.
 TOKENS = 1_000_000
 
@@ -285,13 +285,9 @@ def meet(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _input_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def find(df: DataFrame, key: str, text: str) -> DataFrame:
     """What all buckets show, see meet()."""
-    buckets = max(partitions_for(df.sparkSession), _input_bytes(df) // BUCKET_BYTES)
+    buckets = max(partitions_for(df.sparkSession), text_bytes(df, text) // BUCKET_BYTES)
 
     def send(batches):
         sender = Sender(buckets)

@@ -15,9 +15,9 @@ exist, and becomes a level; levels of like size merge, so n batches leave log2(n
 each suffix is merged as often.
 
 A string counts as earlier if it starts in a document with a smaller doc_id; strings are
-judged on the input. Parts and contexts are told apart by 64-bit hashes each, and a string is
-covered on their word only if both agree. Defined results: null texts are empty; texts below
-LENGTH bytes keep all; texts of any length are read whole; documents with one doc_id are not
+judged on the input. Rows are told apart by doc_id and a 64-bit hash of the text, parts and
+contexts by 64-bit hashes each, and a string is covered on their word only if both agree.
+Defined results: null texts are empty; texts below LENGTH bytes keep all; texts of any length are read whole; documents with one doc_id are not
 earlier than each other, a repeated row gets its result again; a null doc_id comes last; an
 empty table gives an empty one; other columns pass unchanged, whatever their names.
 """
@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE, LANES, U64, chunks, materialize, mix, partitions_for, powers, release, text_buffer, trim
-from .jaccard import _input_bytes, runs
+from ._common import _BYTE, LANES, U64, chunks, materialize, mix, partitions_for, powers, release, text_buffer, text_bytes, trim
+from .jaccard import runs
 
 LENGTH, GRAM = 50, 20
-FLUSH, BUCKET_BYTES, BATCH = 2_000_000, 8 << 20, 4096
+FLUSH, BUCKET_BYTES, BATCH = 2_000_000, 13 << 20, 4096
 _LAST = (1 << 63) - 1
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -77,7 +77,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return at, row, left, right, parts[at], context
 
 
-_ENTRY = np.dtype([("doc", "<i8"), ("th", "<u2"), ("count", "<u4")])
+_ENTRY = np.dtype([("doc", "<i8"), ("th", "<i8"), ("count", "<u4")])
 _ANCHOR = np.dtype([("part", "<u8"), ("ctx", "<u8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
 
 
@@ -101,7 +101,7 @@ def _sent(held: list, buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(rows[0][i : i + 64], pa.int32()), pa.array(rows[1][i : i + 64], pa.binary()), pa.array(rows[2][i : i + 64], pa.binary())], names=["bucket", "docs", "anchors"])
 
 
-_MET = "doc long, th int, covered binary, open binary"
+_MET = "doc long, th long, covered binary, open binary"
 
 
 def meet(table: pa.Table) -> pa.Table:
@@ -149,7 +149,7 @@ def meet(table: pa.Table) -> pa.Table:
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)]):
             ids.append(int(docs["doc"][who[own[a]]])), ths.append(int(docs["th"][who[own[a]]]))
             ranges.append(raw[a:b].tobytes() if kind == 0 else None), opens.append(raw[a:b].tobytes() if kind else None)
-    return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int32()), pa.array(ranges, pa.binary()), pa.array(opens, pa.binary())], names=["doc", "th", "covered", "open"])
+    return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(ranges, pa.binary()), pa.array(opens, pa.binary())], names=["doc", "th", "covered", "open"])
 
 
 _OPEN = np.dtype([("part", "<u8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -224,7 +224,7 @@ def compare(table: pa.Table) -> pa.Table:
             k = i + int(who[a])
             start = starts[k] + place[a:b]
             out_doc.append(int(docs[k])), out_th.append(int(ths[k])), out.append(np.stack([start, start + LENGTH], 1).astype("<u4").tobytes())
-    return pa.Table.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_th, pa.int32()), pa.array(out, pa.binary())], names=["doc", "th", "covered"])
+    return pa.Table.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_th, pa.int64()), pa.array(out, pa.binary())], names=["doc", "th", "covered"])
 
 
 # ----------------------------------------------------------------- the operator
@@ -234,7 +234,7 @@ def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
         F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 16)).cast("int").alias("th"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
 
@@ -242,7 +242,7 @@ def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
 def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, th, covered: byte ranges to remove as pairs of uint32, in no order, overlapping."""
     spark = df.sparkSession
-    buckets = max(partitions_for(spark), _input_bytes(df) // BUCKET_BYTES)
+    buckets = max(partitions_for(spark), text_bytes(df, text) // BUCKET_BYTES)
     rows = _identified(df, key, text).select("doc", "th", "text")
 
     def send(batches):
@@ -254,7 +254,7 @@ def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 low = int(offsets[i])
                 own = offsets[i : j + 1] - low
                 at, row, left, right, part, ctx = anchors(data[low : int(offsets[j])], own)
-                held.append((docs[i + row], ths[i + row].astype(np.uint16), (at - own[row]).astype(np.uint32), left.astype(np.uint8), right.astype(np.uint8), part, ctx))
+                held.append((docs[i + row], ths[i + row], (at - own[row]).astype(np.uint32), left.astype(np.uint8), right.astype(np.uint8), part, ctx))
                 size += len(at)
                 if size > FLUSH:
                     yield from _sent(held, buckets)
@@ -277,13 +277,13 @@ def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 stops = found["at"].astype(np.int64) + found["right"]
                 cut = [raw[s:e] for s, e in zip(starts.tolist(), stops.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((found["part"] % U64(buckets)).astype(np.int32)), pa.array(np.full(n, docs[r].as_py())), pa.array(np.full(n, ths[r].as_py(), np.int32)), pa.array(starts), pa.array(cut, pa.binary())],
+                    [pa.array((found["part"] % U64(buckets)).astype(np.int32)), pa.array(np.full(n, docs[r].as_py())), pa.array(np.full(n, ths[r].as_py())), pa.array(starts), pa.array(cut, pa.binary())],
                     names=["bucket", "doc", "th", "start", "context"],
                 )
 
     contexts = rows.join(opened.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "open")
-    contexts = contexts.mapInArrow(fetch, "bucket int, doc long, th int, start long, context binary")
-    compared = contexts.groupBy("bucket").applyInArrow(compare, "doc long, th int, covered binary")
+    contexts = contexts.mapInArrow(fetch, "bucket int, doc long, th long, start long, context binary")
+    compared = contexts.groupBy("bucket").applyInArrow(compare, "doc long, th long, covered binary")
     compared = materialize(spark, compared, "suffix-compared")
     del contexts, opened
     release(spark)

@@ -273,6 +273,37 @@ def test_suffix_dedup(docs, rows):
     assert cut.columns == docs.columns and cut.count() == len(rows)
 
 
+def test_suffix_many_rows_of_one_id(spark):
+    """A thousand rows without an id and some of one id: none gets another's ranges."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common = word(120)
+    rows = [(1, common)]
+    rows += [(None, word(180) if k % 2 else common + word(60)) for k in range(1000)]
+    rows += [(7, word(90) + (common if k % 3 == 0 else "")) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, suffixdedup.report(df).collect()), key=str) == suffix_plain(rows)
+
+
+def test_frames_of_any_origin(spark, rows):
+    """A join and a union with local rows, whose size the optimizer can't know."""
+    few = [r[:2] for r in rows[:50]]
+    local = spark.createDataFrame(few, "doc_id long, text string")
+    other = spark.createDataFrame([(i,) for i in sorted({r[0] for r in few})], "doc_id long")
+    for df in (local.join(other, "doc_id"), local.limit(20).union(local.subtract(local.limit(20)))):
+        own = [tuple(r) for r in df.collect()]
+        assert sorted(map(tuple, suffixdedup.report(df).collect()), key=str) == suffix_plain(own)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(df).collect()} == jaccard_components(own)
+
+
+def test_suffix_clashing_columns(docs, rows):
+    clash = docs.withColumnsRenamed({"lang": "doc", "n": "th", "fp": "covered"})
+    cut = suffixdedup.dedup(clash)
+    assert cut.columns == clash.columns and cut.count() == len(rows)
+
+
 def test_index_family_levels():
     import numpy as np
 
