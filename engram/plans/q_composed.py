@@ -68,7 +68,11 @@ def link_ewma(spark, sf):
     return folds.link_health(e, "event_type", "event_id")
 
 
-@query()
+@query(""", RECURSIVE r AS (SELECT device_id, wall_ms / 1000.0 AS t, value / 100.0 AS b, row_number() OVER (PARTITION BY device_id ORDER BY wall_ms / 1000.0, value / 100.0) AS n FROM ops),
+s AS (SELECT device_id, n, t, t AS since, 0 AS level, FALSE AS moved FROM r WHERE n = 1
+ UNION ALL SELECT device_id, n, t, CASE WHEN aim <> level THEN t ELSE since END, aim, aim <> level
+ FROM (SELECT s.device_id, r.n, r.t, s.since, s.level, CASE WHEN r.t - s.since < 8 THEN s.level WHEN r.b >= 2 THEN least(4, s.level + 1) WHEN r.b <= 0.5 THEN greatest(0, s.level - 1) ELSE s.level END AS aim FROM s JOIN r ON r.device_id = s.device_id AND r.n = s.n + 1))
+SELECT device_id, t, level FROM s WHERE moved""")
 def slo_ladder(spark, sf):
     e = ops(spark, sf).select("device_id", (F.col("wall_ms") / 1000.0).alias("t"), (F.col("value") / 100.0).alias("burn"))
     return folds.degradation(e, "device_id", "t", "burn")

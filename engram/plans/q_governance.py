@@ -200,7 +200,10 @@ def egress_value_order(spark, sf):
     return o.select("op_id", F.round(G.op_value(F.col("op_id") % 11 == 0), 5).alias("value"))
 
 
-@query()
+@query(""", RECURSIVE r AS (SELECT device_id, op_id, priority, bytes, row_number() OVER (PARTITION BY device_id ORDER BY priority, op_id) AS n FROM (SELECT device_id, op_id, op_id * 7919 % 10007 AS priority, CAST(octet_length(encode(concat('{"op_id":', op_id, ',"point_id":', point_id, ',"kind":"', kind, '","value":', value, ',"body":"', replace(body, '"', '\\"'), '"}'))) AS INTEGER) AS bytes FROM ops)),
+s AS (SELECT device_id, n, bytes AS spent, TRUE AS sent FROM r WHERE n = 1
+ UNION ALL SELECT r.device_id, r.n, CASE WHEN s.spent + r.bytes <= 32768 THEN s.spent + r.bytes ELSE s.spent END, s.spent + r.bytes <= 32768 FROM s JOIN r ON r.device_id = s.device_id AND r.n = s.n + 1)
+SELECT r.device_id, r.op_id, r.bytes, r.priority, s.sent FROM s JOIN r ON r.device_id = s.device_id AND r.n = s.n""")
 def egress_budget_fill(spark, sf):
     o = ops(spark, sf).withColumn("bytes", G.op_bytes("op_id", "point_id", "kind", "value", "body").cast("int"))
     o = o.select("device_id", "op_id", "bytes", (F.col("op_id") * 7919 % 10007).alias("priority"))

@@ -96,10 +96,13 @@ VIEWS = {"points": POINTS_SQL, "ops": OPS_SQL, "facts": FACTS_SQL}
 
 
 def with_views(sql: str) -> str:
-    """Puts the views a statement names before it; it may begin with further ones (", x AS (")."""
+    """Puts the views a statement names before it; it may begin with further
+    ones (", x AS (" or ", RECURSIVE x AS (")."""
     import re
 
+    recursive = "RECURSIVE " if sql.lstrip().startswith(", RECURSIVE ") else ""
+    sql = sql.replace(", RECURSIVE ", ", ", 1) if recursive else sql
     used = [text for name, text in VIEWS.items() if re.search(rf"\b{name}\b", sql)]
     if sql.lstrip().startswith(","):
-        return "WITH " + ",\n".join(used) + sql
+        return "WITH " + recursive + ",\n".join(used) + sql
     return ("WITH " + ",\n".join(used) + "\n" if used else "") + sql
