@@ -149,22 +149,10 @@ class ProductQuantizer:
         """Inner products of the query's parts with all code words."""
         return np.stack([np.pad(b @ q, (0, 256 - len(b))) for b, q in zip(self.books, np.split(query @ self.rotation, self.parts))])
 
-
-def pq_codes(df: DataFrame, pq: ProductQuantizer, vec: str = "dense") -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(pq)
-
-    @pandas_udf("array<int>")
-    def encode(v: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.encode(np.stack(v.to_numpy()).astype(float)).astype(np.int32)))
-
-    return df.where(F.col(vec).isNotNull()).withColumn("codes", encode(vec))
-
-
-def pq_scores(codes: DataFrame, pq: ProductQuantizer, query: np.ndarray) -> DataFrame:
-    """codes with approx: the sum of one table entry a part."""
-    t = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in pq.table(query)])
-    total = F.aggregate(F.zip_with(t, F.col("codes"), lambda r, c: F.get(r, c)), F.lit(0.0), lambda s, x: s + x)
-    return codes.withColumn("approx", total)
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """table() of many queries: (queries, parts, 256)."""
+        parts = np.split(queries @ self.rotation, self.parts, axis=1)
+        return np.stack([np.pad(x @ b.T, ((0, 0), (0, 256 - len(b)))) for b, x in zip(self.books, parts)], axis=1)
 
 
 def coded_topk(df: DataFrame, model: ProductQuantizer | IvfPq, queries: DataFrame, k: int, block: int = 4096, key: str = "id", vec: str = "dense") -> DataFrame:
@@ -241,30 +229,6 @@ class IvfPq:
         return near + self.pq.approximate(rows - near)
 
 
-def ivf_index(df: DataFrame, model: IvfPq, vec: str = "dense") -> DataFrame:
-    """df with cell and codes; write it partitioned by cell so that probes prune files."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @pandas_udf("struct<cell:int,codes:array<int>>")
-    def encode(v: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        x = np.stack(v.to_numpy()).astype(float)
-        own = m.assign(x)
-        return pd.DataFrame({"cell": own.astype(np.int32), "codes": list(m.pq.encode(x - m.cells[own]).astype(np.int32))})
-
-    return df.where(F.col(vec).isNotNull()).withColumn("_i", encode(vec)).select("*", "_i.cell", "_i.codes").drop("_i")
-
-
-def ivf_search(index: DataFrame, model: IvfPq, query: np.ndarray, k: int, probes: int = 4, rescore: int = 64, key: str = "id", vec: str = "dense") -> DataFrame:
-    """id, score: the k best of the rescore best by code among the probed cells."""
-    near = np.argsort(-(model.cells @ query))[:probes]
-    base = F.create_map(*[F.lit(x) for c in near.tolist() for x in (int(c), float(model.cells[c] @ query))])
-    part = pq_scores(index.where(F.col("cell").isin(near.tolist())), model.pq, query).withColumn("approx", F.col("approx") + base[F.col("cell")])
-    best = part.orderBy(F.desc("approx"), key).limit(rescore)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return best.select(F.col(key).alias("id"), V.dot(q, F.col(vec)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-
-
 def second_moments(df: DataFrame, vec: str = "dense") -> tuple[int, np.ndarray, np.ndarray]:
     """n, mean and covariance; each task sends one matrix of dims x dims."""
     dims = len(df.where(F.col(vec).isNotNull()).select(vec).first()[0])

@@ -40,14 +40,15 @@ def state_of(spark: SparkSession, path: str) -> str:
     return f"{path} {size.getFileCount()} {size.getLength()} {times[-1:]}"
 
 
-def stored(spark: SparkSession, name: str, sources: list[str], build) -> DataFrame:
+def stored(spark: SparkSession, name: str, sources: list[str], build, write=None) -> DataFrame:
     """What build() returns, written to the shared folder by its first use in an application and
-    read again by later ones, as long as the source paths have not changed."""
+    read again by later ones, as long as the source paths have not changed. write(path) takes
+    the place of build where a table has a layout of its own."""
     key = hashlib.sha256("\n".join([spark.sparkContext.applicationId, *(state_of(spark, s) for s in sources)]).encode()).hexdigest()[:24]
     path = f"{shared_folder(spark)}/engram/{name}-{key}"
     fs, done = _path(spark, f"{path}/_SUCCESS")
     if not fs.exists(done):
-        build().write.mode("overwrite").parquet(path)
+        write(path) if write else build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import ann as A
 from ..operators import learning as L
 from ..operators import quantize as Q
+from ..operators.storage import stored
 from .registry import query
 from .views import table
 
@@ -63,20 +65,32 @@ def rabitq_bound(spark, sf):
     return Q.shortlist(e, 10).select("id", F.round("estimate", 4).alias("estimate"), F.round("bound", 4).alias("bound"))
 
 
+def _model(v, cells):
+    """Fit on the 2,000 vectors with the smallest hashes."""
+    sample = np.array([r.dense for r in v.where("dense is not null").orderBy(F.xxhash64("id"), "id").limit(2000).collect()], float)
+    return Q.IvfPq(sample, cells=cells or max(4, min(256, int(len(sample) ** 0.5))))
+
+
+def _indexed(spark, sf, cells):
+    """(vectors, model, stored index, probes and rescore measured on other rows than are asked)."""
+    v = _v(spark, sf)
+    m = _model(v, cells)
+    index = stored(spark, f"ivf-{cells}", [f"{sf}/embeddings.parquet"], None, write=lambda path: A.write_index(v, m, path, mode="overwrite"))
+    others = v.where("id % 50 = 25 and dense is not null").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+    return m, index, Q.calibrate(v, m, others, 10, target=0.98)
+
+
 @query()
 def pq_topk(spark, sf):
-    v = _v(spark, sf)
-    sample = np.array([r.dense for r in v.orderBy(F.xxhash64("id")).limit(2000).collect()], float)
-    pq = Q.ProductQuantizer(sample, parts=8, words=64)
-    return Q.coded_topk(v, pq, _stated(v), 10).withColumn("score", F.round("score", 6))
+    """All codes of one cell, the best by code scored exactly."""
+    m, index, c = _indexed(spark, sf, 1)
+    return A.search(index, m, _stated(_v(spark, sf)), 10, 1, c["rescore"]).withColumn("score", F.round("score", 6))
 
 
 @query()
 def ivfpq_topk(spark, sf):
-    v = _v(spark, sf)
-    sample = np.array([r.dense for r in v.orderBy(F.xxhash64("id")).limit(2000).collect()], float)
-    m = Q.IvfPq(sample, cells=10)
-    return Q.coded_topk(v, m, _stated(v), 10).withColumn("score", F.round("score", 6))
+    m, index, c = _indexed(spark, sf, None)
+    return A.search(index, m, _stated(_v(spark, sf)), 10, c["probes"], c["rescore"]).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -206,9 +220,8 @@ def migration_gate(spark, sf):
 
 @query()
 def ivfpq_calibrated(spark, sf):
-    v = _v(spark, sf)
-    sample = np.array([r.dense for r in v.orderBy(F.xxhash64("id")).limit(2000).collect()], float)
-    c = Q.calibrate(v, Q.IvfPq(sample, cells=10), _stated(v), 10)
+    """What the index search uses."""
+    _, _, c = _indexed(spark, sf, None)
     return spark.createDataFrame([(c["probes"], c["rescore"])], "probes int, rescore int")
 
 
