@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..operators import ann as A
 from ..operators import learning as L
 from ..operators import quantize as Q
+from ..operators import smallworld as S
 from ..operators.storage import stored
 from .registry import query
 from .views import table
@@ -93,6 +94,30 @@ def ivfpq_topk(spark, sf):
     return A.search(index, m, _stated(_v(spark, sf)), 10, c["probes"], c["rescore"]).withColumn("score", F.round("score", 6))
 
 
+@query()
+def graph_topk(spark, sf):
+    """The stated vectors' neighbours by a small-world graph a shard."""
+    v = _v(spark, sf)
+    graph = stored(spark, "small-world", [f"{sf}/embeddings.parquet"], lambda: S.build(v, S.shards(v)))
+    return S.search(graph, _stated(v), 10).withColumn("score", F.round("score", 6))
+
+
+_NEAREST = """SELECT a.vec_id % s AS shard, a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN (SELECT greatest(1, CAST(ceil(count(*) / 4096.0) AS BIGINT)) AS s FROM embeddings) n ON TRUE JOIN embeddings b ON b.vec_id % s = a.vec_id % s AND b.vec_id <> a.vec_id
+ QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) <= 6"""
+
+
+@query(
+    f"""WITH e AS MATERIALIZED ({_NEAREST}), r AS (SELECT * FROM e WHERE src % 50 = 0 AND dst % 50 <> 0),
+p AS (SELECT DISTINCT a.shard, a.dst AS src, b.dst AS dst FROM r a JOIN r b ON a.src = b.src AND a.dst <> b.dst), f AS (SELECT p.* FROM p ANTI JOIN e ON e.src = p.src AND e.dst = p.dst)
+SELECT f.shard, CAST(0 AS INT) AS layer, f.src, f.dst FROM f LEFT JOIN (SELECT src, count(*) AS held FROM e GROUP BY src) h ON h.src = f.src QUALIFY row_number() OVER (PARTITION BY f.src ORDER BY f.dst) + coalesce(held, 0) <= 8"""
+)
+def graph_crosslinks(spark, sf):
+    """The links that removing the stated vectors adds to the graph of six nearest ones."""
+    v = _v(spark, sf)
+    graph = stored(spark, "nearest-six", [f"{sf}/embeddings.parquet"], lambda: S.build(v, S.shards(v), degree=6, spread=False))
+    return S.crosslinks(graph, v.where("id % 50 = 0"), most=8)
+
+
 @query()
 def whitened_topk(spark, sf):
     v = _v(spark, sf)
