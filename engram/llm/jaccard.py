@@ -47,8 +47,6 @@ RATIO, SMALL, SPARE, HOT = 1.75, 48, 1.35, 16
 STAR_RUNS = 4
 #: Signatures held before they are sent, and bytes of text for one bucket.
 FLUSH, BUCKET_BYTES = 4_000_000, 10 << 20
-#: Shingles of a group in the join of needy documents, about.
-TOKENS = 1_000_000
 
 
 def _bands() -> tuple[np.ndarray, np.ndarray]:
@@ -409,18 +407,6 @@ def _verified(df: DataFrame, pairs: DataFrame, owners: DataFrame, key: str, text
     return materialize(spark, linked(verify(df, pairs, owners, key, text)).select("a", "b"), "jaccard-edges")
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Of some shingles' occurrences those whose shingle several components have, with how many
-    sets have it."""
-    token, comp = table.column("token").to_numpy(), table.column("comp").to_numpy()
-    order = np.argsort(token, kind="stable")
-    first = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1])[: len(order)])
-    size = np.diff(np.append(first, len(order)))
-    several = np.minimum.reduceat(comp[order], first) < np.maximum.reduceat(comp[order], first) if len(first) else np.zeros(0, bool)
-    kept = np.repeat(several, size)
-    return table.take(pa.array(order[kept])).append_column("df", pa.array(np.repeat(size, size)[kept].astype(np.int64)))
-
-
 def _prefix_pairs(df: DataFrame, members: DataFrame, owners: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
     """a, b: all pairs of members (a, n) in different components that can link. A pair that
     links has 3/7 of both sizes in common. In one order of all shingles, rare before frequent,
@@ -441,8 +427,8 @@ def _prefix_pairs(df: DataFrame, members: DataFrame, owners: DataFrame, labels:
     tokens = sets.join(comp, "fp").select("fp", "n", "comp", "set").mapInArrow(explode, "fp long, n long, comp long, token long")
     # only shingles that several components have can be in common; each set's as one array, rare first
     least = F.ceil(F.col("n") * 3 / 4)
-    groups = max(partitions_for(spark), (comp.agg(F.sum("n")).first()[0] or 0) // TOKENS)
-    across = tokens.groupBy(F.pmod("token", F.lit(groups))).applyInArrow(_across, "fp long, n long, comp long, token long, df long")
+    met = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    across = tokens.join(met.select("token", "df"), "token")
     ordered = across.groupBy("fp", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     ordered = ordered.withColumn("left", F.size("t")).where(F.col("left") >= least)
     prefix = ordered.select("fp", "comp", "n", "left", F.posexplode(F.slice("t", 1, (F.col("left") - least + 1).cast("int"))).alias("i", "x"))
