@@ -152,24 +152,23 @@ def plan(corpus: int, k: int, ann: bool, matches: int | None = None, share: floa
     return Plan(kind, share, matches, {"pre_filter": k, "post_filter": fetch}.get(kind, max(k, fetch)), options[kind], options)
 
 
-def strategy(count: int, pressure: float = 0.0, hnsw: int = 110_000, ivf: int = 1_000_000) -> str:
+def strategy_of(count: Column, pressure: Column | None = None, hnsw: int = 110_000, ivf: int = 1_000_000) -> Column:
     """Index kind for a corpus size; compressed where memory is what binds."""
-    if (pressure > 0.85 and count > 2_000) or count >= ivf:
-        return "ivf_pq"
-    return "hnsw" if count >= hnsw else "flat"
+    short = (pressure > 0.85) & (count > 2_000) if pressure is not None else F.lit(False)
+    return F.when(short | (count >= ivf), "ivf_pq").when(count >= hnsw, "hnsw").otherwise("flat")
 
 
 #: Points a graph walk visits for each step of its beam, as published.
 VISITS = 5.6
 
 
-def crossover(flat_ns: float, hop_ns: float, ef: int = 64, margin: float = 1.5) -> int:
-    """Smallest multiple of 10,000 rows at which a graph walk beats the scan by the margin."""
-    import math
-
+def crossover_at(flat_ns: Column, hop_ns: Column, ef: int = 64, margin: float = 1.5) -> Column:
+    """Smallest multiple of 10,000 rows at which a graph walk beats the scan by the margin, twenty
+    million where none does."""
     step, most = 10_000, 20_000_000
-    wins = (n for n in range(step, most, step) if margin * ef * VISITS * hop_ns * math.log2(n) < flat_ns * n)
-    return next(wins, most)
+    sizes = F.sequence(F.lit(step).cast("long"), F.lit(most).cast("long"), F.lit(step).cast("long"))
+    wins = F.filter(sizes, lambda n: (F.lit(ef * VISITS) * F.log2(n) * hop_ns * margin < n * flat_ns) | (n == most))
+    return F.element_at(wins, 1)
 
 
 # row-level helpers -----------------------------------------------------------

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import written
+
 # Ranks, patterns and weights decide the results.
 SENSITIVITY = ("public", "internal", "sensitive", "restricted")
 SYNC_CLASSES = ("sync_full", "sync_after_redaction", "sync_metadata_only", "local_only")
@@ -190,27 +192,50 @@ def audit_hash(prev: Column, seq: Column, action: Column, subject: Column) -> Co
     return F.sha2(F.concat_ws("|", prev, seq.cast("string"), action, subject), 256)
 
 
-def audit_verify(log: DataFrame) -> DataFrame:
-    """One row: entries, ok and first_broken. log: seq, action, subject, prev_hash, hash. Each
-    entry meets its predecessor by number, so the log is never sorted in one task."""
-    before = log.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"))
-    joined = log.join(before, "seq", "left")
-    first = log.agg(F.min("seq").alias("s")).first().s
-    expected = F.when(F.col("seq") == first, F.lit("")).otherwise(F.col("_before"))
-    broken = ~(F.col("prev_hash").eqNullSafe(expected) & (audit_hash(F.col("prev_hash"), F.col("seq"), F.col("action"), F.col("subject")) == F.col("hash")))
-    return joined.agg(F.count("*").alias("entries"), F.min(F.when(broken, F.col("seq"))).alias("first_broken")).withColumn("ok", F.col("first_broken").isNull())
-
-
-def audit_append(rows: list[tuple[str, str]], prev: str = "", start: int = 0) -> list[tuple[int, str, str, str, str]]:
-    """A chain is sequential: entries (seq, action, subject, prev_hash, hash) for one writer."""
+def audit_chain(rows: DataFrame, block: int) -> DataFrame:
+    """seq, action, subject, prev_hash, hash. A chain is sequential, so each block of numbers has
+    one of its own, which begins with an empty hash; blocks are chained by audit_heads(). A block
+    is one task's at most, blocks run in parallel."""
     import hashlib
 
-    out = []
-    for seq, (action, subject) in enumerate(rows, start):
-        h = hashlib.sha256("|".join((prev, str(seq), action, subject)).encode()).hexdigest()
-        out.append((seq, action, subject, prev, h))
-        prev = h
-    return out
+    import pyarrow as pa
+
+    def chain(table: pa.Table) -> pa.Table:
+        table, before, prev, own = table.sort_by("seq"), "", [], []
+        for seq, action, subject in zip(*(table.column(c).to_pylist() for c in ("seq", "action", "subject"))):
+            prev.append(before)
+            before = hashlib.sha256("|".join(x for x in (before, str(seq), action, subject) if x is not None).encode()).hexdigest()
+            own.append(before)
+        return table.append_column("prev_hash", pa.array(prev, pa.string())).append_column("hash", pa.array(own, pa.string()))
+
+    named = rows.select(F.col("seq").cast("long").alias("seq"), "action", "subject")
+    return named.groupBy(F.expr(f"seq div {block}")).applyInArrow(chain, "seq long, action string, subject string, prev_hash string, hash string")
+
+
+def audit_heads(log: DataFrame, block: int) -> DataFrame:
+    """level, block, hash: the last hash of every block of entries (level 0), and of the chains over
+    the blocks' hashes, block by block again, until one is left. A changed block changes all above it."""
+    level, out = 0, None
+    heads = log.groupBy(F.expr(f"seq div {block}").alias("block")).agg(F.max_by("hash", "seq").alias("hash"))
+    while True:
+        heads = written(heads, "audit-heads")
+        own = heads.select(F.lit(level).alias("level"), "block", "hash")
+        out = own if out is None else out.union(own)
+        if heads.count() <= 1:
+            return out
+        above = audit_chain(heads.select(F.col("block").alias("seq"), F.col("hash").alias("action"), F.lit(None).cast("string").alias("subject")), block)
+        heads, level = above.groupBy(F.expr(f"seq div {block}").alias("block")).agg(F.max_by("hash", "seq").alias("hash")), level + 1
+
+
+def audit_verify(log: DataFrame, block: int) -> DataFrame:
+    """block, entries, first_broken, ok. Each entry meets its predecessor by number, so no chain is
+    followed in one task."""
+    before = log.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"))
+    joined = log.join(before, "seq", "left")
+    expected = F.when(F.col("seq") % block == 0, F.lit("")).otherwise(F.col("_before"))
+    broken = ~(F.col("prev_hash").eqNullSafe(expected) & audit_hash(F.col("prev_hash"), F.col("seq"), F.col("action"), F.col("subject")).eqNullSafe(F.col("hash")))
+    each = joined.groupBy(F.expr(f"seq div {block}").alias("block")).agg(F.count("*").alias("entries"), F.min(F.when(broken, F.col("seq"))).alias("first_broken"))
+    return each.withColumn("ok", F.col("first_broken").isNull())
 
 
 # --------------------------------------------------------------------- egress

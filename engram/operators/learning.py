@@ -16,6 +16,11 @@ def sigma(epsilon: float, delta: float, norm: float = 1.0) -> float:
     return norm * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
 
 
+def sigma_of(epsilon, delta: float, norm):
+    """sigma() of columns."""
+    return F.lit(sigma(1.0, delta)) * norm / epsilon
+
+
 def privatize(df: DataFrame, vec: str, norm: float, epsilon: float, delta: float, seed: int) -> DataFrame:
     """Vectors clipped to a norm, with Gaussian noise from a seed and the row's hash."""
     s = sigma(epsilon, delta, norm)

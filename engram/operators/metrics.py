@@ -25,6 +25,11 @@ def allows(feature: str, level: int) -> bool:
     return feature not in FEATURES or level < FEATURES[feature]
 
 
+def allowed_at(level: Column) -> Column:
+    """array<struct<feature, allowed>> of all features at a level."""
+    return F.array(*[F.struct(F.lit(f).alias("feature"), (level < top).alias("allowed")) for f, top in FEATURES.items()])
+
+
 def ordered_at(values: Column, index: Column) -> Column:
     """The value at a 0-based place of the sorted values of a bounded group."""
     return F.element_at(F.array_sort(values), index.cast("int") + 1)

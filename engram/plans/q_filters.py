@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as O
 from .registry import query
-from .views import NOW, points
+from .views import NOW, notes, ops, points, table
 
 
 @query("SELECT id, collection FROM points WHERE collection IN ('episodic','sensor') AND access_count >= 10 AND (sensitivity = 'public' OR pinned) AND NOT (stale = TRUE) AND NOT coalesce(cluster_label = 3, FALSE)")
@@ -67,14 +67,18 @@ def query_plan(spark, sf):
     return spark.createDataFrame([(r.corpus, r.matches, chosen.kind)], "corpus long, matches long, plan string")
 
 
-@query("SELECT n AS corpus, CASE WHEN n < 110000 THEN 'flat' WHEN n < 1000000 THEN 'hnsw' ELSE 'ivf_pq' END AS strategy FROM (VALUES (CAST(1000 AS BIGINT)), (109999), (110000), (2000000)) t(n)")
+@query("SELECT l_returnflag, l_linestatus, CAST(40 * count(*) AS BIGINT) AS corpus, CASE WHEN 40 * count(*) < 110000 THEN 'flat' WHEN 40 * count(*) < 1000000 THEN 'hnsw' ELSE 'ivf_pq' END AS strategy FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def index_strategy(spark, sf):
-    return spark.createDataFrame([(n, O.strategy(n)) for n in (1000, 109_999, 110_000, 2_000_000)], "corpus long, strategy string")
+    """Forty times each group's rows, as a corpus."""
+    n = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg((40 * F.count("*")).cast("long").alias("corpus"))
+    return n.withColumn("strategy", O.strategy_of(F.col("corpus")))
 
 
-@query("SELECT min(n) AS crossover FROM (SELECT CAST(unnest(range(10000, 20000001, 10000)) AS BIGINT) AS n) WHERE 64 * 5.6 * log2(n) * 900.0 * 1.5 < n * 12.0 OR n = 20000000")
+@query("WITH c AS (SELECT event_type, round(avg(value), 3) AS flat FROM events GROUP BY event_type) SELECT event_type, (SELECT min(n) FROM (SELECT CAST(unnest(range(10000, 20000001, 10000)) AS BIGINT) AS n) WHERE 64 * 5.6 * log2(n) * 9000.0 * 1.5 < n * flat OR n = 20000000) AS crossover FROM c")
 def index_crossover(spark, sf):
-    return spark.createDataFrame([(O.crossover(12.0, 900.0, 64),)], "crossover long")
+    """Each kind of event's mean value as the cost of a scanned row."""
+    c = table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 3).alias("flat"))
+    return c.select("event_type", O.crossover_at(F.col("flat"), F.lit(9000.0)).alias("crossover"))
 
 
 @query("SELECT id, concat_ws('::', tenant_id, collection) AS namespace FROM points WHERE tenant_id = 't1' AND superseded_by IS NULL")
@@ -102,30 +106,35 @@ def expiry(spark, sf):
 
 
 @query(
-    """SELECT q, CAST(CASE WHEN regexp_extract(q, '(?i)\\b(?:last|past|previous)\\s+(\\d+)?\\s*(second|minute|hour|day|week|month)s?\\b', 2) = '' THEN NULL ELSE
+    """SELECT id, CAST(CASE WHEN regexp_extract(q, '(?i)\\b(?:last|past|previous)\\s+(\\d+)?\\s*(second|minute|hour|day|week|month)s?\\b', 2) = '' THEN NULL ELSE
  CASE WHEN regexp_extract(q, '(?i)\\b(?:last|past|previous)\\s+(\\d+)?\\s*(second|minute|hour|day|week|month)s?\\b', 1) = '' THEN 1 ELSE CAST(regexp_extract(q, '(?i)\\b(?:last|past|previous)\\s+(\\d+)?\\s*(second|minute|hour|day|week|month)s?\\b', 1) AS INT) END *
  CASE lower(regexp_extract(q, '(?i)\\b(?:last|past|previous)\\s+(\\d+)?\\s*(second|minute|hour|day|week|month)s?\\b', 2)) WHEN 'second' THEN 1 WHEN 'minute' THEN 60 WHEN 'hour' THEN 3600 WHEN 'day' THEN 86400 WHEN 'week' THEN 604800 ELSE 2592000 END END AS INT) AS seconds
-FROM (VALUES ('readings from the last 3 hours'), ('events in the past week'), ('Previous 2 months of logs'), ('no time here')) t(q)"""
+FROM (SELECT id, text AS q FROM notes) t"""
 )
 def temporal_filter(spark, sf):
     from ..functions.text import relative_seconds
 
-    q = spark.createDataFrame([("readings from the last 3 hours",), ("events in the past week",), ("Previous 2 months of logs",), ("no time here",)], "q string")
-    return q.select("q", relative_seconds(F.col("q")).alias("seconds"))
+    return notes(spark, sf).select("id", relative_seconds(F.col("text")).alias("seconds"))
+
+
+_KEYS = "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN ['read'] WHEN 1 THEN ['admin'] ELSE ['write', 'read'] END AS s FROM customer"
 
 
 @query(
-    """SELECT f AS feature, l AS level, l < r AS allowed FROM (VALUES ('triton_escalation',1),('wide_fetch',1),('graph_boost',1),('late_interaction',2),('adapter',2),('query_understanding',2),('cross_encoder',3),('diversity',3),('sparse',4),('background_maintenance',4)) t(f, r), (VALUES (0),(1),(2),(3),(4)) u(l)"""
+    """SELECT f AS feature, count(*) FILTER (WHERE op_id % 6 < r) AS allowed, count(*) AS n FROM ops, (VALUES ('triton_escalation',1),('wide_fetch',1),('graph_boost',1),('late_interaction',2),('adapter',2),('query_understanding',2),('cross_encoder',3),('diversity',3),('sparse',4),('background_maintenance',4)) t(f, r) GROUP BY f"""
 )
 def feature_gate(spark, sf):
-    from ..operators.metrics import FEATURES, allows
+    """Of each feature the requests that may use it, at the level each finds."""
+    from ..operators.metrics import allowed_at
 
-    rows = [(f, level, allows(f, level)) for f in FEATURES for level in range(5)]
-    return spark.createDataFrame(rows, "feature string, level int, allowed boolean")
+    o = ops(spark, sf).select((F.col("op_id") % 6).alias("level"))
+    asked = o.select("level", F.explode(allowed_at(F.col("level"))).alias("x"))
+    return asked.groupBy(F.col("x.feature").alias("feature")).agg(F.count_if("x.allowed").alias("allowed"), F.count("*").alias("n"))
 
 
-@query("SELECT id, sc AS scope, (list_contains(s, 'admin') OR list_contains(s, sc)) AS ok FROM (VALUES (1, ['read']), (2, ['admin']), (3, ['write','read'])) k(id, s), (VALUES ('read'), ('write')) w(sc)")
+@query(f"SELECT id, sc AS scope, (list_contains(s, 'admin') OR list_contains(s, sc)) AS ok FROM ({_KEYS}) k, (VALUES ('read'), ('write')) w(sc)")
 def scope_check(spark, sf):
-    keys = spark.createDataFrame([(1, ["read"]), (2, ["admin"]), (3, ["write", "read"])], "id int, s array<string>")
+    k = F.col("c_custkey")
+    keys = table(spark, sf, "customer").select(k.alias("id"), F.when(k % 3 == 0, F.array(F.lit("read"))).when(k % 3 == 1, F.array(F.lit("admin"))).otherwise(F.array(F.lit("write"), F.lit("read"))).alias("s"))
     wanted = F.explode(F.array(F.lit("read"), F.lit("write"))).alias("scope")
     return keys.select("id", "s", wanted).select("id", "scope", (F.array_contains("s", "admin") | F.array_contains(F.col("s"), F.col("scope"))).alias("ok"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import folds
 from ..operators import governance as G
+from ..operators.storage import stored
 from .registry import query
-from .views import ops, points, table
+from .views import notes, ops, points, table
 
 
 @query("SELECT id, CASE sensitivity WHEN 'public' THEN 0 WHEN 'internal' THEN 1 WHEN 'sensitive' THEN 2 ELSE 3 END AS rank FROM points")
@@ -144,44 +145,55 @@ def contradiction_check(spark, sf):
     return check(asked, p, 0.3, least=5).select("older", "newer", F.round("similarity", 6).alias("similarity"), F.array_join("signals", ",").alias("signals"))
 
 
-@query(
-    """WITH q AS (SELECT * FROM (VALUES (1, 'the limit is above ten', 'the limit is below ten'), (2, 'the valve is open', 'the valve is closed now'), (3, 'the rule holds', 'the rule was lifted'), (4, 'same', 'same')) t(id, a, b))
-SELECT id, CASE id WHEN 1 THEN 'antonym:above/below' WHEN 2 THEN 'antonym:open/closed' WHEN 3 THEN 'negation_flip' ELSE '' END AS signals FROM q"""
-)
+@query(f""", z AS (SELECT id, list_filter([{_SIGNALS}], lambda x: x IS NOT NULL) AS g FROM (SELECT a.id, a.text AS ta, b.text AS tb FROM notes a JOIN notes b ON b.id = a.id + 1)) SELECT id, array_to_string(g, ',') AS signals FROM z""")
 def polarity_signals(spark, sf):
-    rows = [(1, "the limit is above ten", "the limit is below ten"), (2, "the valve is open", "the valve is closed now"), (3, "the rule holds", "the rule was lifted"), (4, "same", "same")]
-    q = spark.createDataFrame(rows, "id int, a string, b string")
-    return q.select("id", F.array_join(T.polarity_signals(F.col("a"), F.col("b")), ",").alias("signals"))
+    """Each note against the one that follows."""
+    n = notes(spark, sf)
+    b = n.select((F.col("id") - 1).alias("id"), F.col("text").alias("b"))
+    return n.join(b, "id").select("id", F.array_join(T.polarity_signals(F.col("text"), F.col("b")), ",").alias("signals"))
+
 
+_TOKENS = "list_distinct(regexp_extract_all(lower({0}.text), '[a-z0-9]+'))"
 
-@query("SELECT a.n_name AS a, b.n_name AS b, round(len(list_intersect(string_split(a.n_name, ''), string_split(b.n_name, ''))) / least(len(list_distinct(string_split(a.n_name, ''))), len(list_distinct(string_split(b.n_name, '')))), 6) AS overlap FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+
+@query(f", x AS (SELECT a.id, {_TOKENS.format('a')} AS a, {_TOKENS.format('b')} AS b FROM notes a JOIN notes b ON b.id = a.id + 1) SELECT id, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) AS overlap FROM x")
 def lexical_overlap(spark, sf):
-    n = table(spark, sf, "nation")
-    a, b = (n.select(F.col("n_nationkey").alias(f"k{x}"), F.col("n_name").alias(x), F.split("n_name", "").alias(f"t{x}")) for x in "ab")
-    return a.join(b, F.col("ka") < F.col("kb")).select("a", "b", F.round(T.lexical_overlap(F.col("ta"), F.col("tb")), 6).alias("overlap"))
+    """Each note's words and those of the one that follows."""
+    n = notes(spark, sf).select("id", T.tokenize(F.col("text")).alias("k"))
+    b = n.select((F.col("id") - 1).alias("id"), F.col("k").alias("b"))
+    return n.join(b, "id").select("id", F.round(T.lexical_overlap(F.col("k"), F.col("b")), 6).alias("overlap"))
 
 
-_AUD = """RECURSIVE src AS (SELECT CAST(n_nationkey AS BIGINT) AS seq, 'act' || CAST(n_regionkey AS VARCHAR) AS action, n_name AS subject FROM nation),
-ch AS (SELECT seq, action, subject, '' AS prev_hash, sha256(concat('', '|', CAST(seq AS VARCHAR), '|', action, '|', subject)) AS hash FROM src WHERE seq = 0
- UNION ALL SELECT s.seq, s.action, s.subject, ch.hash, sha256(concat(ch.hash, '|', CAST(s.seq AS VARCHAR), '|', s.action, '|', s.subject)) FROM ch JOIN src s ON s.seq = ch.seq + 1)"""
+_AUD = """WITH RECURSIVE src AS MATERIALIZED (SELECT event_id AS seq, event_type AS action, props AS subject FROM events),
+ch AS (SELECT seq, action, subject, '' AS prev_hash, sha256(concat('', '|', seq, '|', action, '|', subject)) AS hash FROM src WHERE seq % 1000 = 0
+ UNION ALL SELECT s.seq, s.action, s.subject, ch.hash, sha256(concat(ch.hash, '|', s.seq, '|', s.action, '|', s.subject)) FROM ch JOIN src s ON s.seq = ch.seq + 1 AND s.seq % 1000 <> 0),
+hd AS (SELECT 0 AS level, seq // 1000 AS block, arg_max(hash, seq) AS hash FROM ch GROUP BY seq // 1000)"""
 
 
 def _audit(spark, sf):
-    rows = table(spark, sf, "nation").orderBy("n_nationkey").select(F.concat(F.lit("act"), F.col("n_regionkey").cast("string")), "n_name").collect()
-    return spark.createDataFrame(G.audit_append([tuple(r) for r in rows]), "seq long, action string, subject string, prev_hash string, hash string")
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("action"), F.col("props").alias("subject"))
+    return stored(spark, "audit", [f"{sf}/events.parquet"], lambda: G.audit_chain(rows, 1000))
 
 
-@query(f"WITH {_AUD} SELECT count(*) AS entries, CAST(9 AS BIGINT) AS first_broken, FALSE AS ok FROM ch")
+@query("SELECT event_id // 1000 AS block, count(*) AS entries, min(CASE WHEN event_id % 1997 = 9 THEN event_id END) AS first_broken, count(*) FILTER (WHERE event_id % 1997 = 9) = 0 AS ok FROM events GROUP BY event_id // 1000")
 def audit_chain_verify(spark, sf):
+    """Every block of the log, in which some entries have been forged."""
     log = _audit(spark, sf)
-    return G.audit_verify(log.withColumn("subject", F.when(F.col("seq") == 9, "forged").otherwise(F.col("subject"))))
+    return G.audit_verify(log.withColumn("subject", F.when(F.col("seq") % 1997 == 9, "forged").otherwise(F.col("subject"))), 1000)
 
 
-@query(f"WITH {_AUD} SELECT seq, action, subject, prev_hash, hash FROM ch ORDER BY seq DESC LIMIT 7")
+@query(_AUD + " SELECT seq, action, subject, prev_hash, hash FROM ch ORDER BY seq DESC LIMIT 7")
 def audit_tail(spark, sf):
     return _audit(spark, sf).orderBy(F.desc("seq")).limit(7)
 
 
+@query(_AUD + """, top AS (SELECT block, sha256(concat('|', block, '|', hash)) AS hash FROM hd WHERE block = 0 UNION ALL SELECT h.block, sha256(concat(top.hash, '|', h.block, '|', h.hash)) FROM top JOIN hd h ON h.block = top.block + 1)
+SELECT level, block, hash FROM hd UNION ALL SELECT 1, 0, arg_max(hash, block) FROM top WHERE (SELECT count(*) FROM hd) > 1""")
+def audit_heads(spark, sf):
+    """The last hash of every block, and of the blocks of these, up to a single one."""
+    return G.audit_heads(_audit(spark, sf), 1000)
+
+
 @query(
     """, o AS (SELECT op_id, point_id, kind, wall_ms, counter, device_id, row_number() OVER (PARTITION BY point_id ORDER BY CASE WHEN kind = 'delete' THEN 1 ELSE 0 END, wall_ms DESC, counter DESC, device_id DESC, op_id DESC) AS rn FROM ops)
 SELECT op_id, kind <> 'delete' AND rn > 1 AS redundant FROM o"""

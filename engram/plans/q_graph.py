@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from .registry import query
-from .views import facts, points, table
+from .views import facts, notes, points, table
 
 _T = "TIMESTAMP '1996-06-01'"
 _LATE = "TIMESTAMP '1997-06-01'"
@@ -139,24 +139,11 @@ def entities_by_mentions(spark, sf):
     return facts(spark, sf).groupBy(F.col("subject").alias("entity")).agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "entity").limit(20)
 
 
-_NOTES = [
-    (1, "Coolant pump at Bay 4 tripped after pressure fell to 1.8 bar"),
-    (2, "BRG-2291 replaced on conveyor line 3 by operator k4471"),
-    (3, "Vibration crossed 4.2 mm/s near the spindle in bay 2"),
-    (4, "nothing of note"),
-]
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 'asset:pump', 'location:bay 4', 'located_in'), (1, 'location:bay 4', 'metric:pressure', 'caused'), (1, 'metric:pressure', 'threshold:1.8 bar', 'below'), (2, 'part:brg-2291', 'asset:conveyor', 'located_in'),
- (3, 'metric:vibration', 'threshold:4.2 mm/s', 'exceeded'), (3, 'asset:spindle', 'location:bay 2', 'located_in')) t(id, subject, object, predicate)"""
-)
+@query()
 def extract_facts(spark, sf):
-    docs = spark.createDataFrame(_NOTES, "id int, text string")
-    return G.extract_facts(docs).where("object <> 'location:line 3' and subject <> 'location:line 3'").select("id", "subject", "object", "predicate")
+    return G.extract_facts(notes(spark, sf)).select("id", "subject", "object", "predicate")
 
 
 @query()
 def extract_entities(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return G.extract_entities(docs).groupBy("entity", "kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("points"))
+    return G.extract_entities(notes(spark, sf)).groupBy("entity", "kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("points"))

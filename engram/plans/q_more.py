@@ -13,7 +13,7 @@ from ..operators import oplog as L
 from ..operators import storage as S
 from .q_graph import T1, T2, _at
 from .registry import query
-from .views import facts, ops, points, table
+from .views import facts, notes, ops, points, table
 
 
 @query("SELECT op_id, round(CASE WHEN op_id % 10 = 0 THEN 0 ELSE (1 + op_id % 50) / CAST(op_id % 10 AS DOUBLE) END, 6) AS ratio FROM ops")
@@ -55,13 +55,12 @@ _PLANS = {k: v[7:-3] for k, (v, _) in T.ANSWER_PLANS.items()}  # without the fla
 
 
 @query(
-    "SELECT q, CASE "
+    "SELECT id, CASE "
     + " ".join(f"WHEN regexp_matches(lower(q), '{_B}{p}{_E}') THEN '{k}'" for k, p in _PLANS.items())
-    + " ELSE '*' END AS collection FROM (VALUES ('How do I reset it'), ('average count of trips'), ('what was the latest'), ('limits')) t(q)"
+    + " ELSE '*' END AS collection FROM (SELECT id, text AS q FROM notes) t"
 )
 def answer_plan(spark, sf):
-    q = spark.createDataFrame([("How do I reset it",), ("average count of trips",), ("what was the latest",), ("limits",)], "q string")
-    return q.select("q", T.answer_plan(F.col("q"))["collection"].alias("collection"))
+    return notes(spark, sf).select("id", T.answer_plan(F.col("text"))["collection"].alias("collection"))
 
 
 @query("SELECT provenance, line_no, valid_from <= TIMESTAMP '1996-06-01' AND TIMESTAMP '1996-06-01' < valid_to AS valid, recorded_at <= TIMESTAMP '1997-06-01' AND (retracted_at IS NULL OR TIMESTAMP '1997-06-01' < retracted_at) AS believed FROM facts")

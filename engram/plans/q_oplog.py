@@ -94,10 +94,9 @@ def iblt_reconcile(spark, sf):
     return found.agg(F.count_if(F.col("sign") < 0).alias("only_b"), F.count_if(F.col("sign") > 0).alias("only_a")).withColumn("complete", F.lit(complete))
 
 
-@query("SELECT n, CAST(CASE WHEN n <= 8 THEN 32 WHEN n <= 16 THEN 64 WHEN n <= 32 THEN 128 ELSE 1024 END AS BIGINT) AS cells FROM (VALUES (1), (8), (9), (16), (20), (250)) t(n)")
+@query("SELECT point_id, count(*) AS n, CAST(pow(2, ceil(log2(greatest(32, 4 * count(*))))) AS BIGINT) AS cells FROM ops GROUP BY point_id")
 def iblt_size(spark, sf):
-    d = spark.createDataFrame([(x,) for x in (1, 8, 9, 16, 20, 250)], "n int")
-    return d.select("n", L.iblt_size(F.col("n")).alias("cells"))
+    return ops(spark, sf).groupBy("point_id").agg(F.count("*").alias("n")).withColumn("cells", L.iblt_size(F.col("n")))
 
 
 _B = "CAST(CAST(concat('0x', substr(md5(CAST({0} AS VARCHAR)), 1, 8)) AS BIGINT) % 64 AS INT)"

@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..operators import retrieval as R
 from ..operators.storage import spread, stored
 from .registry import query
-from .views import NOW, points, table
+from .views import notes, NOW, points, table
 
 _STOP = "(" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 _TOK = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN " + _STOP + " AND length(x) > 1)"
@@ -361,30 +361,26 @@ def spell_correct(spark, sf):
 
 
 @query(
-    """WITH q AS (SELECT text FROM (VALUES ('sensor reading of vibration'), ('how to fix the recovery procedure'), ('what happened yesterday'), ('policy threshold limit'), ('nothing to see')) v(text)),
-t AS (SELECT text, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM q),
-h AS (SELECT text, len(list_filter(k, lambda x: x IN ('sensor','reading','telemetry','measurement','vibration','temperature'))) AS a, len(list_filter(k, lambda x: x IN ('procedure','steps','how','recovery','fix','repair','checklist'))) AS b,
+    """, t AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM notes),
+h AS (SELECT id, len(list_filter(k, lambda x: x IN ('sensor','reading','telemetry','measurement','vibration','temperature'))) AS a, len(list_filter(k, lambda x: x IN ('procedure','steps','how','recovery','fix','repair','checklist'))) AS b,
  len(list_filter(k, lambda x: x IN ('happened','yesterday','shift','event','when','log'))) AS c, len(list_filter(k, lambda x: x IN ('rule','policy','threshold','limit','definition','means'))) AS d FROM t)
-SELECT text, CASE WHEN greatest(a,b,c,d) = 0 THEN NULL WHEN a = greatest(a,b,c,d) THEN 'sensor' WHEN b = greatest(a,b,c,d) THEN 'procedural' WHEN c = greatest(a,b,c,d) THEN 'episodic' ELSE 'semantic' END AS intent FROM h"""
+SELECT id, CASE WHEN greatest(a,b,c,d) = 0 THEN NULL WHEN a = greatest(a,b,c,d) THEN 'sensor' WHEN b = greatest(a,b,c,d) THEN 'procedural' WHEN c = greatest(a,b,c,d) THEN 'episodic' ELSE 'semantic' END AS intent FROM h"""
 )
 def intent_route(spark, sf):
-    rows = ["sensor reading of vibration", "how to fix the recovery procedure", "what happened yesterday", "policy threshold limit", "nothing to see"]
-    q = spark.createDataFrame([(r,) for r in rows], "text string")
-    return q.select("text", T.intent(T.tokenize(F.col("text"))).alias("intent"))
+    return notes(spark, sf).select("id", T.intent(T.tokenize(F.col("text"))).alias("intent"))
 
 
 @query(
-    """WITH q AS (SELECT text FROM (VALUES ('vibration at 4.2mm/s and 3 bar'), ('torque 12Nm, 1500 RPM'), ('no units')) v(text)), m AS (SELECT text, regexp_extract_all(text, '(?i)\\b(\\d+(?:\\.\\d+)?)\\s*(mm/s|mm|bar|nm|rpm|°?c|hz|kw|a|v|ms|s|min|h)\\b', 1) AS v, regexp_extract_all(text, '(?i)\\b(\\d+(?:\\.\\d+)?)\\s*(mm/s|mm|bar|nm|rpm|°?c|hz|kw|a|v|ms|s|min|h)\\b', 2) AS u FROM q)
-SELECT text, len(v) AS n, array_to_string(list_transform(u, lambda x: lower(x)), ',') AS units, round(coalesce(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 0), 3) AS total FROM m"""
+    """, m AS (SELECT id, regexp_extract_all(text, '(?i)\\b(\\d+(?:\\.\\d+)?)\\s*(mm/s|mm|bar|nm|rpm|°?c|hz|kw|a|v|ms|s|min|h)\\b', 1) AS v, regexp_extract_all(text, '(?i)\\b(\\d+(?:\\.\\d+)?)\\s*(mm/s|mm|bar|nm|rpm|°?c|hz|kw|a|v|ms|s|min|h)\\b', 2) AS u FROM notes)
+SELECT id, len(v) AS n, array_to_string(list_transform(u, lambda x: lower(x)), ',') AS units, round(coalesce(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 0), 3) AS total FROM m"""
 )
 def units_extract(spark, sf):
-    q = spark.createDataFrame([("vibration at 4.2mm/s and 3 bar",), ("torque 12Nm, 1500 RPM",), ("no units",)], "text string")
     u = T.units(F.col("text"))
-    return q.select("text", F.size(u).alias("n"), F.array_join(F.transform(u, lambda x: x["unit"]), ",").alias("units"), F.round(F.aggregate(u, F.lit(0.0), lambda s, x: s + x["value"]), 3).alias("total"))
+    return notes(spark, sf).select("id", F.size(u).alias("n"), F.array_join(F.transform(u, lambda x: x["unit"]), ",").alias("units"), F.round(F.aggregate(u, F.lit(0.0), lambda s, x: s + x["value"]), 3).alias("total"))
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN levenshtein(a.n_name, b.n_name) > 4 THEN 5 ELSE levenshtein(a.n_name, b.n_name) END AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+@query("SELECT id, CASE WHEN levenshtein(a, b) > 4 THEN 5 ELSE levenshtein(a, b) END AS d FROM (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)")
 def bounded_levenshtein(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    a, b = (n.select(F.col("n_nationkey").alias(f"k{x}"), F.col("n_name").alias(x)) for x in "ab")
-    return a.join(b, F.col("ka") < F.col("kb")).select("a", "b", T.bounded_levenshtein(F.col("a"), F.col("b"), 4).alias("d"))
+    """The two words of each part's name."""
+    w = F.split("p_name", " ")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.bounded_levenshtein(w[0], w[1], 4).alias("d"))

@@ -51,10 +51,12 @@ def sign_hamming_topk(spark, sf):
     return top_k(s.select("query_id", "id", F.round(F.col("score") / F.lit(float(b.first().n)), 6).alias("score")), 10, ["query_id"])
 
 
-@query("SELECT tier, round(ratio, 4) AS ratio FROM (VALUES ('hot', CAST(1.0 AS DOUBLE)), ('warm', 256.0 / 68.0), ('cold', 256.0 / 8.0)) t(tier, ratio)")
+@query("WITH b AS (SELECT sum(4 * len(embedding)) AS hot, sum(len(embedding) + 4) AS warm, sum(CAST(ceil(len(embedding) / 8) AS BIGINT)) AS cold FROM embeddings) SELECT unnest(['hot', 'warm', 'cold']) AS tier, round(unnest([hot / hot, hot / warm, hot / cold]), 4) AS ratio FROM b")
 def compression_ratio(spark, sf):
-    d = spark.createDataFrame([("hot", 256, 256), ("warm", 256, 68), ("cold", 256, 8)], "tier string, raw int, coded int")
-    return d.select("tier", F.round(F.col("raw") / F.col("coded"), 4).alias("ratio"))
+    """Bytes of all vectors as floats against bytes as scaled integers and as signs."""
+    n = F.size("dense")
+    b = _v(spark, sf).where("dense is not null").agg(F.sum(4 * n).alias("hot"), F.sum(n + 4).alias("warm"), F.sum(F.ceil(n / 8)).alias("cold"))
+    return b.select(F.inline(F.array(*[F.struct(F.lit(t).alias("tier"), F.round(F.col("hot") / F.col(t), 4).alias("ratio")) for t in ("hot", "warm", "cold")])))
 
 
 @query()
@@ -154,15 +156,17 @@ def federated_mean(spark, sf):
     return L.federated_mean(c, 0).withColumn("value", F.round("value", 6))
 
 
-@query("SELECT s AS sigma, p AS parameters, CAST(ceil(s * s * p) AS BIGINT) AS cohort FROM (VALUES (CAST(0.5 AS DOUBLE), 100), (1.0, 64), (2.5, 16)) t(s, p)")
+@query("SELECT label, 0.5 + 0.25 * label AS sigma, CAST(count(*) AS INTEGER) AS parameters, CAST(ceil((0.5 + 0.25 * label) * (0.5 + 0.25 * label) * count(*)) AS BIGINT) AS cohort FROM embeddings GROUP BY label")
 def required_cohort(spark, sf):
-    d = spark.createDataFrame([(0.5, 100), (1.0, 64), (2.5, 16)], "sigma double, parameters int")
-    return d.withColumn("cohort", L.required_cohort(F.col("sigma"), F.col("parameters")))
+    d = _v(spark, sf).groupBy("label").agg(F.count("*").cast("int").alias("parameters")).withColumn("sigma", F.lit(0.5).cast("double") + F.lit(0.25).cast("double") * F.col("label"))
+    return d.select("label", "sigma", "parameters", L.required_cohort(F.col("sigma"), F.col("parameters")).alias("cohort"))
 
 
-@query("SELECT e AS epsilon, round(sqrt(2 * ln(1.25 / 1e-5)) / e, 6) AS sigma FROM (VALUES (CAST(0.5 AS DOUBLE)), (1.0), (4.0)) t(e)")
+@query("SELECT label, round(sqrt(2 * ln(1.25 / 1e-5)) * max(list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)))) / (0.5 + label), 5) AS sigma FROM embeddings GROUP BY label")
 def gaussian_sigma(spark, sf):
-    return spark.createDataFrame([(e, round(L.sigma(e, 1e-5), 6)) for e in (0.5, 1.0, 4.0)], "epsilon double, sigma double")
+    """Each label's largest component as the sensitivity, its number as the budget."""
+    most = F.array_max(F.transform("dense", F.abs)).cast("double")
+    return _v(spark, sf).groupBy("label").agg(F.max(most).alias("m")).select("label", F.round(L.sigma_of(F.lit(0.5) + F.col("label"), 1e-5, F.col("m")), 5).alias("sigma"))
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Memory-style views over the test tables: points, ops and facts, in both engines."""
+"""Memory-style views over the test tables: points, ops, facts and notes, in both engines."""
 
 from __future__ import annotations
 
@@ -68,6 +68,35 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The words of notes by kind of event (id modulo 6); {v} a measured value, {u} a user, {h} 1 to 9, {b} 0 to 6.
+_NOTES = [
+    "How do I reset pump {u} after {v} bar in the last {h} hours",
+    "average count of trips of spindle {u} at {v}mm/s and {u} rpm",
+    "what happened when the valve was open in the past week at {v} Hz",
+    "policy threshold limit: {v} bar, above {u} V, rule lifted",
+    "Coolant pump at Bay {b} tripped after pressure fell to {v} bar",
+    "sensor reading of vibration crossed {v} mm/s, Previous {h} months of logs, valve closed below {u}",
+]
+_FILL = {"v": "concat(CAST(CAST(floor(value) AS BIGINT) AS STRING), '.5')", "u": "CAST(user_id AS STRING)", "h": "CAST(event_id % 9 + 1 AS STRING)", "b": "CAST(event_id % 7 AS STRING)"}
+
+
+def _note(words: str) -> str:
+    import re
+
+    parts = [x for x in re.split(r"(\{\w\})", words) if x]
+    return "concat(" + ", ".join(_FILL[x[1]] if x[0] == "{" else f"'{x}'" for x in parts) + ")"
+
+
+_NOTE = "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN {_note(w)}" for i, w in enumerate(_NOTES)) + " END"
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text: a sentence of measurements and times for each event."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(_NOTE).alias("text"))
+
+
+NOTES_SQL = f"notes AS (SELECT event_id AS id, {_NOTE} AS text FROM events)"
+
 POINTS_SQL = """points AS (SELECT d.doc_id AS id, d.text AS text, d.lang AS lang, d.source AS source,
  CASE d.doc_id % 4 WHEN 0 THEN 'episodic' WHEN 1 THEN 'semantic' WHEN 2 THEN 'procedural' ELSE 'sensor' END AS collection,
  concat('t', CAST(d.doc_id % 3 AS STRING)) AS tenant_id,
@@ -92,7 +121,7 @@ FACTS_SQL = """facts AS (SELECT concat('part:', CAST(l.l_partkey AS STRING)) AS
  CAST(1.0 - l.l_discount AS DOUBLE) AS confidence
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
-VIEWS = {"points": POINTS_SQL, "ops": OPS_SQL, "facts": FACTS_SQL}
+VIEWS = {"points": POINTS_SQL, "ops": OPS_SQL, "facts": FACTS_SQL, "notes": NOTES_SQL}
 
 
 def with_views(sql: str) -> str:

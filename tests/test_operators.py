@@ -1,5 +1,6 @@
 """Operators on small tables, against plain restatements."""
 
+import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -338,3 +339,31 @@ def test_projection(spark):
 def test_filter_keys():
     assert filters.filter_key({"a": 1, "b": {"gte": 2}}) == filters.filter_key({"b": {"gte": 2}, "a": 1}) != filters.filter_key({"a": 2})
     assert filters.filter_key(None) == filters.filter_key({})
+
+
+def test_audit_blocks(spark):
+    """Blocks have chains of their own; a forged entry shows in its block, and in the heads above."""
+    rows = spark.createDataFrame([(i, f"act{i % 3}", f"s{i}") for i in range(95)], "seq long, action string, subject string").repartition(4)
+    log = governance.audit_chain(rows, 10).cache()
+    assert governance.audit_verify(log, 10).where("not ok").isEmpty() and governance.audit_verify(log, 10).agg(F.sum("entries")).first()[0] == 95
+    forged = log.withColumn("subject", F.when(F.col("seq").isin(23, 27, 80), "forged").otherwise(F.col("subject")))
+    assert [tuple(r) for r in governance.audit_verify(forged, 10).where("not ok").select("block", "first_broken").orderBy("block").collect()] == [(2, 23), (8, 80)]
+    # an entry that is taken out breaks the one behind it; a rehashed block its successor's or its head
+    assert governance.audit_verify(log.where("seq <> 41"), 10).where("not ok").first().first_broken == 42
+    heads = {(r.level, r.block): r.hash for r in governance.audit_heads(log, 10).collect()}
+    assert set(heads) == {(0, b) for b in range(10)} | {(1, 0)}
+    other = governance.audit_chain(rows.withColumn("subject", F.when(F.col("seq") == 94, "x").otherwise(F.col("subject"))), 10)
+    changed = {(r.level, r.block): r.hash for r in governance.audit_heads(other, 10).collect()}
+    assert {k for k in heads if heads[k] != changed[k]} == {(0, 9), (1, 0)}
+    before, first = "", hashlib.sha256(b"|0|act0|s0").hexdigest()
+    assert log.where("seq = 0").first().hash == first and log.where("seq = 1").first().prev_hash == first and log.where("seq = 10").first().prev_hash == before
+
+
+def test_extract_facts(spark):
+    notes = spark.createDataFrame([(1, "Coolant pump at Bay 4 tripped after pressure fell to 1.8 bar"), (2, "BRG-2291 replaced on conveyor line 3 by operator k4471"), (3, "Vibration crossed 4.2 mm/s near the spindle in bay 2"), (4, "nothing of note"), (5, None)], "id int, text string")
+    got = {tuple(r) for r in graph.extract_facts(notes).select("id", "subject", "object", "predicate").collect()}
+    assert got >= {
+        (1, "asset:pump", "location:bay 4", "located_in"), (1, "location:bay 4", "metric:pressure", "caused"), (1, "metric:pressure", "threshold:1.8 bar", "below"),
+        (2, "part:brg-2291", "asset:conveyor", "located_in"), (3, "metric:vibration", "threshold:4.2 mm/s", "exceeded"), (3, "asset:spindle", "location:bay 2", "located_in"),
+    }
+    assert all(i in (1, 2, 3) for i, *_ in got) and all("location:line 3" in x for x in got - {x for x in got if x[0] != 2 or x[1] == "part:brg-2291" and x[2] == "asset:conveyor"})
