@@ -35,7 +35,10 @@ from ._common import _BYTE, LANES, U64, chunks, materialize, mix, partitions_for
 from .jaccard import runs
 
 LENGTH, GRAM = 50, 20
-FLUSH, BUCKET_BYTES, BATCH = 2_000_000, 13 << 20, 4096
+#: Anchors held before they are sent, contexts of a batch, anchors of a slice.
+FLUSH, BATCH, SLICE = 2_000_000, 4096, 500_000
+#: Bytes of text for one bucket of anchors, and for one of open contexts.
+BUCKET_BYTES, CONTEXT_BYTES = 40 << 20, 13 << 20
 _LAST = (1 << 63) - 1
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -104,52 +107,64 @@ def _sent(held: list, buckets: int):
 _MET = "doc long, th long, covered binary, open binary"
 
 
-def meet(table: pa.Table) -> pa.Table:
-    """One bucket's documents: covered ranges (pairs of uint32) and open anchors, whose
-    contexts have to be compared (part hash, place, left, right)."""
-    docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), _ENTRY)
-    found = np.frombuffer(b"".join(table.column("anchors").to_pylist()), _ANCHOR)
-    who = np.repeat(np.arange(len(docs), dtype=np.int64), docs["count"])
-    part = found["part"].astype(np.uint64)
-    # parts of one document only are done with
+def _met(part: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some anchors those whose whole context an earlier document has, and the open ones, whose
+    contexts have to be compared: their numbers."""
     order = np.argsort(part, kind="stable")
     part = part[order]
-    twice = np.zeros(len(part), bool)
+    twice = np.zeros(len(part), bool)  # parts of one document only are done with
     twice[1:] = part[1:] == part[:-1]
     twice[:-1] |= twice[1:]
     order, part = order[twice], part[twice]
-    found, who = found[order], who[order]
-    doc = docs["doc"][who]
-    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
-    if len(heads):
-        several = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
-        keep = np.repeat(several, np.diff(np.append(heads, len(part))))
-        found, who, doc, part = found[keep], who[keep], doc[keep], part[keep]
-    ctx = found["ctx"].astype(np.uint64)
-    order = np.lexsort((doc, ctx, part))
-    found, who, doc, part, ctx = found[order], who[order], doc[order], part[order], ctx[order]
-    fresh = np.append(True, (part[1:] != part[:-1]) | (ctx[1:] != ctx[:-1]))[: len(part)]
+    if not len(order):
+        return order, order
+    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    several = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
+    keep = np.repeat(several, np.diff(np.append(heads, len(part))))
+    order, part = order[keep], part[keep]
+    again = np.lexsort((doc[order], ctx[order], part))
+    order, part = order[again], part[again]
+    own, now = ctx[order], doc[order]
+    if not len(order):
+        return order, order
+    fresh = np.append(True, (part[1:] != part[:-1]) | (own[1:] != own[:-1]))
     first = np.flatnonzero(fresh)
-    size = np.diff(np.append(first, len(part)))
-    covered = doc > np.repeat(doc[first], size) if len(first) else np.zeros(0, bool)
-    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
-    contexts = np.add.reduceat(fresh.astype(np.int64), heads) if len(heads) else heads
-    open_ = ~covered & np.repeat(contexts > 1, np.diff(np.append(heads, len(part)))) if len(heads) else covered
+    covered = now > np.repeat(now[first], np.diff(np.append(first, len(part))))
+    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    contexts = np.add.reduceat(fresh.astype(np.int64), heads)
+    open_ = ~covered & np.repeat(contexts > 1, np.diff(np.append(heads, len(part))))
+    return order[covered], order[open_]
+
+
+def meet(table: pa.Table) -> pa.Table:
+    """One bucket's documents, a row for each: covered ranges (pairs of uint32) and open anchors
+    (part hash, place, left, right), null where it has none. A bucket is worked off in slices
+    of parts, so that temporary arrays do not follow its size."""
+    docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), _ENTRY)
+    found = np.frombuffer(b"".join(table.column("anchors").to_pylist()), _ANCHOR)
+    who = np.repeat(np.arange(len(docs), dtype=np.int32), docs["count"])
+    slices = max(1, -(-len(found) // SLICE))
+    of = (mix(found["part"].astype(np.uint64)) % U64(slices)).astype(np.int32) if slices > 1 else np.zeros(len(found), np.int32)
+    covered, opened = [], []
+    for k in range(slices):
+        own = np.flatnonzero(of == k)
+        hit, left = _met(found["part"][own].astype(np.uint64), found["ctx"][own].astype(np.uint64), docs["doc"][who[own]])
+        covered.append(own[hit]), opened.append(own[left])
     trim()
-    ids, ths, ranges, opens = [], [], [], []
-    for kind, own in ((0, covered), (1, open_)):
-        own = np.flatnonzero(own)
+    rows: dict[int, list] = {}
+    for kind, own in ((0, np.concatenate(covered)), (1, np.concatenate(opened))):
         own = own[np.argsort(who[own], kind="stable")]
-        cut = np.flatnonzero(np.append(True, who[own][1:] != who[own][:-1])[: len(own)])
         if kind == 0:
             raw = np.stack([found["at"][own] - found["left"][own], found["at"][own] + found["right"][own]], 1).astype("<u4")
         else:
             raw = np.zeros(len(own), _OPEN)
-            raw["part"], raw["at"], raw["left"], raw["right"] = part[own], found["at"][own], found["left"][own], found["right"][own]
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)]):
-            ids.append(int(docs["doc"][who[own[a]]])), ths.append(int(docs["th"][who[own[a]]]))
-            ranges.append(raw[a:b].tobytes() if kind == 0 else None), opens.append(raw[a:b].tobytes() if kind else None)
-    return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(ranges, pa.binary()), pa.array(opens, pa.binary())], names=["doc", "th", "covered", "open"])
+            for c in ("part", "at", "left", "right"):
+                raw[c] = found[c][own]
+        for w, a, b in runs(who[own]):
+            rows.setdefault(w, [None, None])[kind] = raw[a:b].tobytes()
+    at = np.fromiter(rows, np.int64, len(rows))
+    blobs = list(zip(*rows.values())) or [(), ()]
+    return pa.Table.from_arrays([pa.array(docs["doc"][at]), pa.array(docs["th"][at]), *[pa.array(x, pa.binary()) for x in blobs]], names=["doc", "th", "covered", "open"])
 
 
 _OPEN = np.dtype([("part", "<u8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -242,11 +257,12 @@ def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
 def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, th, covered: byte ranges to remove as pairs of uint32, in no order, overlapping."""
     spark = df.sparkSession
-    buckets = max(partitions_for(spark), text_bytes(df, text) // BUCKET_BYTES)
+    size = text_bytes(df, text)
+    buckets, fine = (max(partitions_for(spark), size // n) for n in (BUCKET_BYTES, CONTEXT_BYTES))
     rows = _identified(df, key, text).select("doc", "th", "text")
 
     def send(batches):
-        held, size = [], 0
+        held, many = [], 0
         for b in batches:
             docs, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = text_buffer(b.column(2))
@@ -255,11 +271,11 @@ def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 own = offsets[i : j + 1] - low
                 at, row, left, right, part, ctx = anchors(data[low : int(offsets[j])], own)
                 held.append((docs[i + row], ths[i + row], (at - own[row]).astype(np.uint32), left.astype(np.uint8), right.astype(np.uint8), part, ctx))
-                size += len(at)
-                if size > FLUSH:
+                many += len(at)
+                if many > FLUSH:
                     yield from _sent(held, buckets)
-                    held, size = [], 0
-        if size:
+                    held, many = [], 0
+        if many:
             yield from _sent(held, buckets)
 
     met = rows.mapInArrow(send, "bucket int, docs binary, anchors binary").groupBy("bucket").applyInArrow(meet, _MET)
@@ -277,7 +293,7 @@ def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 stops = found["at"].astype(np.int64) + found["right"]
                 cut = [raw[s:e] for s, e in zip(starts.tolist(), stops.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((found["part"] % U64(buckets)).astype(np.int32)), pa.array(np.full(n, docs[r].as_py())), pa.array(np.full(n, ths[r].as_py())), pa.array(starts), pa.array(cut, pa.binary())],
+                    [pa.array((found["part"] % U64(fine)).astype(np.int32)), pa.array(np.full(n, docs[r].as_py())), pa.array(np.full(n, ths[r].as_py())), pa.array(starts), pa.array(cut, pa.binary())],
                     names=["bucket", "doc", "th", "start", "context"],
                 )
 

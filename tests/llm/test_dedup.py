@@ -287,6 +287,29 @@ def test_suffix_many_rows_of_one_id(spark):
     assert sorted(map(tuple, suffixdedup.report(df).collect()), key=str) == suffix_plain(rows)
 
 
+def test_suffix_slices_of_a_bucket(monkeypatch):
+    """A bucket worked off in slices shows what it shows in one."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n = 4000
+    docs = np.zeros(80, suffixdedup._ENTRY)
+    docs["doc"], docs["th"], docs["count"] = rng.permutation(80) // 2, np.arange(80), n // 80
+    found = np.zeros(n, suffixdedup._ANCHOR)
+    found["part"], found["ctx"] = rng.integers(0, 700, n), rng.integers(0, 3, n)
+    found["at"], found["left"], found["right"] = rng.integers(50, 9000, n), 30, 50
+    table = pa.table({"bucket": pa.array([1], pa.int32()), "docs": pa.array([docs.tobytes()], pa.binary()), "anchors": pa.array([found.tobytes()], pa.binary())})
+
+    def shown(size):
+        monkeypatch.setattr(suffixdedup, "SLICE", size)
+        cut = lambda raw, width: sorted(raw[i : i + width] for i in range(0, len(raw), width)) if raw else raw
+        return sorted((r["doc"], r["th"], cut(r["covered"], 8), cut(r["open"], suffixdedup._OPEN.itemsize)) for r in suffixdedup.meet(table).to_pylist())
+
+    whole = shown(10**9)
+    assert len(whole) == len({r[:2] for r in whole}) > 50 and whole == shown(300) == shown(7)
+
+
 def test_frames_of_any_origin(spark, rows):
     """A join and a union with local rows, whose size the optimizer can't know."""
     few = [r[:2] for r in rows[:50]]
