@@ -1,6 +1,7 @@
 """Operators on small tables, against plain restatements."""
 
 import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
