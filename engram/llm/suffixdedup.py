@@ -37,7 +37,7 @@ from .jaccard import runs
 LENGTH, GRAM = 50, 20
 #: Anchors held before they are sent, contexts of a batch, anchors of a slice.
 FLUSH, BATCH, SLICE = 2_000_000, 4096, 500_000
-#: Bytes of text for one bucket of anchors, and for one of open contexts.
+#: Bytes of text for one bucket of anchors, and for one of open contexts or one home of documents.
 BUCKET_BYTES, CONTEXT_BYTES = 40 << 20, 13 << 20
 _LAST = (1 << 63) - 1
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
@@ -104,7 +104,9 @@ def _sent(held: list, buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(rows[0][i : i + 64], pa.int32()), pa.array(rows[1][i : i + 64], pa.binary()), pa.array(rows[2][i : i + 64], pa.binary())], names=["bucket", "docs", "anchors"])
 
 
+_HEAD = np.dtype([("doc", "<i8"), ("th", "<i8"), ("covered", "<u4"), ("open", "<u4")])
 _MET = "doc long, th long, covered binary, open binary"
+_PACKED = "home int, heads binary, covered binary, open binary"
 
 
 def _met(part: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +138,10 @@ def _met(part: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
     return order[covered], order[open_]
 
 
-def meet(table: pa.Table) -> pa.Table:
-    """One bucket's documents, a row for each: covered ranges (pairs of uint32) and open anchors
-    (part hash, place, left, right), null where it has none. A bucket is worked off in slices
-    of parts, so that temporary arrays do not follow its size."""
+def meet(table: pa.Table, homes: int) -> pa.Table:
+    """What one bucket shows of its documents: covered ranges (pairs of uint32) and open anchors
+    (part hash, place, left, right), laid out by the documents' homes, a row for each home. A
+    bucket is worked off in slices of parts, so that temporary arrays do not follow its size."""
     docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), _ENTRY)
     found = np.frombuffer(b"".join(table.column("anchors").to_pylist()), _ANCHOR)
     who = np.repeat(np.arange(len(docs), dtype=np.int32), docs["count"])
@@ -161,10 +163,31 @@ def meet(table: pa.Table) -> pa.Table:
             for c in ("part", "at", "left", "right"):
                 raw[c] = found[c][own]
         for w, a, b in runs(who[own]):
-            rows.setdefault(w, [None, None])[kind] = raw[a:b].tobytes()
+            rows.setdefault(w, [b"", b""])[kind] = raw[a:b].tobytes()
     at = np.fromiter(rows, np.int64, len(rows))
-    blobs = list(zip(*rows.values())) or [(), ()]
-    return pa.Table.from_arrays([pa.array(docs["doc"][at]), pa.array(docs["th"][at]), *[pa.array(x, pa.binary()) for x in blobs]], names=["doc", "th", "covered", "open"])
+    blobs = list(rows.values())
+    head = np.zeros(len(at), _HEAD)
+    head["doc"], head["th"] = docs["doc"][at], docs["th"][at]
+    head["covered"], head["open"] = [len(x[0]) for x in blobs], [len(x[1]) for x in blobs]
+    home = (mix(head["doc"].astype(np.uint64) ^ mix(head["th"].astype(np.uint64))) % U64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    out = [(k, head[order[a:b]].tobytes(), *(b"".join(blobs[i][j] for i in order[a:b].tolist()) for j in (0, 1))) for k, a, b in runs(home[order])]
+    cols = list(zip(*out)) or [(), (), (), ()]
+    return pa.Table.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]], names=["home", "heads", "covered", "open"])
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """The documents of one home: all covered ranges and open anchors of each in one row, null
+    where it has none."""
+    heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), _HEAD)
+    raw = [b"".join(table.column(c).to_pylist()) for c in ("covered", "open")]
+    edges = [np.concatenate([[0], np.cumsum(heads[c], dtype=np.int64)]).tolist() for c in ("covered", "open")]
+    order = np.lexsort((heads["th"], heads["doc"]))
+    doc, th = heads["doc"][order], heads["th"][order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]))[: len(doc)])
+    blobs = [[b"".join(raw[j][edges[j][i] : edges[j][i + 1]] for i in order[a:b].tolist()) or None for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)])] for j in (0, 1)]
+    trim()
+    return pa.Table.from_arrays([pa.array(doc[first]), pa.array(th[first]), *[pa.array(x, pa.binary()) for x in blobs]], names=["doc", "th", "covered", "open"])
 
 
 _OPEN = np.dtype([("part", "<u8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -278,16 +301,16 @@ def ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         if many:
             yield from _sent(held, buckets)
 
-    met = rows.mapInArrow(send, "bucket int, docs binary, anchors binary").groupBy("bucket").applyInArrow(meet, _MET)
+    met = rows.mapInArrow(send, "bucket int, docs binary, anchors binary").groupBy("bucket").applyInArrow(lambda table: meet(table, fine), _PACKED).groupBy("home").applyInArrow(gather, _MET)
     met = materialize(spark, met, "suffix-met")
-    opened = met.where("open is not null").groupBy("doc", "th").agg(F.collect_list("open").alias("open"))
+    opened = met.where("open is not null").select("doc", "th", "open")
 
     def fetch(batches):
         for b in batches:
             docs, ths, texts, opens = (b.column(k) for k in range(4))
             for r in range(b.num_rows):
                 raw = texts[r].as_py().encode()
-                found = np.frombuffer(b"".join(opens[r].as_py()), _OPEN)
+                found = np.frombuffer(opens[r].as_py(), _OPEN)
                 n = len(found)
                 starts = found["at"].astype(np.int64) - found["left"]
                 stops = found["at"].astype(np.int64) + found["right"]

@@ -301,13 +301,13 @@ def test_suffix_slices_of_a_bucket(monkeypatch):
     found["at"], found["left"], found["right"] = rng.integers(50, 9000, n), 30, 50
     table = pa.table({"bucket": pa.array([1], pa.int32()), "docs": pa.array([docs.tobytes()], pa.binary()), "anchors": pa.array([found.tobytes()], pa.binary())})
 
-    def shown(size):
+    def shown(size, homes=5):
         monkeypatch.setattr(suffixdedup, "SLICE", size)
         cut = lambda raw, width: sorted(raw[i : i + width] for i in range(0, len(raw), width)) if raw else raw
-        return sorted((r["doc"], r["th"], cut(r["covered"], 8), cut(r["open"], suffixdedup._OPEN.itemsize)) for r in suffixdedup.meet(table).to_pylist())
+        return sorted((r["doc"], r["th"], cut(r["covered"], 8), cut(r["open"], suffixdedup._OPEN.itemsize)) for r in suffixdedup.gather(pa.concat_tables([suffixdedup.meet(table, homes)])).to_pylist())
 
     whole = shown(10**9)
-    assert len(whole) == len({r[:2] for r in whole}) > 50 and whole == shown(300) == shown(7)
+    assert len(whole) == len({r[:2] for r in whole}) > 50 and whole == shown(300) == shown(7) == shown(300, 1)
 
 
 def test_frames_of_any_origin(spark, rows):
