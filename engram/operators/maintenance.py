@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .storage import written
 
 
 def tier_salience(now: float, half_life_s: float = 6 * 3600.0) -> Column:
@@ -123,18 +124,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: str, vec: str = "
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
-def clusters(pairs: DataFrame, least: int = 3, rounds: int = 30) -> DataFrame:
-    """id, cluster (smallest id) of the connected groups of at least some members."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("u", "v").distinct().checkpoint() if pairs.sparkSession.sparkContext.getCheckpointDir() else pairs.select("a", "b").union(pairs.select("b", "a")).toDF("u", "v").distinct().persist()
-    label = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l"))
-    for _ in range(rounds):
+def clusters(pairs: DataFrame, least: int = 3) -> DataFrame:
+    """id, cluster (smallest id) of the connected groups of at least some members. Each round takes
+    the smallest label among the neighbours and then the label of that label, until nothing
+    moves; a round is a written table, so a lost executor costs a re-read."""
+    both = written(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("u", "v").distinct(), "cluster-edges")
+    label = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "cluster-labels")
+    while True:
         near = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        nxt = label.join(near, "u").select("u", F.least("l", "m").alias("n"), "l")
+        step = label.join(near, "u").select("u", F.least("l", "m").alias("n"), "l")
         up = label.select(F.col("u").alias("n"), F.col("l").alias("j"))
-        nxt = nxt.join(up, "n", "left").select("u", F.least("n", F.coalesce("j", "n")).alias("n"), "l").persist()
-        done = nxt.where("n <> l").isEmpty()
-        label = nxt.select("u", F.col("n").alias("l"))
-        if done:
+        moved = written(step.join(up, "n", "left").select("u", F.least("n", F.coalesce("j", "n")).alias("n"), "l"), "cluster-labels")
+        label = moved.select("u", F.col("n").alias("l"))
+        if moved.where("n <> l").isEmpty():
             break
-    w = Window.partitionBy("l")
-    return label.select(F.col("u").alias("id"), F.col("l").alias("cluster"), F.count("*").over(w).alias("n")).where(F.col("n") >= least).select("id", "cluster")
+    big = label.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return label.join(big, "l").select(F.col("u").alias("id"), F.col("l").alias("cluster"))

@@ -49,6 +49,18 @@ def bm25_encode(spark, sf):
     return index_table(spark, sf).groupBy("id").agg(F.count("*").alias("kept"), F.round(F.sum("weight"), 3).alias("total"))
 
 
+@query()
+def term_collisions(spark, sf):
+    return R.slot_collisions(term_table(spark, sf))
+
+
+@query()
+def hashed_vectors(spark, sf):
+    """The lexical index by slots: entries, and what terms have in all, of each document."""
+    h = R.hashed(index_table(spark, sf))
+    return h.groupBy("id").agg(F.count("*").alias("slots"), F.round(F.sum("weight"), 3).alias("total"))
+
+
 _SPARSE_SQL = f"""WITH {_TERMS}, q AS (SELECT id AS query_id, term, weight AS qw FROM bm WHERE id % 50 = 0),
 qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM q GROUP BY query_id),
 s AS (SELECT q.query_id, bm.id, sum(qw * weight) AS s FROM q JOIN bm ON q.term = bm.term GROUP BY ALL),

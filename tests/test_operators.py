@@ -368,3 +368,26 @@ def test_extract_facts(spark):
         (2, "part:brg-2291", "asset:conveyor", "located_in"), (3, "metric:vibration", "threshold:4.2 mm/s", "exceeded"), (3, "asset:spindle", "location:bay 2", "located_in"),
     }
     assert all(i in (1, 2, 3) for i, *_ in got) and all("location:line 3" in x for x in got - {x for x in got if x[0] != 2 or x[1] == "part:brg-2291" and x[2] == "asset:conveyor"})
+
+
+def test_hashed_terms(spark):
+    """Slots are those of the plain rule; terms of a row that collide are added up."""
+    slot = lambda t, n: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "big") % n
+    rows = [(i, f"t{(i * 7 + k) % 40}é", float(k)) for i in range(9) for k in range(12)] + [(99, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, term string, weight double")
+    want: dict = {}
+    for i, t, w in rows[:-1]:
+        want[i, slot(t, 16)] = want.get((i, slot(t, 16)), 0.0) + w
+    assert {(r.id, r.slot): r.weight for r in retrieval.hashed(df, 16).collect()} == want
+    terms = sorted({t for _, t, _ in rows if t})
+    by: dict = {}
+    for t in terms:
+        by.setdefault(slot(t, 16), []).append(t)
+    assert {tuple(r) for r in retrieval.slot_collisions(df, 16).collect()} == {(s, len(v), v[0], v[-1]) for s, v in by.items() if len(v) > 1}
+    assert retrieval.slot("coolant") == slot("coolant", 1 << 18)
+
+
+def test_clusters_reach_the_end_of_a_chain(spark):
+    chain = [(i, i + 1) for i in range(1, 300)] + [(1000, 1001)]
+    got = {r.id: r.cluster for r in maintenance.clusters(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 301)}
