@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import ann as A
+from ..operators import embedding as E
 from ..operators import learning as L
 from ..operators import quantize as Q
 from ..operators import smallworld as S
@@ -169,6 +170,33 @@ def gaussian_sigma(spark, sf):
     return _v(spark, sf).groupBy("label").agg(F.max(most).alias("m")).select("label", F.round(L.sigma_of(F.lit(0.5) + F.col("label"), 1e-5, F.col("m")), 5).alias("sigma"))
 
 
+_WORDS = """WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), c AS MATERIALIZED (SELECT id, token, count(*) AS n FROM t GROUP BY id, token),
+w AS MATERIALIZED (SELECT token, CAST(concat('0x', substr(md5(token), 1, 6)) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT DISTINCT token FROM c)),
+e AS MATERIALIZED (SELECT id, w.vec_id, sum(n) AS n FROM c JOIN w ON w.token = c.token GROUP BY id, w.vec_id),
+v AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)"""
+
+
+def _token_table(spark, sf):
+    """Every token of the documents with one of the embeddings."""
+    v = _v(spark, sf)
+    at = F.conv(F.substring(F.md5("token"), 1, 6), 16, 10).cast("long") % v.count()
+    words = E.tokens(table(spark, sf, "documents"), "doc_id").select("token").distinct()
+    return words.withColumn("id", at).join(v.select("id", F.col("dense").alias("vec")), "id").select("token", "vec")
+
+
+@query(f"""{_WORDS}, m AS (SELECT id, i, sum(n * x) / sum(n) AS x, CAST(sum(n) AS BIGINT) AS n FROM e JOIN v ON v.vec_id = e.vec_id GROUP BY id, i), r AS (SELECT id, max(n) AS n, max(x) FILTER (WHERE i = 1) / sqrt(sum(x * x)) AS a, max(x) FILTER (WHERE i = 64) / sqrt(sum(x * x)) AS b FROM m GROUP BY id)
+SELECT d.doc_id AS id, coalesce(n, 0) AS n, round(a, 5) AS first, round(b, 5) AS last FROM documents d LEFT JOIN r ON r.id = d.doc_id""")
+def text_embeddings(spark, sf):
+    e = E.encode(table(spark, sf, "documents"), _token_table(spark, sf), 64, "doc_id")
+    return e.select("id", "n", F.round(F.get("vec", F.lit(0)), 5).alias("first"), F.round(F.get("vec", F.lit(63)), 5).alias("last"))
+
+
+@query(f"{_WORDS} SELECT id, CAST(sum(n) AS BIGINT) AS n, round(sum(n * x), 4) AS total FROM e JOIN v ON v.vec_id = e.vec_id AND i = 1 GROUP BY id")
+def token_embeddings(spark, sf):
+    t = E.token_vectors(table(spark, sf, "documents"), _token_table(spark, sf), "doc_id")
+    return t.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(F.get("vec", F.lit(0)).cast("double")), 4).alias("total"))
+
+
 @query()
 def prune_late(spark, sf):
     t = _v(spark, sf).select(F.col("label").alias("id"), F.col("id").alias("pos"), F.col("dense").alias("vec"))

@@ -391,3 +391,24 @@ def test_clusters_reach_the_end_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(1, 300)] + [(1000, 1001)]
     got = {r.id: r.cluster for r in maintenance.clusters(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 301)}
+
+
+def test_text_embedding(spark):
+    from engram.operators import embedding
+
+    table = {"pump": [1.0, 0.0, 2.0], "valve": [0.0, 3.0, 0.0], "open": [-1.0, 1.0, 0.5]}
+    texts = {1: "Pump pump VALVE unknown", 2: "", 3: None, 4: "nothing here", 5: "open valve " * 2000}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    t = spark.createDataFrame(list(table.items()), "token string, vec array<double>")
+    got = {r.id: (r.n, r.vec) for r in embedding.encode(df, t, 3).collect()}
+    for i, text in texts.items():
+        v = [table[w] for w in (text or "").lower().split() if w in table]
+        if not v:
+            assert got[i] == (0, None)
+            continue
+        mean = np.mean(v, axis=0)
+        assert got[i][0] == len(v) and np.allclose(got[i][1], mean / np.linalg.norm(mean))
+    first = {r.id: r.n for r in embedding.encode(df, t, 3, most=1).collect()}
+    assert first == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
+    places = sorted((r.pos, r.token, r.vec) for r in embedding.token_vectors(df.where("id = 1"), t).collect())
+    assert places == [(0, "pump", table["pump"]), (1, "pump", table["pump"]), (2, "valve", table["valve"])]
