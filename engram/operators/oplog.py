@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clocks import hlc
-from .storage import latest
+from .storage import latest, written
 
 
 def _clock() -> Column:
@@ -159,37 +159,68 @@ def missing(authored: DataFrame, log: DataFrame, key: str = "op_id") -> DataFram
 # --------------------------------------------------------------------- causal
 
 
-def causal_release(ops: DataFrame, stream: str, seq: str = "arrival", hold_s: float | None = None):
-    """Replays arrivals with vector clocks (clock map<string,int>, sender) and tells in which
-    order each stream delivers them: an operation waits for its sender's previous one and for
-    all it depends on. delivered is the 1-based order, null for what stays held."""
-    import pandas as pd
-
-    schema = T.StructType([*ops.schema.fields, T.StructField("delivered", T.IntegerType())])
-
-    def drain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq, kind="stable").reset_index(drop=True)
-        seen: dict[str, int] = {}
-        order: dict[int, int] = {}
-        held: list[int] = []
-        clocks = [dict(c) for c in pdf["clock"]]
-
-        def ready(i: int) -> bool:
-            sender = pdf["sender"][i]
-            return all((v == seen.get(k, 0) + 1) if k == sender else (v <= seen.get(k, 0)) for k, v in clocks[i].items())
-
-        for i in range(len(pdf)):
-            held.append(i)
-            moved = True
-            while moved:
-                moved = False
-                for j in list(held):
-                    if ready(j):
-                        for k, v in clocks[j].items():
-                            seen[k] = max(seen.get(k, 0), v)
-                        order[j] = len(order) + 1
-                        held.remove(j)
-                        moved = True
-        return pdf.assign(delivered=pd.array([order.get(i) for i in range(len(pdf))], dtype="Int32"))
-
-    return ops.groupBy(stream).applyInPandas(drain, schema)
+def causal_release(ops: DataFrame, stream: str, seq: str = "arrival", key: str = "op_id") -> DataFrame:
+    """ops with delivered: the 1-based place at which their stream delivers them, null for what stays
+    held. An operation (sender, clock map<string,int>) waits for its sender's one before and for
+    all that its clock names; it is released by the last arrival among these. What one arrival
+    releases comes by the sum of clocks, then by arrival, which keeps causes before effects.
+
+    Nothing is replayed: a clock names all that is before it, so the releasing arrival is a
+    maximum over the entries of the latest arrival among a sender's first operations. A clock that
+    misses what its own causes name is completed first, a round for each missing link of a chain.
+
+    Of rows that claim one place of a sender the first to arrive stands for it and the others
+    stay held, as do rows without a place (null sender or clock, an entry below 1), operations that
+    wait for each other, and all behind such ones or behind a gap. Equal arrivals come by key."""
+    kind = T.MapType(T.StringType(), T.IntegerType())
+    rows = ops.select(
+        F.struct(*[F.col(f"`{c}`") for c in ops.columns]).alias("row"), F.struct(stream).alias("s"), F.col("sender").alias("k"),
+        F.map_filter(F.coalesce(F.col("clock").cast(kind), F.create_map().cast(kind)), lambda _, v: v > 0).alias("c"),
+        F.struct(F.col(seq).alias("a"), F.col(key).alias("o"), F.monotonically_increasing_id().alias("i")).alias("pos"),
+    ).withColumn("n", F.try_element_at("c", F.col("k")))
+    rows = written(rows, "causal-rows")
+    first = F.row_number().over(Window.partitionBy("s", "k", "n").orderBy("pos"))
+    slots = rows.where("n is not null").select("s", "k", "n", "c", "pos", first.alias("_first")).where("_first = 1").drop("_first")
+    chain = Window.partitionBy("s", "k").orderBy("n")
+    slots = slots.select("*", F.row_number().over(chain).alias("_at"), F.max("pos").over(chain).alias("latest")).where("_at = n").drop("_at")
+    slots = _completed(written(slots, "causal-slots"))
+    bad = slots.where("cyclic").groupBy("s", "k").agg(F.min("n").alias("end"))
+    good = slots.join(bad, ["s", "k"], "left").where("end is null or n < end").select("s", F.col("k").alias("dk"), F.col("n").alias("dv"), "latest")
+    total = F.aggregate(F.map_values("c"), F.lit(0).cast("long"), lambda x, v: x + v)
+    named = slots.where("not cyclic").withColumn("total", total).select("s", "k", "n", F.struct("pos", "total").alias("own"), F.explode("c").alias("dk", "dv"))
+    found = named.join(good, ["s", "dk", "dv"], "left").groupBy("s", "k", "n").agg(F.max("own").alias("own"), F.max("latest").alias("r"), F.count("latest").alias("there"), F.count("*").alias("all"))
+    free = found.where("there = all").select("s", F.col("own.pos.i").alias("i"), F.struct("r", F.col("own.total"), F.col("own.pos")).alias("at"))
+    placed = ranked(free, "s", ["at"], "delivered").select("i", F.col("delivered").cast("int").alias("delivered"))
+    return rows.select("row", F.col("pos.i").alias("i")).join(placed, "i", "left").select("row.*", "delivered")
+
+
+def _completed(slots: DataFrame) -> DataFrame:
+    """Clocks with all that the operations they name have named; cyclic: whether one of these
+    names the operation itself."""
+    while True:
+        before = F.transform(F.when(F.col("n") > 1, F.array(F.col("n") - 1)).otherwise(F.array().cast("array<int>")), lambda v: F.struct(F.col("k").alias("dk"), v.alias("dv")))
+        others = F.transform(F.filter(F.map_entries("c"), lambda e: e["key"] != F.col("k")), lambda e: F.struct(e["key"].alias("dk"), e["value"].alias("dv")))
+        edges = slots.select("s", "k", "n", F.inline(F.concat(others, before)))
+        causes = slots.select("s", F.col("k").alias("dk"), F.col("n").alias("dv"), F.col("c").alias("dc"))
+        heard = edges.join(causes, ["s", "dk", "dv"]).select("s", "k", "n", F.explode("dc").alias("hk", "hv")).groupBy("s", "k", "n", "hk").agg(F.max("hv").alias("hv"))
+        heard = heard.groupBy("s", "k", "n").agg(F.map_from_entries(F.collect_list(F.struct("hk", "hv"))).alias("h"))
+        own = F.coalesce(F.try_element_at("h", F.col("k")), F.lit(0)) >= F.col("n")
+        news = F.coalesce(F.map_filter("h", lambda k, _: k != F.col("k")), F.create_map().cast("map<string,int>"))
+        full = F.map_zip_with("c", news, lambda _, a, b: F.greatest(a, b))
+        told = slots.drop("cyclic", "moved").join(heard, ["s", "k", "n"], "left").withColumn("full", full)
+        told = told.select("s", "k", "n", "pos", "latest", F.col("full").alias("c"), F.coalesce(own, F.lit(False)).alias("cyclic"), F.exists(F.map_entries("full"), lambda e: e["value"] > F.coalesce(F.try_element_at("c", e["key"]), F.lit(0))).alias("moved"))
+        slots = written(told, "causal-clocks")
+        if slots.where("moved").isEmpty():
+            return slots
+
+
+def ranked(df: DataFrame, by: str, order: list[str], name: str = "rank") -> DataFrame:
+    """df with the 1-based place of each row among those of one key. Rows are dealt by ranges, so a
+    key of any size lies in many tasks, and places are counted on from task to task."""
+    at = written(df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    at = at.withColumn("_part", F.shiftright("_at", 33))
+    per = at.groupBy(by, "_part").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(F.col(by).alias("_by"), F.col("_part").alias("_of"), (before - F.col("_low") + 1).alias("_shift"))
+    both = at.join(per, at[by].eqNullSafe(per["_by"]) & (at["_part"] == per["_of"]))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_at") + F.col("_shift")).alias(name))

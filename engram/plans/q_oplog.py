@@ -216,16 +216,21 @@ def device_trust(spark, sf):
     return folds.trust(o, "device_id", "op_id", "delta").withColumn("trust", F.round("trust", 6))
 
 
-@query()
+@query(""", a AS (SELECT point_id, op_id, op_id % 997 = 0 AS lost, row_number() OVER w AS n, count(*) FILTER (WHERE op_id % 997 = 0) OVER w AS gone FROM ops WINDOW w AS (PARTITION BY point_id ORDER BY op_id))
+SELECT point_id, op_id, FALSE AS again, CASE WHEN gone = 0 THEN CAST(n AS INT) END AS delivered FROM a WHERE NOT lost
+UNION ALL SELECT point_id, op_id, TRUE, CAST(NULL AS INT) FROM a WHERE NOT lost AND op_id % 50 = 0""")
 def causal_delivery(spark, sf):
-    # each device's n-th operation depends on its own previous ones; arrivals are shuffled
+    # a device has seen all of a point's operations before its own; arrivals are shuffled, some
+    # operations are lost and some arrive again
     from pyspark.sql import Window
 
-    o = ops(spark, sf)
-    n = F.row_number().over(Window.partitionBy("point_id", "device_id").orderBy("op_id"))
-    o = o.select("point_id", "op_id", F.col("device_id").alias("sender"), n.alias("n"), (F.col("op_id") * 7919 % 100003).alias("arrival"))
-    o = o.withColumn("clock", F.map_from_arrays(F.array("sender"), F.array("n"))).drop("n")
-    return L.causal_release(o, "point_id").select("point_id", "op_id", "delivered")
+    w = Window.partitionBy("point_id").orderBy("op_id")
+    devices = [f"edge-{i}" for i in range(5)]
+    clock = F.create_map(*[x for d in devices for x in (F.lit(d), F.count_if(F.col("device_id") == d).over(w).cast("int"))])
+    o = ops(spark, sf).select("point_id", "op_id", F.col("device_id").alias("sender"), clock.alias("clock"), (F.col("op_id") * 7919 % 100003).alias("arrival"))
+    o = o.where("op_id % 997 <> 0").withColumn("again", F.lit(False))
+    o = o.union(o.where("op_id % 50 = 0").withColumn("arrival", F.col("arrival") + 200_000).withColumn("again", F.lit(True)))
+    return L.causal_release(o, "point_id").select("point_id", "op_id", "again", "delivered")
 
 
 @query("SELECT p.id, o.op_id, CASE WHEN p.sensitivity = 'sensitive' THEN 'sync_after_redaction' ELSE 'sync_full' END AS sync_class FROM points p JOIN (SELECT * FROM ops QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY wall_ms DESC, counter DESC, device_id DESC, op_id) = 1) o ON o.point_id = p.id WHERE o.kind <> 'delete'")
