@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import budget_fill
@@ -99,39 +100,74 @@ def dedup_stream(events: DataFrame, key: str = "event_id", ts: str = "ts", late:
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def causal_delivery(ops: DataFrame, stream: str = "stream", hold_ms: int = 60_000) -> DataFrame:
-    """stream, op_id, delivered of operations (clock as JSON text, sender, arrival) in causal
-    order; what waits longer than hold_ms of processing time is let go."""
-
-    def step(key, batches, state: GroupState):
-        seen, held, count = state.get if state.exists else ("{}", "[]", 0)
-        seen, held = json.loads(seen), json.loads(held)
+class CausalBuffer(StatefulProcessor):
+    """Keeps for a stream how many operations of each sender are out, and those held, each in the
+    slot (sender, number) of a cause it waits for. A delivery wakes its slot only. Slots leave the
+    state after hold_ms without a change, and what lies in one longer than hold_ms is not woken."""
+
+    def __init__(self, stream: str, hold_ms: int):
+        self.stream, self.hold_ms = stream, hold_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getMapState("seen", "sender string", "n int")
+        self.held = handle.getMapState("held", "sender string, n int", "ops string", ttlDurationMs=self.hold_ms)
+        self.count = handle.getValueState("count", "n int")
+
+    def _cause(self, sender: str, clock: dict[str, int], seen: dict[str, int]):
+        """A slot that has to be out before the operation, or None."""
+        own = [(sender, clock[sender] - 1)]
+        for k, v in own + [x for x in clock.items() if x[0] != sender]:
+            if k not in seen:
+                seen[k] = self.seen.getValue((k,))[0] if self.seen.containsKey((k,)) else 0
+            if v > seen[k]:
+                return k, v
+        return None
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        count = self.count.get()[0] if self.count.exists() else 0
+        seen: dict[str, int] = {}
         out = []
-        if state.hasTimedOut:
-            held = []
-        else:
-            for pdf in batches:
-                for r in pdf.sort_values("arrival").itertuples():
-                    held.append([int(r.op_id), r.sender, json.loads(r.clock)])
-            moved = True
-            while moved:
-                moved = False
-                for item in list(held):
-                    op, sender, clock = item
-                    if all((v == seen.get(k, 0) + 1) if k == sender else (v <= seen.get(k, 0)) for k, v in clock.items()):
-                        for k, v in clock.items():
-                            seen[k] = max(seen.get(k, 0), v)
-                        count += 1
-                        out.append((key[0], op, count))
-                        held.remove(item)
-                        moved = True
-        state.update((json.dumps(seen), json.dumps(held), count))
-        if held:
-            state.setTimeoutDuration(hold_ms)
-        yield pd.DataFrame(out, columns=[stream, "op_id", "delivered"])
+        for pdf in rows:
+            for r in pdf.sort_values(["arrival", "op_id"]).itertuples():
+                clock = {k: v for k, v in (json.loads(r.clock) if r.clock else {}).items() if v > 0}
+                if r.sender is None or r.sender not in clock:
+                    continue
+                todo, free = [(int(r.arrival), int(r.op_id), r.sender, clock, now + self.hold_ms)], []
+                while todo:
+                    item = todo.pop()
+                    _, _, sender, clock, until = item
+                    slot = self._cause(sender, clock, seen)
+                    if slot is not None:
+                        before = json.loads(self.held.getValue(slot)[0]) if self.held.containsKey(slot) else []
+                        self.held.updateValue(slot, (json.dumps([x for x in before if x[4] > now] + [item]),))
+                    elif clock[sender] == seen[sender] + 1:
+                        seen[sender] = clock[sender]
+                        self.seen.updateValue((sender,), (clock[sender],))
+                        free.append(item)
+                        slot = (sender, clock[sender])
+                        if self.held.containsKey(slot):
+                            todo += [x for x in json.loads(self.held.getValue(slot)[0]) if x[4] > now]
+                            self.held.removeKey(slot)
+                for arrival, op, *_ in sorted(free, key=lambda x: (sum(x[3].values()), x[0], x[1])):
+                    count += 1
+                    out.append((key[0], op, count))
+        self.count.update((count,))
+        if out:
+            yield pd.DataFrame(out, columns=[self.stream, "op_id", "delivered"])
+
+    def close(self) -> None:
+        pass
 
+
+def causal_delivery(ops: DataFrame, stream: str = "stream", hold_ms: int = 60_000) -> DataFrame:
+    """stream, op_id, delivered of operations (clock as JSON text, sender, arrival) in causal order,
+    as oplog.causal_release() gives them for clocks that name all that is before them; what waits
+    longer than hold_ms of processing time is let go. Operations without a place (null sender or
+    clock) and repeated ones are not delivered. The session needs the RocksDB state store; a query
+    in processing time runs until it is stopped, so a trigger of availableNow does not end it."""
     kind = dict(ops.dtypes)[stream]
-    return ops.groupBy(stream).applyInPandasWithState(step, f"{stream} {kind}, op_id long, delivered int", "seen string, held string, count int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ops.groupBy(stream).transformWithStateInPandas(CausalBuffer(stream, hold_ms), f"{stream} {kind}, op_id long, delivered int", "Append", "ProcessingTime")
 
 
 def token_bucket(requests: DataFrame, key: str, rate: float, burst: float) -> DataFrame:
