@@ -65,6 +65,31 @@ def kept(grams: np.ndarray, run: int) -> np.ndarray:
     return np.flatnonzero(chosen & (grams != _NEVER))
 
 
+def thinned(places: list[int], item: np.ndarray, gram: int) -> list[int]:
+    """Places of one hash without the inner ones of a repetition: where an item repeats itself every
+    gram words or less, what a text shares with it starts at the repetition's start, ends at its end, or
+    lies in it and is found from either."""
+    out = []
+    for i, r in enumerate(places):
+        if 0 < i < len(places) - 1:
+            before, after = places[i - 1], places[i + 1]
+            if r - before == after - r <= gram and item[before] == item[after]:
+                continue
+        out.append(r)
+    return out
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> int:
+    """How many first values are equal."""
+    n, at, step = min(len(x), len(y)), 0, 16
+    while at < n:
+        differ = x[at : min(n, at + step)] != y[at : min(n, at + step)]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = at + step, step * 4
+    return n
+
+
 class Block:
     """Fingerprints of some benchmark items."""
 
@@ -93,7 +118,8 @@ class Block:
             keys = np.array(sorted(found), dtype=np.uint64)
             near = np.zeros(1 << 18, dtype=bool)
             near[keys & U64((1 << 18) - 1)] = True
-            self.tables.append((k, keys, near, [found[int(x)] for x in keys]))
+            at = [found[int(x)] for x in keys]
+            self.tables.append((k, keys, near, [thinned(x, self.item, gram) for x in at] if k > 0 else at))
 
     def places(self, words: np.ndarray, first: np.ndarray):
         """Yields (place in words, place in the items, whole item's length or 0)."""
@@ -131,12 +157,9 @@ class Block:
             else:
                 if done.get((row, p - r), -1) > p:
                     continue
-                a, b, x, y = p, p, r, r
                 start, stop = int(self.first[k]), int(self.first[k + 1])
-                while a > low and x > start and words[a - 1] == self.words[x - 1]:
-                    a, x = a - 1, x - 1
-                while b < high and y < stop and words[b] == self.words[y]:
-                    b, y = b + 1, y + 1
+                a = p - agreeing(words[low:p][::-1], self.words[start:r][::-1])
+                b = p + agreeing(words[p:high], self.words[r:stop])
                 done[row, p - r] = max(b, p + 1)
                 if b - a < self.window:
                     continue

@@ -5,8 +5,11 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,40 @@ def test_decontaminate(spark, docs, rows):
     assert "PythonMapInArrow" not in plan and "MapInArrow" not in plan
 
 
+def test_decontaminate_repetitions():
+    """Texts of few different words, in runs and periods, against all windows."""
+    rng = np.random.default_rng(9)
+
+    def text():
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            unit = rng.choice(list("abc"), rng.integers(1, 8)).tolist()
+            parts += unit * int(rng.integers(1, 12))
+        return parts
+
+    for _ in range(60):
+        items, texts = [text() for _ in range(4)], [text() for _ in range(6)]
+        block = decontaminate.Block([0, 1, 2, 3], [" ".join(x) for x in items])
+        count, _, starts, ends, ids = (x.to_pylist() for x in decontaminate.found_in(block, pa.array([" ".join(t) for t in texts])))
+        for n, t in enumerate(texts):
+            hit, found = set(), set()
+            for k, x in enumerate(items):
+                size = min(10, len(x))
+                windows = {tuple(x[i : i + size]) for i in range(len(x) - size + 1)}
+                at = [i for i in range(len(t) - size + 1) if tuple(t[i : i + size]) in windows]
+                hit |= {j for i in at for j in range(i, i + size)}
+                found |= {str(k)} if at else set()
+            assert count[n] == len(t) and {j for a, b in zip(starts[n], ends[n]) for j in range(a, b)} == hit
+            assert ids[n] == sorted(found)
+
+
+def test_decontaminate_one_word_many_times():
+    begin = time.perf_counter()
+    block = decontaminate.Block([1], ["the " * 3000])
+    assert decontaminate.found_in(block, pa.array(["the " * 20000]))[1].to_pylist() == [20000]
+    assert time.perf_counter() - begin < 20
+
+
 def test_winnowing_guarantee():
     import numpy as np
 
