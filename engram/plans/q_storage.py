@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import clocks
 from ..operators import storage as S
+from ..sources import wal
 from .registry import query
 from .views import NOW, ops, points, table
 
@@ -37,6 +40,30 @@ def wal_replay(spark, sf):
     return p.agg(F.count("*").alias("lines"), F.count_if("ok").alias("applied"), F.count_if(~F.col("ok")).alias("torn"), F.sum("record.lsn").alias("lsn_sum"))
 
 
+_LOG = "op_id long, point_id long, kind string, wall_ms long, body string"
+
+
+def _log(spark, sf) -> str:
+    """A new folder of the shared one with all operations as a log."""
+    path = f"{S.shared_folder(spark)}/engram/log-{uuid.uuid4().hex}"
+    wal.write(ops(spark, sf).select("op_id", "point_id", "kind", "wall_ms", "body"), f"{path}/log")
+    return path
+
+
+@query("SELECT op_id, point_id, kind, wall_ms, body FROM ops")
+def wal_roundtrip(spark, sf):
+    return wal.read(spark, f"{_log(spark, sf)}/log", _LOG)
+
+
+@query("SELECT point_id, op_id, wall_ms FROM ops QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY op_id DESC) = 1 AND kind <> 'delete'")
+def wal_stream_recover(spark, sf):
+    # the log is followed by a stream into a second one, and what is there at the end is recovered
+    path = _log(spark, sf)
+    copied = wal.copy(spark, f"{path}/log", f"{path}/copy", f"{path}/offsets", _LOG)
+    found = S.recover(copied.select("point_id", F.col("op_id").alias("lsn"), F.col("kind").alias("op"), "wall_ms"))
+    return found.select("point_id", F.col("lsn").alias("op_id"), "wall_ms")
+
+
 _SEG = "seg AS (SELECT op_id AS lsn, op_id // 1000 AS generation, point_id FROM ops)"
 
 

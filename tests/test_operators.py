@@ -47,6 +47,23 @@ def test_wal_and_segments(spark, tmp_path):
     assert {r.status for r in segments.verify(spark, str(tmp_path / "seg"), bad).collect()} >= {"corrupt"}
 
 
+def test_log_stream_goes_on_where_it_ended(spark, tmp_path):
+    kind = "i long, v string"
+    log, copy, offsets = (str(tmp_path / x) for x in ("log", "copy", "offsets"))
+
+    def carried():
+        return sorted((r.i, r.v) for r in wal.copy(spark, log, copy, offsets, kind, files=2).collect())
+
+    first, later = [(i, f"a {i}") for i in range(20)], [(i, None) for i in range(20, 30)]
+    wal.write(spark.createDataFrame(first, kind).repartition(5), log)
+    assert carried() == first
+    wal.write(spark.createDataFrame(later, kind), log)
+    spark.createDataFrame([("0000 {torn",), ("",)], "value string").coalesce(1).write.mode("append").text(log)
+    assert carried() == first + later
+    assert carried() == first + later
+    assert wal.torn(spark, log, kind) == 2
+
+
 def test_order_independence(spark):
     rows = [(i, i % 5, 1000 + i % 7, i % 3, f"n{i % 2}", "upsert") for i in range(60)]
     df = spark.createDataFrame(rows, "op_id long, point_id long, wall_ms long, counter int, device_id string, kind string")
