@@ -212,9 +212,11 @@ def audit_chain(rows: DataFrame, block: int) -> DataFrame:
     return named.groupBy(F.expr(f"seq div {block}")).applyInArrow(chain, "seq long, action string, subject string, prev_hash string, hash string")
 
 
-def audit_heads(log: DataFrame, block: int) -> DataFrame:
+def audit_heads(log: DataFrame, block: int, levels: int | None = None) -> DataFrame:
     """level, block, hash: the last hash of every block of entries (level 0), and of the chains over
-    the blocks' hashes, block by block again, until one is left. A changed block changes all above it."""
+    the blocks' hashes, block by block again, until one is left. A changed block changes all above it.
+    levels: how many levels may lie above the blocks; the last of them is a single chain however many
+    hashes it has, and so a single task, over one hash for each block."""
     level, out = 0, None
     heads = log.groupBy(F.expr(f"seq div {block}").alias("block")).agg(F.max_by("hash", "seq").alias("hash"))
     while True:
@@ -223,8 +225,10 @@ def audit_heads(log: DataFrame, block: int) -> DataFrame:
         out = own if out is None else out.union(own)
         if heads.count() <= 1:
             return out
-        above = audit_chain(heads.select(F.col("block").alias("seq"), F.col("hash").alias("action"), F.lit(None).cast("string").alias("subject")), block)
-        heads, level = above.groupBy(F.expr(f"seq div {block}").alias("block")).agg(F.max_by("hash", "seq").alias("hash")), level + 1
+        level += 1
+        wide = block if levels is None or level < levels else heads.agg(F.max("block")).first()[0] + 1
+        above = audit_chain(heads.select(F.col("block").alias("seq"), F.col("hash").alias("action"), F.lit(None).cast("string").alias("subject")), wide)
+        heads = above.groupBy(F.expr(f"seq div {wide}").alias("block")).agg(F.max_by("hash", "seq").alias("hash"))
 
 
 def audit_verify(log: DataFrame, block: int) -> DataFrame:

@@ -1,8 +1,11 @@
 """What showed on larger tables only, on small ones made for it."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from engram.operators import retrieval
+from engram.operators import governance, learning, oplog, retrieval
+from engram.plans import q_storage, q_sync
 
 
 def test_graph_boost_without_mentions(spark):
@@ -10,3 +13,15 @@ def test_graph_boost_without_mentions(spark):
     mentions = spark.createDataFrame([(1, 7, 0), (1, 14, 0), (2, 8, 1)], "query_id int, id int, mentions int")
     got = {(r.query_id, r.id): r.graph_boost for r in retrieval.graph_boost(scored, mentions, ["query_id"]).collect()}
     assert got == {(1, 7): 0.0, (1, 14): 0.0, (2, 8): 0.12, (2, 9): 0.0}
+
+
+def test_audit_heads_single_chain(spark):
+    rows = spark.range(130).select(F.col("id").alias("seq"), F.lit("a").alias("action"), F.col("id").cast("string").alias("subject"))
+    log = governance.audit_chain(rows, 10)
+    heads = {(r.level, r.block): r.hash for r in governance.audit_heads(log, 10, levels=1).collect()}
+    assert set(heads) == {(0, b) for b in range(13)} | {(1, 0)}
+    top = ""
+    for b in range(13):
+        top = hashlib.sha256(f"{top}|{b}|{heads[0, b]}".encode()).hexdigest()
+    assert heads[1, 0] == top
+    assert {(r.level, r.block) for r in governance.audit_heads(log, 10).collect()} >= {(1, 1), (2, 0)}
