@@ -141,9 +141,9 @@ def duplicates(df: DataFrame, key: str = "op_id") -> DataFrame:
     return df.groupBy(key).count().where("count > 1")
 
 
-def not_monotonic(df: DataFrame, by: str = "device_id", order: str = "op_id") -> DataFrame:
+def not_monotonic(df: DataFrame, by: str = "device_id", order: str | list[str] = "op_id") -> DataFrame:
     """Rows whose clock does not exceed the one before."""
-    w = Window.partitionBy(by).orderBy(order)
+    w = Window.partitionBy(by).orderBy(*([order] if isinstance(order, str) else order))
     c = _clock()
     return df.withColumn("_prev", F.lag(c).over(w)).where(F.col("_prev").isNotNull() & ~(c > F.col("_prev"))).drop("_prev")
 

@@ -174,8 +174,8 @@ def no_duplicates(spark, sf):
 
 @query("SELECT op_id FROM ops QUALIFY NOT coalesce({'w': wall_ms, 'c': counter} > lag({'w': wall_ms, 'c': counter}) OVER (PARTITION BY device_id ORDER BY op_id * 7919 % 100003, op_id), TRUE)")
 def clock_monotonic(spark, sf):
-    arrived = ops(spark, sf).withColumn("arrival", F.col("op_id") * 7919 % 100003 * 1_000_000 + F.col("op_id"))
-    return L.not_monotonic(arrived, order="arrival").select("op_id")
+    arrived = ops(spark, sf).withColumn("arrival", F.col("op_id") * 7919 % 100003)
+    return L.not_monotonic(arrived, order=["arrival", "op_id"]).select("op_id")
 
 
 @query("SELECT op_id FROM ops WHERE wall_ms > 1706000000000 + 86400000")

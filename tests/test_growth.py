@@ -25,3 +25,12 @@ def test_audit_heads_single_chain(spark):
         top = hashlib.sha256(f"{top}|{b}|{heads[0, b]}".encode()).hexdigest()
     assert heads[1, 0] == top
     assert {(r.level, r.block) for r in governance.audit_heads(log, 10).collect()} >= {(1, 1), (2, 0)}
+
+
+def test_clocks_of_large_ids(spark, tmp_path):
+    """Arrivals stay in order where ids pass a million."""
+    rows = [(i, 1704067200000 + (i * 37 % 11) * 1000, 0, "edge-0") for i in (1, 2, 3, 1_000_001, 1_100_003, 2_000_077, 5_999_999)]
+    df = spark.createDataFrame(rows, "op_id long, wall_ms long, counter int, device_id string").withColumn("arrival", F.col("op_id") * 7919 % 100003)
+    got = {r.op_id for r in oplog.not_monotonic(df, order=["arrival", "op_id"]).collect()}
+    line = sorted(rows, key=lambda r: (r[0] * 7919 % 100003, r[0]))
+    assert got == {b[0] for a, b in zip(line, line[1:]) if b[1] <= a[1]}
