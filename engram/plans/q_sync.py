@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, learning, quantize, sync
 from ..operators import storage as S
-from .q_storage import _FSCK, _SEG, _segments
+from .q_storage import _FSCK, _SEG, _segments, _strays
 from .registry import query
 from .views import ops, table
 
@@ -31,7 +31,7 @@ _BAD = f", {_FSCK}, bad AS (SELECT generation FROM st WHERE status IN ('corrupt'
 def _damaged(spark, sf):
     man = _segments(spark, sf).groupBy("generation").agg(F.count("*").alias("records")).withColumn("digest", F.sha2(F.col("generation").cast("string"), 256))
     good = man.select("generation", F.when(F.col("generation") % 5 == 4, F.lit("x")).otherwise(F.col("digest")).alias("digest")).where("generation % 7 <> 3")
-    return man, good.unionByName(man.where("generation % 4 = 0").select((F.col("generation") + 1000).alias("generation"), "digest"))
+    return man, good.unionByName(_strays(man))
 
 
 @query(f"{_BAD} SELECT CAST(least(max(op_id), coalesce((SELECT min(lsn) FROM lost) - 1, max(op_id))) AS BIGINT) AS watermark FROM ops")

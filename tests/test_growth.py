@@ -34,3 +34,16 @@ def test_clocks_of_large_ids(spark, tmp_path):
     got = {r.op_id for r in oplog.not_monotonic(df, order=["arrival", "op_id"]).collect()}
     line = sorted(rows, key=lambda r: (r[0] * 7919 % 100003, r[0]))
     assert got == {b[0] for a, b in zip(line, line[1:]) if b[1] <= a[1]}
+
+
+def test_fsck_beyond_a_thousand_generations(spark, monkeypatch):
+    """A stray file whose number the manifest knows as well is that generation's own."""
+    seg = spark.range(1100).select((F.col("id") * 1000).alias("lsn"), F.col("id").alias("generation"), F.lit(1).alias("point_id"))
+    for m in (q_storage, q_sync):
+        monkeypatch.setattr(m, "_segments", lambda *_: seg)
+    have = [(g, g % 5 == 4) for g in range(1100) if g % 7 != 3] + [(g + 1000, False) for g in range(1100) if g % 4 == 0]
+    want = sorted([(g, "orphan" if g >= 1100 else "corrupt" if bad else "ok") for g, bad in have] + [(g, "missing") for g in set(range(1100)) - {g for g, _ in have}])
+    assert sorted(tuple(r) for r in q_storage._fsck(spark, "").select("generation", "status").collect()) == want
+    from engram.operators.storage import fsck
+
+    assert sorted(tuple(r) for r in fsck(*q_sync._damaged(spark, "")).select("generation", "status").collect()) == want
