@@ -47,3 +47,9 @@ def test_fsck_beyond_a_thousand_generations(spark, monkeypatch):
     from engram.operators.storage import fsck
 
     assert sorted(tuple(r) for r in fsck(*q_sync._damaged(spark, "")).select("generation", "status").collect()) == want
+
+
+def test_required_cohort_of_whole_products(spark):
+    df = spark.createDataFrame([(0.5 + 0.25 * k, n) for k in range(10) for n in (5015, 3, 12, 51, 999, 10007)], "sigma double, n int")
+    got = [(r.sigma, r.n, r.c) for r in df.select("sigma", "n", learning.required_cohort(F.col("sigma"), F.col("n")).alias("c")).collect()]
+    assert all(c == -(-int(s * 4) ** 2 * n // 16) for s, n, c in got)
