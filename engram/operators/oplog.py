@@ -25,8 +25,8 @@ def materialise(ops: DataFrame) -> DataFrame:
 
 def merge_classes(ops: DataFrame, arrival: str = "op_id", close_ms: int = 1000) -> DataFrame:
     """class of each operation against the head before it in arrival order: accepted, conflicted
-    (lost within close_ms) or dropped. Repeated op_ids count once."""
-    w = Window.partitionBy("point_id").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    (lost within close_ms) or dropped. Equal arrivals come by op_id; repeated op_ids count once."""
+    w = Window.partitionBy("point_id").orderBy(arrival, "op_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.max(_clock()).over(w)
     seen = ops.dropDuplicates(["op_id"]).withColumn("_head", before)
     won = F.col("_head").isNull() | (_clock() > F.col("_head"))

@@ -2,9 +2,10 @@
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from engram.operators import governance, learning, oplog, retrieval
+from engram.operators import governance, learning, maintenance, oplog, retrieval
 from engram.plans import q_storage, q_sync
 
 
@@ -53,3 +54,11 @@ def test_required_cohort_of_whole_products(spark):
     df = spark.createDataFrame([(0.5 + 0.25 * k, n) for k in range(10) for n in (5015, 3, 12, 51, 999, 10007)], "sigma double, n int")
     got = [(r.sigma, r.n, r.c) for r in df.select("sigma", "n", learning.required_cohort(F.col("sigma"), F.col("n")).alias("c")).collect()]
     assert all(c == -(-int(s * 4) ** 2 * n // 16) for s, n, c in got)
+
+
+def test_merge_classes_of_equal_arrivals(spark):
+    rows = [(i, 1, 1_000 * (i * 7 % 10), 0, "d", i % 2) for i in range(10)]
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(sorted(rows, key=lambda r: r[0] * 3 % 10), "op_id long, point_id int, wall_ms long, counter int, device_id string, arrival int").repartition(n)
+        got = {r.op_id for r in oplog.merge_classes(df, "arrival", 1).where("class = 'accepted'").collect()}
+        assert got == {0, 2, 4, 7}, n  # of 0 2 4 6 8 1 3 5 7 9
