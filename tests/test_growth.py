@@ -62,3 +62,21 @@ def test_merge_classes_of_equal_arrivals(spark):
         df = spark.createDataFrame(sorted(rows, key=lambda r: r[0] * 3 % 10), "op_id long, point_id int, wall_ms long, counter int, device_id string, arrival int").repartition(n)
         got = {r.op_id for r in oplog.merge_classes(df, "arrival", 1).where("class = 'accepted'").collect()}
         assert got == {0, 2, 4, 7}, n  # of 0 2 4 6 8 1 3 5 7 9
+
+
+def test_similar_pairs_across_groups(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "GROUP", 7)
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.normal(size=(6, 8)), 10, 0) + 0.2 * rng.normal(size=(60, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, i % 2, [float(x) for x in r]) for i, r in enumerate(v)] + [(60, 0, None), (61, 0, [1.0, None] + [0.0] * 6), (62, None, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "id int, b int, dense array<double>")
+    got = sorted((r.a, r.b) for r in maintenance.similar_pairs(df, 0.9, "b").collect())
+    assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and v[i] @ v[j] >= 0.9]
+
+
+def test_similar_pairs_put_out_no_candidates(spark):
+    """No join of rows with rows: its output grew with the square of a block."""
+    df = spark.range(20).select("id", F.lit(1).alias("b"), F.array(F.lit(1.0), F.lit(0.0)).alias("dense"))
+    plan = maintenance.similar_pairs(df, 0.9, "b")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
