@@ -38,7 +38,7 @@ def search(
     ids = allowed.select("id")
     dense = R.top_k(R.nearest(allowed, queries.select("query_id", "q"), fetch), fetch, ["query_id"])
     if metrics.allows("sparse", level):
-        sparse = R.top_k(R.sparse_scores(index.join(ids, "id", "left_semi"), query_terms(queries, index)), fetch, ["query_id"])
+        sparse = R.top_k(R.sparse_nearest(index.join(ids, "id", "left_semi"), query_terms(queries, index), fetch), fetch, ["query_id"])
     else:
         sparse = dense.where(F.lit(False))
     fused = R.top_k(R.reciprocal_rank_fusion(dense, sparse, ["query_id"]), max(3 * k, 12), ["query_id"], score="rrf", rank="fused_rank")

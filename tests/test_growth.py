@@ -80,3 +80,37 @@ def test_similar_pairs_put_out_no_candidates(spark):
     df = spark.range(20).select("id", F.lit(1).alias("b"), F.array(F.lit(1.0), F.lit(0.0)).alias("dense"))
     plan = maintenance.similar_pairs(df, 0.9, "b")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_searches_in_slices(spark, monkeypatch):
+    """Scores of a slice of the queries are held at a time, and the result is that of all at once."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(50, 4))
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, dense array<double>").repartition(2)
+    q = rows.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+    monkeypatch.setattr(retrieval, "CELLS", 60)
+    got = {(r.query_id, r.rank): r.id for r in retrieval.top_k(retrieval.nearest(rows, q, 3, others=True), 3, ["query_id"]).collect()}
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    assert got == {(i, r + 1): int(np.argsort(-s[i])[r]) for i in range(0, 50, 5) for r in range(3)}
+    assert list(retrieval._slices(10, 25)) == [(0, 2), (2, 4), (4, 6), (6, 8), (8, 10)]
+
+
+def test_term_frequencies_in_parts(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30_000)) for i in range(5)]
+    df = spark.createDataFrame([*enumerate(texts), (5, None), (6, "")], "id int, text string").coalesce(1)
+    tf = retrieval.term_frequencies(df)
+    assert {r.id: (r.n, r.len) for r in tf.groupBy("id").agg(F.count("*").alias("n"), F.max("len").alias("len")).collect()} == {i: (59_999, 59_999) for i in range(5)}
+
+
+def test_sparse_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    index = spark.createDataFrame([(i, f"t{t}", float(rng.integers(1, 40)) / 8) for i in range(60) for t in rng.choice(30, 6, replace=False)], "id long, term string, weight double").repartition(5)
+    q = index.where("id % 4 = 0").select(F.col("id").alias("query_id"), "term", "weight").unionByName(spark.createDataFrame([(99, "nowhere", 1.0), (98, "t1", 1.0)], "query_id long, term string, weight double"))
+    want = {(r.query_id, r.id): (round(r.score, 9), r.rank) for r in retrieval.top_k(retrieval.sparse_scores(index, q), 3, ["query_id"]).collect()}
+    for cells, many in ((1 << 21, 1 << 14), (40, 4)):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        monkeypatch.setattr(retrieval, "MANY_QUERIES", many)
+        near = retrieval.sparse_nearest(index, q, 3)
+        assert {(r.query_id, r.id): (round(r.score, 9), r.rank) for r in retrieval.top_k(near, 3, ["query_id"]).collect()} == want
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
