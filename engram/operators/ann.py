@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .quantize import IvfPq
-from .retrieval import _matrix, query_blocks, top_k
+from .retrieval import _matrix, _slices, query_blocks, top_k
 
 #: Scores kept in a task: queries of a block times survivors.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def _lists(table: pa.Array, width: int) -> np.ndarray:
@@ -92,23 +92,23 @@ def _search_block(spark, index: DataFrame, model: IvfPq, ids: pa.Array, q: np.nd
         for b in batches:
             codes, cells = _lists(b.column(1), tables.shape[1]), b.column(2).to_numpy()
             for c in np.unique(cells).tolist():
-                s, rows = asked[c], np.flatnonzero(cells == c)
-                if not len(s):
-                    continue
-                # a row for each query: the cell's product and one entry a part
-                approx = np.repeat(near[s, c][:, None], len(rows), axis=1)
-                for p in range(codes.shape[1]):
-                    approx += tables[s, p][:, codes[rows, p]]
-                keep = min(rescore, len(rows))
-                top = np.argpartition(-approx, keep - 1, axis=1)[:, :keep] if keep < len(rows) else np.broadcast_to(np.arange(len(rows)), approx.shape)
-                score = np.append(score, np.take_along_axis(approx, top, 1).ravel())
-                name = np.append(name, held + rows[top.ravel()])
-                cell_of = np.append(cell_of, np.full(top.size, c, np.int32))
-                who = np.append(who, np.repeat(s, top.shape[1]))
+                rows = np.flatnonzero(cells == c)
+                for lo, hi in _slices(len(asked[c]), len(rows)):
+                    s = asked[c][lo:hi]
+                    # a row for each query: the cell's product and one entry a part
+                    approx = np.repeat(near[s, c][:, None], len(rows), axis=1)
+                    for p in range(codes.shape[1]):
+                        approx += tables[s, p][:, codes[rows, p]]
+                    keep = min(rescore, len(rows))
+                    top = np.argpartition(-approx, keep - 1, axis=1)[:, :keep] if keep < len(rows) else np.broadcast_to(np.arange(len(rows)), approx.shape)
+                    score = np.append(score, np.take_along_axis(approx, top, 1).ravel())
+                    name = np.append(name, held + rows[top.ravel()])
+                    cell_of = np.append(cell_of, np.full(top.size, c, np.int32))
+                    who = np.append(who, np.repeat(s, top.shape[1]))
+                    if len(score) > 4 * HELD:
+                        cut()
             names.append(b.column(0))
             held += b.num_rows
-            if len(score) > 4 * HELD:
-                cut()
         cut()
         if len(score):
             found = pa.chunked_array(names).take(pa.array(name)).combine_chunks()
