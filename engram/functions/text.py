@@ -79,15 +79,21 @@ def lexical_overlap(a: Column, b: Column) -> Column:
     return F.when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / least)
 
 
+def polarity(text: Column) -> Column:
+    """Whether a text negates, then whether it has each word of ANTONYMS."""
+    low = F.lower(text)
+    return F.array(text.rlike(NEGATIONS), *[low.rlike(rf"\b{w}\b") for pair in ANTONYMS for w in pair])
+
+
+def opposed(a: Column, b: Column) -> Column:
+    """polarity_signals() of two texts' polarity()."""
+    across = [F.when((F.get(a, F.lit(1 + 2 * i)) & F.get(b, F.lit(2 + 2 * i))) | (F.get(a, F.lit(2 + 2 * i)) & F.get(b, F.lit(1 + 2 * i))), F.lit(f"antonym:{x}/{y}")) for i, (x, y) in enumerate(ANTONYMS)]
+    return F.array_compact(F.array(F.when(F.get(a, F.lit(0)) != F.get(b, F.lit(0)), F.lit("negation_flip")), *across))
+
+
 def polarity_signals(a: Column, b: Column) -> Column:
     """negation_flip, and antonym:x/y for each pair that stands across the two texts."""
-    la, lb = F.lower(a), F.lower(b)
-    flip = F.when(a.rlike(NEGATIONS) != b.rlike(NEGATIONS), F.lit("negation_flip"))
-    across = []
-    for x, y in ANTONYMS:
-        px, py = rf"\b{x}\b", rf"\b{y}\b"
-        across.append(F.when((la.rlike(px) & lb.rlike(py)) | (la.rlike(py) & lb.rlike(px)), F.lit(f"antonym:{x}/{y}")))
-    return F.array_compact(F.array(flip, *across))
+    return opposed(polarity(a), polarity(b))
 
 
 def intent(tokens: Column) -> Column:

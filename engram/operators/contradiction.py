@@ -2,36 +2,98 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  for pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .retrieval import nearest
+from .storage import written
+
+
+#: Texts of one side of a task that compares all pairs, and pairs of texts it counts at a time.
+GROUP, CELLS = 16_384, 1 << 21
+#: A token in more than one of so many pairs is counted by a product of matrices.
+COMMON = 200
 
 
 def related_pairs(docs: DataFrame, threshold: float = 0.45, least: int = 1, asked: DataFrame | None = None) -> DataFrame:
     """a < b, overlap: overlap coefficient of content tokens at or above the threshold, with at
-    least some tokens in common. asked: ids one of which has to be in the pair. Texts meet on the rarest tokens of the smaller one only: to
-    have a share t of a set of n tokens in common, one of its n - ceil(t * n) + 1 rarest must be."""
+    least some tokens in common. asked: ids one of which has to be in the pair. All pairs are looked at,
+    which is quadratic: texts, as numbers of their tokens, are dealt to groups, and a task counts what
+    two groups have in common a part at a time and puts out only pairs that pass."""
     tokens = docs.select("id", F.array_distinct(F.filter(T.tokenize(F.col("text")), lambda t: ~t.isin(T.STOP_WORDS))).alias("k"))
     tokens = tokens.withColumn("n", F.size("k")).where(F.col("n") >= max(1, least))
     flat = tokens.select("id", "n", F.explode("k").alias("t"))
-    df = flat.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = flat.join(df, "t").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("by_df"))
-    need = F.greatest(F.ceil(F.lit(threshold) * F.col("n")), F.lit(least))
-    prefix = ranked.select("id", "n", F.explode(F.slice("by_df", 1, (F.col("n") - need + 1).cast("int"))).alias("t"))
-    whole = flat.select(F.col("id").alias("other"), F.col("n").alias("m"), "t")
+    shared = flat.groupBy("t").count().where("count > 1").select("t", F.monotonically_increasing_id().alias("c"))
+    rows = flat.join(written(shared, "tokens"), "t").groupBy("id", "n").agg(F.collect_list("c").alias("k"))
+    total = rows.withColumn("own", F.lit(True)) if asked is None else rows.join(asked.select("id").distinct().withColumn("own", F.lit(True)), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    total = written(total, "token-sets")
+    groups, sides = (max(-(-n // GROUP), min(8, -(-n // 1024)), 1) for n in total.agg(F.count("*"), F.count_if("own")).first())
+    g = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     if asked is None:
-        hits = prefix.join(whole, "t")
+        dealt = total.select("*", g.alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_o"))
+        dealt = dealt.select("id", "n", "k", "own", F.least("_g", "_o").alias("_x"), F.greatest("_g", "_o").alias("_y"), (F.col("_g") <= F.col("_o")).alias("_left"), (F.col("_g") >= F.col("_o")).alias("_right"))
     else:
-        own = F.broadcast(asked.select("id").distinct())  # a stated set
-        hits = prefix.join(own, "id", "left_semi").join(whole, "t").select("id", "n", "other", "m").union(prefix.join(whole.join(own.withColumnRenamed("id", "other"), "other", "left_semi"), "t").select("id", "n", "other", "m"))
-    hits = hits.where("id <> other and (n < m or (n = m and id < other))")
-    pairs = hits.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    x, y = (tokens.select(F.col("id").alias(i), F.col("k").alias(f"k{i}")) for i in "ab")
-    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ka", "kb")))
-    overlap = F.col("common") / F.least(F.size("ka"), F.size("kb"))
-    return both.where((F.col("common") >= least) & (F.col("common") >= threshold * F.least(F.size("ka"), F.size("kb")))).select("a", "b", overlap.alias("overlap"))
+        h = F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int")
+        left = total.where("own").select("id", "n", "k", "own", h.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_y"), F.lit(True).alias("_left"), F.lit(False).alias("_right"))
+        right = total.select("id", "n", "k", "own", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("_x"), g.alias("_y"), F.lit(False).alias("_left"), F.lit(True).alias("_right"))
+        dealt = left.union(right)
+    kind = dict(docs.dtypes)["id"]
+    found = dealt.groupBy("_x", "_y").applyInArrow(_counter(threshold, least, asked is None), f"a {kind}, b {kind}, both boolean, overlap double")
+    # a pair of two that are asked for is met from either side
+    found = found.where("a <> b") if asked is None else found.where("a < b or (a > b and not both)")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
+
+
+def _counter(threshold: float, least: int, within: bool):
+    """Pairs of a group's left and right rows. Tokens of many pairs are columns of two matrices, the others are
+    found by their postings. within: left and right are the same table where both flags are set."""
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, lists = table.column("id").combine_chunks(), table.column("k").combine_chunks()
+        n, own, left, right = (table.column(c).to_numpy() for c in ("n", "own", "_left", "_right"))
+        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        a, b = np.flatnonzero(left), np.flatnonzero(right)
+        token = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1] if len(a) and len(b) else np.zeros(0, int)
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if len(token):
+            at = np.repeat(np.arange(len(n)), size)
+            (ta, ra), (tb, rb) = ((token[side[at]], place[at[side[at]]]) for side, place in ((left, np.cumsum(left) - 1), (right, np.cumsum(right) - 1)))
+            tokens = token.max() + 1
+            met = np.bincount(ta, minlength=tokens).astype(float) * np.bincount(tb, minlength=tokens)
+            many = met * COMMON > float(len(a)) * len(b)
+            column = np.cumsum(many) - 1
+            x, y = (np.zeros((len(z), int(many.sum())), np.float32) for z in (a, b))
+            for m, t, r in ((x, ta, ra), (y, tb, rb)):
+                m[r[many[t]], column[t[many[t]]]] = 1
+            few = (met > 0) & ~many
+            ta, ra, tb, rb = ta[few[ta]], ra[few[ta]], tb[few[tb]], rb[few[tb]]
+            order = np.argsort(tb, kind="stable")
+            tb, rb = tb[order], rb[order]
+            low = np.searchsorted(tb, np.arange(tokens + 1))
+            order = np.argsort(ra, kind="stable")
+            ta, ra = ta[order], ra[order]
+            step = max(1, CELLS // len(b))
+            for i in range(0, len(a), step):
+                rows = a[i : i + step]
+                s = x[i : i + step] @ y.T
+                lo, hi = np.searchsorted(ra, [i, i + step])
+                t, hits = ta[lo:hi], low[ta[lo:hi] + 1] - low[ta[lo:hi]]
+                if hits.sum():
+                    post = np.repeat(low[t] - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
+                    s += np.bincount(np.repeat(ra[lo:hi] - i, hits) * len(b) + rb[post], minlength=s.size).reshape(s.shape)
+                p, q = np.nonzero((s >= least) & (s + 0.5 >= np.float32(threshold) * np.minimum(n[rows][:, None], n[b][None, :])))
+                common, p, q = s[p, q].astype(float), rows[p], b[q]
+                less = np.minimum(n[p], n[q])
+                kept = (common >= threshold * less) & ((p < q) | (not within) | ~(left[q] & right[p]))
+                found.append((p[kept], q[kept], (common / less)[kept]))
+        p, q, overlap = (np.concatenate(z) for z in zip(*found))
+        return pa.table({"a": ids.take(pa.array(p)), "b": ids.take(pa.array(q)), "both": own[p] & own[q], "overlap": overlap})
+
+    return count
 
 
 def contradictions(points: DataFrame, threshold: float = 0.45) -> DataFrame:
@@ -55,7 +117,9 @@ def check(asked: DataFrame, points: DataFrame, threshold: float = 0.45, least: i
 
 
 def _opposed(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    x, y = (live.select(F.col("id").alias(i), F.col("text").alias(f"t{i}"), F.col("created_at").alias(f"c{i}")) for i in "ab")
-    both = pairs.join(x, "a").join(y, "b").withColumn("signals", T.polarity_signals(F.col("ta"), F.col("tb"))).where(F.size("signals") > 0)
+    """What a text says is told from it once: pairs meet a few truths, not texts."""
+    said = written(live.select("id", "created_at", T.polarity(F.col("text")).alias("said")), "polarity")
+    x, y = (said.select(F.col("id").alias(i), F.col("said").alias(f"s{i}"), F.col("created_at").alias(f"c{i}")) for i in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("signals", T.opposed(F.col("sa"), F.col("sb"))).where(F.size("signals") > 0)
     first = F.col("ca") <= F.col("cb")
     return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("older"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("newer"), "similarity", "signals")

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from engram.operators import governance, learning, maintenance, oplog, retrieval
+from engram.operators import contradiction, governance, learning, maintenance, oplog, retrieval
 from engram.plans import q_storage, q_sync
 
 
@@ -114,3 +114,19 @@ def test_sparse_nearest(spark, monkeypatch):
         near = retrieval.sparse_nearest(index, q, 3)
         assert {(r.query_id, r.id): (round(r.score, 9), r.rank) for r in retrieval.top_k(near, 3, ["query_id"]).collect()} == want
     assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_related_pairs_in_groups(spark, monkeypatch):
+    """Every pair once, whatever the groups; rare and frequent tokens; ids asked for on both sides."""
+    rng = np.random.default_rng(6)
+    sets = [{f"w{t}" for t in rng.choice(40, rng.integers(1, 12), p=np.arange(40, 0, -1) / 820)} for _ in range(70)]
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)] + [(70, None), (71, "")], "id long, text string")
+    want = {(i, j): len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) for i in range(70) for j in range(i + 1, 70) if len(sets[i] & sets[j]) >= max(2, 0.45 * min(len(sets[i]), len(sets[j]))) and min(len(sets[i]), len(sets[j])) >= 2}
+    asked = df.where("id % 3 = 0")
+    for group, common, cells in ((16_384, 200, 1 << 21), (16, 4, 64)):
+        for name, v in (("GROUP", group), ("COMMON", common), ("CELLS", cells)):
+            monkeypatch.setattr(contradiction, name, v)
+        got = [(r.a, r.b, r.overlap) for r in contradiction.related_pairs(df, 0.45, 2).collect()]
+        assert len(got) == len(want) and {(a, b): o for a, b, o in got} == want
+        got = [(r.a, r.b) for r in contradiction.related_pairs(df, 0.45, 2, asked).collect()]
+        assert sorted(got) == sorted((a, b) for a, b in want if a % 3 == 0 or b % 3 == 0)
