@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from engram.operators import contradiction, governance, learning, maintenance, oplog, retrieval
+from engram.operators import contradiction, governance, learning, maintenance, oplog, retrieval, vocabulary
 from engram.plans import q_storage, q_sync
 
 
@@ -130,3 +130,26 @@ def test_related_pairs_in_groups(spark, monkeypatch):
         assert len(got) == len(want) and {(a, b): o for a, b, o in got} == want
         got = [(r.a, r.b) for r in contradiction.related_pairs(df, 0.45, 2, asked).collect()]
         assert sorted(got) == sorted((a, b) for a, b in want if a % 3 == 0 or b % 3 == 0)
+
+
+def test_partners_without_pairs(spark, monkeypatch):
+    """Partners from bounded counts are those of all pairs; words that cannot be one are not counted."""
+    for name, value in (("LISTED", 12), ("FIRST", 4), ("ROWS", 7), ("PAIRS", 50), ("HELD", 20), ("MANY_QUERIES", 5)):
+        monkeypatch.setattr(vocabulary, name, value)
+    rng = np.random.default_rng(5)
+    words = [f"w{i:03d}" for i in range(200)]
+    texts = [(i, " ".join(words[int(200 * x**3)] for x in rng.random(rng.integers(0, 40)))) for i in range(150)] + [(150, None), (151, "w000"), (152, "")]
+    docs = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    terms = spark.createDataFrame([(words[i],) for i in (0, 1, 2, 5, 9, 14, 30, 60, 90, 140, 190, 199)] + [("absent",), ("w000",)], "term string")
+    sets = [set((t or "").split()) for _, t in texts]
+    lists = spark.createDataFrame([(sorted(s),) for s in sets], "words array<string>").repartition(3)
+    near, total = vocabulary.partners(lists, terms, 4)
+    got = {(r.term, r.other): r.n for r in near.collect()}
+    want, sums = {}, {}
+    for t in {r.term for r in terms.collect()}:
+        n = {o: sum(t in s and o in s for s in sets) for o in words if o != t}
+        want |= {(t, o): n[o] for o in sorted(words, key=lambda o: (-n.get(o, 0), o))[:4] if n.get(o)}
+        sums |= {t: sum(n.values())} if sum(n.values()) else {}
+    assert got == want and {r.term: r.total for r in total.collect()} == sums
+    plain = {(r.term, r.other): r.n for r in vocabulary.cooccurrence(docs, terms).collect()}
+    assert plain.items() >= want.items() and len(vocabulary.expansions(docs, terms, 4, 2).collect()) > 15
