@@ -23,7 +23,8 @@ both. So nothing depends on the runs chosen, and no group is compared in all pai
 with equal sets collapse to one before all this, in each task and by fingerprint.
 
 Signatures travel as arrays by bucket, a row for each batch and bucket; the number of buckets
-follows the size of the input.
+follows the size of the input. Only signatures of one band can be equal, so a bucket belongs to a
+band and a set goes to few of them: each of them is told its fingerprint.
 
 Defined results: null, empty and word-less texts have no shingles and are their own
 component; rows with one doc_id are one document; a null doc_id has a null component.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LANES, SPACED, U64, chunks, gram_hashes, materialize, mix, partitions_for, span_hashes, text_buffer, text_bytes, trim, whole_hash, word_spans
+from ._common import LANES, SPACED, U64, chunks, gram_hashes, materialize, mix, partitions_for, span_hashes, text_buffer, trim, whole_hash, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -130,7 +131,9 @@ def signatures(flat: np.ndarray, n: np.ndarray, band: np.ndarray, bound: np.ndar
     return np.concatenate(sig), np.concatenate(who), slack
 
 
-_ENTRY = np.dtype([("fp", "<u8"), ("n", "<u4"), ("slack", "<i4"), ("band", "u1"), ("count", "<u4")])
+#: A set with some of its signatures in a bucket, at most MOST.
+_ENTRY = np.dtype([("fp", "<u8"), ("n", "<u4"), ("slack", "<i2"), ("band", "u1"), ("count", "u1")])
+MOST = 255
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("fp", "<u8"), ("n", "<u4")])
 
 
@@ -143,8 +146,9 @@ def runs(x: np.ndarray) -> list[tuple[int, int, int]]:
 class Sender:
     """Gathers signatures of a task and lays them out by bucket."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.seen = buckets, set()
+    def __init__(self, share: np.ndarray):
+        """share: number of buckets of each band."""
+        self.share, self.first, self.buckets, self.seen = share.astype(np.uint64), np.cumsum(share) - share, int(share.sum()), set()
         self.clear()
 
     def clear(self) -> None:
@@ -175,7 +179,7 @@ class Sender:
             bound = difference(n[rows], np.where(own == band[rows], n[rows] * 4 // 3, HI[own]))
             sig, who, slack = signatures(np.concatenate([sets[r] for r in rows]), n[rows], own, bound)
             entry = np.zeros(len(rows), _ENTRY)
-            entry["fp"], entry["n"], entry["slack"], entry["band"] = fp[rows], n[rows], np.clip(slack, -(1 << 30), 1 << 30), own
+            entry["fp"], entry["n"], entry["slack"], entry["band"] = fp[rows], n[rows], np.clip(slack, -(1 << 15), (1 << 15) - 1), own
             self.entries.append(entry), self.sigs.append(sig), self.who.append(who + self.known)
             self.known += len(rows)
             self.held += len(sig)
@@ -190,16 +194,20 @@ class Sender:
                 r.append(x)
         if self.sigs:
             entries, sig, who = np.concatenate(self.entries), np.concatenate(self.sigs), np.concatenate(self.who)
-            bucket = sig % U64(self.buckets)
+            band = entries["band"][who]
+            bucket = self.first[band] + (sig % self.share[band]).astype(np.int64)
+            del band
             bucket = bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket.astype(np.int64)
             order = np.lexsort((who, bucket)) if self.buckets >= 1 << 16 else np.argsort(who, kind="stable")[np.argsort(bucket[np.argsort(who, kind="stable")], kind="stable")]
             bucket, sig, who = bucket[order], sig[order], who[order]
             for k, a, b in runs(bucket):
-                heads = np.flatnonzero(np.append(True, who[a + 1 : b] != who[a : b - 1]))
+                place = np.arange(b - a)
+                start = np.maximum.accumulate(np.where(np.append(True, who[a + 1 : b] != who[a : b - 1]), place, 0))
+                heads = np.flatnonzero((place - start) % MOST == 0)
                 part = entries[who[a:b][heads]]
                 part["count"] = np.diff(np.append(heads, b - a))
-                high = sig[a:b] >> U64(16)
-                for r, x in zip(rows, (k, b"", part.tobytes(), (high >> U64(16)).astype("<u4").tobytes() + (high & U64(0xFFFF)).astype("<u2").tobytes())):
+                high = sig[a:b] >> U64(24)  # what chance makes equal is verified
+                for r, x in zip(rows, (k, b"", part.tobytes(), (high >> U64(8)).astype("<u4").tobytes() + (high & U64(0xFF)).astype("u1").tobytes())):
                     r.append(x)
         self.clear()
         for i in range(0, len(rows[0]), 64):
@@ -230,8 +238,8 @@ def meet(table: pa.Table) -> pa.Table:
     for e, s in zip(table.column("entries").to_pylist(), table.column("sigs").to_pylist()):
         if e:
             entries.append(np.frombuffer(e, _ENTRY))
-            k = len(s) // 6
-            sigs.append((np.frombuffer(s, "<u4", k).astype(np.uint64) << U64(16)) | np.frombuffer(s, "<u2", k, 4 * k).astype(np.uint64))
+            k = len(s) // 5
+            sigs.append((np.frombuffer(s, "<u4", k).astype(np.uint64) << U64(8)) | np.frombuffer(s, "u1", k, 4 * k).astype(np.uint64))
     if entries:
         entry, sig = np.concatenate(entries), np.concatenate(sigs)
         del entries, sigs
@@ -283,12 +291,27 @@ def meet(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def shares(df: DataFrame, text: str) -> np.ndarray:
+    """Number of buckets of each band, by the signatures that texts of so many words make. Balance
+    depends on it, results do not."""
+    words = F.char_length(text) - F.char_length(F.translate(text, " \n\t\r", "")) + 1
+    by = df.where(F.col(text).isNotNull()).groupBy(F.floor(F.log2(words) * 8).alias("k")).agg(F.sum(words.cast("long")).alias("words"), F.sum(F.octet_length(text).cast("long")).alias("bytes")).collect()
+    weight = np.zeros(len(HI))
+    for r in by:
+        n = 2 ** ((r.k + 0.5) / 8)
+        band = int(np.searchsorted(HI, n))
+        for b in [band, *([band - 1] if band and 3 * n <= 4 * HI[band - 1] else [])]:
+            weight[b] += r.words * (1.5 if HI[b] <= SMALL else 0.5)
+    buckets = max(partitions_for(df.sparkSession), sum(r.bytes for r in by) // BUCKET_BYTES)
+    return np.maximum(1, np.rint(weight / max(weight.sum(), 1.0) * buckets)).astype(np.int64)
+
+
 def find(df: DataFrame, key: str, text: str) -> DataFrame:
     """What all buckets show, see meet()."""
-    buckets = max(partitions_for(df.sparkSession), text_bytes(df, text) // BUCKET_BYTES)
+    share = shares(df, text)
 
     def send(batches):
-        sender = Sender(buckets)
+        sender = Sender(share)
         for b in batches:
             ids = b.column(0)
             values, nulls = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)

@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from engram.llm import jaccard, linededup, suffixdedup
 from engram.llm.components import components
 
@@ -242,6 +245,30 @@ def test_jaccard_large_family(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(df).collect()} == want
 
 
+def test_jaccard_buckets_of_a_band():
+    """A set's signatures go to the buckets of its band, with its fingerprint once for 255 of them."""
+    rng = np.random.default_rng(1)
+    big = np.unique(rng.integers(1, 1 << 63, 6000, dtype=np.uint64))
+    near = np.unique(np.append(big[:-50], rng.integers(1, 1 << 63, 50, dtype=np.uint64)))
+    small = np.unique(rng.integers(1, 1 << 63, 100, dtype=np.uint64))
+    share = np.ones(len(jaccard.HI), np.int64)
+    share[np.searchsorted(jaccard.HI, 100)] = 5
+    sender = jaccard.Sender(share)
+    sender.add(np.arange(3), np.zeros(3, bool), [big, near, small])
+    rows = pa.Table.from_batches(list(sender.batches())).to_pylist()
+    first = np.cumsum(share) - share
+    pairs = set()
+    for r in rows:
+        e = np.frombuffer(r["entries"], jaccard._ENTRY)
+        assert len(r["sigs"]) == 5 * int(e["count"].astype(int).sum())
+        assert all(first[b] <= r["bucket"] < first[b] + share[b] for b in e["band"])
+    for k in {r["bucket"] for r in rows if r["entries"]}:
+        found = jaccard.meet(pa.Table.from_pylist([r for r in rows if r["bucket"] == k]))
+        pairs |= {(x["na"], x["nb"]) for x in found.to_pylist() if x["kind"] == 1}
+    assert pairs and pairs <= {(len(big), len(near)), (len(near), len(big))}
+    assert max(np.frombuffer(r["entries"], jaccard._ENTRY)["count"].max() for r in rows if r["entries"]) == 255
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
