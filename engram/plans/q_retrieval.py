@@ -33,7 +33,7 @@ def term_table(spark, sf):
 
 def index_table(spark, sf):
     """The lexical index of the documents, stored as well."""
-    return stored(spark, "index", [f"{sf}/documents.parquet"], lambda: R.bm25(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), tf=term_table(spark, sf)))
+    return stored(spark, "index", [f"{sf}/documents.parquet"], lambda: R.bm25(_texts(spark, sf)))
 
 
 @query(f"WITH {_TERMS} SELECT (SELECT count(*) FROM documents) AS docs, CAST((SELECT sum(len(t)) FROM terms) AS BIGINT) AS total_len, (SELECT count(*) FROM dfs) AS vocabulary, CAST((SELECT sum(df) FROM dfs) AS BIGINT) AS postings")

@@ -1,10 +1,12 @@
 """What showed on larger tables only, on small ones made for it."""
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from engram.functions import text as T
 from engram.operators import contradiction, embedding, governance, learning, maintenance, oplog, retrieval, vocabulary
 from engram.plans import q_storage, q_sync
 
@@ -170,3 +172,34 @@ def test_text_embedding_of_groups(spark, monkeypatch):
         v = [x for i, text in texts if i == r.id for w in (text or "").split() for k, x in table if k == w]
         total = np.sum(v, axis=0) if v else None
         assert r.n == len(v) and (r.vec is None if total is None else np.allclose(r.vec, total / np.linalg.norm(total)))
+
+
+def test_bm25_by_groups(spark, monkeypatch):
+    """Groups and buckets of any number, ties by term, rows that share an id; no term is shuffled as a row."""
+    from collections import Counter
+
+    from engram.operators import lexical
+
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 200)
+    monkeypatch.setattr(lexical, "BUCKET", 20)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)] + ["w", "the", "a", "Ümlaut", "Kin", "w1a", "w_1", "0w"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 40)))) for i in range(60)] + [(100, None), (101, ""), (102, "the of"), (103, "one"), (7, "w1 w2 again")]
+    got = {}
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    for r in retrieval.bm25(df, top=12).collect():
+        got.setdefault(r.id, []).append((-r.weight, r.term))
+
+    def terms(t):
+        k = [w for w in re.findall("[a-z0-9]+", (t or "").lower()) if len(w) > 1 and w not in T.STOP_WORDS]
+        return Counter(k + [f"{a}_{b}" for a, b in zip(k, k[1:])])
+
+    found = [(i, terms(t)) for i, t in rows]
+    df_, mean, want = Counter(w for _, t in found for w in t), sum(sum(t.values()) for _, t in found) / len(rows), {}
+    for i, t in found:
+        norm = 1.2 * (0.25 + 0.75 * sum(t.values()) / mean)
+        want.setdefault(i, []).extend((-round(float(np.log(1 + (len(rows) - df_[w] + 0.5) / (df_[w] + 0.5))) * n * 2.2 / (n + norm), 6), w) for w, n in t.items())
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x)[:12] for i, x in want.items() if x}
+    plan = retrieval.bm25(df.where("id <> 7"), top=12)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "hashpartitioning(term" not in plan
+    assert retrieval.bm25(df.where("id > 100 and id < 103")).count() == 0
