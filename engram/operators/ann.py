@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .quantize import IvfPq
-from .retrieval import _matrix, _slices, query_blocks, top_k
+from .retrieval import _matrix, query_blocks, top_k
 
-#: Scores kept in a task: queries of a block times survivors.
+#: Scores kept in a task: queries of a block times survivors; as many more are taken in before the worst go.
 HELD = 1 << 20
 
 
@@ -76,43 +76,49 @@ def _search_block(spark, index: DataFrame, model: IvfPq, ids: pa.Array, q: np.nd
 
     def best(batches):
         near, asked, tables, n = shared.value
-        score, name, cell_of, who = (np.zeros(0, t) for t in (float, np.int64, np.int32, np.int64))
-        names: list = []
-        held = 0
-
-        def cut():
-            """Keeps each query's best."""
-            nonlocal score, name, cell_of, who
+        parts, names, new, held = [], [], 0, 0
+        least = np.full(n, -np.inf)  # a query's last survivor so far, if it has all
+
+        def cut() -> tuple[np.ndarray, ...]:
+            """Each query's best so far."""
+            nonlocal new
+            score, name, cell_of, who = (np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate((float, np.int64, np.int32, np.int32)))
+            parts.clear()
             order = np.lexsort((-score, who))
-            first = np.flatnonzero(np.append(True, who[order][1:] != who[order][:-1])[: len(order)])
-            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            keep = order[rank < rescore]
-            score, name, cell_of, who = score[keep], name[keep], cell_of[keep], who[keep]
+            per = np.bincount(who, minlength=n)
+            first = np.cumsum(per) - per
+            full = np.flatnonzero(per >= rescore)
+            least[full] = score[order[first[full] + rescore - 1]]
+            keep = order[np.arange(len(order)) - np.repeat(first, per) < rescore]
+            parts.append((score[keep], name[keep], cell_of[keep], who[keep]))
+            new = 0
+            return parts[0]
 
         for b in batches:
             codes, cells = _lists(b.column(1), tables.shape[1]), b.column(2).to_numpy()
             for c in np.unique(cells).tolist():
                 rows = np.flatnonzero(cells == c)
-                for lo, hi in _slices(len(asked[c]), len(rows)):
-                    s = asked[c][lo:hi]
+                many = max(1, HELD // 2 // len(rows))
+                for lo in range(0, len(asked[c]), many):
+                    s = asked[c][lo : lo + many]
                     # a row for each query: the cell's product and one entry a part
                     approx = np.repeat(near[s, c][:, None], len(rows), axis=1)
                     for p in range(codes.shape[1]):
                         approx += tables[s, p][:, codes[rows, p]]
-                    keep = min(rescore, len(rows))
-                    top = np.argpartition(-approx, keep - 1, axis=1)[:, :keep] if keep < len(rows) else np.broadcast_to(np.arange(len(rows)), approx.shape)
-                    score = np.append(score, np.take_along_axis(approx, top, 1).ravel())
-                    name = np.append(name, held + rows[top.ravel()])
-                    cell_of = np.append(cell_of, np.full(top.size, c, np.int32))
-                    who = np.append(who, np.repeat(s, top.shape[1]))
-                    if len(score) > 4 * HELD:
+                    low = least[s]
+                    if rescore < len(rows):
+                        low = np.maximum(low, np.partition(approx, len(rows) - rescore, axis=1)[:, len(rows) - rescore])
+                    i, j = np.nonzero(approx >= low[:, None])
+                    parts.append((approx[i, j], held + rows[j], np.full(len(i), c, np.int32), s[i].astype(np.int32)))
+                    new += len(i)
+                    if new > HELD:
                         cut()
             names.append(b.column(0))
             held += b.num_rows
-        cut()
+        score, name, cell_of, who = cut()
         if len(score):
             found = pa.chunked_array(names).take(pa.array(name)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array(who), found, pa.array(cell_of), pa.array(score)], names=["n", "id", "cell", "approx"])
+            yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int64)), found, pa.array(cell_of), pa.array(score)], names=["n", "id", "cell", "approx"])
 
     part = index.where(F.col("cell").isin(cells)) if cells else index.where(F.lit(False))
     scored = part.select("id", "codes", "cell").mapInArrow(best, f"n long, id {kinds['id']}, cell int, approx double")

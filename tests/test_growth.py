@@ -203,3 +203,60 @@ def test_bm25_by_groups(spark, monkeypatch):
     plan = retrieval.bm25(df.where("id <> 7"), top=12)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and "hashpartitioning(term" not in plan
     assert retrieval.bm25(df.where("id > 100 and id < 103")).count() == 0
+
+
+def test_index_search_holds_few(spark, monkeypatch, tmp_path):
+    """Whatever is held at a time, the same rows are found."""
+    from engram.operators import ann, quantize
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 8))
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, dense array<double>")
+    m = quantize.IvfPq(v[:200], cells=3, parts=4)
+    ann.write_index(rows.coalesce(1), m, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index")).coalesce(1)
+    q = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+    near = v[::10] @ m.approximate(v).T
+    for size, rescore in ((1 << 20, 400), (3000, 60), (3000, 400)):
+        monkeypatch.setattr(ann, "HELD", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        got = {(r.query_id, r.rank): r.id for r in ann.search(index, m, q, 3, 3, rescore).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        want = {}
+        for n in range(40):
+            some = np.argsort(-near[n])[:rescore]
+            want |= {(10 * n, k + 1): int(i) for k, i in enumerate(some[np.argsort(-(v[some] @ v[10 * n]))][:3])}
+        assert got == want
+
+
+def test_index_search_memory(spark, monkeypatch):
+    """What a task of an index search holds follows HELD."""
+    import tracemalloc
+    from types import SimpleNamespace as Some
+
+    import pyarrow as pa
+
+    from engram.operators import ann, quantize
+
+    class Index:
+        where = select = lambda self, *_: self
+
+        def mapInArrow(self, f, _):
+            self.f = f
+            raise StopIteration
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1000, 8))
+    m, index = quantize.IvfPq(v[:300], cells=1, parts=4), Index()
+    monkeypatch.setattr(ann, "HELD", 100_000)
+    try:
+        ann._search_block(Some(sparkContext=Some(broadcast=lambda x: Some(value=x))), index, m, pa.array(range(100)), v[:100], 1, 1000, {"query_id": "long", "id": "long"})
+    except StopIteration:
+        pass
+    codes = pa.array([c.tobytes() for c in m.pq.encode(v - m.cells[0])], pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(1000 * i, 1000 * i + 1000)), codes, pa.array(np.zeros(1000, np.int32))], names=["id", "codes", "cell"]) for i in range(12)]
+    tracemalloc.start()
+    found = pa.Table.from_batches(index.f(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 100_000 and peak < 16e6, peak
