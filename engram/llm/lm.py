@@ -18,8 +18,9 @@ The texts are cut into chunks of about PLACES tokens, long texts into several pi
 each chunk numbers its distinct sequences. Their hashes go to buckets with the chunk's counts
 and come back with those of the corpus, one length after the other; only sequences that extend
 a candidate are asked for. A sequence goes once for each chunk that has it, however frequent it
-is. Gains take the same way. No table of sequences is collected or broadcast. Sequences are
-told apart by 64-bit hashes.
+is. Gains take the same way. No table of sequences is collected or broadcast. Words and
+sequences are told apart by 64-bit hashes; sequences are numbered in their order, so that what
+is sent and what comes back is in order too.
 
 Word counts come from all training rows and are aggregated before the shuffle. The spellings
 of the HEAD most frequent words are broadcast; those of all others are found where they occur.
@@ -32,6 +33,7 @@ length is scored whole; ties among frequent words do not change a result.
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 
 import numpy as np
@@ -53,7 +55,8 @@ BUCKET = 1_500_000
 SPELL_DEPTH, P_MIN, G_TEST, HEAD, SPELL_UNIT = 4, 5e-5, 6.0, 1 << 19, 64
 #: Symbols that can follow: 256 bytes (the space ends a word) and the end of the text.
 END, SYMBOLS = 256, 257
-FLUSH = 300_000
+#: Words, and bytes of words, that a task counts before it passes them on.
+FLUSH, FLUSH_BYTES = 300_000, 1 << 25
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -64,31 +67,42 @@ def held_out(key: str):
 # ---------------------------------------------------------------------- counts
 
 
-def _counted(counter: Counter) -> pa.RecordBatch:
-    words = list(counter)
-    joined, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
-    hashes = np.empty(len(words), np.uint64)
-    starts = ends - np.array([len(w) for w in words], dtype=np.int64)
-    edges = np.concatenate([[0], ends])
-    for i, j in chunks(edges):
-        hashes[i:j] = span_hashes(joined[edges[i] : edges[j]], starts[i:j] - edges[i], ends[i:j] - edges[i])
-    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(list(counter.values()), pa.int64())], names=["word", "h", "c"])
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """data[start:end] of each span."""
+    size = ends - starts
+    edges = np.concatenate([[0], np.cumsum(size)])
+    taken = data[np.arange(edges[-1]) + np.repeat(starts - edges[:-1], size)]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(taken)])
+
+
+def _counted(parts: list) -> pa.RecordBatch:
+    """parts: distinct words, their hashes and counts of some texts each."""
+    h, at, number = distinct(np.concatenate([p[1] for p in parts]))
+    c = np.zeros(len(h), np.int64)
+    np.add.at(c, number, np.concatenate([p[2] for p in parts]))
+    words = pa.concat_arrays([p[0] for p in parts]).take(pa.array(at)).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([words, pa.array(h.view(np.int64)), pa.array(c)], names=["word", "h", "c"])
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """word, its hash h and its count c over all rows."""
 
     def apply(batches):
-        counter: Counter = Counter()
+        parts, held, room = [], 0, 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    counter.update(t.encode().translate(_LOWER).split())
-                if len(counter) > FLUSH:
-                    yield _counted(counter)
-                    counter = Counter()
-        if counter:
-            yield _counted(counter)
+            data, offsets = text_buffer(b.column(0))
+            for i, j in chunks(offsets):
+                low = int(offsets[i])
+                part = _fold(data[low : int(offsets[j])])
+                starts, ends, _ = word_spans(part, offsets[i : j + 1] - low, SPACED)
+                h, at, number = distinct(span_hashes(part, starts, ends))
+                parts.append((_cut(part, starts[at], ends[at]), h, np.bincount(number, minlength=len(h))))
+                held, room = held + len(h), room + parts[-1][0].nbytes
+                if held > FLUSH or room > FLUSH_BYTES:
+                    yield _counted(parts)
+                    parts, held, room = [], 0, 0
+        if held:
+            yield _counted(parts)
 
     partial = df.select(text).mapInArrow(apply, "word binary, h long, c long")
     return partial.groupBy("word", "h").agg(F.sum("c").alias("c"))
@@ -123,18 +137,40 @@ class Contexts:
         return mix((self.sums[places] - self.sums[places - d]) * self.inverse[places - d] + LANES[d])
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
+class Keys:
+    """Sorted distinct hashes. Their leading bits tell where to look, which a search by halves
+    finds out with a cache miss a step."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = min(22, len(keys).bit_length() + 1)
+        self.shift = U64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index in keys, or -1."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        last = len(self.keys) - 1
+        at = np.minimum(self.first[wanted >> self.shift], last).astype(np.int64)
+        there = self.keys[at]
+        rest = np.flatnonzero(there < wanted)
+        while len(rest):
+            rest = rest[at[rest] < last]
+            at[rest] += 1
+            there[rest] = self.keys[at[rest]]
+            rest = rest[there[rest] < wanted[rest]]
+        at[there != wanted] = -1
+        return at
 
 
-def _level(counts: DataFrame, d: int, parents: np.ndarray | None) -> DataFrame:
-    """ctx, parent, sym, c for contexts of d symbols that extend one of parents."""
+def _level(counts: DataFrame, d: int, parents: Keys | None) -> DataFrame:
+    """ctx, parent, sym, c for contexts of d symbols, one at least, that extend one of parents."""
     shared = counts.sparkSession.sparkContext.broadcast(parents)
+    following = mix(np.arange(256, dtype=np.uint64) + LANES[10])
 
     def apply(batches):
         for b in batches:
@@ -143,18 +179,18 @@ def _level(counts: DataFrame, d: int, parents: np.ndarray | None) -> DataFrame:
             for i, j in chunks(offsets):
                 low = int(offsets[i])
                 symbols, within, _ = layout(data[low : int(offsets[j])], offsets[i:j] - low, offsets[i + 1 : j + 1] - low)
-                places = np.flatnonzero(within >= max(1, d))
+                places = np.flatnonzero(within >= d)
                 own = Contexts(symbols)
                 if d > 1:
                     up = own.of(places, d - 1)
-                    held = _find(known, up) >= 0
+                    held = known.find(up) >= 0
                     places, up = places[held], up[held]
-                elif d == 1:
+                else:
                     up = np.zeros(len(places), np.uint64)
-                here = own.of(places, d) if d else np.zeros(len(places), np.uint64)
-                up = up if d else here
+                here = own.of(places, d)
                 sym = symbols[places]
-                _, at, c = np.unique(mix(here + LANES[9]) ^ mix(sym.astype(np.uint64) + LANES[10]), return_index=True, return_counts=True)
+                _, at, number = distinct(here + following[sym])
+                c = np.bincount(number, minlength=len(at))
                 yield pa.RecordBatch.from_arrays([pa.array(here[at].view(np.int64)), pa.array(up[at].view(np.int64)), pa.array(sym[at].astype(np.int32)), pa.array(c.astype(np.int64))], names=["ctx", "parent", "sym", "c"])
 
     found = counts.select("word").mapInArrow(apply, "ctx long, parent long, sym int, c long")
@@ -169,16 +205,17 @@ class SuffixTree:
     """Retained contexts, sorted by depth and hash; state 0 is the empty context."""
 
     def __init__(self):
-        self.depth_keys: list[np.ndarray] = []  # by depth from 1: sorted hashes
+        self.depth_keys: list[Keys] = []  # by depth from 1
         self.depth_first: list[int] = []  # state of the first
         self.parent = np.zeros(1, np.int64)
         self.back = np.zeros(1)  # log10 of the weight that goes to the suffix
-        self.keys = np.zeros(0, np.uint64)  # of (state, symbol), sorted
+        self.keys = Keys(np.zeros(0, np.uint64))  # of (state, symbol)
         self.logp = np.zeros(0)
 
     @staticmethod
     def key(state: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        return state.astype(np.uint64) * U64(512) + sym.astype(np.uint64)
+        # distinct pairs stay distinct: the factor is odd
+        return (state.astype(np.uint64) * U64(512) + sym.astype(np.uint64)) * LANES[11]
 
     @classmethod
     def build(cls, levels: list[dict[int, tuple[int, dict[int, int]]]], ends: int, depth: int = SPELL_DEPTH, g_test: float = G_TEST) -> SuffixTree:
@@ -223,7 +260,7 @@ class SuffixTree:
         entries = [(0, s, np.log10(p)) for s, p in p0.items()]
         for d in range(1, len(levels)):
             ordered = sorted(keep[d])
-            tree.depth_keys.append(np.array(ordered, dtype=np.uint64))
+            tree.depth_keys.append(Keys(np.array(ordered, dtype=np.uint64)))
             tree.depth_first.append(len(parent))
             for ctx in ordered:
                 up = levels[d][ctx][0]
@@ -234,7 +271,7 @@ class SuffixTree:
                 entries += [(me, s, np.log10(x)) for s, x in p.items()]
         keys = cls.key(np.array([e[0] for e in entries], dtype=np.int64), np.array([e[1] for e in entries], dtype=np.int64)) if entries else np.zeros(0, np.uint64)
         order = np.argsort(keys)
-        tree.keys, tree.logp = keys[order], np.array([e[2] for e in entries])[order] if entries else np.zeros(0)
+        tree.keys, tree.logp = Keys(keys[order]), np.array([e[2] for e in entries])[order] if entries else np.zeros(0)
         tree.parent, tree.back = np.array(parent), np.array(back)
         tree.end_logp = float(tree._predict(np.array([state.get((1, begin), 0)]), np.array([END]))[0])
         return tree
@@ -244,7 +281,7 @@ class SuffixTree:
         rest = np.arange(len(state))
         state = state.copy()
         while len(rest):
-            at = _find(self.keys, self.key(state[rest], sym[rest]))
+            at = self.keys.find(self.key(state[rest], sym[rest]))
             hit = at >= 0
             out[rest[hit]] += self.logp[at[hit]]
             rest = rest[~hit]
@@ -268,27 +305,32 @@ class SuffixTree:
             alive = alive[within[places[alive]] >= d]
             if not len(alive) or not len(keys):
                 break
-            at = _find(keys, own.of(places[alive], d))
+            at = keys.find(own.of(places[alive], d))
             alive, at = alive[at >= 0], at[at >= 0]
             state[alive] = first + at
         return np.bincount(word[places], weights=self._predict(state, symbols[places].astype(np.int64)), minlength=len(starts))
 
 
 def fit(counts: DataFrame, ends: int, depth: int = SPELL_DEPTH, p_min: float = P_MIN, g_test: float = G_TEST) -> SuffixTree:
-    """Grows the candidates one symbol at a time; each level holds at most 1/p_min contexts."""
+    """Grows the candidates one symbol at a time; each level holds at most 1/p_min contexts.
+    Contexts of one symbol, 256 at most, tell those of none."""
     levels: list[dict[int, tuple[int, dict[int, int]]]] = []
     known, least = None, 0.0
-    for d in range(depth + 1):
+    for d in range(1, max(1, depth) + 1):
         if d > 1 and not len(known):
             break
         found = _level(counts, d, known)
         rows = found.groupBy("ctx", "parent").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("sym", "c"))).alias("m")).where(F.col("n") >= least).collect()
-        level = {r.ctx % (1 << 64): (r.parent % (1 << 64), dict(r.m)) for r in rows}
-        levels.append(level)
-        if d == 0:
+        if d == 1:
+            root: Counter = Counter()
+            for r in rows:
+                root.update(r.m)
+            levels.append({0: (0, dict(root))} if rows else {})
             least = max(2.0, p_min * sum(r.n for r in rows))
-        known = np.array(sorted(level), dtype=np.uint64)
-    return SuffixTree.build(levels, ends, depth, g_test)
+        level = {r.ctx % (1 << 64): (r.parent % (1 << 64), dict(r.m)) for r in rows if r.n >= least}
+        levels.append(level)
+        known = Keys(np.array(sorted(level), dtype=np.uint64))
+    return SuffixTree.build(levels[: depth + 1], ends, depth, g_test)
 
 
 # ------------------------------------------------------------------------ words
@@ -307,11 +349,11 @@ class Lookup:
             part, a, b = joined[edges[i] : edges[j]], edges[i:j] - edges[i], edges[i + 1 : j + 1] - edges[i]
             self.hashes[i:j], self.score[i:j] = span_hashes(part, a, b), rounded(tree.score(part, a, b)) / SPELL_UNIT
         self.number = np.argsort(self.hashes)
-        self.keys = self.hashes[self.number]
+        self.keys = Keys(self.hashes[self.number])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words that are kept, -1 for others."""
-        at = _find(self.keys, hashes)
+        at = self.keys.find(hashes)
         return np.where(at >= 0, self.number[at] if len(self.number) else -1, -1)
 
     def word(self, c, spelled: np.ndarray) -> np.ndarray:
@@ -349,18 +391,64 @@ def frequent(counts: DataFrame, head: int) -> DataFrame:
 # ------------------------------------------------------------------ sequences
 
 
+_HEADER, _ZSTD = struct.Struct("<qqB"), pa.Codec("zstd")
+
+
 def packed(x: np.ndarray) -> bytes:
-    """Integers as byte planes, compressed: small values and steps take few bytes."""
-    x = np.ascontiguousarray(x, np.int64)
-    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+    """Integers above their least as byte planes, as many as they need, compressed: small values
+    and steps take few bytes."""
+    n = len(x)
+    if not n:
+        return b""
+    x = np.asarray(x, np.int64)
+    low = x.min()
+    above = (x - low).view(np.uint64)
+    width = (int(above.max()).bit_length() + 7) // 8
+    planes, source = np.empty(width * n, np.uint8), above.view(np.uint8)
+    for k in range(width):
+        planes[k * n : (k + 1) * n] = source[k::8]
+    return _HEADER.pack(n, low, width) + (_ZSTD.compress(planes, asbytes=True) if width else b"")
 
 
 def unpacked(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.int64)
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).reshape(-1)
+    n, low, width = _HEADER.unpack_from(raw)
+    out = np.zeros(n, np.int64)
+    if width:
+        planes, target = np.frombuffer(_ZSTD.decompress(memoryview(raw)[_HEADER.size :], width * n), np.uint8), out.view(np.uint8)
+        for k in range(width):
+            target[k::8] = planes[k * n : (k + 1) * n]
+    out += low
+    return out
+
+
+def ordered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of hashes, and the hashes in it. They are sorted as numbers whose last bits are the place, much faster than
+    places by their hashes; should the bits left of two hashes not tell them apart, it is done so."""
+    n = len(h)
+    if n < 2 or (h[1:] >= h[:-1]).all():
+        return np.arange(n), h
+    bits, same = U64(n.bit_length()), U64(64 - (int(h.min()) ^ int(h.max())).bit_length())
+    x = (h << same) >> bits << bits
+    x |= np.arange(n, dtype=np.uint64)
+    x.sort()
+    x &= (U64(1) << bits) - U64(1)
+    order = x.view(np.int64)
+    there = h[order]
+    if not (there[1:] >= there[:-1]).all():
+        order = np.argsort(h)
+        there = h[order]
+    return order, there
+
+
+def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and for every one its number."""
+    order, there = ordered(h)
+    fresh = np.append(True, there[1:] != there[:-1])[: len(h)]
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return there[fresh], number
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -383,16 +471,17 @@ class Chunk:
     def __init__(self, fields: dict[str, np.ndarray]):
         self.__dict__.update(fields)
         n = len(self.token)
-        self.piece = np.repeat(np.arange(len(self.size)), self.size)
         starts = np.cumsum(self.size) - self.size
         self.first = np.zeros(n, bool)
         self.first[starts] = True
-        self.own = np.arange(n) - starts[self.piece] >= self.lead[self.piece]
-        learnt = (self.train[self.piece] & 1).astype(bool)
+        self.own = np.ones(n, bool)
+        for k in range(int(self.lead.max(initial=0))):
+            self.own[starts[self.lead > k] + k] = False
+        learnt = np.repeat((self.train & 1).astype(bool), self.size)
         self.counted = learnt & (self.own | (self.token == BEGIN))
         self.learnt = learnt & self.own
         self.ids: list[np.ndarray] = []  # by length: number of the sequence that ends at each place, -1 for none
-        self.keys: list[np.ndarray] = []  # its hash
+        self.keys: list[np.ndarray] = []  # its hash; but for single tokens, sequences are numbered by hash
         self.counts: list[np.ndarray] = []  # how often the training texts have it
 
     def grow(self) -> None:
@@ -404,14 +493,15 @@ class Chunk:
         before = np.append(-1, self.ids[-1][:-1])
         before[self.first] = -1
         if len(self.counts) == len(self.ids):
-            before[(before >= 0) & (self.counts[-1][before] < MIN_COUNT)] = -1
-        at = np.flatnonzero(before >= 0)
-        ids, code = pd.factorize(before[at] * len(self.word) + self.token[at])
+            at = np.flatnonzero(np.append(self.counts[-1] >= MIN_COUNT, False)[before])
+        else:
+            at = np.flatnonzero(before >= 0)
+        up, last = self.keys[-1] * LANES[20] + U64(len(self.keys)), self.keys[0] * LANES[21]
+        keys, number = numbered(mix(up[before[at]] + last[self.token[at]]))
         out = np.full(len(before), -1)
-        out[at] = ids
-        up, last = np.divmod(code, max(1, len(self.word)))
+        out[at] = number
         self.ids.append(out)
-        self.keys.append(mix(self.keys[-1][up] * LANES[20] + self.keys[0][last] * LANES[21] + U64(len(self.keys))))
+        self.keys.append(keys)
 
     def occurrences(self, k: int) -> np.ndarray:
         own = self.counted & (self.ids[k] >= 0)
@@ -440,8 +530,7 @@ class Chunk:
         n = self.counts[d - 1][up] - less * self.learnt[at]
         out = score.copy()
         p = score[at] + np.log10(mass)
-        seen = np.flatnonzero(c > 0)
-        p[seen] = np.log10(c[seen] + 10.0 ** np.maximum(p[seen], -300))
+        p = np.where(c > 0, np.log10(c + 10.0 ** np.maximum(p, -300)), p)
         out[at] = p - np.log10(n + mass)
         return out
 
@@ -484,8 +573,9 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
             low += len(h)
         # words that are kept come first, by number, which says all of them; then the others by hash
         kept = shared.value.find(word)
-        order = np.lexsort((word, kept, kept < 0))
-        known = int((kept >= 0).sum())
+        inside, others = np.flatnonzero(kept >= 0), np.flatnonzero(kept < 0)
+        order = np.concatenate([inside[np.argsort(kept[inside])], others[ordered(word[others])[0]]])
+        known = len(inside)
         rank = np.empty(len(order) + 2, np.int64)
         rank[:2], rank[order + 2] = [BEGIN, STOP], np.arange(len(order)) + 2
         fields = {
@@ -508,7 +598,7 @@ def chunked(df: DataFrame, key: str, text: str, train, shared, depth: int, limit
                 part = _fold(data[low : int(offsets[j])])
                 starts, ends, first = word_spans(part, offsets[i : j + 1] - low, SPACED)
                 hashes, one, back = distinct(span_hashes(part, starts, ends))
-                spelled, rest = np.zeros(len(hashes), np.int64), np.flatnonzero(_find(tool.keys, hashes) < 0)
+                spelled, rest = np.zeros(len(hashes), np.int64), np.flatnonzero(tool.keys.find(hashes) < 0)
                 spelled[rest] = rounded(tool.tree.score(part, starts[one[rest]], ends[one[rest]]))
                 words = hashes, spelled
                 for r in range(i, j):
@@ -553,8 +643,7 @@ def exchange(found: DataFrame, tag: str, least: float | None = None) -> DataFram
     def meet(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpacked(k).view(np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
         vals = [unpacked(v) for v in table.column("vals").to_pylist()]
-        order = np.argsort(every := np.concatenate(keys))
-        every = every[order]
+        order, every = ordered(np.concatenate(keys))
         fresh = np.append(True, every[1:] != every[:-1])
         total = np.add.reduceat(np.concatenate(vals)[order], np.flatnonzero(fresh))
         if least is not None:
@@ -574,8 +663,8 @@ _SENT, _BACK = "bucket long, chunk long, keys binary, vals binary", "chunk long,
 
 def sent(number: int, keys: np.ndarray, values: np.ndarray, bits: int) -> pa.Table:
     """One row for each bucket with a key of the chunk."""
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
+    order, keys = ordered(keys)
+    values = values[order]
     bucket = keys >> U64(64 - bits)
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
     some = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
@@ -589,7 +678,7 @@ def received(keys: np.ndarray, backs: list[tuple[int, bytes]]) -> np.ndarray:
     """What came back, in the order of the chunk's keys."""
     out = np.empty(len(keys), np.int64)
     if len(keys):
-        out[np.argsort(keys)] = np.concatenate([unpacked(b) for _, b in sorted(backs)])
+        out[ordered(keys)[0]] = np.concatenate([unpacked(b) for _, b in sorted(backs)])
     return out
 
 
@@ -680,9 +769,10 @@ def score_documents(
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         _, chunk, kept = restored(left, right, depth, shared.value)
         own, m = chunk.own, len(chunk.size)
+        piece = np.repeat(np.arange(m), chunk.size)[own]
         counted = chunk.counts[0][chunk.token]
         score = chunk.scores(shared.value, kept or [])
-        sums = [np.bincount(chunk.piece[own], weights=x[own], minlength=m) for x in (np.ones(len(own)), counted > 0, np.log10(counted + 0.1), score)]
+        sums = [np.bincount(piece, weights=x[own], minlength=m) for x in (np.ones(len(own)), counted > 0, np.log10(counted + 0.1), score)]
         trim()
         return pa.table(
             {"row": chunk.row, "doc_id": pa.array(chunk.doc, mask=(chunk.train & 2) > 0), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base": sums[2], "score": sums[3]}

@@ -234,6 +234,67 @@ def test_lm_sums_to_one(spark):
             assert scored[i] == pytest.approx(math.log10(p(w)))
 
 
+def test_lm_numbers_sequences_in_order():
+    """Sequences come in the order in which they are sent, so that no step sorts them again."""
+    rng = np.random.default_rng(5)
+    token = rng.integers(2, 300, 20_000)
+    size = np.full(20, 1000)
+    c = lm.Chunk({"token": token, "word": rng.integers(1, 1 << 63, 300, dtype=np.uint64), "size": size, "lead": np.arange(20) % 3, "train": np.arange(20) % 2})
+    assert all(c.own[1000 * r + k] == (k >= r % 3) for r in range(20) for k in range(4))
+    for k in range(3):
+        c.grow()
+        c.counts.append(c.occurrences(k))
+        want = [tuple(token[i - k : i + 1]) if i % 1000 >= k and (k < 2 or c.counts[1][c.ids[1][i - 1]] >= lm.MIN_COUNT) else None for i in range(len(token))]
+        pairs = {(w, n) for w, n in zip(want, c.ids[k].tolist()) if w}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({n for _, n in pairs}) and all((n >= 0) == (w is not None) for w, n in zip(want, c.ids[k].tolist()))
+        seen = collections.Counter(n for i, n in enumerate(c.ids[k].tolist()) if n >= 0 and c.counted[i])
+        assert all(seen[n] == x for n, x in enumerate(c.counts[k]))
+        assert not k or (c.keys[k][1:] > c.keys[k][:-1]).all()
+
+
+def test_lm_hash_orders():
+    rng = np.random.default_rng(6)
+    some = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    near = (np.uint64(7) << np.uint64(61)) + rng.permutation(5000).astype(np.uint64)  # all but the last bits are the same
+    far = np.concatenate([near, np.array([0, (1 << 64) - 1], np.uint64)])  # the bits that are sorted do not tell them apart
+    for h in (some, near, far, np.sort(some), np.repeat(some[:9], 50)[rng.permutation(450)], some[:1], some[:0], np.full(5, some[0])):
+        order, there = lm.ordered(h)
+        assert sorted(order.tolist()) == list(range(len(h))) and (there == np.sort(h)).all() and (h[order] == there).all()
+        keys, number = lm.numbered(h)
+        assert (keys == np.unique(h)).all() and (keys[number] == h).all()
+        known = lm.Keys(keys)
+        wanted = np.concatenate([h, h + np.uint64(1), h - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        at = {k: i for i, k in enumerate(keys.tolist())}
+        assert known.find(wanted).tolist() == [at.get(w, -1) for w in wanted.tolist()]
+    least, most = -(1 << 63), (1 << 63) - 1
+    for x in ([least, most, 0, -1, 1], [5] * 9, [-3, 252], [-3, 253], [most], [], list(range(-700, 70_000, 7))):
+        assert lm.unpacked(lm.packed(np.array(x, np.int64))).tolist() == x
+
+
+def test_lm_word_counts(spark):
+    texts = ["A b\x0bB\u00a0c  \n", None, "", "É é É " + "x" * 3_000_000, "b " * 70_000, " \t", *(f"w{i} W{i % 7} " + "z" * (i % 50) for i in range(3000))]
+    got = lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
+    want = collections.Counter(w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", lower(t).encode()))
+    assert len(got) == len(want) and {bytes(r.word): r.c for r in got} == want
+    data = np.frombuffer(b"".join(bytes(r.word) for r in got), np.uint8)
+    ends = np.cumsum([len(r.word) for r in got])
+    assert lm.span_hashes(data, np.append(0, ends[:-1]), ends).view(np.int64).tolist() == [r.h for r in got]
+
+
+def test_lm_passes_over_words(spark, monkeypatch):
+    """A pass for each depth of the spelling tree, none for the empty context."""
+    counts = spark.createDataFrame([(bytearray(w), 0, 1) for w in (b"ab", b"abc", b"ba", b"b")], "word binary, h long, c long")
+    passes, real, kept = [], lm._level, []
+    monkeypatch.setattr(lm, "_level", lambda c, d, known: passes.append(d) or real(c, d, known))
+    monkeypatch.setattr(lm.SuffixTree, "build", classmethod(lambda cls, levels, *_: kept.append(levels)))
+    lm.fit(counts, 1, depth=2, p_min=1e-3)
+    assert passes == [1, 2]
+    lm.fit(counts, 1, depth=0, p_min=1e-3)
+    # of the bytes of a word and the space after it, whatever is before
+    root = {0: (0, {ord("a"): 3, ord("b"): 4, ord("c"): 1, ord(" "): 4})}
+    assert kept[0][0] == root and kept[1] == [root]
+
+
 def test_tree_is_a_distribution(spark):
     import itertools
 
