@@ -1,97 +1,236 @@
-"""Pairs of texts about one thing, and whether they contradict."""
+"""Pairs of texts about one thing, and whether they contradict.
+
+A text is the set of its content tokens, as keys: a token's hash, or the number of a frequent one.
+Tasks read texts and count; neither tokens nor pairs are shuffled as rows.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  for pa.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .retrieval import nearest
+from ..functions import vectors as V
+from .lexical import _SPACED, packed, unpacked
+from .retrieval import MANY_QUERIES, _matrix, nearest
 from .storage import written
 
 
 #: Texts of one side of a task that compares all pairs, and pairs of texts it counts at a time.
-GROUP, CELLS = 16_384, 1 << 21
+GROUP, CELLS = 32_768, 1 << 21
 #: A token in more than one of so many pairs is counted by a product of matrices.
 COMMON = 200
+#: Frequent tokens that travel as small numbers; tokens that a task remembers, keys it counts at a time.
+LISTED, MEMO, HELD = 1 << 20, 1 << 18, 1 << 22
+#: Texts of a batch that are taken at a time, and bytes of stated texts.
+ROWS, ASKED_BYTES = 4096, 64 << 20
+
+
+class Keys(dict):
+    """Tokens by a 62-bit hash; 0 for those that do not count."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        if not self:
+            self.update(dict.fromkeys((w.encode() for w in T.STOP_WORDS), 0))
+            if word in self:
+                return 0
+        key = self[word] = (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big") >> 2) | 1 << 62
+        return key
+
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of each text's distinct tokens, text after text, and how many each has."""
+        found, size = [np.zeros(0, np.int64)], []
+        for t in texts:
+            words = set((t.as_py() or "").lower().encode().translate(_SPACED).split())
+            k = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            k = k[k > 0]
+            found.append(k)
+            size.append(len(k))
+        return np.concatenate(found), np.array(size, np.int64)
+
+
+class Sets:
+    """Sets that others are compared with. Tokens of many pairs are rows of a matrix, the others are
+    found by their postings."""
+
+    def __init__(self, keys: np.ndarray, size: np.ndarray):
+        self.names, code = np.unique(keys, return_inverse=True)
+        held, row, self.n = np.bincount(code, minlength=len(self.names)), np.repeat(np.arange(len(size)), size), len(size)
+        many = held.astype(float) ** 2 * COMMON > float(self.n) ** 2
+        self.column = np.where(many, np.cumsum(many) - 1, -1)
+        self.dense = np.zeros((int(many.sum()), self.n), np.float32)
+        own = many[code]
+        self.dense[self.column[code[own]], row[own]] = 1
+        code, row = code[~own], row[~own]
+        order = np.argsort(code, kind="stable")
+        self.posts = np.split(row[order], np.searchsorted(code[order], np.arange(1, len(self.names))))
+
+    def common(self, keys: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """How many tokens texts have in common with each set: number of a block's first text and
+        a row for each text."""
+        row = np.repeat(np.arange(len(size)), size)
+        at = np.searchsorted(self.names, keys)
+        at[at == len(self.names)] = 0
+        met = self.names[at] == keys if len(self.names) else np.zeros(len(keys), bool)
+        code, row = at[met], row[met]
+        column = self.column[code]
+        many = column >= 0
+        few, ends = code[~many], np.searchsorted(row[~many], np.arange(len(size) + 1))
+        column, who = column[many], row[many]
+        step = max(1, CELLS // max(1, self.n))
+        for i in range(0, len(size), step):
+            x = np.zeros((min(step, len(size) - i), len(self.dense)), np.float32)
+            lo, hi = np.searchsorted(who, [i, i + step])
+            x[who[lo:hi] - i, column[lo:hi]] = 1
+            s = x @ self.dense
+            for j in range(len(s)):
+                own = few[ends[i + j] : ends[i + j + 1]].tolist()
+                if own:
+                    s[j] += np.bincount(np.concatenate([self.posts[t] for t in own]), minlength=self.n)
+            yield i, s
+
+
+def _need(n: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """How many common tokens a pair needs whose smaller set has n."""
+    return np.maximum(least, np.ceil(threshold * n)).astype(np.float32)
 
 
-def related_pairs(docs: DataFrame, threshold: float = 0.45, least: int = 1, asked: DataFrame | None = None) -> DataFrame:
+def _frequent(docs: DataFrame, least: int) -> tuple[int, np.ndarray, np.ndarray, bool]:
+    """How many texts have at least some tokens; keys of the tokens that most texts have, sorted, and their
+    numbers; and whether all other tokens are in one text only."""
+
+    def count(batches):
+        memo, texts, held = Keys(), 0, []
+
+        def added():
+            key, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in held)]), return_inverse=True)
+            return [(key, np.bincount(at, np.concatenate([np.zeros(0), *(n for _, n in held)]), len(key)))]
+
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                keys, size = memo.sets(b.column(0).slice(i, ROWS))
+                texts += int((size >= least).sum())
+                held.append((keys, np.ones(len(keys))))
+                if sum(len(k) for k, _ in held) > HELD:
+                    held = added()
+                    if len(held[0][0]) > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1].astype(np.int64))], names=["key", "n"])
+                        held = []
+        held = added()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held[0][0], 0)), pa.array(np.append(held[0][1], texts).astype(np.int64))], names=["key", "n"])
+
+    counts = written(docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1 or key = 0"), "token-counts")
+    texts = counts.where("key = 0").agg(F.sum("n")).first()[0] or 0
+    counts = counts.where("key <> 0")
+    bound, total, whole = 2, 0, True
+    for n, words in sorted((tuple(r) for r in counts.groupBy("n").count().collect()), reverse=True):
+        if total + words > LISTED:
+            bound, whole = n + 1, False
+            break
+        total += words
+    top = counts.where(F.col("n") >= bound).toArrow()
+    key, n = (top.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(key)
+    number = np.empty(len(key), np.int64)
+    number[np.lexsort((key, -n))] = np.arange(len(key))
+    return texts, key[order], number[order], whole
+
+
+def related_pairs(docs: DataFrame, threshold: float = 0.45, least: int = 1, asked: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """a < b, overlap: overlap coefficient of content tokens at or above the threshold, with at
-    least some tokens in common. asked: ids one of which has to be in the pair. All pairs are looked at,
-    which is quadratic: texts, as numbers of their tokens, are dealt to groups, and a task counts what
-    two groups have in common a part at a time and puts out only pairs that pass."""
-    tokens = docs.select("id", F.array_distinct(F.filter(T.tokenize(F.col("text")), lambda t: ~t.isin(T.STOP_WORDS))).alias("k"))
-    tokens = tokens.withColumn("n", F.size("k")).where(F.col("n") >= max(1, least))
-    flat = tokens.select("id", "n", F.explode("k").alias("t"))
-    shared = flat.groupBy("t").count().where("count > 1").select("t", F.monotonically_increasing_id().alias("c"))
-    rows = flat.join(written(shared, "tokens"), "t").groupBy("id", "n").agg(F.collect_list("c").alias("k"))
-    total = rows.withColumn("own", F.lit(True)) if asked is None else rows.join(asked.select("id").distinct().withColumn("own", F.lit(True)), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    total = written(total, "token-sets")
-    groups, sides = (max(-(-n // GROUP), min(8, -(-n // 1024)), 1) for n in total.agg(F.count("*"), F.count_if("own")).first())
-    g = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
-    if asked is None:
-        dealt = total.select("*", g.alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_o"))
-        dealt = dealt.select("id", "n", "k", "own", F.least("_g", "_o").alias("_x"), F.greatest("_g", "_o").alias("_y"), (F.col("_g") <= F.col("_o")).alias("_left"), (F.col("_g") >= F.col("_o")).alias("_right"))
-    else:
-        h = F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int")
-        left = total.where("own").select("id", "n", "k", "own", h.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_y"), F.lit(True).alias("_left"), F.lit(False).alias("_right"))
-        right = total.select("id", "n", "k", "own", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("_x"), g.alias("_y"), F.lit(False).alias("_left"), F.lit(True).alias("_right"))
-        dealt = left.union(right)
-    kind = dict(docs.dtypes)["id"]
-    found = dealt.groupBy("_x", "_y").applyInArrow(_counter(threshold, least, asked is None), f"a {kind}, b {kind}, both boolean, overlap double")
-    # a pair of two that are asked for is met from either side
-    found = found.where("a <> b") if asked is None else found.where("a < b or (a > b and not both)")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
-
-
-def _counter(threshold: float, least: int, within: bool):
-    """Pairs of a group's left and right rows. Tokens of many pairs are columns of two matrices, the others are
-    found by their postings. within: left and right are the same table where both flags are set."""
-
-    def count(table: pa.Table) -> pa.Table:
-        ids, lists = table.column("id").combine_chunks(), table.column("k").combine_chunks()
-        n, own, left, right = (table.column(c).to_numpy() for c in ("n", "own", "_left", "_right"))
-        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        token = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1] if len(a) and len(b) else np.zeros(0, int)
-        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-        if len(token):
-            at = np.repeat(np.arange(len(n)), size)
-            (ta, ra), (tb, rb) = ((token[side[at]], place[at[side[at]]]) for side, place in ((left, np.cumsum(left) - 1), (right, np.cumsum(right) - 1)))
-            tokens = token.max() + 1
-            met = np.bincount(ta, minlength=tokens).astype(float) * np.bincount(tb, minlength=tokens)
-            many = met * COMMON > float(len(a)) * len(b)
-            column = np.cumsum(many) - 1
-            x, y = (np.zeros((len(z), int(many.sum())), np.float32) for z in (a, b))
-            for m, t, r in ((x, ta, ra), (y, tb, rb)):
-                m[r[many[t]], column[t[many[t]]]] = 1
-            few = (met > 0) & ~many
-            ta, ra, tb, rb = ta[few[ta]], ra[few[ta]], tb[few[tb]], rb[few[tb]]
-            order = np.argsort(tb, kind="stable")
-            tb, rb = tb[order], rb[order]
-            low = np.searchsorted(tb, np.arange(tokens + 1))
-            order = np.argsort(ra, kind="stable")
-            ta, ra = ta[order], ra[order]
-            step = max(1, CELLS // len(b))
-            for i in range(0, len(a), step):
-                rows = a[i : i + step]
-                s = x[i : i + step] @ y.T
-                lo, hi = np.searchsorted(ra, [i, i + step])
-                t, hits = ta[lo:hi], low[ta[lo:hi] + 1] - low[ta[lo:hi]]
-                if hits.sum():
-                    post = np.repeat(low[t] - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
-                    s += np.bincount(np.repeat(ra[lo:hi] - i, hits) * len(b) + rb[post], minlength=s.size).reshape(s.shape)
-                p, q = np.nonzero((s >= least) & (s + 0.5 >= np.float32(threshold) * np.minimum(n[rows][:, None], n[b][None, :])))
-                common, p, q = s[p, q].astype(float), rows[p], b[q]
-                less = np.minimum(n[p], n[q])
-                kept = (common >= threshold * less) & ((p < q) | (not within) | ~(left[q] & right[p]))
-                found.append((p[kept], q[kept], (common / less)[kept]))
-        p, q, overlap = (np.concatenate(z) for z in zip(*found))
-        return pa.table({"a": ids.take(pa.array(p)), "b": ids.take(pa.array(q)), "both": own[p] & own[q], "overlap": overlap})
+    least some tokens in common. asked: ids one of which has to be in the pair; digits: the overlap is
+    rounded, half up. All pairs are looked at, which is quadratic: texts, as packed numbers of their
+    tokens, are dealt to groups, and a task counts what two groups have in common a part at a time and
+    puts out only pairs that pass."""
+    least = max(1, least)
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["id"]
+    texts, key, number, whole = _frequent(docs, least)
+    groups = max(-(-texts // GROUP), min(8, -(-texts // 1024)), 1)
+    rows = docs.select("id", "text", F.lit(True).alias("own")) if asked is None else docs.select("id", "text").join(asked.select("id").distinct().withColumn("own", F.lit(True)), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    shared = spark.sparkContext.broadcast((key, number))
+
+    def pack(batches):
+        key, number = shared.value
+        memo = Keys()
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                keys, n = memo.sets(part.column(1))
+                row = np.repeat(np.arange(len(n)), n)
+                at = np.searchsorted(key, keys)
+                at[at == len(key)] = 0
+                known = key[at] == keys if len(key) else np.zeros(len(keys), bool)
+                keys[known] = number[at[known]]
+                kept = (n >= least)[row] & (known | (not whole))
+                keys, row = keys[kept], row[kept]
+                size, group = np.bincount(row, minlength=len(n)), part.column(3).to_numpy()
+                order = np.lexsort((keys, row, group[row]))
+                keys, row = keys[order], row[order]
+                for g in np.unique(group[size > 0]).tolist():
+                    own = np.flatnonzero((group == g) & (size > 0))
+                    lo, hi = np.searchsorted(group[row], [g, g + 1])
+                    k = keys[lo:hi]
+                    ids = part.column(0).take(pa.array(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([g], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), ids), *(pa.array([x.astype(np.int32).tobytes()]) for x in (n[own], part.column(2).to_numpy(zero_copy_only=False)[own], size[own])), pa.array([packed(np.append(k[:1], np.diff(k)))])],
+                        names=["_g", "ids", "n", "own", "size", "keys"],
+                    )
+
+    sets = rows.select("id", "text", "own", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"))
+    sets = written(sets.mapInArrow(pack, f"_g int, ids array<{kind}>, n binary, own binary, size binary, keys binary"), "token-sets")
+    dealt = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_o"))
+    x, y = F.least("_g", "_o"), F.greatest("_g", "_o")
+    dealt = dealt.select((x * groups + y).alias("_p"), "ids", "n", "own", "size", "keys", (F.col("_g") <= F.col("_o")).alias("_left"), (F.col("_g") >= F.col("_o")).alias("_right"))
+    found = dealt.repartitionByRange(groups * (groups + 1) // 2, "_p").groupBy("_p").applyInArrow(_counter(threshold, least, digits), f"a {kind}, b {kind}, overlap double")
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
+
+
+def _counter(threshold: float, least: int, digits: int | None):
+    """Pairs of a group's left and right texts, one of them asked for. Both sides are the same where both flags are set."""
+
+    def opened(r: dict) -> tuple[np.ndarray, ...]:
+        return (np.cumsum(unpacked(r["keys"])), *(np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("size", "n", "own")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        left, right = (np.flatnonzero(held.column(c).to_numpy()) for c in ("_left", "_right"))
+        if not len(left) or not len(right):
+            return
+        ids = held.column("ids").combine_chunks()
+        rows = held.select(["size", "n", "own", "keys"]).to_pylist()
+        parts = [opened(rows[i]) for i in right.tolist()]
+        names = ids.take(pa.array(right)).flatten()
+        n, asked = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        sets, need = Sets(*(np.concatenate([p[i] for p in parts]) for i in (0, 1))), _need(n, threshold, least)
+        del parts
+        # where a left part begins among the right texts, if it is one of them
+        first = dict(zip(right.tolist(), np.cumsum([0, *(len(rows[i]["n"]) // 4 for i in right.tolist())]).tolist()))
+        for i in left.tolist():
+            keys, size, m, own = opened(rows[i])
+            mine, enough = ids.slice(i, 1).flatten(), _need(m, threshold, least)
+            for low, s in sets.common(keys, size):
+                p, q, c = [], [], []
+                for j in range(len(s)):
+                    at = np.flatnonzero(s[j] >= np.minimum(need, enough[low + j]))
+                    if i in first:
+                        at = at[at > first[i] + low + j]
+                    if not own[low + j]:
+                        at = at[asked[at] > 0]
+                    p.append(np.full(len(at), low + j))
+                    q.append(at)
+                    c.append(s[j, at])
+                p, q, c = np.concatenate(p), np.concatenate(q), np.concatenate(c).astype(np.int64)
+                less = np.minimum(m[p], n[q])
+                overlap = c / less if digits is None else (2 * 10**digits * c + less) // (2 * less) / 10**digits
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(p)), names.take(pa.array(q)), pa.array(overlap)], names=["a", "b", "overlap"])
 
     return count
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -134,6 +135,27 @@ def test_related_pairs_in_groups(spark, monkeypatch):
         assert sorted(got) == sorted((a, b) for a, b in want if a % 3 == 0 or b % 3 == 0)
 
 
+def test_related_pairs_travel_packed(spark, monkeypatch):
+    """Texts go to the groups some hundred in a row, and what a task puts out at a time follows CELLS."""
+    kept, written = {}, contradiction.written
+    monkeypatch.setattr(contradiction, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    rng = np.random.default_rng(16)
+    sets = [{f"w{t}" for t in rng.choice(64, rng.integers(5, 40))} for _ in range(1500)]
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "id long, text string").coalesce(2)
+    got = {(r.a, r.b): r.overlap for r in contradiction.related_pairs(df, 0.45, 5, digits=2).where("b < 150").collect()}
+    assert kept["token-sets"].count() <= 4
+    common = {(i, j): (len(sets[i] & sets[j]), min(len(sets[i]), len(sets[j]))) for i in range(150) for j in range(i + 1, 150)}
+    assert got == {p: float((Decimal(c) / n).quantize(Decimal("0.01"), ROUND_HALF_UP)) for p, (c, n) in common.items() if c >= 5 and c >= 0.45 * n}
+
+    import pyarrow as pa
+
+    row = kept["token-sets"].orderBy(F.size("ids").desc()).limit(1).toArrow().drop_columns(["_g"])
+    row = row.append_column("_left", pa.array([True])).append_column("_right", pa.array([True]))
+    monkeypatch.setattr(contradiction, "CELLS", 4000)
+    out = list(contradiction._counter(0.45, 5, None)(iter(row.to_batches())))
+    assert len(out) > 20 and max(b.num_rows for b in out) <= 4000
+
+
 def test_partners_without_pairs(spark, monkeypatch):
     """Partners from bounded counts are those of all pairs; words that cannot be one are not counted."""
     for name, value in (("LISTED", 12), ("FIRST", 4), ("ROWS", 7), ("PAIRS", 50), ("HELD", 20), ("MANY_QUERIES", 5)):
