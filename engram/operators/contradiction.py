@@ -12,13 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  for pa.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 from .lexical import _SPACED, packed, unpacked
-from .retrieval import MANY_QUERIES, _matrix, nearest
+from .retrieval import MANY_QUERIES, _matrix
 from .storage import written
 
 
@@ -242,17 +242,103 @@ def contradictions(points: DataFrame, threshold: float = 0.45) -> DataFrame:
     return _opposed(related_pairs(live.select("id", "text"), threshold).withColumnRenamed("overlap", "similarity"), live)
 
 
+#: What two texts can say against one another: a bit each.
+SIGNALS = ("negation_flip", *(f"antonym:{x}/{y}" for x, y in T.ANTONYMS))
+
+
+def _across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """SIGNALS of texts whose polarity is a and b, as bits."""
+    out = (a ^ b) & 1
+    for i in range(len(T.ANTONYMS)):
+        x, y = 1 + 2 * i, 2 + 2 * i
+        out |= ((((a >> x) & (b >> y)) | ((a >> y) & (b >> x))) & 1) << (1 + i)
+    return out
+
+
 def check(asked: DataFrame, points: DataFrame, threshold: float = 0.45, least: int = 1) -> DataFrame:
-    """contradictions() of a stated set of points (id, q, and in points as well) with all others,
-    related by the greater of cosine and overlap. points: id, text, dense (unit vectors),
-    created_at, superseded_by."""
-    live = points.where("superseded_by is null")
-    own = live.join(F.broadcast(asked.select("id")), "id", "left_semi").select("id")
-    words = related_pairs(live.select("id", "text"), threshold, least, asked=own)
-    near = nearest(live, asked.select(F.col("id").alias("query_id"), "q").join(own.withColumnRenamed("id", "query_id"), "query_id", "left_semi"), None, least=threshold, others=True)
-    near = near.where(F.col("score") >= threshold).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "score")
-    both = words.select("a", "b", F.col("overlap").alias("score")).union(near).groupBy("a", "b").agg(F.max("score").alias("similarity"))
-    return _opposed(both, live)
+    """contradictions() of a stated set of points (id and q, the point's vector, and in points as well)
+    with all others, related by the greater of cosine and overlap. The stated points are broadcast in
+    blocks, a task compares each text with all of a block by words, vectors and what they say, and puts
+    out what contradicts: no pair is shuffled. points: id, text, dense (unit vectors), created_at,
+    superseded_by."""
+    least, spark, kind = max(1, least), points.sparkSession, dict(points.dtypes)["id"]
+    said = F.aggregate(F.reverse(T.polarity(F.col("text"))), F.lit(0).cast("long"), lambda s, x: s * 2 + x.cast("long")).alias("said")
+    live = points.where("superseded_by is null and text is not null")
+    rows = live.select("id", "text", said, F.col("created_at").cast("double").alias("at"), V.doubles(F.col("dense")).alias("vec"))
+
+    def keyed(batches):
+        memo = Keys()
+        for b in batches:
+            keys, size = memo.sets(b.column(1))
+            parts = np.split(keys, np.cumsum(size)[:-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in (2, 3, 4)), pa.array([k.tobytes() for k in parts], pa.binary())], names=["id", "said", "at", "vec", "keys"])
+
+    own = live.join(F.broadcast(asked.select("id", V.doubles(F.col("q")).alias("vec"))), "id").select("id", "text", said, F.col("created_at").cast("double").alias("at"), "vec")
+    own = written(own.mapInArrow(keyed, f"id {kind}, said long, at double, vec array<double>, keys binary"), "asked-sets")
+    n, size = own.agg(F.count("*"), F.sum(F.octet_length("keys").cast("long"))).first()
+    blocks = max(1, -(-n // MANY_QUERIES), -(-(size or 0) // ASKED_BYTES))
+    every = own.select("id").toArrow().column(0).combine_chunks()
+    out = None
+    for i in range(blocks):
+        block = (own if blocks == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast((every, block))
+        found = rows.mapInArrow(_comparer(shared, threshold, least), f"q {kind}, id {kind}, first boolean, similarity double, bits long")
+        out = found if out is None else out.union(found)
+    signals = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(SIGNALS)]))
+    return out.select(F.when(F.col("first"), F.col("q")).otherwise(F.col("id")).alias("older"), F.when(F.col("first"), F.col("id")).otherwise(F.col("q")).alias("newer"), "similarity", signals.alias("signals"))
+
+
+def _comparer(shared, threshold: float, least: int):
+    """Texts (id, text, said, at, vec) against a block of stated points."""
+
+    def compare(batches):
+        every, block = shared.value
+        ids, said, at, vec, keys = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in block.columns)
+        raw = keys.to_pylist()
+        n = np.array([len(k) // 8 for k in raw], np.int64)
+        sets, need = Sets(np.frombuffer(b"".join(raw), np.int64), n), _need(n, threshold, least)
+        del raw
+        pointed = np.flatnonzero(vec.is_valid().to_numpy(zero_copy_only=False))
+        q = _matrix(vec.drop_null()).T
+        says, what = np.unique(said.to_numpy(), return_inverse=True)
+        at, memo = at.to_numpy(zero_copy_only=False), Keys()
+        for b in batches:
+            for start in range(0, b.num_rows, ROWS):
+                part = b.slice(start, ROWS)
+                k, m = memo.sets(part.column(1))
+                enough, mine = _need(m, threshold, least), part.column(2).to_numpy()
+                told = np.flatnonzero(part.column(4).is_valid().to_numpy(zero_copy_only=False)) if len(pointed) else np.zeros(0, int)
+                v = _matrix(part.column(4).drop_null()) if len(told) else None
+                for low, s in sets.common(k, m):
+                    lo, hi = np.searchsorted(told, [low, low + len(s)])
+                    near = v[lo:hi] @ q if hi > lo else None
+                    who, row, alike, bits = [], [], [], []
+                    for j in range(len(s)):
+                        words = s[j] >= np.minimum(need, enough[low + j])
+                        cosine = None
+                        if lo < hi and told[lo] == low + j:
+                            cosine = np.full(len(n), -np.inf)
+                            cosine[pointed] = near[len(near) - (hi - lo)]
+                            lo += 1
+                        own = np.flatnonzero(words if cosine is None else words | (cosine >= threshold))
+                        signals = _across(says, mine[low + j])[what[own]]
+                        own, signals = own[signals > 0], signals[signals > 0]
+                        score = np.where(words[own], s[j, own].astype(float) / np.maximum(1, np.minimum(m[low + j], n[own])), -np.inf)
+                        who.append(own)
+                        row.append(np.full(len(own), low + j))
+                        alike.append(score if cosine is None else np.maximum(score, cosine[own]))
+                        bits.append(signals)
+                    who, row, alike, bits = (np.concatenate(x) for x in (who, row, alike, bits))
+                    x, y = ids.take(pa.array(who)), part.column(0).take(pa.array(row))
+                    before = pa.compute.less(x, y).to_numpy(zero_copy_only=False)
+                    # a pair of two stated points is met from either side
+                    both = pa.compute.is_in(part.column(0), every).to_numpy(zero_copy_only=False)[row]
+                    kept = pa.compute.not_equal(x, y).to_numpy(zero_copy_only=False) & (before | ~both)
+                    a, c = at[who], part.column(3).to_numpy(zero_copy_only=False)[row]
+                    first = np.where(before, a <= c, ~(c <= a))
+                    yield pa.RecordBatch.from_arrays([x, y, pa.array(first), pa.array(alike), pa.array(bits)], names=["q", "id", "first", "similarity", "bits"]).filter(pa.array(kept))
+
+    return compare
 
 
 def _opposed(pairs: DataFrame, live: DataFrame) -> DataFrame:

@@ -156,6 +156,40 @@ def test_related_pairs_travel_packed(spark, monkeypatch):
     assert len(out) > 20 and max(b.num_rows for b in out) <= 4000
 
 
+def test_check_shuffles_no_pair(spark, monkeypatch):
+    """Stated points meet all others by words or vectors in the tasks, whatever the blocks and slices."""
+    rng = np.random.default_rng(17)
+    words = [*T.NEGATIONS[5:-4].split("|")[2:5], "open", "closed", "up", "down", *(f"w{i}" for i in range(30))]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 12))) for _ in range(90)] + [None, ""]
+    v = rng.normal(size=(92, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, t, [float(x) for x in v[i]] if i % 3 else None, float(i * 7 % 40), 1 if i % 11 == 5 else None) for i, t in enumerate(texts)]
+    points = spark.createDataFrame(rows, "id long, text string, dense array<double>, created_at double, superseded_by long").repartition(3)
+    asked = points.where("id % 4 = 0").select("id", F.col("dense").alias("q"))
+    sets = [set(re.findall("[a-z0-9]+", t or "")) - set(T.STOP_WORDS) for t in texts]
+    live = {r[0]: r for r in rows if r[4] is None and r[1] is not None}
+    said = {r.id: r.said for r in points.where("text is not null").select("id", T.polarity(F.col("text")).alias("said")).collect()}
+    want = {}
+    for a in live:
+        for b in live:
+            if a < b and (a % 4 == 0 or b % 4 == 0):
+                c, less = len(sets[a] & sets[b]), min(len(sets[a]), len(sets[b]))
+                near = float(v[a] @ v[b]) if live[a][2] and live[b][2] else -1.0
+                score = max(near, c / less if c >= 2 and c >= 0.4 * less else -1.0)
+                x, y = said[a], said[b]
+                signals = ["negation_flip"] * (x[0] != y[0]) + [f"antonym:{p}/{q}" for i, (p, q) in enumerate(T.ANTONYMS) if (x[1 + 2 * i] and y[2 + 2 * i]) or (x[2 + 2 * i] and y[1 + 2 * i])]
+                if score >= 0.4 and signals:
+                    want[(a, b) if live[a][3] <= live[b][3] else (b, a)] = (round(score, 9), signals)
+    for many, cells, size, slots in ((16_384, 1 << 21, 4096, 1 << 26), (4, 60, 7, 300)):
+        for name, value in (("MANY_QUERIES", many), ("CELLS", cells), ("ROWS", size), ("ASKED_BYTES", slots)):
+            monkeypatch.setattr(contradiction, name, value)
+        found = contradiction.check(asked, points, 0.4, 2)
+        got = [((r.older, r.newer), (round(r.similarity, 9), r.signals)) for r in found.collect()]
+        assert len(got) == len(want) > 100 and dict(got) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
+
+
 def test_partners_without_pairs(spark, monkeypatch):
     """Partners from bounded counts are those of all pairs; words that cannot be one are not counted."""
     for name, value in (("LISTED", 12), ("FIRST", 4), ("ROWS", 7), ("PAIRS", 50), ("HELD", 20), ("MANY_QUERIES", 5)):
