@@ -262,7 +262,8 @@ def check(asked: DataFrame, points: DataFrame, threshold: float = 0.45, least: i
     out what contradicts: no pair is shuffled. points: id, text, dense (unit vectors), created_at,
     superseded_by."""
     least, spark, kind = max(1, least), points.sparkSession, dict(points.dtypes)["id"]
-    said = F.aggregate(F.reverse(T.polarity(F.col("text"))), F.lit(0).cast("long"), lambda s, x: s * 2 + x.cast("long")).alias("said")
+    each = T.polarity(F.col("text"))
+    said = sum((F.when(F.get(each, F.lit(i)), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(1, 1 + 2 * len(T.ANTONYMS))), F.get(each, F.lit(0)).cast("int")).cast("long").alias("said")
     live = points.where("superseded_by is null and text is not null")
     rows = live.select("id", "text", said, F.col("created_at").cast("double").alias("at"), V.doubles(F.col("dense")).alias("vec"))
 
