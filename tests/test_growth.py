@@ -213,6 +213,15 @@ def test_partners_without_pairs(spark, monkeypatch):
     assert plain.items() >= want.items() and len(vocabulary.expansions(docs, terms, 4, 2).collect()) > 15
 
 
+def test_partners_read_texts_twice(spark, monkeypatch):
+    """However many terms are stated (before: twice for each 16,384), up to a bound on what is broadcast."""
+    calls, together = [], vocabulary._together
+    monkeypatch.setattr(vocabulary, "_together", lambda *x: calls.append(len(x[1])) or together(*x))
+    words = spark.range(20_000).select(F.array(F.concat(F.lit("t"), "id"), F.lit("a"), F.lit("b")).alias("words"))
+    near, total = vocabulary.partners(words, words.select(F.col("words")[0].alias("term")), 1)
+    assert calls == [20_000, 20_000] and near.where("other = 'a' and n = 1").count() == 20_000 and total.where("total = 2").count() == 20_000
+
+
 def test_text_embedding_of_groups(spark, monkeypatch):
     """Texts in many groups, two of one id, and a token with two vectors."""
     monkeypatch.setattr(embedding, "GROUP_BYTES", 200)
