@@ -6,6 +6,11 @@ opened), scores the codes there with table lookups for all queries of a block at
 reads vectors, again of those cells only, for the survivors, which are scored exactly. How
 many cells and survivors a wanted recall takes is measured by quantize.calibrate() on
 neighbours found exactly. coded_topk() and nearest() remain for exact results.
+
+A batch with more survivors than a task may hold is searched in two passes of one plan each: tasks
+count each query's scores by code in BINS steps, which tells the step of its last survivor, and then
+score survivors exactly where they lie, so neither they nor their vectors are shuffled, and the
+driver sees two numbers a query.
 """
 
 from __future__ import annotations
@@ -16,11 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .lexical import packed, unpacked
 from .quantize import IvfPq
 from .retrieval import _matrix, query_blocks, top_k
 
 #: Scores kept in a task: queries of a block times survivors; as many more are taken in before the worst go.
 HELD = 1 << 20
+#: Queries of a large batch and rows that a task takes at a time, and steps of a query's scores.
+SLICE, ROWS, BINS = 1024, 1 << 16, 1024
 
 
 def _lists(table: pa.Array, width: int) -> np.ndarray:
@@ -57,15 +65,134 @@ def search(index: DataFrame, model: IvfPq, queries: DataFrame, k: int, probes: i
     rescore best by code in its probes nearest cells. index: a table that write_index() wrote."""
     spark, out = index.sparkSession, None
     kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(index.dtypes)["id"]}
-    step = max(1, HELD // max(1, rescore))
     for ids, q in query_blocks(queries):
-        for at in range(0, max(1, len(q)), step):
-            some, qs = ids.slice(at, step), q[at : at + step]
-            found = _search_block(spark, index, model, some, qs, probes, rescore, kinds)
-            out = found if out is None else out.union(found)
+        few = len(q) * rescore <= HELD
+        found = _search_block(spark, index, model, ids, q, probes, rescore, kinds) if few else _search_many(spark, index, model, ids, q, k, probes, rescore, kinds)
+        out = found if out is None else out.union(found)
     return top_k(out, k, ["query_id"])
 
 
+class _Codes:
+    """Scores by code of a large batch of queries, SLICE of them at a time."""
+
+    def __init__(self, model: IvfPq, q: np.ndarray, near: np.ndarray, probes: int):
+        self.model, self.q, self.near = model, q, near
+        self.own = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int16)
+
+    def slices(self, codes: np.ndarray, cells: np.ndarray):
+        """For each slice: its first query, the end and the steps' lowest and width of each query, and parts of
+        (queries, rows, scores)."""
+        order = np.argsort(cells, kind="stable")
+        ends = np.searchsorted(cells[order], np.arange(len(self.model.cells) + 1))
+        for a in range(0, len(self.q), SLICE):
+            b = min(a + SLICE, len(self.q))
+            tables = self.model.pq.tables(self.q[a:b])
+            low = self.near[a:b].min(1) + tables.min(2).sum(1)
+            width = (self.near[a:b].max(1) + tables.max(2).sum(1) - low) / BINS
+            yield a, b, low, np.where(width > 0, width, 1.0), self._parts(a, b, tables, codes, order, ends)
+
+    def _parts(self, a, b, tables, codes, order, ends):
+        for c in np.flatnonzero(np.diff(ends)).tolist():
+            s = np.flatnonzero((self.own[a:b] == c).any(axis=1))
+            step = max(1, HELD // 2 // max(1, len(s)))
+            for i in range(ends[c], ends[c + 1] if len(s) else 0, step):
+                rows = order[i : min(i + step, ends[c + 1])]
+                score = np.repeat(self.near[a + s, c][:, None], len(rows), axis=1)
+                for p in range(codes.shape[1]):
+                    score += tables[s, p][:, codes[rows, p]]
+                yield s, rows, score
+
+
+def _gathered(batches, width: int):
+    """A task's rows (codes, cell and others), their codes and cells, some at a time."""
+    held = []
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            held.append(b.slice(i, ROWS))
+            if sum(x.num_rows for x in held) >= ROWS:
+                t, held = pa.Table.from_batches(held), []
+                yield t, _lists(t.column("codes"), width), t.column("cell").to_numpy()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, _lists(t.column("codes"), width), t.column("cell").to_numpy()
+
+
+def _search_many(spark, index: DataFrame, model: IvfPq, ids: pa.Array, q: np.ndarray, k: int, probes: int, rescore: int, kinds: dict) -> DataFrame:
+    near, width = q @ model.cells.T, model.pq.parts
+    part = index.where(F.col("cell").isin(np.unique(np.argsort(-near, axis=1, kind="stable")[:, :probes]).tolist()))
+    shared = spark.sparkContext.broadcast((model, ids, q, near))
+
+    def tally(batches):
+        model, _, q, near = shared.value
+        by = _Codes(model, q, near, probes)
+        for _, codes, cells in _gathered(batches, width):
+            for a, b, low, step, parts in by.slices(codes, cells):
+                n = np.zeros((b - a) * BINS, np.int64)
+                for s, _, score in parts:
+                    at = np.clip((score - low[s, None]) / step[s, None], 0, BINS - 1).astype(np.int64)
+                    n += np.bincount((s[:, None] * BINS + at).reshape(-1), minlength=len(n))
+                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([packed(n)], pa.binary())], names=["slice", "n"])
+
+    def bound(t: pa.Table) -> pa.Table:
+        """The step of each query's last survivor, and how many of that step survive."""
+        n = sum(unpacked(x.as_py()) for x in t.column("n")).reshape(-1, BINS)
+        above = np.cumsum(n[:, ::-1], axis=1)[:, ::-1]  # in this step and those above
+        at = (above >= rescore).sum(1) - 1
+        more = np.append(above, np.zeros((len(n), 1), np.int64), axis=1)[np.arange(len(n)), at + 1]
+        return pa.table({"q": t.column("slice")[0].as_py() + np.arange(len(n)), "at": at, "rest": rescore - more})
+
+    told = part.select("codes", "cell").mapInArrow(tally, "slice long, n binary").groupBy("slice").applyInArrow(bound, "q long, at long, rest long").toArrow()
+    last, rest = np.full(len(q), -1), np.zeros(len(q), np.int64)
+    last[told.column("q").to_numpy()], rest[told.column("q").to_numpy()] = told.column("at").to_numpy(), told.column("rest").to_numpy()
+    limits = spark.sparkContext.broadcast((last, rest))
+
+    def best(batches):
+        model, ids, q, near = shared.value
+        last, rest = limits.value
+        by = _Codes(model, q, near, probes)
+
+        def cut(kept: list, least: np.ndarray) -> list:
+            """Each query's best k so far, ties of the last included."""
+            who, row, score = (np.concatenate([np.zeros(0, t), *(x[i] for x in kept)]) for i, t in enumerate((np.int64, np.int64, float)))
+            order = np.lexsort((-score, who))
+            who, row, score = who[order], row[order], score[order]
+            per = np.bincount(who, minlength=len(least))
+            full = np.flatnonzero(per >= k)
+            least[full] = score[(np.cumsum(per) - per)[full] + k - 1]
+            stays = score >= least[who]
+            return [(who[stays], row[stays], score[stays])]
+
+        for held, codes, cells in _gathered(batches, width):
+            names, v = held.column("id").combine_chunks(), _matrix(held.column("vec").combine_chunks())
+
+            def rows(who, row, score, approx, names=names):
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(who)), names.take(pa.array(row)), pa.array(score), approx, pa.array(rest[who])], names=["query_id", "id", "score", "approx", "rest"])
+
+            for a, b, low, step, parts in by.slices(codes, cells):
+                least, kept, new = np.full(b - a, -np.inf), [], 0
+                for s, some, score in parts:
+                    at = np.clip((score - low[s, None]) / step[s, None], 0, BINS - 1).astype(np.int64)
+                    i, j = np.nonzero(at >= last[a + s, None])
+                    for lo in range(0, len(i), HELD // 8):
+                        x, y = i[lo : lo + HELD // 8], j[lo : lo + HELD // 8]
+                        who, row = s[x], some[y]
+                        exact = (q[a + who] * v[row]).sum(1)
+                        edge = at[x, y] == last[a + who]
+                        yield rows(a + who[edge], row[edge], exact[edge], pa.array(score[x[edge], y[edge]]))
+                        sure = ~edge & (exact >= least[who])
+                        kept.append((who[sure], row[sure], exact[sure]))
+                        new += int(sure.sum())
+                        if new > HELD // 4:
+                            kept, new = cut(kept, least), 0
+                who, row, exact = cut(kept, least)[0]
+                yield rows(a + who, row, exact, pa.nulls(len(who), pa.float64()))
+
+    found = part.select("id", "codes", "cell", "vec").mapInArrow(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, approx double, rest long")
+    w = Window.partitionBy("query_id", F.col("approx").isNull()).orderBy(F.desc("approx"), "id")
+    found = found.withColumn("_r", F.row_number().over(w)).where(F.col("approx").isNull() | (F.col("_r") <= F.col("rest")))
+    return found.select("query_id", "id", "score")
+
+
 def _search_block(spark, index: DataFrame, model: IvfPq, ids: pa.Array, q: np.ndarray, probes: int, rescore: int, kinds: dict) -> DataFrame:
     near = q @ model.cells.T if len(q) else np.zeros((0, len(model.cells)))
     own = np.argsort(-near, axis=1, kind="stable")[:, :probes]

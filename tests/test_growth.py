@@ -294,6 +294,29 @@ def test_index_search_holds_few(spark, monkeypatch, tmp_path):
         assert got == want
 
 
+def test_index_search_of_many_plans_once(spark, monkeypatch, tmp_path):
+    """Survivors beyond what a task holds: the plan does not grow with them, and the rows stay the same, also where
+    many are alike."""
+    from engram.operators import ann, quantize
+
+    rng = np.random.default_rng(18)
+    v = np.round(rng.normal(size=(60, 8)), 1)[rng.integers(0, 60, 300)]
+    v[200:] += 0.01 * rng.normal(size=(100, 8))
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, dense array<double>")
+    m = quantize.IvfPq(v[100:], cells=4, parts=4)
+    ann.write_index(rows, m, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    q = rows.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("q"))
+    for probes, rescore in ((4, 300), (2, 40), (3, 7), (1, 1)):
+        plans, got = [], []
+        for size in (1 << 20, rescore * 20):
+            monkeypatch.setattr(ann, "HELD", size)
+            found = ann.search(index, m, q, 5, probes, rescore)
+            plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+            got.append(sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in found.collect()))
+        assert got[0] == got[1] and len(got[0]) == 100 * min(5, rescore) and plans[1].count("MapInArrow") == 1
+
+
 def test_index_search_memory(spark, monkeypatch):
     """What a task of an index search holds follows HELD."""
     import tracemalloc
